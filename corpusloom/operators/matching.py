@@ -37,23 +37,16 @@ def vocabulary_matches(vocabulary: DataFrame, words: DataFrame, short: bool = Tr
     need = words.select("word").distinct().where("word <> ''").withColumn(
         "gram", F.substring("word", 1, GRAM)
     )
-    sizes = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.when(
-                        F.length("token") >= g,
-                        F.transform(
-                            F.sequence(F.lit(1), F.greatest(F.length("token") - g + 1, F.lit(1))),
-                            lambda i, g=g: F.substring(F.col("token"), i, F.lit(g)),
-                        ),
-                    ).otherwise(F.array().cast("array<string>"))
-                    for g in (range(1, GRAM + 1) if short else [GRAM])
-                ]
-            )
+    def grams_of(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("token") - size + 1)
+        pieces = F.transform(starts, lambda i: F.substring(F.col("token"), i, F.lit(size)))
+        return F.when(F.length("token") >= size, pieces).otherwise(
+            F.array().cast("array<string>")
         )
-    )
-    grams = vocabulary.select("token", F.explode(sizes).alias("gram"))
+
+    sizes = range(1, GRAM + 1) if short else [GRAM]
+    offered = F.array_distinct(F.flatten(F.array(*[grams_of(g) for g in sizes])))
+    grams = vocabulary.select("token", F.explode(offered).alias("gram"))
     hits = (
         F.length("token") - F.length(F.replace(F.col("token"), F.col("word"), F.lit("")))
     ) / F.length("word")

@@ -22,12 +22,17 @@ from corpusloom.operators.matching import phrase_hits, word_hits
 from corpusloom.session import BROADCAST_ROWS, is_small
 
 SALTS = 16
+SCORE_DIGITS = 9
 
 
 def top_k(rows: DataFrame, k: int, group: str = "query_id", score: str = "score",
           tie: str = "doc_id") -> DataFrame:
-    """Best ``k`` rows of every group with their ``rank`` from 1."""
-    w = Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(tie))
+    """Best ``k`` rows of every group with their ``rank`` from 1.
+
+    Sums of doubles depend on the order of adding, so scores are compared rounded: equal
+    documents then tie exactly and the tie key decides.
+    """
+    w = Window.partitionBy(group).orderBy(F.round(score, SCORE_DIGITS).desc(), F.col(tie))
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -104,6 +109,7 @@ def _scan_block(qids: np.ndarray, qvecs: np.ndarray, k: int):
                 part = pdf.iloc[at : at + SLICE_ROWS]
                 doc = part["doc_id"].to_numpy(dtype="int64")
                 grid = np.stack(part["vec"].to_numpy()).astype("float64") @ qvecs.T
+                grid = np.round(grid, SCORE_DIGITS)
                 reached = grid >= floor
                 for j in np.flatnonzero(reached.any(axis=0)):
                     rows = reached[:, j]

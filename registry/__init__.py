@@ -6,7 +6,7 @@ import importlib
 
 from registry.base import CHECKS, QUERIES
 
-MODULES = ["q_text"]
+MODULES = ["q_text", "q_search"]
 
 
 def _load() -> None:

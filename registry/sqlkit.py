@@ -103,7 +103,7 @@ scored AS (
   FROM qt JOIN tf USING (term) JOIN dfs USING (term), cs GROUP BY ALL)"""
 
 
-def ranked(source: str, k: int, order: str = "score DESC, doc_id", group: str = "query_id") -> str:
+def ranked(source: str, k: int, order: str = "round(score, 9) DESC, doc_id", group: str = "query_id") -> str:
     return (
         f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS rank "
         f"FROM {source}) WHERE rank <= {k}"
