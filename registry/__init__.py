@@ -6,7 +6,7 @@ import importlib
 
 from registry.base import CHECKS, QUERIES
 
-MODULES = ["q_text", "q_search"]
+MODULES = ["q_text", "q_search", "q_segment"]
 
 
 def _load() -> None:

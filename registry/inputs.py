@@ -139,3 +139,89 @@ def cte(*names: str) -> str:
         base, exprs = TABLES[name]
         parts.append(f"{name} AS (SELECT {', '.join(_cols(exprs(DUCK)))} FROM {base})")
     return ", ".join(parts)
+
+
+# --- source code by language: every sentence of every document becomes one construct ---------
+def _code(ext: str, rules: list[tuple[str, str]], head: str = "''"):
+    def exprs(d: Dialect) -> dict[str, str]:
+        text = f"replace(text, '. ', '.{NL}')"
+        for initials, repl in rules:
+            text = d.rx(text, rf"(?m)^([{initials}][a-z]+) ([a-z]+)(.*)$", repl)
+        return {
+            "doc_id": "doc_id",
+            "path": f"source || '/f' || doc_id || '{ext}'" if ext.startswith(".") else ext,
+            "content": f"{head} || {text}",
+        }
+
+    return ("documents", exprs)
+
+
+TABLES["code_py"] = _code(".py", [
+    ("A-F", "@$2\nclass $1($2):\n    x = 1 #$3"),
+    ("G-N", "def $2($1):\n    return 1 #$3\n    class Inner$1:"),
+    ("O-P", "@$1"),
+    ("Q-S", "async def $2(x, y):"),
+])
+TABLES["code_go"] = _code(".go", [
+    ("A-F", "type $1 struct {\n  $2 int //$3\n}"),
+    ("G-K", "func $2(x int) {\n  if x {\n $3\n }\n}"),
+    ("L-M", "func (r *$1) $2() {}"),
+    ("N", "type $1 interface {\n $2()\n}"),
+    ("O-P", "func $2(\n a int,"),
+])
+TABLES["code_cs"] = _code(".cs", [
+    ("A-D", "public class $1\n{\n    int $2; //$3"),
+    ("E-K", "    public void $2(int a)\n    {\n        call$1(a) //$3\n    }"),
+    ("L-M", "interface $1 { void $2$3 }"),
+    ("N-S", "}"),
+    ("T-U", "    static string $2(int b) { return b }"),
+], head=f"'namespace App.Core' || doc_id || '{NL}{{{NL}'")
+TABLES["code_rs"] = _code(".rs", [
+    ("A-C", "pub fn $2() {\n$3\n}"),
+    ("D-F", "function $2() { $3 }"),
+    ("G-H", "const $1 = 1;"),
+    ("I-J", "static int $2(int a)$3"),
+    ("K-N", "export async function $2(a) {\n $3\n}"),
+])
+TABLES["code_sql"] = _code(".sql", [
+    ("A-C", "CREATE TABLE IF NOT EXISTS $1 ($3"),
+    ("D-F", "create or replace function $2()\nBEGIN$3"),
+    ("G-J", "  END;"),
+    ("K-M", "CREATE VIEW $1 AS$3"),
+    ("N-O", "CREATE TRIGGER $2 ON $1"),
+    ("P-Q", "GO"),
+])
+TABLES["code_jcl"] = _code(".jcl", [
+    ("A-B", "//$1 JOB (ACCT)"),
+    ("C-H", "//$1 EXEC PGM=$2"),
+    ("I-K", "//$1 PROC X=1"),
+    ("L-M", "// EXEC $2"),
+])
+TABLES["code_cbl"] = _code(
+    "source || '/f' || doc_id || CASE WHEN doc_id % 7 = 0 THEN '.cpy' ELSE '.cbl' END",
+    [
+        ("A", "       DATA DIVISION."),
+        ("B", "       PROCEDURE DIVISION."),
+        ("C-D", "       $2 SECTION."),
+        ("E", "       FD  $2-FILE."),
+        ("F-H", "       01  $1-REC.$3"),
+        ("I-M", "       $1-PARA."),
+        ("N", "       COPY $1."),
+        ("O", "       read-$2."),
+    ],
+    head=f"'       IDENTIFICATION DIVISION.{NL}       PROGRAM-ID. PGM' || doc_id || '.{NL}'",
+)
+TABLES["code_ts"] = _code(".ts", [
+    ("A-B", "/**\n * Doc of $1\n */\nexport class $1Service extends Base {\n  private $2: string = 'x'; //$3"),
+    ("C-D", "  @Get('$2')\n  async $2Item(id: string, q?: number): Promise<void> {\n    if (id) {\n      call(id); //$3\n    }\n  }"),
+    ("E-F", "}"),
+    ("G-H", "// note on $2\nexport async function use$1(a: number, b?: string): string {\n  return a; //$3\n}"),
+    ("I", "import { $1 } from './$2';"),
+    ("J-K", "export interface $1 {\n  $2: string; //$3\n}"),
+    ("L-M", "export const $2Config = {\n  a: 1, //$3\n};"),
+    ("N", "type $1 = '$2' | 'b';"),
+    ("O", "const $1View = (p: number) => {\n  return p; //$3\n};"),
+    ("P", "enum $1 { A, B }"),
+    ("R-S", "function $2Handler(req, res, next) {\n  next(); //$3\n}"),
+    ("T", "  constructor(private a: string) {\n    super(); //$3\n  }"),
+])
