@@ -140,31 +140,31 @@ PY_RULES = [(r"^\s*class\s+(\w+).*?:", "class"), (r"^(?:async\s+)?def\s+(\w+)\s*
 PY_DECORATOR = r"^\s*@(\w+)"
 
 
-def segment_python(files: DataFrame) -> DataFrame:
-    """Any class and every top-level function, with the decorator lines directly above."""
+def python_chunks(lines: Column) -> Column:
+    runs = scan(
+        F.transform(lines, lambda x: x.rlike(PY_DECORATOR)),
+        F.lit(0),
+        lambda n, deco: F.when(deco, n + 1).otherwise(0),
+    )
 
-    def chunks(lines: Column) -> Column:
-        runs = scan(
-            F.transform(lines, lambda x: x.rlike(PY_DECORATOR)),
-            F.lit(0),
-            lambda n, deco: F.when(deco, n + 1).otherwise(0),
-        )
+    def mark(pair: Column, i: Column) -> Column:
+        name, ty = _first_group(pair["line"], PY_RULES)
+        above = pair["above"]
+        found = F.array(_mark(i + 1 - above, "s", name, ty))
+        return F.when(ty.isNotNull(), found).otherwise(_no_marks())
 
-        def mark(pair: Column, i: Column) -> Column:
-            name, ty = _first_group(pair["line"], PY_RULES)
-            above = pair["above"]
-            found = F.array(_mark(i + 1 - above, "s", name, ty))
-            return F.when(ty.isNotNull(), found).otherwise(_no_marks())
+    before = F.concat(F.array(F.lit(0)), runs)
+    pairs = F.zip_with(
+        lines, F.slice(before, F.lit(1), F.size(lines)),
+        lambda x, n: F.struct(x.alias("line"), n.alias("above")),
+    )
+    marks = F.flatten(F.transform(pairs, mark))
+    return _or_whole_file(lines, bind(marks, lambda m: _segments(lines, m)))
 
-        before = F.concat(F.array(F.lit(0)), runs)
-        pairs = F.zip_with(
-            lines, F.slice(before, F.lit(1), F.size(lines)),
-            lambda x, n: F.struct(x.alias("line"), n.alias("above")),
-        )
-        marks = F.flatten(F.transform(pairs, mark))
-        return _or_whole_file(lines, bind(marks, lambda m: _segments(lines, m)))
 
-    out = _emit(files, bind(_lines(F.col("content")), chunks))
+def segment_python(files: DataFrame) -> DataFrame:
+    """Any class and every top-level function, with the decorator lines directly above."""
+    out = _emit(files, bind(_lines(F.col("content")), python_chunks))
     head = F.regexp_extract("content", r"^((?:[ \t]*@[^\n]*\n)*)", 1)
     decorators = F.regexp_extract_all(head, F.lit(r"(?m)^\s*@(\w+)"), 1)
     return out.withColumn("decorators", decorators)
@@ -188,12 +188,8 @@ _OPEN = "array<struct<line:int,name:string,type:string,level:int,open:boolean>>"
 _CLOSED = "array<struct<line:int,end:int,name:string,type:string>>"
 
 
-def segment_braces(files: DataFrame, minimum: int = MIN_CHARS) -> DataFrame:
-    """Namespaces, classes, interfaces and methods by brace nesting (C#, Java, Kotlin).
-
-    One fold over the lines carries the depth, the constructs that are open and those that
-    have closed. A construct may only close once its first brace has been seen.
-    """
+def brace_chunks(lines: Column, minimum: int = MIN_CHARS) -> Column:
+    """Chunks of a file by brace nesting; see ``segment_braces``."""
 
     def started(line: Column, i: Column, depth: Column) -> Column:
         found = []
@@ -244,26 +240,32 @@ def segment_braces(files: DataFrame, minimum: int = MIN_CHARS) -> DataFrame:
             ),
         )
 
-    def chunks(lines: Column) -> Column:
-        numbered = F.transform(
-            lines, lambda x, i: F.struct(x.alias("line"), (i + 1).cast("int").alias("i"))
-        )
-        zero = F.struct(
-            F.lit(0).alias("depth"), F.array().cast(_OPEN).alias("stack"),
-            F.array().cast(_CLOSED).alias("done"),
-        )
-        done = F.aggregate(numbered, zero, step, lambda s: s["done"])
-        cut = F.transform(
-            done,
-            lambda c: F.struct(
-                F.lit("s").alias("kind"), c["line"].alias("start_line"), c["end"].alias("end_line"),
-                c["name"].alias("name"), c["type"].alias("chunk_type"),
-                _cut(lines, c["line"], c["end"]).alias("content"),
-            ),
-        )
-        return _or_whole_file(lines, F.filter(cut, lambda c: F.length(c["content"]) >= minimum))
+    numbered = F.transform(
+        lines, lambda x, i: F.struct(x.alias("line"), (i + 1).cast("int").alias("i"))
+    )
+    zero = F.struct(
+        F.lit(0).alias("depth"), F.array().cast(_OPEN).alias("stack"),
+        F.array().cast(_CLOSED).alias("done"),
+    )
+    done = F.aggregate(numbered, zero, step, lambda s: s["done"])
+    cut = F.transform(
+        done,
+        lambda c: F.struct(
+            F.lit("s").alias("kind"), c["line"].alias("start_line"), c["end"].alias("end_line"),
+            c["name"].alias("name"), c["type"].alias("chunk_type"),
+            _cut(lines, c["line"], c["end"]).alias("content"),
+        ),
+    )
+    return _or_whole_file(lines, F.filter(cut, lambda c: F.length(c["content"]) >= minimum))
 
-    return _emit(files, bind(_lines(F.col("content")), chunks))
+
+def segment_braces(files: DataFrame, minimum: int = MIN_CHARS) -> DataFrame:
+    """Namespaces, classes, interfaces and methods by brace nesting (C#, Java, Kotlin).
+
+    One fold over the lines carries the depth, the constructs that are open and those that
+    have closed. A construct may only close once its first brace has been seen.
+    """
+    return _emit(files, bind(_lines(F.col("content")), lambda lines: brace_chunks(lines, minimum)))
 
 
 # --- Go -----------------------------------------------------------------------------------------
@@ -274,25 +276,25 @@ GO_RULES = [
 ]
 
 
-def segment_go(files: DataFrame) -> DataFrame:
-    """Functions and struct or interface types at depth 0, closed when the depth returns to 0."""
+def go_chunks(lines: Column) -> Column:
+    def mark(x: Column, i: Column) -> Column:
+        name, ty = _first_group(x["line"], GO_RULES)
+        start = F.when(
+            ty.isNotNull() & (x["before"] == 0), F.array(_mark(i + 1, "s", name, ty))
+        ).otherwise(_no_marks())
+        stop = F.when(
+            (x["after"] == 0) & F.contains(x["line"], F.lit("}")),
+            F.array(_mark(i + 1, "e", F.lit(None).cast("string"), F.lit(None).cast("string"))),
+        ).otherwise(_no_marks())
+        return F.concat(start, stop)
 
-    def chunks(lines: Column) -> Column:
-        def mark(x: Column, i: Column) -> Column:
-            name, ty = _first_group(x["line"], GO_RULES)
-            start = F.when(
-                ty.isNotNull() & (x["before"] == 0), F.array(_mark(i + 1, "s", name, ty))
-            ).otherwise(_no_marks())
-            stop = F.when(
-                (x["after"] == 0) & F.contains(x["line"], F.lit("}")),
-                F.array(_mark(i + 1, "e", F.lit(None).cast("string"), F.lit(None).cast("string"))),
-            ).otherwise(_no_marks())
-            return F.concat(start, stop)
-
-        marks = F.flatten(F.transform(_with_depth(lines), mark))
-        return _or_whole_file(lines, bind(marks, lambda m: _segments(lines, m)))
+    marks = F.flatten(F.transform(_with_depth(lines), mark))
+    return _or_whole_file(lines, bind(marks, lambda m: _segments(lines, m)))
 
-    return _emit(files, bind(_lines(F.col("content")), chunks))
+
+def segment_go(files: DataFrame) -> DataFrame:
+    """Functions and struct or interface types at depth 0, closed when the depth returns to 0."""
+    return _emit(files, bind(_lines(F.col("content")), go_chunks))
 
 
 # --- any other language ---------------------------------------------------------------------------
@@ -306,29 +308,29 @@ GENERIC_RULES = [
 ]
 
 
-def segment_generic(files: DataFrame, minimum: int = MIN_CHARS) -> DataFrame:
-    """Six kinds of starts at depth 0; text before the first is chunk ``module``."""
+def generic_chunks(lines: Column, minimum: int = MIN_CHARS) -> Column:
+    def mark(x: Column, i: Column) -> Column:
+        name, ty = _first_group(x["line"], GENERIC_RULES)
+        found = F.array(_mark(i + 1, "s", name, ty))
+        return F.when(ty.isNotNull() & (x["before"] == 0), found).otherwise(_no_marks())
 
-    def chunks(lines: Column) -> Column:
-        def mark(x: Column, i: Column) -> Column:
-            name, ty = _first_group(x["line"], GENERIC_RULES)
-            found = F.array(_mark(i + 1, "s", name, ty))
-            return F.when(ty.isNotNull() & (x["before"] == 0), found).otherwise(_no_marks())
-
-        marks = F.flatten(F.transform(_with_depth(lines), mark))
-        led = bind(
-            marks,
-            lambda m: F.when(F.try_element_at(m, F.lit(1))["line"] == 1, m).otherwise(
-                F.concat(F.array(_mark(F.lit(1), "s", F.lit("module"), "function")), m)
-            ),
-        )
-        trimmed = F.transform(
-            bind(led, lambda m: _segments(lines, m)),
-            lambda c: c.withField("content", T.strip_ends(c["content"])),
-        )
-        return _or_whole_file(lines, F.filter(trimmed, lambda c: F.length(c["content"]) >= minimum))
+    marks = F.flatten(F.transform(_with_depth(lines), mark))
+    led = bind(
+        marks,
+        lambda m: F.when(F.try_element_at(m, F.lit(1))["line"] == 1, m).otherwise(
+            F.concat(F.array(_mark(F.lit(1), "s", F.lit("module"), "function")), m)
+        ),
+    )
+    trimmed = F.transform(
+        bind(led, lambda m: _segments(lines, m)),
+        lambda c: c.withField("content", T.strip_ends(c["content"])),
+    )
+    return _or_whole_file(lines, F.filter(trimmed, lambda c: F.length(c["content"]) >= minimum))
 
-    return _emit(files, bind(_lines(F.col("content")), chunks))
+
+def segment_generic(files: DataFrame, minimum: int = MIN_CHARS) -> DataFrame:
+    """Six kinds of starts at depth 0; text before the first is chunk ``module``."""
+    return _emit(files, bind(_lines(F.col("content")), lambda lines: generic_chunks(lines, minimum)))
 
 
 # --- SQL scripts ------------------------------------------------------------------------------------
@@ -342,44 +344,44 @@ SQL_RULES = [
 SQL_ENDS = ["GO", "END", "END;"]
 
 
-def segment_sql(files: DataFrame) -> DataFrame:
-    """CREATE statements; a routine or trigger ends at GO, END or END; on a line of its own."""
+def sql_chunks(lines: Column) -> Column:
+    def classify(x: Column) -> Column:
+        name, ty = _first_group(x, SQL_RULES)
+        return F.struct(
+            name.alias("name"), ty.alias("type"),
+            T.strip_ends(x).isin(SQL_ENDS).alias("stop"),
+        )
 
-    def chunks(lines: Column) -> Column:
-        def classify(x: Column) -> Column:
-            name, ty = _first_group(x, SQL_RULES)
-            return F.struct(
-                name.alias("name"), ty.alias("type"),
-                T.strip_ends(x).isin(SQL_ENDS).alias("stop"),
-            )
+    kinds = F.transform(lines, classify)
+    # whether a block is open before each line
+    after = scan(
+        kinds,
+        F.lit(False),
+        lambda block, k: F.when(k["type"].isin("function", "handler"), True)
+        .when(k["stop"] & k["type"].isNull(), False)
+        .otherwise(block),
+    )
+    before = F.concat(F.array(F.lit(False)), after)
+    pairs = F.zip_with(
+        kinds, F.slice(before, F.lit(1), F.size(kinds)),
+        lambda k, b: F.struct(k.alias("k"), b.alias("block")),
+    )
 
-        kinds = F.transform(lines, classify)
-        # whether a block is open before each line
-        after = scan(
-            kinds,
-            F.lit(False),
-            lambda block, k: F.when(k["type"].isin("function", "handler"), True)
-            .when(k["stop"] & k["type"].isNull(), False)
-            .otherwise(block),
-        )
-        before = F.concat(F.array(F.lit(False)), after)
-        pairs = F.zip_with(
-            kinds, F.slice(before, F.lit(1), F.size(kinds)),
-            lambda k, b: F.struct(k.alias("k"), b.alias("block")),
+    def mark(p: Column, i: Column) -> Column:
+        none = F.lit(None).cast("string")
+        return (
+            F.when(p["k"]["type"].isNotNull(), F.array(_mark(i + 1, "s", p["k"]["name"], p["k"]["type"])))
+            .when(p["k"]["stop"] & p["block"], F.array(_mark(i + 1, "e", none, none)))
+            .otherwise(_no_marks())
         )
 
-        def mark(p: Column, i: Column) -> Column:
-            none = F.lit(None).cast("string")
-            return (
-                F.when(p["k"]["type"].isNotNull(), F.array(_mark(i + 1, "s", p["k"]["name"], p["k"]["type"])))
-                .when(p["k"]["stop"] & p["block"], F.array(_mark(i + 1, "e", none, none)))
-                .otherwise(_no_marks())
-            )
+    marks = F.flatten(F.transform(pairs, mark))
+    return _or_whole_file(lines, bind(marks, lambda m: _segments(lines, m)))
 
-        marks = F.flatten(F.transform(pairs, mark))
-        return _or_whole_file(lines, bind(marks, lambda m: _segments(lines, m)))
 
-    return _emit(files, bind(_lines(F.col("content")), chunks))
+def segment_sql(files: DataFrame) -> DataFrame:
+    """CREATE statements; a routine or trigger ends at GO, END or END; on a line of its own."""
+    return _emit(files, bind(_lines(F.col("content")), sql_chunks))
 
 
 # --- JCL ------------------------------------------------------------------------------------------------
@@ -388,38 +390,38 @@ JCL_PROC = r"^//(\w+)\s+PROC\s"
 JCL_EXEC = r"^//(\w*)\s+EXEC\s+(?:PGM=|PROC=)?(\w+)"
 
 
-def segment_jcl(files: DataFrame) -> DataFrame:
-    """JOB, PROC and EXEC statements; a job takes in its own steps."""
+def jcl_chunks(lines: Column) -> Column:
+    def classify(x: Column) -> Column:
+        step = F.regexp_extract(x, JCL_EXEC, 1)
+        return F.struct(
+            F.when(x.rlike(JCL_JOB), "job").when(x.rlike(JCL_PROC), "proc")
+            .when(x.rlike(JCL_EXEC), "exec").alias("kind"),
+            F.when(x.rlike(JCL_JOB), F.regexp_extract(x, JCL_JOB, 1))
+            .when(x.rlike(JCL_PROC), F.regexp_extract(x, JCL_PROC, 1))
+            .when(step != "", step).otherwise(F.regexp_extract(x, JCL_EXEC, 2)).alias("name"),
+        )
 
-    def chunks(lines: Column) -> Column:
-        def classify(x: Column) -> Column:
-            step = F.regexp_extract(x, JCL_EXEC, 1)
-            return F.struct(
-                F.when(x.rlike(JCL_JOB), "job").when(x.rlike(JCL_PROC), "proc")
-                .when(x.rlike(JCL_EXEC), "exec").alias("kind"),
-                F.when(x.rlike(JCL_JOB), F.regexp_extract(x, JCL_JOB, 1))
-                .when(x.rlike(JCL_PROC), F.regexp_extract(x, JCL_PROC, 1))
-                .when(step != "", step).otherwise(F.regexp_extract(x, JCL_EXEC, 2)).alias("name"),
-            )
+    kinds = F.transform(lines, classify)
+    in_job = scan(
+        kinds,
+        F.lit(False),
+        lambda job, k: F.when(k["kind"] == "job", True).when(k["kind"] == "proc", False).otherwise(job),
+    )
+    pairs = F.zip_with(kinds, in_job, lambda k, j: F.struct(k.alias("k"), j.alias("job")))
 
-        kinds = F.transform(lines, classify)
-        in_job = scan(
-            kinds,
-            F.lit(False),
-            lambda job, k: F.when(k["kind"] == "job", True).when(k["kind"] == "proc", False).otherwise(job),
-        )
-        pairs = F.zip_with(kinds, in_job, lambda k, j: F.struct(k.alias("k"), j.alias("job")))
+    def mark(p: Column, i: Column) -> Column:
+        kind = p["k"]["kind"]
+        ty = F.when(kind == "job", "handler").otherwise("function")
+        starts = kind.isin("job", "proc") | ((kind == "exec") & ~p["job"])
+        return F.when(starts, F.array(_mark(i + 1, "s", p["k"]["name"], ty))).otherwise(_no_marks())
 
-        def mark(p: Column, i: Column) -> Column:
-            kind = p["k"]["kind"]
-            ty = F.when(kind == "job", "handler").otherwise("function")
-            starts = kind.isin("job", "proc") | ((kind == "exec") & ~p["job"])
-            return F.when(starts, F.array(_mark(i + 1, "s", p["k"]["name"], ty))).otherwise(_no_marks())
+    marks = F.flatten(F.transform(pairs, mark))
+    return _or_whole_file(lines, bind(marks, lambda m: _segments(lines, m)))
 
-        marks = F.flatten(F.transform(pairs, mark))
-        return _or_whole_file(lines, bind(marks, lambda m: _segments(lines, m)))
 
-    return _emit(files, bind(_lines(F.col("content")), chunks))
+def segment_jcl(files: DataFrame) -> DataFrame:
+    """JOB, PROC and EXEC statements; a job takes in its own steps."""
+    return _emit(files, bind(_lines(F.col("content")), jcl_chunks))
 
 
 # --- COBOL ------------------------------------------------------------------------------------------------
@@ -450,94 +452,95 @@ def paragraph_role(name: Column) -> Column:
     )
 
 
-def segment_cobol(files: DataFrame, merge: bool = True) -> DataFrame:
-    """Divisions, sections, file and 01-level descriptions, paragraphs.
-
-    A division header directly replaced by a section or paragraph is not kept. A copybook is
-    one ``import-block``. ``context_path`` names the division, ``imports`` the copied books
-    (on the first chunk of a file).
-    """
+def cobol_chunks(lines: Column, merge: bool = True) -> Column:
     copybook = F.lower(F.col("path")).rlike(r"\.(cpy|copy)$")
 
-    def chunks(lines: Column) -> Column:
-        def classify(x: Column) -> Column:
-            name, kind = _first_group(x, COBOL_RULES)
-            return F.struct(name.alias("name"), kind.alias("kind"))
-
-        null = F.lit(None).cast("string")
-        zero = F.struct(
-            F.lit("").alias("division"), F.lit("").alias("type"), null.alias("name"),
-            F.lit(False).alias("new"), F.lit(False).alias("keep"),
-        )
+    def classify(x: Column) -> Column:
+        name, kind = _first_group(x, COBOL_RULES)
+        return F.struct(name.alias("name"), kind.alias("kind"))
 
-        def state(division, ty, name, new, keep) -> Column:
-            as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-            return F.struct(
-                as_col(division).alias("division"), as_col(ty).alias("type"), as_col(name).alias("name"),
-                as_col(new).alias("new"), as_col(keep).alias("keep"),
-            )
+    null = F.lit(None).cast("string")
+    zero = F.struct(
+        F.lit("").alias("division"), F.lit("").alias("type"), null.alias("name"),
+        F.lit(False).alias("new"), F.lit(False).alias("keep"),
+    )
 
-        def step(s: Column, k: Column) -> Column:
-            div, ty, kind, name = s["division"], s["type"], k["kind"], k["name"]
-            proper = (F.length(name) > 2) & ~name.rlike("^[0-9]")
-            body = F.when(div == "PROCEDURE", "function").otherwise("module")
-            same = state(div, ty, null, False, False)
-            return (
-                F.when(kind == "division",
-                       state(F.upper(name), "module", F.concat(F.upper(name), F.lit(" DIVISION")), True, True))
-                .when((kind == "section") & (div != ""), state(div, body, name, True, ty != "module"))
-                .when((kind == "fd") & (div == "DATA"), state(div, "model", name, True, True))
-                .when((kind == "item") & (div == "DATA") & (ty != "module"),
-                      state(div, "model", name, True, ty == "model"))
-                .when((kind == "paragraph") & (div == "PROCEDURE") & proper,
-                      state(div, paragraph_role(name), name, True, ty != "module"))
-                .otherwise(same)
-            )
+    def state(division, ty, name, new, keep) -> Column:
+        as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
+        return F.struct(
+            as_col(division).alias("division"), as_col(ty).alias("type"), as_col(name).alias("name"),
+            as_col(new).alias("new"), as_col(keep).alias("keep"),
+        )
 
-        states = scan(F.transform(lines, classify), zero, step)
-        marks = F.filter(
-            F.transform(states, lambda s, i: F.struct(s.alias("s"), (i + 1).alias("line"))),
-            lambda m: m["s"]["new"],
+    def step(s: Column, k: Column) -> Column:
+        div, ty, kind, name = s["division"], s["type"], k["kind"], k["name"]
+        proper = (F.length(name) > 2) & ~name.rlike("^[0-9]")
+        body = F.when(div == "PROCEDURE", "function").otherwise("module")
+        same = state(div, ty, null, False, False)
+        return (
+            F.when(kind == "division",
+                   state(F.upper(name), "module", F.concat(F.upper(name), F.lit(" DIVISION")), True, True))
+            .when((kind == "section") & (div != ""), state(div, body, name, True, ty != "module"))
+            .when((kind == "fd") & (div == "DATA"), state(div, "model", name, True, True))
+            .when((kind == "item") & (div == "DATA") & (ty != "module"),
+                  state(div, "model", name, True, ty == "model"))
+            .when((kind == "paragraph") & (div == "PROCEDURE") & proper,
+                  state(div, paragraph_role(name), name, True, ty != "module"))
+            .otherwise(same)
         )
 
-        def chunk(m: Column, j: Column, marks: Column) -> Column:
-            nxt = F.try_element_at(marks, j + 2)
-            end = F.coalesce(nxt["line"] - 1, F.size(lines))
-            return F.struct(
-                F.when(F.coalesce(nxt["s"]["keep"], F.lit(True)), "s").alias("kind"),
-                m["line"].cast("int").alias("start_line"),
-                end.cast("int").alias("end_line"),
-                m["s"]["name"].alias("name"),
-                m["s"]["type"].alias("chunk_type"),
-                _cut(lines, m["line"], end).alias("content"),
-                F.concat(m["s"]["division"], F.lit(" DIVISION > "), m["s"]["name"]).alias("context_path"),
-            )
+    states = scan(F.transform(lines, classify), zero, step)
+    marks = F.filter(
+        F.transform(states, lambda s, i: F.struct(s.alias("s"), (i + 1).alias("line"))),
+        lambda m: m["s"]["new"],
+    )
 
-        kept = bind(
-            marks,
-            lambda ms: F.filter(
-                F.transform(ms, lambda m, j: chunk(m, j, ms)), lambda c: c["kind"].isNotNull()
-            ),
-        )
-        program = F.coalesce(
-            F.try_element_at(F.regexp_extract_all("content", F.lit(COBOL_PROGRAM), 1), F.lit(-1)),
-            T.stem("path"),
+    def chunk(m: Column, j: Column, marks: Column) -> Column:
+        nxt = F.try_element_at(marks, j + 2)
+        end = F.coalesce(nxt["line"] - 1, F.size(lines))
+        return F.struct(
+            F.when(F.coalesce(nxt["s"]["keep"], F.lit(True)), "s").alias("kind"),
+            m["line"].cast("int").alias("start_line"),
+            end.cast("int").alias("end_line"),
+            m["s"]["name"].alias("name"),
+            m["s"]["type"].alias("chunk_type"),
+            _cut(lines, m["line"], end).alias("content"),
+            F.concat(m["s"]["division"], F.lit(" DIVISION > "), m["s"]["name"]).alias("context_path"),
         )
-        whole = F.array(
-            F.struct(
-                F.lit("s").alias("kind"), F.lit(1).alias("start_line"), F.size(lines).alias("end_line"),
-                program.alias("name"),
-                F.when(copybook, "import-block").otherwise("file").alias("chunk_type"),
-                F.col("content").alias("content"), null.alias("context_path"),
-            )
+
+    kept = bind(
+        marks,
+        lambda ms: F.filter(
+            F.transform(ms, lambda m, j: chunk(m, j, ms)), lambda c: c["kind"].isNotNull()
+        ),
+    )
+    program = F.coalesce(
+        F.try_element_at(F.regexp_extract_all("content", F.lit(COBOL_PROGRAM), 1), F.lit(-1)),
+        T.stem("path"),
+    )
+    whole = F.array(
+        F.struct(
+            F.lit("s").alias("kind"), F.lit(1).alias("start_line"), F.size(lines).alias("end_line"),
+            program.alias("name"),
+            F.when(copybook, "import-block").otherwise("file").alias("chunk_type"),
+            F.col("content").alias("content"), null.alias("context_path"),
         )
-        merged = (lambda c: merge_small(c)) if merge else (lambda c: c)
-        return bind(kept, lambda c: F.when((F.size(c) == 0) | copybook, whole).otherwise(merged(c)))
+    )
+    merged = (lambda c: merge_small(c)) if merge else (lambda c: c)
+    return bind(kept, lambda c: F.when((F.size(c) == 0) | copybook, whole).otherwise(merged(c)))
+
 
+def segment_cobol(files: DataFrame, merge: bool = True) -> DataFrame:
+    """Divisions, sections, file and 01-level descriptions, paragraphs.
+
+    A division header directly replaced by a section or paragraph is not kept. A copybook is
+    one ``import-block``. ``context_path`` names the division, ``imports`` the copied books
+    (on the first chunk of a file).
+    """
     out = files.select(
         *[c for c in files.columns if c != "content"],
         F.regexp_extract_all("content", F.lit(COBOL_COPY), 1).alias("copies"),
-        F.posexplode(bind(_lines(F.col("content")), chunks)).alias("ord", "c"),
+        F.posexplode(bind(_lines(F.col("content")), lambda x: cobol_chunks(x, merge))).alias("ord", "c"),
     )
     return out.select(
         *[c for c in files.columns if c != "content"],

@@ -20,10 +20,10 @@ class Dialect:
         self.spark = spark
 
     def rx(self, text: str, pattern: str, repl: str) -> str:
-        pattern = pattern.replace("'", "''") if not self.spark else pattern
         if self.spark:
-            return f"regexp_replace({text}, r'{pattern}', r'{repl}')"
-        repl = repl.replace("\\", "\\\\")
+            q = '"' if "'" in pattern + repl else "'"
+            return f"regexp_replace({text}, r{q}{pattern}{q}, r{q}{repl}{q})"
+        pattern, repl = pattern.replace("'", "''"), repl.replace("'", "''")
         for i in range(1, 10):
             repl = repl.replace(f"${i}", f"\\{i}")
         return f"regexp_replace({text}, '{pattern}', '{repl}', 'g')"

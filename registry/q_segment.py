@@ -264,7 +264,7 @@ w AS (
   UNION ALL
   SELECT f.path, f.s, f.e FROM w JOIN tot USING (path) JOIN fin f ON f.path = w.path
     AND f.s = CASE WHEN w.e - 3 > w.s THEN w.e - 3 ELSE w.e + 1 END WHERE w.e < tot.n)
-SELECT path AS doc_id, s AS start_line, e AS end_line, string_agg(line, chr(10) ORDER BY no) AS content
+SELECT w.path AS doc_id, s AS start_line, e AS end_line, string_agg(line, chr(10) ORDER BY no) AS content
 FROM w JOIN ln ON ln.path = w.path AND ln.no BETWEEN s AND e GROUP BY w.path, s, e HAVING length({S.strip('string_agg(line, chr(10) ORDER BY no)')}) > 50""")
 def seg2(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
@@ -312,3 +312,134 @@ ps AS (SELECT path, sno, k, {S.strip('emitted')} AS passage FROM pk WHERE emitte
 SELECT path, (row_number() OVER (PARTITION BY path ORDER BY sno, k) - 1)::INT AS ord, passage FROM ps""")
 def seg19(spark, d):
     return G.passages(derive(spark, d, "wiki").select("path", "content"), sentences=False)
+
+
+# --- TypeScript: declarations by pattern and depth; parts that SQL can say are checked --------------
+from corpusloom.operators import segment_code as K  # noqa: E402
+
+
+@query("seg3_typescript")
+def seg3(spark, d):
+    return K.segment_typescript(derive(spark, d, "code_ts")).select(
+        *COLS, "parent_name", "documentation", "signature", "is_public"
+    )
+
+
+_IMP = r"(?m)^import\s[^;''\"]*[''\"]([^''\"]+)[''\"]"
+
+
+@query("seg4_import_block", f"""
+WITH {cte('code_ts')}, {lines_cte('code_ts')},
+im AS (SELECT path, min(no) AS s, max(no) AS e FROM ln WHERE starts_with(line, 'import ') GROUP BY path)
+SELECT path, s AS start_line, e AS end_line, regexp_extract_all(content, '{_IMP}', 1) AS imports FROM im JOIN code_ts USING (path)""")
+def seg4(spark, d):
+    return K.import_block(derive(spark, d, "code_ts")).select("path", "start_line", "end_line", "imports")
+
+
+def declarations(spark, d):
+    lines = T.explode_lines(derive(spark, d, "code_ts"), "content", "path")
+    name, kind = G._first_group(F.col("line"), K.TOP_RULES)
+    return lines.select("path", "line_no", "line", name.alias("name"), kind.alias("kind")).where("kind IS NOT NULL")
+
+
+_DECL = f"""
+WITH {cte('code_ts')}, {lines_cte('code_ts')},
+dc AS (SELECT path, no::INT AS line_no, line, name, type AS kind FROM (SELECT *, {rule_case(K.TOP_RULES)} FROM ln) WHERE type IS NOT NULL)"""
+_PAR = S.rx(S.strip(S.rx(S.rx(S.rx(r"regexp_extract(line, '(?s)^[^(]*\((.*?)\)\s*(?::[^{};]*)?\s*(?:[{;]|=>|$)', 1)",
+            r"\s*=\s*[^,]+", ""), r"\b(?:public|private|protected|readonly)\s+", ""), r"\s+", " ")), r"\s*,\s*", ", ")
+
+
+@query("seg5_declaration_role", f"""{_DECL}
+SELECT path, line_no, CASE kind
+ WHEN 'class' THEN CASE WHEN ends_with(lower(name), 'controller') THEN 'controller' WHEN ends_with(lower(name), 'service') THEN 'service'
+   WHEN regexp_matches(lower(name), 'repository$|repo$') THEN 'repository' WHEN regexp_matches(lower(name), 'model$|entity$') THEN 'model'
+   WHEN ends_with(lower(name), 'middleware') THEN 'middleware' WHEN ends_with(lower(name), 'handler') THEN 'handler'
+   WHEN ends_with(lower(name), 'component') THEN 'component' ELSE 'class' END
+ WHEN 'function' THEN CASE WHEN regexp_matches(lower(name), '^use.') THEN 'hook' WHEN regexp_matches(lower(name), '^test|^it|spec') THEN 'test'
+   WHEN contains(lower(name), 'handle') THEN 'handler' WHEN regexp_matches(lower({_PAR}), 'req\\b.*res\\b.*next\\b') THEN 'middleware' ELSE 'function' END
+ WHEN 'variable' THEN CASE WHEN regexp_matches(line, '=\\s*(?:async\\s*)?(?:function\\b|\\([^)]*\\)\\s*(?::[^=]+)?=>|[\\w$]+\\s*=>)') THEN
+     CASE WHEN upper(name[1]) = name[1] AND length(name) > 1 THEN 'component' WHEN starts_with(lower(name), 'use') THEN 'hook' ELSE 'function' END
+   WHEN regexp_matches(line, '=\\s*\\{{') AND regexp_matches(lower(name), 'config|options|settings') THEN 'config' ELSE 'constant' END
+ ELSE kind END AS role FROM dc""")
+def seg5(spark, d):
+    name, kind, line = F.col("name"), F.col("kind"), F.col("line")
+    role = (
+        F.when(kind == "class", K.class_role(name, F.lit("")))
+        .when(kind == "function", K.function_role(name, K.parameters(line)))
+        .when(kind == "variable", K.variable_role(name, line))
+        .otherwise(kind)
+    )
+    return declarations(spark, d).select("path", "line_no", role.alias("role"))
+
+
+@query("seg6_signature", f"""{_DECL}
+SELECT path, line_no, name || '(' || {_PAR} || ')' || {S.strip(S.rx("regexp_extract(line, '(?s)^[^(]*" + chr(92) + "(.*?" + chr(92) + ")" + chr(92) + "s*(:[^{};]*?)" + chr(92) + "s*(?:[{;]|=>|$)', 1)", chr(92) + "s+", " "))} AS signature
+FROM dc WHERE kind = 'function'""")
+def seg6(spark, d):
+    rows = declarations(spark, d).where("kind = 'function'")
+    return rows.select("path", "line_no", K.signature(F.col("name"), F.col("line")).alias("signature"))
+
+
+@query("seg7_public_flag", f"""{_DECL}
+SELECT path, line_no, regexp_matches(line, '^\\s*export\\b') AS exported, regexp_matches(line, '\\bprivate\\b') AS private FROM dc""")
+def seg7(spark, d):
+    line = F.col("line")
+    return declarations(spark, d).select(
+        "path", "line_no", K.is_exported(line).alias("exported"), K.is_private(line).alias("private")
+    )
+
+
+# --- routing: the derived code of all languages as one corpus ---------------------------------------------
+CODE = ["code_py", "code_go", "code_cs", "code_rs", "code_sql", "code_jcl", "code_cbl", "code_ts"]
+
+
+def mixed_corpus(spark, d):
+    out = None
+    for name in CODE:
+        part = derive(spark, d, name).select("path", "content")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("seg1_routed_chunks")
+def seg1(spark, d):
+    return K.segment_files(mixed_corpus(spark, d)).select("chunk_id", "language", *COLS, "context_path")
+
+
+def _q(p: str) -> str:
+    return p.replace("'", "''")
+
+
+_SYM = " UNION ALL ".join(
+    [f"SELECT path, no AS line_no, '{k}' AS kind, regexp_extract(line, '{_q(p)}', 1) AS name, "
+     f"regexp_extract(line, '{_q(p)}', 1) || {f'''regexp_extract(line, '{_q(p)}', 2)''' if w else repr('')} AS signature "
+     f"FROM ln WHERE NOT ends_with(path, '.py') AND regexp_matches(line, '{_q(p)}')" for k, p, w in K.JS_SYMBOLS]
+    + [f"SELECT path, no, '{k}', regexp_extract(line, '{_q(p)}', 1), "
+       f"regexp_extract(line, '{_q(p)}', 1) || {f'''regexp_extract(line, '{_q(p)}', 2)''' if w else repr('')} "
+       f"FROM ln WHERE ends_with(path, '.py') AND regexp_matches(line, '{_q(p)}')" for k, p, w in K.PY_SYMBOLS]
+    + [f"SELECT path, no, 'import', m, m FROM (SELECT *, coalesce(nullif(regexp_extract(line, '{K.PY_IMPORT}', 1), ''), "
+       f"regexp_extract(line, '{K.PY_IMPORT}', 2)) AS m FROM ln WHERE ends_with(path, '.py') AND regexp_matches(line, '{K.PY_IMPORT}'))"]
+)
+_BOTH = "both_src AS (SELECT path, content FROM code_ts UNION ALL SELECT path, content FROM code_py)"
+SYMBOLS_SQL = f"{cte('code_ts', 'code_py')}, {_BOTH}, {lines_cte('both_src')}, sym AS ({_SYM})"
+
+
+def both_languages(spark, d):
+    return derive(spark, d, "code_ts").select("path", "content").unionByName(
+        derive(spark, d, "code_py").select("path", "content")
+    )
+
+
+@query("seg22_symbols", f"WITH {SYMBOLS_SQL} SELECT path, line_no, kind, name, signature FROM sym")
+def seg22(spark, d):
+    return K.symbols(both_languages(spark, d))
+
+
+@query("agg4_symbol_counts", f"WITH {SYMBOLS_SQL} SELECT kind, count(*) AS n FROM sym GROUP BY kind")
+def agg4c(spark, d):
+    return K.symbols(both_languages(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("grf11_import_edges", f"WITH {SYMBOLS_SQL} SELECT DISTINCT path AS src, name AS dst FROM sym WHERE kind = 'import'")
+def grf11(spark, d):
+    return K.import_edges(both_languages(spark, d))
