@@ -210,23 +210,31 @@ PLAN_EXTENSION_TITLES = {
     ".cs": "C# Classes", ".rb": "Ruby Files",
 }
 # (title, file name, page type, path pattern, least files, least files when the
-#  project has under 50, most files listed or None)
+#  project has under 50, most files listed or None, context)
 PAGE_BUCKETS = [
     ("UI Components", "components.md", "component",
-     r"/components/|/Components/|^(?!.*/pages/).*\.tsx$", 5, 2, 20),
-    ("Custom Hooks", "hooks.md", "module", r"/hooks/|use.*\.ts$", 3, 1, None),
+     r"/components/|/Components/|^(?!.*/pages/).*\.tsx$", 5, 2, 20,
+     "Reusable UI components, their props, and usage patterns"),
+    ("Custom Hooks", "hooks.md", "module", r"/hooks/|use.*\.ts$", 3, 1, None,
+     "Custom React hooks, their purpose, and usage examples"),
     ("API Reference", "api.md", "api",
-     r"/api/|/routes/|/endpoints/|router|handler", 2, 1, 20),
+     r"/api/|/routes/|/endpoints/|router|handler", 2, 1, 20,
+     "API endpoints, route handlers, and request/response formats"),
     ("Utilities & Helpers", "utilities.md", "module",
-     r"/utils/|/helpers/|/lib/|util|helper", 3, 1, 15),
+     r"/utils/|/helpers/|/lib/|util|helper", 3, 1, 15,
+     "Utility functions, helper modules, and shared logic"),
     ("State Management", "state-management.md", "module",
-     r"/store/|/state/|/redux/|/context/|store|slice", 2, 1, None),
+     r"/store/|/state/|/redux/|/context/|store|slice", 2, 1, None,
+     "Application state, stores, reducers, and data flow patterns"),
     ("Type Definitions", "types.md", "module",
-     r"/types/|/interfaces/|\.d\.ts|types\.ts", 2, 1, None),
+     r"/types/|/interfaces/|\.d\.ts|types\.ts", 2, 1, None,
+     "TypeScript types, interfaces, and type utilities"),
     ("Pages & Routing", "pages.md", "component",
-     r"/pages/|/views/|/screens/", 2, 2, 20),
+     r"/pages/|/views/|/screens/", 2, 2, 20,
+     "Page components, routing structure, and navigation"),
     ("Configuration", "configuration.md", "config",
-     r"config|\.json$|\.yaml$|\.yml$|\.toml$", 2, 2, 10),
+     r"config|\.json$|\.yaml$|\.yml$|\.toml$", 2, 2, 10,
+     "Project configuration, environment setup, and build settings"),
 ]
 SETUP_FILE_PATTERN = r"package\.json|README|CONTRIBUTING|setup|install"
 MANIFEST_FRAMEWORKS = [

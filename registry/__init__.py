@@ -6,7 +6,7 @@ import importlib
 
 from registry.base import CHECKS, QUERIES
 
-MODULES = ["q_text", "q_search", "q_segment", "q_pages"]
+MODULES = ["q_text", "q_search", "q_segment", "q_pages", "q_plan"]
 
 
 def _load() -> None:
