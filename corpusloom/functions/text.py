@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed
+from corpusloom.functions.arrays import bind
 
 TOKEN_DELIMITERS = r"""[\s.,;:!?()\[\]{}<>=+\-*/&|^~`"'#@$%\\]+"""
 WORD_PATTERN = r"(?<![a-z0-9_])[a-z][a-z0-9_]{2,}(?![a-z0-9_])"
@@ -211,8 +212,11 @@ def snippet(content: Column | str, query: Column | str, margin: int = 50) -> Col
 def preview_line(content: Column | str, words: Column, width: int = 200) -> Column:
     """First line that holds any of the words, else the first line; cut to ``width``."""
     lines = F.split(_col(content), "\n")
-    hit = F.filter(
-        lines, lambda line: F.exists(words, lambda w: F.contains(F.lower(line), w))
+    hit = bind(
+        words,
+        lambda ws: F.filter(
+            lines, lambda line: F.exists(ws, lambda w: F.contains(F.lower(line), w))
+        ),
     )
     found = F.substring(strip_ends(F.try_element_at(hit, F.lit(1))), 1, width)
     first = F.substring(strip_ends(F.element_at(lines, 1)), 1, width)
@@ -321,11 +325,8 @@ def is_entry_point(path: Column | str) -> Column:
 
 
 def ends_with_any(path: Column | str, suffixes: list[str]) -> Column:
-    p = _col(path)
-    out = F.lit(False)
-    for s in suffixes:
-        out = out | p.endswith(s)
-    return out
+    """One pattern for all suffixes, so that the path is evaluated once."""
+    return _col(path).rlike("(?:" + "|".join(f"\\Q{s}\\E" for s in suffixes) + ")$")
 
 
 def size_label(size: Column | str) -> Column:

@@ -82,7 +82,14 @@ def _label_by_constant(parts: DataFrame, dictionary: DataFrame, key: str, most:
             for c, ws in sorted(by_category.items())
         ]
     )
-    name, doc, everything = F.col("_name"), F.col("_doc"), F.col("_all")
+    texts = F.struct("_name", "_doc", "_all")
+    labels = bind(texts, lambda t: _constant_labels(t["_name"], t["_doc"], t["_all"], constant, whole_word))
+    return parts.select(key, bind(labels, lambda x: _best(x, most)).alias("labels"))
+
+
+def _constant_labels(name: Column, doc: Column, everything: Column, constant: Column,
+                     whole_word: bool) -> Column:
+    """All labels of one chunk; the three texts are bound values, computed once."""
 
     def found(word: Column) -> Column:
         if not whole_word:
@@ -119,8 +126,7 @@ def _label_by_constant(parts: DataFrame, dictionary: DataFrame, key: str, most:
             ),
         )
 
-    labels = F.filter(F.transform(constant, category), lambda x: x.isNotNull())
-    return parts.select(key, bind(labels, lambda x: _best(x, most)).alias("labels"))
+    return F.filter(F.transform(constant, category), lambda x: x.isNotNull())
 
 
 def _label_by_join(parts: DataFrame, dictionary: DataFrame, key: str, most: int) -> DataFrame:

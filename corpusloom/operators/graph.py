@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed
 from corpusloom.functions import text as T
+from corpusloom.functions.arrays import bind
 
 # Links that are out of scope.
 OUT_OF_SCOPE = (
@@ -166,7 +167,10 @@ def relationships(context: DataFrame) -> DataFrame:
         F.coalesce(F.try_element_at(words, F.lit(1)), title).alias("first"),
     )
     text = F.col("text")
-    named = F.contains(text, F.col("title")) | F.exists("words", lambda w: F.contains(text, w))
+    named = bind(
+        text,
+        lambda t: F.contains(t, F.col("title")) | F.exists("words", lambda w: F.contains(t, w)),
+    )
     kind = None
     for verb in fixed.RELATION_VERBS:
         hit = F.regexp_like(text, F.concat(F.lit(verb + ".{0,30}"), _quoted(F.col("first"))))

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.arrays import bind
 
 GRAM = 3
+CONSTANT_WORDS = 500
 
 
 def token_counts(texts: DataFrame, key: list[str], text: Column | str) -> DataFrame:
@@ -57,11 +59,39 @@ def vocabulary_matches(vocabulary: DataFrame, words: DataFrame, short: bool = Tr
     )
 
 
+def few_words(words: DataFrame, most: int = CONSTANT_WORDS) -> list[str] | None:
+    """The distinct words if there are at most ``most``, else None; reads no more than that."""
+    rows = words.select("word").distinct().where("word <> ''").limit(most + 1).collect()
+    return [r["word"] for r in rows] if len(rows) <= most else None
+
+
 def word_hits(texts: DataFrame, key: list[str], text: Column | str, words: DataFrame,
-              short: bool = True) -> DataFrame:
-    """``key, word, hits``: every word that occurs in a text, with its number of occurrences."""
+              short: bool = True, constant: bool = True) -> DataFrame:
+    """``key, word, hits``: every word that occurs in a text, with its number of occurrences.
+
+    A checked, bounded word list becomes a constant searched on the text's own row: no
+    shuffle. Any larger list goes through the vocabulary joins; ``constant=False`` always does.
+    """
+    few = few_words(words) if constant else None
+    if few is not None:
+        known = F.array(*[F.lit(w) for w in few]).cast("array<string>")
+        found = bind(
+            T._col(text),
+            lambda t: F.transform(
+                F.filter(known, lambda w: F.contains(t, w)),
+                lambda w: F.struct(
+                    w.alias("word"),
+                    ((F.length(t) - F.length(F.replace(t, w, F.lit("")))) / F.length(w))
+                    .cast("bigint")
+                    .alias("hits"),
+                ),
+            ),
+        )
+        return texts.select(*key, F.inline(found))
     counts = token_counts(texts, key, text)
-    matches = vocabulary_matches(counts.select("token").distinct(), words, short)
+    # the sum keeps this branch equal to the other one, so the counted tokens are shuffled once
+    vocabulary = counts.groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
+    matches = vocabulary_matches(vocabulary, words, short)
     return (
         counts.join(matches, "token")
         .groupBy(*key, "word")
@@ -70,7 +100,8 @@ def word_hits(texts: DataFrame, key: list[str], text: Column | str, words: DataF
 
 
 def phrase_hits(texts: DataFrame, key: list[str], text: Column | str,
-                phrases: DataFrame, phrase_key: list[str], phrase: str) -> DataFrame:
+                phrases: DataFrame, phrase_key: list[str], phrase: str,
+                constant: bool = True) -> DataFrame:
     """``key, phrase_key`` for every phrase (white space allowed) contained in a text.
 
     The longest word of the phrase gives the candidates; containment is then verified on
@@ -87,7 +118,7 @@ def phrase_hits(texts: DataFrame, key: list[str], text: Column | str,
         ),
     )
     body = texts.select(*key, T._col(text).alias("_text"))
-    candidates = word_hits(body, key, "_text", spread.select("word")).join(spread, "word")
+    candidates = word_hits(body, key, "_text", spread.select("word"), constant=constant).join(spread, "word")
     return (
         candidates.join(body, key)
         .where(F.contains("_text", "_phrase"))

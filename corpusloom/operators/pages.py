@@ -136,14 +136,18 @@ def best_heading(content: Column | str, query: Column | str) -> Column:
     """Heading with most query words (first wins): struct of text and anchor, null if none hits."""
     words = T.query_words(query)
     texts = F.regexp_extract_all(T._col(content), F.lit(r"(?m)^#+\s+(.+)$"), 1)
-    scored = F.transform(
-        texts,
-        lambda h, i: F.struct(
-            (-F.size(F.filter(words, lambda w: F.contains(F.lower(h), w)))).alias("neg"),
-            i.alias("i"), h.alias("text"), T.heading_anchor(h).alias("anchor"),
-        ),
-    )
-    best = F.try_element_at(F.array_sort(F.filter(scored, lambda s: s["neg"] < 0)), F.lit(1))
+
+    def scored(asked: Column) -> Column:
+        return F.transform(
+            texts,
+            lambda h, i: F.struct(
+                (-F.size(F.filter(asked, lambda w: F.contains(F.lower(h), w)))).alias("neg"),
+                i.alias("i"), h.alias("text"), T.heading_anchor(h).alias("anchor"),
+            ),
+        )
+
+    hits = F.filter(bind(words, scored), lambda s: s["neg"] < 0)
+    best = F.try_element_at(F.array_sort(hits), F.lit(1))
     return F.when(best.isNotNull(), F.struct(best["text"].alias("text"), best["anchor"].alias("anchor")))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed
 from corpusloom.functions import text as T
+from corpusloom.functions.arrays import bind
 from corpusloom.functions.vectors import normalize
 from corpusloom.operators.index import CorpusIndex
 from corpusloom.operators.matching import phrase_hits, word_hits
@@ -291,7 +292,8 @@ def search_by_mode(index: CorpusIndex, vectors: DataFrame, queries: DataFrame, k
 
 
 # --- counting and field search ------------------------------------------------------------------
-def occurrence_search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def occurrence_search(docs: DataFrame, queries: DataFrame, k: int = 10,
+                      constant: bool = True) -> DataFrame:
     """Fallback relevance: how often each query word occurs in the text, repeats added."""
     asked = (
         queries.select("query_id", F.explode(F.split(F.lower("query"), r"\s+")).alias("word"))
@@ -299,7 +301,7 @@ def occurrence_search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataF
         .groupBy("query_id", "word")
         .agg(F.count("*").alias("qn"))
     )
-    hits = word_hits(docs, ["doc_id"], F.lower("text"), asked)
+    hits = word_hits(docs, ["doc_id"], F.lower("text"), asked, constant=constant)
     scores = (
         hits.join(asked, "word")
         .groupBy("query_id", "doc_id")
@@ -329,10 +331,11 @@ def field_scores(pages: DataFrame, queries: DataFrame, weights: dict[str, int],
     parts = None
     for field, weight in {**weights, **every}.items():
         value = F.col(field)
-        if types[field].startswith("array"):
+        if types[field].startswith("array") and field in every:
             rows = pages.select("doc_id", F.posexplode(value).alias("item", "text"))
-            if field not in every:
-                rows = rows.withColumn("item", F.lit(0))
+        elif types[field].startswith("array"):
+            # a word holds no line break, so it is in an element if it is in the joined text
+            rows = pages.select("doc_id", F.lit(0).alias("item"), F.array_join(value, "\n").alias("text"))
         else:
             rows = pages.select("doc_id", F.lit(0).alias("item"), value.alias("text"))
         rows = rows.select(
@@ -451,21 +454,29 @@ def extractive_answer(context: DataFrame, queries: DataFrame, best: int = 3) ->
     rows = top.select(
         "query_id", "title", sentences.alias("s"), T.question_words("query").alias("q")
     )
-    scored = F.transform(
-        "s",
-        lambda s, i: F.struct(
-            (
-                -F.size(F.filter("q", lambda w: F.contains(F.lower(s), w)))
-            ).alias("neg"),
-            i.alias("i"),
-            s.alias("text"),
-        ),
+
+    def answer(sentences: Column, words: Column) -> Column:
+        scored = F.transform(
+            sentences,
+            lambda s, i: F.struct(
+                (-F.size(F.filter(words, lambda w: F.contains(F.lower(s), w)))).alias("neg"),
+                i.alias("i"),
+                s.alias("text"),
+            ),
+        )
+        hits = F.slice(F.array_sort(F.filter(scored, lambda x: x["neg"] < 0)), 1, best)
+        return bind(
+            hits,
+            lambda h: F.when(
+                F.size(h) > 0, F.array_join(F.transform(h, lambda x: x["text"]), " ")
+            ).otherwise(F.array_join(F.slice(sentences, 1, 2), " ")),
+        )
+
+    rows = rows.select(
+        "query_id", "title",
+        bind(F.struct("s", "q"), lambda v: answer(v["s"], v["q"])).alias("_text"),
     )
-    hits = F.slice(F.array_sort(F.filter(scored, lambda x: x["neg"] < 0)), 1, best)
-    rows = rows.select("query_id", "title", "s", hits.alias("hits"))
-    text = F.when(
-        F.size("hits") > 0, F.array_join(F.transform("hits", lambda x: x["text"]), " ")
-    ).otherwise(F.array_join(F.slice("s", 1, 2), " "))
+    text = F.col("_text")
     ended = F.when((text != "") & ~text.rlike(r"[.!?]$"), F.concat(text, F.lit("."))).otherwise(text)
     return (
         rows.select("query_id", "title", ended.alias("answer"))

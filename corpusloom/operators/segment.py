@@ -10,8 +10,6 @@ Chunks: ``path, start_line, end_line, name, chunk_type, content`` plus columns o
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +78,7 @@ def _with_depth(lines: Column) -> Column:
     )
 
 
-def _segments(lines: Column, marks: Column, adjust: Callable[[Column], Column] | None = None) -> Column:
+def _segments(lines: Column, marks: Column) -> Column:
     """Chunks from marks: a start runs to the next mark (before a start, through an end)."""
 
     def chunk(m: Column, j: Column) -> Column:
@@ -129,7 +127,7 @@ def _or_whole_file(lines: Column, chunks: Column) -> Column:
             F.size(lines).alias("end_line"),
             T.stem("path").alias("name"),
             F.lit("file").alias("chunk_type"),
-            F.col("content").alias("content"),
+            F.array_join(lines, "\n").alias("content"),
         )
     )
     return bind(chunks, lambda c: F.when(F.size(c) > 0, c).otherwise(whole))
@@ -515,7 +513,9 @@ def cobol_chunks(lines: Column, merge: bool = True) -> Column:
         ),
     )
     program = F.coalesce(
-        F.try_element_at(F.regexp_extract_all("content", F.lit(COBOL_PROGRAM), 1), F.lit(-1)),
+        F.try_element_at(
+            F.regexp_extract_all(F.array_join(lines, "\n"), F.lit(COBOL_PROGRAM), 1), F.lit(-1)
+        ),
         T.stem("path"),
     )
     whole = F.array(

@@ -42,6 +42,16 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give an input with fewer splits than cores one partition per core, by key.
+
+    Row-local text work is heavy, and a small file is a single split. An input that
+    already has enough splits is left as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def with_global_rank(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
     """Number all rows 1..n in the given total order without a single-task window.
 
@@ -73,6 +83,7 @@ def local_session(cores: int = 8, app: str = "corpusloom") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="corpusloom-wh-"))
         .getOrCreate()
     )

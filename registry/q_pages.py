@@ -13,7 +13,7 @@ from registry import sqlkit as S
 from registry.base import query, table
 from registry.inputs import cte, derive
 from registry.q_search import CTX, context_rows, page_fields
-from registry.q_text import WEB_LINKS
+from registry.q_text import LABEL_HEAD, LABEL_SENTENCE, SECTION_LABEL, WEB_LINKS
 
 BS = chr(92)
 FM = r"(?s)^---\n(.*?)\n---(?:\n|$)"
@@ -332,14 +332,14 @@ def grf8(spark, d):
 
 
 @query("win5_unique_titles", f"""
-WITH {PG}, n AS (SELECT 'T' || (doc_id % 7) AS query_id, doc_id AS rank, string_split(title, ' ')[1] AS title, substr(path, 1, 4) AS content FROM pg),
-c AS (SELECT *, count(*) OVER (PARTITION BY query_id, title) AS cnt, row_number() OVER (PARTITION BY query_id, title ORDER BY rank) AS nth FROM n)
-SELECT query_id, rank, CASE WHEN cnt = 1 THEN title ELSE title || ' §' || nth END AS label FROM c""")
+WITH {CTX}, wn AS (SELECT query_id, rank, 'Page' AS title, substr(content, 1, 400) AS content FROM ctx JOIN pf USING (doc_id)),
+lb AS (SELECT *, {SECTION_LABEL} AS label FROM (SELECT *, {LABEL_HEAD} AS h, {LABEL_SENTENCE} AS sent, 'Page' AS t FROM wn)),
+c AS (SELECT *, count(*) OVER (PARTITION BY query_id, title) AS cnt, sum(CASE WHEN label IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, title ORDER BY rank) AS nth,
+  regexp_extract(content, '\\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\\b', 1) AS camel FROM lb)
+SELECT query_id, rank, CASE WHEN cnt = 1 THEN title WHEN label IS NOT NULL THEN label WHEN camel <> '' THEN camel ELSE title || ' §' || nth END AS label FROM c""")
 def win5(spark, d):
-    ctx = wiki_pages(spark, d).select(
-        F.concat(F.lit("T"), F.col("doc_id") % 7).alias("query_id"), F.col("doc_id").alias("rank"),
-        F.substring_index("title", " ", 1).alias("title"), F.substring("path", 1, 4).alias("content"),
-    )
+    pages = page_fields(spark, d).select("doc_id", F.lit("Page").alias("title"), F.substring("content", 1, 400).alias("content"))
+    ctx = context_rows(spark, d).join(pages, "doc_id").select("query_id", "rank", "title", "content")
     return G.unique_titles(ctx).select("query_id", "rank", "label")
 
 

@@ -12,7 +12,7 @@ from corpusloom.operators import index as I
 from corpusloom.operators import search as S_
 from corpusloom.session import scratch_path
 from registry import sqlkit as S
-from registry.base import query, table
+from registry.base import CHECKS, query, table
 from registry.inputs import cte, derive
 
 BUCKETS = 8
@@ -175,6 +175,14 @@ def sch6(spark, d):
     return S_.occurrence_search(table(spark, d, "documents"), derive(spark, d, "short_queries"))
 
 
+@query("sch6_occurrence_search_by_join", CHECKS["sch6_occurrence_search"])
+def sch6b(spark, d):
+    """The way for word lists beyond the constant's bound, on the same input."""
+    return S_.occurrence_search(
+        table(spark, d, "documents"), derive(spark, d, "short_queries"), constant=False
+    )
+
+
 # --- hybrid --------------------------------------------------------------------------------------------
 HYB = f"""{BM25}, {VEC},
 near AS (SELECT a.doc_id AS query_id, b.doc_id, list_dot_product(a.u, b.u) AS score

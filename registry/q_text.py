@@ -143,12 +143,16 @@ _SENT = S.strip(r"string_split_regex(content, '[.!?\n]')[1]")
 _PHR = r"regexp_extract(sent, '(?:the\s+)?([A-Z][a-z]+(?:\s+[A-Z]?[a-z]+){0,2})', 1)"
 
 
-@query("txt19_section_label", f"""
-WITH {cte('wiki')}
-SELECT doc_id, coalesce(
+SECTION_LABEL = f"""coalesce(
   CASE WHEN length(h) > 5 AND length(h) < 50 AND h <> t THEN h END,
   CASE WHEN length(sent) > 10 AND length(sent) < 60 AND {_PHR} <> '' AND {_PHR} <> t THEN {_PHR} END,
-  nullif(regexp_extract(content, '(?:class|function|interface|type|const|export)\\s+([A-Za-z_][A-Za-z0-9_]*)', 1), '')) AS label
+  nullif(regexp_extract(content, '(?:class|function|interface|type|const|export)\\s+([A-Za-z_][A-Za-z0-9_]*)', 1), ''))"""
+LABEL_HEAD, LABEL_SENTENCE = _H2, _SENT
+
+
+@query("txt19_section_label", f"""
+WITH {cte('wiki')}
+SELECT doc_id, {SECTION_LABEL} AS label
 FROM (SELECT *, {_H2} AS h, {_SENT} AS sent, 'Topic' AS t FROM wiki)""")
 def txt19(spark, d):
     return derive(spark, d, "wiki").select(
