@@ -11,7 +11,7 @@ from corpusloom.functions.arrays import bind
 from corpusloom.operators.matching import phrase_hits
 from corpusloom.session import is_small
 
-DICTIONARY_ROWS = 2000
+DICTIONARY_ROWS = 500
 
 
 def default_dictionary(spark: SparkSession) -> DataFrame:

@@ -15,7 +15,7 @@ from corpusloom.functions import text as T
 from corpusloom.functions.arrays import bind
 
 GRAM = 3
-CONSTANT_WORDS = 500
+CONSTANT_WORDS = 200
 
 
 def token_counts(texts: DataFrame, key: list[str], text: Column | str) -> DataFrame:

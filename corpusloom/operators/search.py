@@ -166,14 +166,14 @@ def blocked_vector_search(docs: DataFrame, asked: DataFrame, k: int, rows: int =
     n_docs = max(1, -(-docs.count() // rows))
     n_asked = max(1, -(-asked.count() // rows))
     left = docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(n_docs)).alias("db"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).cast("bigint").alias("qb"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(n_docs).cast("bigint")).alias("db"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_asked - 1).cast("bigint"))).alias("qb"),
         "doc_id",
         "vec",
     )
     right = asked.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_docs - 1))).cast("bigint").alias("db"),
-        F.pmod(F.xxhash64("query_id"), F.lit(n_asked)).alias("qb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_docs - 1).cast("bigint"))).alias("db"),
+        F.pmod(F.xxhash64("query_id"), F.lit(n_asked).cast("bigint")).alias("qb"),
         "query_id",
         "vec",
     )

@@ -12,7 +12,9 @@ from corpusloom.functions import text as T
 def read_files(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """``path, size, modified[, content]`` of every file below ``root``, paths relative to it.
 
-    Without ``content`` the scan lists files only and reads no bytes.
+    Without ``content`` the scan lists files only and reads no bytes. Spark's file listing
+    passes over names that start with ``_`` or ``.``; corpora that need such files
+    are handed to the operators as a table with ``path`` and ``content``.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").removeprefix("file:") + "/"
