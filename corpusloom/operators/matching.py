@@ -28,17 +28,20 @@ def token_counts(texts: DataFrame, key: list[str], text: Column | str) -> DataFr
     )
 
 
-def vocabulary_matches(vocabulary: DataFrame, words: DataFrame, short: bool = True) -> DataFrame:
+def vocabulary_matches(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
     """Distinct ``(token, word, hits)``: how often the word occurs in the token.
 
     Each token offers its distinct grams, each word its leading gram; only pairs that
-    share one are verified. Words shorter than a gram are keyed by their whole self
-    (``short=False`` skips those grams where all words are known to be long enough).
+    share one are verified. Words shorter than a gram are keyed by their whole self; only
+    gram sizes that some word needs are offered (at most ``GRAM`` values are read for that).
     Occurrences do not overlap, counted from the left.
     """
     need = words.select("word").distinct().where("word <> ''").withColumn(
         "gram", F.substring("word", 1, GRAM)
     )
+    sizes = sorted(r["n"] for r in need.select(F.length("gram").alias("n")).distinct().collect())
+    sizes = sizes or [GRAM]
+
     def grams_of(size: int) -> Column:
         starts = F.sequence(F.lit(1), F.length("token") - size + 1)
         pieces = F.transform(starts, lambda i: F.substring(F.col("token"), i, F.lit(size)))
@@ -46,7 +49,6 @@ def vocabulary_matches(vocabulary: DataFrame, words: DataFrame, short: bool = Tr
             F.array().cast("array<string>")
         )
 
-    sizes = range(1, GRAM + 1) if short else [GRAM]
     offered = F.array_distinct(F.flatten(F.array(*[grams_of(g) for g in sizes])))
     grams = vocabulary.select("token", F.explode(offered).alias("gram"))
     hits = (
@@ -66,7 +68,7 @@ def few_words(words: DataFrame, most: int = CONSTANT_WORDS) -> list[str] | None:
 
 
 def word_hits(texts: DataFrame, key: list[str], text: Column | str, words: DataFrame,
-              short: bool = True, constant: bool = True) -> DataFrame:
+              constant: bool = True) -> DataFrame:
     """``key, word, hits``: every word that occurs in a text, with its number of occurrences.
 
     A checked, bounded word list becomes a constant searched on the text's own row: no
@@ -91,7 +93,7 @@ def word_hits(texts: DataFrame, key: list[str], text: Column | str, words: DataF
     counts = token_counts(texts, key, text)
     # the sum keeps this branch equal to the other one, so the counted tokens are shuffled once
     vocabulary = counts.groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
-    matches = vocabulary_matches(vocabulary, words, short)
+    matches = vocabulary_matches(vocabulary, words)
     return (
         counts.join(matches, "token")
         .groupBy(*key, "word")
@@ -105,7 +107,8 @@ def phrase_hits(texts: DataFrame, key: list[str], text: Column | str,
     """``key, phrase_key`` for every phrase (white space allowed) contained in a text.
 
     The longest word of the phrase gives the candidates; containment is then verified on
-    the candidate's own text.
+    the candidate's own text. Without any white space the word is the phrase and the
+    candidates are the answer.
     """
     spread = phrases.select(*phrase_key, F.col(phrase).alias("_phrase")).withColumn(
         "word",
@@ -118,7 +121,10 @@ def phrase_hits(texts: DataFrame, key: list[str], text: Column | str,
         ),
     )
     body = texts.select(*key, T._col(text).alias("_text"))
+    blank_free = spread.where(F.col("_phrase").rlike(r"\s")).limit(1).count() == 0
     candidates = word_hits(body, key, "_text", spread.select("word"), constant=constant).join(spread, "word")
+    if blank_free:
+        return candidates.select(*key, *phrase_key)
     return (
         candidates.join(body, key)
         .where(F.contains("_text", "_phrase"))

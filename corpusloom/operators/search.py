@@ -58,9 +58,9 @@ def bm25_scores(index: CorpusIndex, queries: DataFrame, allowed: DataFrame | Non
     n = index.corpus_stats.select("n_docs").scalar()
     avgdl = index.corpus_stats.select("avgdl").scalar()
     df = F.col("df")
+    terms = query_terms(queries)
     weighted = (
-        query_terms(queries)
-        .join(index.term_stats, "term")
+        terms.join(index.term_stats, "term")
         .select(
             "query_id",
             "term",
@@ -70,7 +70,7 @@ def bm25_scores(index: CorpusIndex, queries: DataFrame, allowed: DataFrame | Non
     postings = index.postings
     if allowed is not None:
         postings = postings.join(allowed.select("doc_id"), "doc_id", "left_semi")
-    if is_small(queries, BROADCAST_ROWS // 100):
+    if is_small(terms, BROADCAST_ROWS):
         matched = postings.join(F.broadcast(weighted), "term")
     else:
         salted = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -345,7 +345,7 @@ def field_scores(pages: DataFrame, queries: DataFrame, weights: dict[str, int],
         parts = rows if parts is None else parts.unionByName(rows)
     asked = asked_words(queries)
     key = ["doc_id", "field", "weight", "item"]
-    hits = word_hits(parts.where("text is not null"), key, "text", asked, short=False)
+    hits = word_hits(parts.where("text is not null"), key, "text", asked)
     return (
         hits.join(asked, "word")
         .groupBy("query_id", "doc_id")

@@ -54,6 +54,29 @@ def test_saved_index_scores_without_exchange_of_postings(spark, docs):
     assert scores.count() == 3
 
 
+def test_index_opens_without_its_catalog_entry_and_rebuilds_statistics(spark, docs):
+    path = scratch_path(spark, "idx")
+    built = I.build_index(docs, "doc_id", "text", 4)
+    I.save_index(built, path, "t_reopened", 4)
+    want = sorted(map(tuple, S.keyword_search(I.load_index(spark, path, "t_reopened", 4), queries(spark, "beta alpha")).collect()))
+    spark.sql("DROP TABLE t_reopened_postings")
+    index = I.load_index(spark, path, "t_reopened", 4)
+    assert sorted(map(tuple, S.keyword_search(index, queries(spark, "beta alpha")).collect())) == want
+    bare = scratch_path(spark, "bare")
+    built.postings.repartition(4, "doc_id").write.bucketBy(4, "doc_id").sortBy("doc_id").option("path", f"{bare}/postings").saveAsTable("t_bare_postings")
+    rebuilt = I.load_index(spark, bare, "t_bare", 4)
+    assert {r["term"]: r["df"] for r in rebuilt.term_stats.collect()}["beta"] == 2
+
+
+def test_embed_default_and_plugged_function(spark, docs):
+    rows = {r["doc_id"]: r["embedding"] for r in I.embed(docs, "doc_id", "text", dim=16).collect()}
+    assert len(rows) == 5 and all(len(v) == 16 for v in rows.values())
+    assert sum(x * x for x in rows[0]) == pytest.approx(1.0, abs=1e-5)
+    assert sum(abs(x) for x in rows[4]) == 0
+    half = I.embed(docs, "doc_id", "text", fn=lambda t: F.when(F.length(t) > 0, F.array(F.lit(1.0).cast("float"), F.lit(0.0).cast("float"))), dim=2)
+    assert {r["doc_id"]: list(r["embedding"]) for r in half.collect()}[4] == [0.0, 0.0]
+
+
 def test_salted_join_equals_broadcast_join(spark, docs, monkeypatch):
     index = I.build_index(docs, "doc_id", "text")
     q = queries(spark, "beta gamma", "alpha zeta")
