@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.matching import phrase_hits
-from corpusloom.session import with_global_rank
+from corpusloom.session import settle, with_global_rank
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
@@ -36,6 +36,7 @@ def diff_snapshots(old: DataFrame, new: DataFrame, renames: bool = True) -> Data
     null = F.lit(None).cast("string").alias("old_path")
     if not renames:
         return rows.select("status", "path", null)
+    rows = settle(rows)  # the changes are read twice; contents are hashed once
     moved = with_global_rank(
         rows.where("status <> 'M'"), [F.col("status"), F.col("hash"), F.col("path")]
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import fixed
 from corpusloom.functions import text as T
 from corpusloom.functions.arrays import bind
+from corpusloom.session import settle
 
 # Links that are out of scope.
 OUT_OF_SCOPE = (
@@ -102,8 +103,14 @@ def broken_links(found: DataFrame, pages: DataFrame, dedupe: bool = True) -> Dat
 
 
 def broken_by_target(found: DataFrame, pages: DataFrame, shown: int = 3) -> DataFrame:
-    """Missing pages with their number of sources and the first ``shown`` of them."""
-    pairs = broken_links(found, pages, dedupe=False).select("resolved_target", "source").distinct()
+    """Missing pages with their number of sources and the first ``shown`` of them.
+
+    The distinct (target, source) pairs are settled once, so the page texts are searched
+    for links once only.
+    """
+    known = settle(found.select("resolved_target", "source").distinct())
+    gone = missing_targets(known, pages).withColumnRenamed("path", "resolved_target")
+    pairs = known.join(gone, "resolved_target", "left_semi")
     counts = pairs.groupBy("resolved_target").agg(F.count("*").alias("sources"))
     w = Window.partitionBy("resolved_target").orderBy("source")
     first = (

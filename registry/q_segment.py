@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import segment as G
 from registry import sqlkit as S
-from registry.base import query, table
+from registry.base import CHECKS, query, table
 from registry.inputs import cte, derive
 
 COLS = ["path", "start_line", "end_line", "name", "chunk_type", "content"]
@@ -393,17 +393,35 @@ def seg7(spark, d):
 CODE = ["code_py", "code_go", "code_cs", "code_rs", "code_sql", "code_jcl", "code_cbl", "code_ts"]
 
 
-def mixed_corpus(spark, d):
+def mixed_corpus(spark, d, names):
     out = None
-    for name in CODE:
+    for name in names:
         part = derive(spark, d, name).select("path", "content")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("seg1_routed_chunks")
+_ROUTED = {
+    "code_py": ("python", "seg8_python"), "code_go": ("go", "seg11_go"), "code_cs": ("csharp", "seg9_csharp"),
+    "code_rs": ("rust", "seg12_generic"), "code_sql": ("sql", "seg16_sql"), "code_jcl": ("jcl", "seg15_jcl"),
+    "code_cbl": ("cobol", "seg18_merge_small"),
+}
+_ROUTED_SQL = " UNION ALL ".join(
+    f"SELECT path || ':' || start_line || '-' || end_line AS chunk_id, '{lang}' AS language, "
+    f"path, start_line, end_line, name, chunk_type, content FROM ({CHECKS[key]})"
+    for lang, key in _ROUTED.values()
+)
+
+
+@query("seg1_routed_chunks", _ROUTED_SQL)
 def seg1(spark, d):
-    return K.segment_files(mixed_corpus(spark, d)).select("chunk_id", "language", *COLS, "context_path")
+    files = mixed_corpus(spark, d, list(_ROUTED))
+    return K.segment_files(files).select("chunk_id", "language", *COLS)
+
+
+@query("seg1_routed_chunks_with_typescript")
+def seg1b(spark, d):
+    return K.segment_files(mixed_corpus(spark, d, CODE)).select("chunk_id", "language", *COLS, "context_path")
 
 
 def _q(p: str) -> str:
