@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import bind
 from corpusloom.functions.text import _col
 
 
@@ -26,8 +27,12 @@ def norm(v: Column | str) -> Column:
 
 def normalize(v: Column | str) -> Column:
     """Unit vector; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n == 0, as_double(v)).otherwise(F.transform(as_double(v), lambda x: x / n))
+    return bind(
+        as_double(v),
+        lambda d: bind(
+            norm(d), lambda n: F.when(n == 0, d).otherwise(F.transform(d, lambda x: x / n))
+        ),
+    )
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed
 
-BLOCK = 1024
+BLOCK = 65_536
 
 
 def message_tokens(text: Column | str) -> Column:

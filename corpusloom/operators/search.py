@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from corpusloom.functions import fixed
 from corpusloom.functions import text as T
 from corpusloom.functions.arrays import bind
-from corpusloom.functions.vectors import normalize
 from corpusloom.operators.index import CorpusIndex
 from corpusloom.operators.matching import phrase_hits, word_hits
 from corpusloom.session import BROADCAST_ROWS, is_small
@@ -94,6 +93,13 @@ BLOCK_ROWS = 4096
 SLICE_ROWS = 1024
 
 
+def _unit(rows: pd.Series) -> np.ndarray:
+    """Unit vectors as a matrix; zero vectors stay zero."""
+    grid = np.stack(rows.to_numpy()).astype("float64")
+    length = np.sqrt((grid * grid).sum(axis=1, keepdims=True))
+    return grid / np.where(length == 0, 1.0, length)
+
+
 def _scan_block(qids: np.ndarray, qvecs: np.ndarray, k: int):
     """Scan function: scores a partition against one block of queries, keeps k per query.
 
@@ -109,8 +115,7 @@ def _scan_block(qids: np.ndarray, qvecs: np.ndarray, k: int):
             for at in range(0, len(pdf), SLICE_ROWS):
                 part = pdf.iloc[at : at + SLICE_ROWS]
                 doc = part["doc_id"].to_numpy(dtype="int64")
-                grid = np.stack(part["vec"].to_numpy()).astype("float64") @ qvecs.T
-                grid = np.round(grid, SCORE_DIGITS)
+                grid = np.round(_unit(part["vec"]) @ qvecs.T, SCORE_DIGITS)
                 reached = grid >= floor
                 for j in np.flatnonzero(reached.any(axis=0)):
                     rows = reached[:, j]
@@ -139,8 +144,8 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10,
     docs = vectors
     if allowed is not None:
         docs = docs.join(allowed.select("doc_id"), "doc_id", "left_semi")
-    docs = docs.select("doc_id", normalize("embedding").alias("vec"))
-    asked = queries.select("query_id", normalize("embedding").alias("vec"))
+    docs = docs.select("doc_id", F.col("embedding").alias("vec"))
+    asked = queries.select("query_id", F.col("embedding").alias("vec"))
     block = asked.limit(BLOCK_ROWS + 1).toPandas()
     if len(block) > BLOCK_ROWS:
         return blocked_vector_search(docs, asked, k)
@@ -150,7 +155,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10,
         )
     else:
         scan = _scan_block(
-            block["query_id"].to_numpy(dtype="int64"), np.stack(block["vec"].to_numpy()), k
+            block["query_id"].to_numpy(dtype="int64"), _unit(block["vec"]), k
         )
         partial = docs.mapInPandas(scan, "query_id bigint, doc_id bigint, score double")
     return top_k(partial, k).select("query_id", "rank", "doc_id", "score")
@@ -182,7 +187,7 @@ def blocked_vector_search(docs: DataFrame, asked: DataFrame, k: int, rows: int =
         empty = pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
         if len(d) == 0 or len(q) == 0:
             return empty
-        scan = _scan_block(q["query_id"].to_numpy(dtype="int64"), np.stack(q["vec"].to_numpy()), k)
+        scan = _scan_block(q["query_id"].to_numpy(dtype="int64"), _unit(q["vec"]), k)
         out = list(scan(iter([d])))
         return pd.concat(out) if out else empty
 
