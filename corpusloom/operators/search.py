@@ -7,10 +7,12 @@ partition before the exchange by ``query_id``.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from corpusloom.operators.index import CorpusIndex
 from corpusloom.operators.matching import phrase_hits, word_hits
 from corpusloom.session import BROADCAST_ROWS, is_small
 
+# task functions travel with the job, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SALTS = 16
 SCORE_DIGITS = 9
 
