@@ -73,10 +73,12 @@ def license_scan(
     table none; other columns take no part.
     """
     text = text_of(text_col)
-    units = docs.select(
+    # the key stands below the explode, so that it is made once a text and not once a line
+    cut = docs.select(
         F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"),
-        F.posexplode(F.concat(F.array(text), F.split(text, "\n"))).alias("_at", "_unit"),
+        F.concat(F.array(text), F.split(text, "\n")).alias("_all"),
     )
+    units = cut.select("_id", "_key", F.posexplode("_all").alias("_at", "_unit"))
     digests = units.select("_id", "_key", "_at", canonical(F.col("_unit")).alias("_c")).select(
         "_id", "_key", "_at", F.when(F.col("_c") != "", F.sha2("_c", 256)).alias("digest")
     )

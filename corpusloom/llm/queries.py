@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, licenses, quality, urls
+from corpusloom.llm import bpe, chat, decontam, licenses, minhash, quality, secrets, toxicity, urls, warc
 from corpusloom.llm.common import read
+from corpusloom.session import scratch_path
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -157,3 +158,112 @@ def op4(spark, sf_dir):
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op6_secret_scans")
+def op6(spark, sf_dir):
+    def joined(spans):
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(parts, ",")
+
+    def of(*kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    return secrets.secret_scan(read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(joined(of("assign", "access", "hex")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+def tokenizer() -> tuple[str, str]:
+    """Rank file and splitting pattern of the public tokenizer that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op7_byte_bpe")
+def op7(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.bpe_encode(docs, *tokenizer()).select("doc_id", "ids")
+    return bpe.bpe_decode(coded, *tokenizer()).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+DECONTAM_SQL = r"""
+with d as (select row_number() over () rid, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
+b as (select coalesce(item_id::varchar, '') item, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from benchmark),
+bw as (select item, least(10, len(w)) n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i, w from b where len(w) > 0),
+win as (select distinct item, n, array_to_string(w[i:i + n - 1], ' ') g from bw),
+lens as (select distinct n from win),
+dw as (select rid, n, w, unnest(range(1, len(w) - n + 2)) i from d, lens where len(w) >= n),
+hit as (select rid, i, dw.n, item from (select rid, i, n, array_to_string(w[i:i + n - 1], ' ') g from dw) dw
+    join win on dw.g = win.g and dw.n = win.n),
+cov as (select rid, count(distinct p) n from (select rid, unnest(range(i, i + n)) p from hit) group by rid),
+its as (select rid, count(distinct item) n, string_agg(distinct item, ',' order by item) s from hit group by rid)
+select doc_id, len(w)::bigint n_words, coalesce(cov.n, 0)::bigint n_hit, coalesce(its.n, 0)::bigint n_items,
+  sha256(coalesce(its.s, '')) items_sha256, coalesce(cov.n, 0) > 0 contaminated
+from d left join cov using (rid) left join its using (rid)"""
+
+
+@query("op8_decontamination", DECONTAM_SQL)
+def op8(spark, sf_dir):
+    found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = toxicity.learn(docs, labels.where(fold != 0))
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') t from pages),
+h as (select page_id, strlen(t) n, sha1(t) x, max(page_id) over (partition by t) m from p)
+select page_id, n as payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(x, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))::bigint) & 31)::bigint, 1)),
+    'string_agg', '') as payload_digest,
+  case when page_id = m then 'response' else 'revisit' end as record_type,
+  case when page_id <> m then m end as refers_to from h"""
+
+
+@query("op5_warc", WARC_SQL)
+def op5(spark, sf_dir):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    manifest = warc.write_warc(read(spark, sf_dir, "pages"), scratch_path(spark, "warc"), parts)
+    return warc.read_warc(spark, manifest).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query("op10_minhash_dedup")
+def op10(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
