@@ -113,7 +113,7 @@ def range_bounds(ids: DataFrame, parts: int) -> list[int]:
 
 
 def first_copies(rows: DataFrame, least: int) -> DataFrame:
-    """``_id`` and ``_ref`` of each page that repeats the payload of a page with a larger id.
+    """``_id``, ``h`` (SHA-256) and ``_ref`` of each page that repeats the payload of one with a larger id.
 
     Counts and the largest id are summed up before the exchange; the payloads stay where they are.
     Only repeated payloads are joined, and pages of one payload are dealt to ``SALTS`` keys.
@@ -123,8 +123,9 @@ def first_copies(rows: DataFrame, least: int) -> DataFrame:
         F.pmod(F.xxhash64("_id"), F.lit(SALTS)).alias("s"),
     ).where(F.col("k")["n"] >= least)
     heads = keyed.groupBy("k").agg(F.max("_id").alias("_ref"), F.count("*").alias("c")).where("c > 1")
-    dealt = heads.select("k", "_ref", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("s"))
-    return keyed.join(dealt, ["k", "s"]).where("_id <> _ref").select("_id", "_ref").distinct()
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    dealt = heads.select("k", "_ref", F.explode(salts).alias("s"))
+    return keyed.join(dealt, ["k", "s"]).where("_id <> _ref").select("_id", "k.h", "_ref").distinct()
 
 
 SALTS = 16
@@ -143,7 +144,8 @@ def write_warc(
     """Write one record per row below ``path`` and return the manifest, one row per file.
 
     Among payloads of at least ``least_bytes`` bytes that are equal, that of the largest id is the
-    response and the others revisit it; repeated rows of that id are responses each. Null html is an
+    response and the others revisit it; repeated rows of that id are responses each. Rows of one id
+    with different payloads are records of their own. Null html is an
     empty payload, a null url an empty one, null ids are an error (a record needs an id). An empty
     table writes an index without files; other columns take no part.
     """
@@ -154,7 +156,8 @@ def write_warc(
     )
     bounds = range_bounds(rows.select("_id"), parts)
     none = F.lit(None).cast("string")
-    both = first_copies(rows, least_bytes).select("_id", none.alias("_url"), none.alias("_html"), "_ref").unionAll(
+    refs = first_copies(rows, least_bytes)
+    both = refs.select("_id", none.alias("_url"), F.col("h").alias("_html"), "_ref").unionAll(
         rows.select("_id", "_url", "_html", F.lit(None).cast("bigint"))
     )
     placed = both.withColumn("_part", _part_of(bounds)(F.col("_id")))
@@ -194,7 +197,7 @@ def _writer(temp: str, roll_bytes: int):
         fs, folder = storage(temp)
         fs.create_dir(folder, recursive=True)
         attempt = f"{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
-        out, made, ref = None, 0, (None, None)
+        out, made, of, refs = None, 0, None, {}
 
         def closed() -> pa.RecordBatch:
             out["to"].close()
@@ -207,10 +210,14 @@ def _writer(temp: str, roll_bytes: int):
         for whole in batches:
             for batch in batches_of(whole, 200):
                 for page, url, html, to, part in zip(*(c.to_pylist() for c in batch.columns)):
+                    if page != of:
+                        of, refs = page, {}
                     if to is not None:
-                        ref = (page, to)
+                        refs[html] = to
                         continue
-                    data = record(page, url, html.encode("utf-8", "surrogatepass"), ref[1] if ref[0] == page else None)
+                    payload = html.encode("utf-8", "surrogatepass")
+                    ref = refs.get(hashlib.sha256(payload).hexdigest()) if refs else None
+                    data = record(page, url, payload, ref)
                     packed = gzip.compress(data, LEVEL, mtime=0)
                     if out and out["bytes"] + len(packed) > roll_bytes:
                         yield closed()
