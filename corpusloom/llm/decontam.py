@@ -9,6 +9,8 @@ compared word by word in the text. Everything is DataFrame operations.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +96,7 @@ def phrase_matches(
     window: int = WINDOW,
     anchors: int = ANCHORS,
     slack: int = 0,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: id, ``n_words``, ``hits`` (array of item, start, len), word positions from 0.
 
@@ -102,7 +105,7 @@ def phrase_matches(
     shifts at which half or more of the words of a window stand within ``slack`` places of theirs.
     Null ids and texts are kept: a null document id gives its own rows, a null item id is the empty
     text, a null text has no words. Repeated rows give their row each; empty tables give no hits or no
-    rows; other columns take no part. Texts are compared only where anchors agree, so a word or a
+    rows; other columns take no part, but those of ``keep`` come along in a struct ``row``. Texts are compared only where anchors agree, so a word or a
     passage that most documents share costs one row per document and item.
     """
     spark = docs.sparkSession
@@ -131,14 +134,13 @@ def phrase_matches(
         .groupBy("doc", "key")
         .agg(F.collect_list(F.struct("item", "words", "len", "shift", "starts")).alias("lines"))
     )
+    kept = [F.struct(*keep).alias("row")] if keep else []
     texts = docs.select(
-        F.col(id_col).alias("doc"), F.col(text_col).alias("_text"), text_key(F.col(text_col)).alias("key")
-    )
-    joined = (
-        texts.withColumnRenamed("doc", "_doc").withColumnRenamed("key", "_key")
-        .join(candidates, (F.col("_doc").eqNullSafe(F.col("doc"))) & (F.col("_key") == F.col("key")), "left")
-        .select("_doc", "lines", words_of(F.col("_text")).alias("_words"))
+        F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), text_key(F.col(text_col)).alias("_key"), *kept
     )
+    joined = texts.join(
+        candidates, (F.col("_doc").eqNullSafe(F.col("doc"))) & (F.col("_key") == F.col("key")), "left"
+    ).select("_doc", *(["row"] if keep else []), "lines", words_of(F.col("_text")).alias("_words"))
     held = F.col("_words")
 
     def same(line: Column) -> Column:
@@ -155,6 +157,7 @@ def phrase_matches(
 
     hits = F.coalesce(F.flatten(F.transform("lines", same)), F.array().cast(_HITS))
     out = [F.col("_doc").alias(id_col), F.size(held).cast("long").alias("n_words"), hits.alias("hits")]
+    out += ["row"] if keep else []
     if slack > 0:
         out.append(F.coalesce(F.transform(
             F.filter("lines", lambda x: _close(held, x, slack)),
@@ -190,4 +193,5 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **k
         bind(covered, F.size).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"]))).alias("items"),
         (F.size("hits") > 0).alias("contaminated"),
+        *(["row"] if kw.get("keep") else []),
     )

@@ -13,8 +13,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import batches_of, ship
@@ -218,3 +219,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col, text_col).mapInArrow(
         run, f"`{id_col}` {kind}, score double, sentences array<struct<start:bigint,end:bigint,score:double>>"
     )
+
+
+def score_column(model: Model):
+    """The score as a function of a text column, for filters; null and empty texts score 0."""
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        weights = Weights(model)
+        return pd.Series([score_text(t or "", weights, model.bias)[0] for t in texts], dtype="float64")
+
+    def of(text: Column) -> Column:
+        return scored(text)
+
+    return of

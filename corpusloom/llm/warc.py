@@ -18,6 +18,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
@@ -183,8 +184,6 @@ def write_warc(
 
 
 def _part_of(bounds: list[int]):
-    import pandas as pd
-
     @F.pandas_udf("int")
     def part(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(np.asarray(bounds, np.int64), ids.to_numpy(), side="right").astype("int32"))
