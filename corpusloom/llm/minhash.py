@@ -50,7 +50,7 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     n = max(1, len(h) - SHINGLE + 1)
     s = np.full(n, np.uint64(min(len(h), SHINGLE)))
     for i in range(min(len(h), SHINGLE)):
-        s = mix(s + h[i : i + n] + np.uint64(i) * _GOLDEN)
+        s = mix(s + h[i : i + n] + mix(np.full(1, i, np.uint64)))
     return np.unique(s, return_counts=True)
 
 
@@ -59,7 +59,7 @@ def bag_signature(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     seeds, low, high, most = [keys], [np.zeros(len(keys))], [np.ones(len(keys))], [counts]
     level, start = 1, 1
     while len(more := np.flatnonzero(counts > start)):
-        seeds.append(mix(keys[more] + np.uint64(level) * _GOLDEN))
+        seeds.append(mix(keys[more] + mix(np.full(1, level, np.uint64))))
         low.append(np.full(len(more), float(start)))
         high.append(np.full(len(more), 2.0 * start))
         most.append(counts[more])
@@ -69,19 +69,22 @@ def bag_signature(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     # within this time every bin is most likely met; if one is not, the time is doubled
     until = (np.log(M) + 3.0) / counts.sum()
     while True:
-        first = _waits(seed, 0, 1)[:, 0] / rate
-        alive = np.flatnonzero(first <= until)
-        steps = 8 + int(until * rate[alive].max() * 1.5 + 6 * np.sqrt(until * rate[alive].max())) if len(alive) else 1
-        times = np.cumsum(_waits(seed[alive], 0, steps), axis=1) / rate[alive, None]
-        while len(alive) and times[:, -1].min() <= until:
-            steps *= 2
-            times = np.cumsum(_waits(seed[alive], 0, steps), axis=1) / rate[alive, None]
-        row, step = np.nonzero(times <= until)
-        mark = mix(mix(seed[alive][row] + (step.astype(np.uint64) + np.uint64(1)) * _GOLDEN) ^ _B)
-        of = alive[row]
+        usual = until * M  # points of one process within the time
+        of, step, at, begun, alive = [], [], [], np.zeros(len(seed)), np.arange(len(seed))
+        done, block = 0, 1 if usual < 0.5 else 4 + int(usual / 2)
+        while len(alive):
+            times = begun[:, None] + np.cumsum(_waits(seed[alive], done, block) / rate[alive, None], axis=1)
+            row, column = np.nonzero(times <= until)
+            of.append(alive[row])
+            step.append(done + column)
+            at.append(times[row, column])
+            on = times[:, -1] <= until
+            begun, alive, done, block = times[on, -1], alive[on], done + block, 4 + int(usual / 2)
+        of, step, at = np.concatenate(of), np.concatenate(step), np.concatenate(at)
+        mark = mix(mix(seed[of] + (step.astype(np.uint64) + np.uint64(1)) * _GOLDEN) ^ _B)
         weight = lo[of] + (hi[of] - lo[of]) * ((mark & np.uint64(0xFFFFFFFF)) * 2.0**-32)
         counted = weight < top[of]
-        bins, at, mark = ((mark >> np.uint64(32)) % np.uint64(M))[counted], times[row, step][counted], mark[counted]
+        bins, at, mark = ((mark >> np.uint64(32)) % np.uint64(M))[counted], at[counted], mark[counted]
         order = np.argsort(at, kind="stable")
         met, place = np.unique(bins[order], return_index=True)
         if len(met) == M:
@@ -90,7 +93,7 @@ def bag_signature(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _waits(seed: np.ndarray, start: int, n: int) -> np.ndarray:
-    """Unit exponentials number ``start`` to ``start + n`` of each seed."""
+    """Unit exponentials number ``start`` to ``start + n - 1`` of each seed."""
     step = (np.arange(start, start + n, dtype=np.uint64) + np.uint64(1)) * _GOLDEN
     h = mix(seed[:, None] + step[None, :])
     return -np.log1p(-((h >> np.uint64(11)) * 2.0**-53))
@@ -198,7 +201,8 @@ def prefix_pairs(texts: DataFrame, groups: DataFrame, threshold: float) -> DataF
     """All pairs of different ``label`` in ``groups`` (``node``, ``label``, ``n``) that can reach the threshold.
 
     Texts of n elements that overlap by the threshold share one of the n - ceil(threshold * n) + 1
-    rarest elements of either, whatever passage or boilerplate they have in common beside.
+    rarest elements of either, whatever passage or boilerplate they have in common beside. What stands
+    from the first shared element on bounds the overlap; pairs whose bound is too low are not joined.
     """
     rows = texts.join(groups.select("node"), "node", "left_semi").select("node", "text")
     each = rows.mapInArrow(_elements, "node bigint, e bigint")
@@ -209,36 +213,24 @@ def prefix_pairs(texts: DataFrame, groups: DataFrame, threshold: float) -> DataF
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "e"))).alias("es"))
     )
     size = F.size("es")
+    first = F.slice("es", F.lit(1), size - F.ceil(threshold * size - 1e-9).cast("int") + 1)
     prefix = settle(
-        ranked.select("node", F.explode(F.slice("es", F.lit(1), size - F.ceil(threshold * size - 1e-9).cast("int") + 1)).alias("x"))
+        ranked.select("node", F.posexplode(first).alias("at", "x"))
         .where("x.df > 1")
-        .select("node", F.col("x.e").alias("e"))
+        .select("node", F.col("x.e").alias("e"), "at")
         .join(groups, "node")
-        .select("e", "node", "label", "n")
+        .select("e", "node", "label", "n", (F.col("n") - F.col("at")).alias("left"))
     )
     mixed = prefix.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("e")
     open_rows = prefix.join(mixed, "e")
-    a, b = (open_rows.select("e", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n")]) for x in "ab")
-    fits = (F.col("label_a") < F.col("label_b")) & (
-        F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (threshold - 1e-9)
-    )
+    a, b = (open_rows.select("e", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "left")]) for x in "ab")
+    least = threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    fits = (F.col("label_a") < F.col("label_b")) & (F.least("left_a", "left_b") >= least)
     return a.join(b, "e").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    threshold: float = THRESHOLD,
-) -> DataFrame:
-    """One row per document: id, ``class_id`` (least id of its class), ``class_size`` (rows of it).
-
-    Words are runs of letters and digits, lower-cased; a text of fewer than five words is one shingle.
-    Equal texts are one class, as are texts joined by a chain of pairs that reach the threshold. Null
-    and empty texts and texts without a word have nothing to compare: each row is its own class. A
-    repeated row is a member like any other; null ids belong to classes but never name one unless all
-    ids are null; an empty table gives none; other columns take no part.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """All rows (``doc``, ``key``, ``n``), and the different texts with words: ``key``, ``doc``, ``copies``, ``label``."""
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).alias("doc"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")
@@ -258,12 +250,20 @@ def near_duplicates(
         some.select("doc", "key", "bands").join(named, of_head)
         .select("node", F.explode("bands").alias("bucket"))
     )
-    stars = settle(
-        buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
-        .select("bucket", "head")
+    crowded = settle(
+        buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c"))
+        .where("lo < hi").select("bucket", "c")
     )
-    members = settle(buckets.join(stars, "bucket").select("bucket", "node", "head").distinct())
-    pairs = members.where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    shared = settle(buckets.join(crowded, "bucket").select("bucket", "node", "c").distinct())
+    # the head of a bucket is the text that meets most others in all its buckets: an original before its copies
+    met = shared.groupBy("node").agg(F.sum("c").alias("met"))
+    heads_of = settle(
+        shared.select("bucket", "node").join(met, "node")
+        .groupBy("bucket").agg(F.max(F.struct("met", (-F.col("node")).alias("node"))).alias("x"))
+        .select("bucket", (-F.col("x.node")).alias("head"))
+    )
+    members = settle(shared.select("bucket", "node").join(heads_of, "bucket"))
+    pairs = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     path = scratch_path(spark, "texts")
     needed = named.join(members.select("node").distinct(), "node", "left_semi")
     (
@@ -282,6 +282,24 @@ def near_duplicates(
     if more.limit(1).count():
         labels = components(links.unionAll(more))
     classed = heads.join(labels, "node", "left").select("key", "doc", "copies", label)
+    return signed, classed
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """One row per document: id, ``class_id`` (least id of its class), ``class_size`` (rows of it).
+
+    Words are runs of letters and digits, lower-cased; a text of fewer than five words is one shingle.
+    Equal texts are one class, as are texts joined by a chain of pairs that reach the threshold. Null
+    and empty texts and texts without a word have nothing to compare: each row is its own class. A
+    repeated row is a member like any other; null ids belong to classes but never name one unless all
+    ids are null; an empty table gives none; other columns take no part.
+    """
+    signed, classed = _classes(docs, id_col, text_col, threshold)
     named_classes = classed.groupBy("label").agg(
         F.min("doc").alias("class_id"), F.sum("copies").alias("class_size")
     )
@@ -290,7 +308,26 @@ def near_duplicates(
         F.col("doc").alias(id_col), F.col("doc").alias("class_id"), F.lit(1).cast("long").alias("class_size")
     )
     return (
-        some.select("doc", "key").join(by_key, "key")
+        signed.where("n > 0").select("doc", "key").join(by_key, "key")
         .select(F.col("doc").alias(id_col), "class_id", "class_size")
         .unionAll(alone)
     )
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
+) -> DataFrame:
+    """``docs`` with one row of every class: that of the least id (null first), then of the least text key.
+
+    Classes are those of ``near_duplicates``; texts without a word all stay.
+    """
+    signed, classed = _classes(docs, id_col, text_col, threshold)
+    first = classed.groupBy("label").agg(F.min(F.struct("doc", "key")).alias("x")).select("x.*")
+    alone = signed.where("n = 0").select("doc", "key").distinct()
+    stay = first.withColumn("once", F.lit(True)).unionAll(alone.withColumn("once", F.lit(False)))
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(id_col).alias("_doc"), text_key(F.col(text_col)).alias("_key")
+    )
+    met = rows.join(stay, (F.col("_key") == F.col("key")) & F.col("_doc").eqNullSafe(F.col("doc")))
+    repeated = met.where("once").groupBy("_key", "_doc").agg(F.first("row").alias("row")).select("row.*")
+    return repeated.unionAll(met.where(~F.col("once")).select("row.*"))
