@@ -24,7 +24,7 @@ from corpusloom.session import settle
 ship(__name__)
 
 #: The bounds of what is learned from: labelled rows of each class, and features of the model.
-TOXIC_ROWS, CLEAN_ROWS, FEATURES = 4000, 6000, 4096
+TOXIC_ROWS, CLEAN_ROWS, FEATURES = 3000, 4000, 1024
 #: A feature must stand in so many different sentences; so copies of a text count once.
 LEAST_SENTENCES = 4
 SENTENCE = re.compile(r"[^.!?\n|]+")
@@ -99,7 +99,12 @@ def learn(
     chosen = _choose(cut, FEATURES)
     names = sorted(r["f"] for r in chosen.collect())
     number = {f: i for i, f in enumerate(names)}
-    bags = cut.mapInArrow(_number(number), "_doc string, _label int, _at array<int>").toPandas()
+    bags = (
+        cut.mapInArrow(_number(number), "_doc string, _label int, _at array<int>")
+        .groupBy("_doc", "_label", "_at").agg(F.count("*").alias("_times"))
+        .orderBy("_doc", "_label", "_at")
+        .toArrow()
+    )
     return _fit(bags, names, totals)
 
 
@@ -126,7 +131,7 @@ def _hash(text: str) -> int:
 
 
 def _choose(cut: DataFrame, most: int) -> DataFrame:
-    """The features that tell the classes apart best, by their counts over distinct sentences."""
+    """The features that speak most for label 1, by their counts over distinct sentences."""
     once = cut.groupBy("_sentence").agg(F.max("_label").alias("y"), F.first("_features").alias("fs"))
     counts = (
         once.select("y", F.explode("fs").alias("f"))
@@ -136,7 +141,7 @@ def _choose(cut: DataFrame, most: int) -> DataFrame:
     )
     share = once.agg(F.avg("y").alias("q")).first()["q"] or 0.0
     apart = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share) + 1e-9))
-    return counts.select("f", F.abs(apart).alias("z")).orderBy(F.desc(F.round("z", 9)), "f").limit(most)
+    return counts.select("f", F.round(apart, 9).alias("z")).where("z > 1").orderBy(F.desc("z"), "f").limit(most)
 
 
 def _number(number: dict[str, int]):
@@ -151,16 +156,19 @@ def _number(number: dict[str, int]):
 
 
 def _fit(bags, names: list[str], totals: dict[int, int]) -> Model:
-    """Adam on the noisy-or likelihood; sentences in a fixed order, so the sums are as well."""
-    if not len(bags) or bags["_label"].nunique() < 2:
+    """Adam on the noisy-or likelihood; sentences come in a fixed order, so the sums are fixed as well."""
+    label = bags["_label"].to_numpy() == 1
+    if label.all() or not label.any():
         return Model({}, START_BIAS)
-    bags = bags.assign(key=[tuple(a) for a in bags["_at"]]).sort_values(["_doc", "_label", "key"], kind="stable")
-    docs, doc_of = np.unique(bags["_doc"].to_numpy(str), return_inverse=True)
-    y = np.zeros(len(docs), bool)
-    y[doc_of] = bags["_label"].to_numpy() == 1
-    sizes = np.array([len(a) for a in bags["_at"]])
+    times = bags["_times"].to_numpy().astype(np.float64)
+    names_of = bags["_doc"].combine_chunks().dictionary_encode()
+    doc_of = names_of.indices.to_numpy()
+    y = np.zeros(len(names_of.dictionary), bool)
+    y[doc_of] = label
+    at = bags["_at"].combine_chunks()
+    col = at.flatten().to_numpy().astype(np.int64)
+    sizes = at.value_lengths().to_numpy()
     row = np.repeat(np.arange(len(sizes)), sizes)
-    col = np.concatenate([np.asarray(a, np.int64) for a in bags["_at"]]) if len(row) else np.zeros(0, np.int64)
     weight = np.where(y, totals[1] / max(1, y.sum()), totals[0] / max(1, (~y).sum()))
     weight /= weight.sum()
     w = np.zeros(len(names) + 1)
@@ -169,9 +177,9 @@ def _fit(bags, names: list[str], totals: dict[int, int]) -> Model:
     for step in range(1, ROUNDS + 1):
         z = np.clip(w[-1] + np.bincount(row, w[col], len(sizes)), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        s = np.bincount(doc_of, np.log1p(np.exp(z)), len(docs))
+        s = np.bincount(doc_of, times * np.log1p(np.exp(z)), len(y))
         push = np.where(y, -1 / np.expm1(np.maximum(s, 1e-9)), 1.0) * weight
-        g = push[doc_of] * p
+        g = push[doc_of] * p * times
         grad = np.append(np.bincount(col, g[row], len(names)) + DECAY / 100 * w[:-1], g.sum())
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
