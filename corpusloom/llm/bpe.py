@@ -10,7 +10,9 @@ are joined before they become text.
 from __future__ import annotations
 
 import base64
+import sys
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,7 @@ from corpusloom.llm.common import batches_of, ship
 ship(__name__)
 
 #: Pieces kept for a task, and the longest piece that is kept.
-KEPT_PIECES, KEPT_CHARS = 400_000, 64
-_loaded: dict[tuple[str, str], Codec] = {}
+KEPT_PIECES, KEPT_CHARS = 200_000, 64
 
 
 def byte_characters() -> list[str]:
@@ -34,16 +35,47 @@ def byte_characters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+class Pieces(dict):
+    """Ids of each piece, encoded by the library on first use."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokens_of = model.tokenize
+        self.characters = dict(enumerate(byte_characters()))
+
+    def __missing__(self, piece: str) -> bytes:
+        spelled = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.characters)
+        ids = np.array([t.id for t in self.tokens_of(spelled)], "<u4").tobytes()
+        if len(piece) <= KEPT_CHARS:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Codec:
-    """Encoder and decoder of one rank file; made once for each task."""
+    """Encoder and decoder of one rank file; made once for each task, the encoder when first asked for."""
 
     def __init__(self, path: str, pattern: str):
+        with open(path, "rb") as f:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.pattern = pattern
+        self.token_bytes = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            self.token_bytes[rank] = token
+        self.token_sizes = np.array([len(t) for t in self.token_bytes], np.int64)
+
+    @cached_property
+    def pieces_of(self):
         import regex
-        from tokenizers import Tokenizer, models, pre_tokenizers
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        of = byte_characters()
+        return regex.compile(self.pattern).findall
+
+    @cached_property
+    def kept(self) -> Pieces:
+        from tokenizers import models
+
+        of, ranks = byte_characters(), self.ranks
         chars = {token: "".join(map(of.__getitem__, token)) for token in ranks}
         merges = []
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
@@ -51,38 +83,11 @@ class Codec:
                 a, b = token[:i], token[i:]
                 if ranks.get(a, rank) < rank and ranks.get(b, rank) < rank:
                     merges.append((chars[a], chars[b]))
-        vocabulary = {chars[t]: r for t, r in ranks.items()}
-        self.library = Tokenizer(models.BPE(vocab=vocabulary, merges=merges))
-        self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.pieces_of = regex.compile(pattern).findall
-        self.token_bytes = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.token_bytes[rank] = token
-        self.token_sizes = np.array([len(t) for t in self.token_bytes], np.int64)
-        self.kept: dict[str, bytes] = {}
+        return Pieces(models.BPE(vocab={chars[t]: r for t, r in ranks.items()}, merges=merges))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        pieces, kept = self.pieces_of(text), self.kept
-        new = {p for p in pieces if p not in kept}
-        if not new:
-            return b"".join(map(kept.__getitem__, pieces))
-        order = list(new)
-        coded = self.library.encode_batch(order, add_special_tokens=False)
-        here = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(order, coded)}
-        if len(kept) + len(here) > KEPT_PIECES:
-            kept.clear()
-        kept.update((p, i) for p, i in here.items() if len(p) <= KEPT_CHARS)
-        return b"".join([here[p] if p in here else kept[p] for p in pieces]) if all(
-            p in here or p in kept for p in pieces
-        ) else self.encode_apart(pieces, here)
-
-    def encode_apart(self, pieces: list[str], here: dict[str, bytes]) -> bytes:
-        """As above, after the kept pieces of this very text had to make room."""
-        missing = list({p for p in pieces if p not in here and p not in self.kept})
-        for p, e in zip(missing, self.library.encode_batch(missing, add_special_tokens=False)):
-            here[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([here[p] if p in here else self.kept[p] for p in pieces])
+        return b"".join(map(self.kept.__getitem__, self.pieces_of(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -98,9 +103,11 @@ class Codec:
 
 
 def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = Codec(path, pattern)
-    return _loaded[path, pattern]
+    """The codec of this process: tasks that share a Python worker share it."""
+    loaded = sys.__dict__.setdefault("_corpusloom_codecs", {})
+    if (path, pattern) not in loaded:
+        loaded[path, pattern] = Codec(path, pattern)
+    return loaded[path, pattern]
 
 
 def bpe_encode(
