@@ -52,7 +52,7 @@ def label_domains(chunks: DataFrame, dictionary: DataFrame, key: str = "doc_id",
     )
     if is_small(dictionary, DICTIONARY_ROWS):
         return _label_by_constant(parts, dictionary, key, most, whole_word)
-    return _label_by_join(parts, dictionary, key, most)
+    return _label_by_join(parts, dictionary, key, most, whole_word)
 
 
 def _label(category: Column, score: Column, first_place: Column, keywords: Column) -> Column:
@@ -94,10 +94,7 @@ def _constant_labels(name: Column, doc: Column, everything: Column, constant: Co
     def found(word: Column) -> Column:
         if not whole_word:
             return F.contains(everything, word)
-        edge = "(?![A-Za-z0-9_])"
-        return F.regexp_like(
-            everything, F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), word, F.lit(r"\E" + edge))
-        )
+        return _whole_word(everything, word)
 
     def place(word: Column) -> Column:
         return (
@@ -129,15 +126,25 @@ def _constant_labels(name: Column, doc: Column, everything: Column, constant: Co
     return F.filter(F.transform(constant, category), lambda x: x.isNotNull())
 
 
-def _label_by_join(parts: DataFrame, dictionary: DataFrame, key: str, most: int) -> DataFrame:
+def _whole_word(text: Column, word: Column) -> Column:
+    edge = "(?![A-Za-z0-9_])"
+    return F.regexp_like(text, F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), word, F.lit(r"\E" + edge)))
+
+
+def _label_by_join(parts: DataFrame, dictionary: DataFrame, key: str, most: int,
+                   whole_word: bool = False) -> DataFrame:
     words = dictionary.select("category", "keyword", "ord")
     unique = words.select(F.col("keyword")).distinct()
 
     def hits(column: str, flag: str) -> DataFrame:
         return phrase_hits(parts, [key], column, unique, ["keyword"], "keyword").withColumn(flag, F.lit(True))
 
+    everywhere = hits("_all", "in_all")
+    if whole_word:
+        whole = _whole_word(F.col("_all"), F.col("keyword"))
+        everywhere = everywhere.join(parts.select(key, "_all"), key).where(whole).drop("_all")
     rows = (
-        hits("_all", "in_all")
+        everywhere
         .join(hits("_name", "in_name"), [key, "keyword"], "left")
         .join(hits("_doc", "in_doc"), [key, "keyword"], "left")
         .join(words, "keyword")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,7 +122,9 @@ def load_index(spark: SparkSession, path: str, name: str, buckets: int = 8) -> C
     def stored(part: str, rebuild: Callable[[], DataFrame]) -> DataFrame:
         try:
             return spark.read.parquet(_table(path, part))
-        except Exception:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return rebuild()
 
     lengths = stored("doc_stats", lambda: postings.select("doc_id", "dl").distinct())

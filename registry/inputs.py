@@ -54,8 +54,8 @@ EXTS = [".ts", ".tsx", ".js", ".py", ".go", ".java", ".md", ".json", ".test.ts",
 
 def files_exprs(d: Dialect, key: str = "doc_id") -> dict[str, str]:
     path = (
-        f"{_case(key, DIRS)} || CASE WHEN {key} < 1001 THEN '/' ELSE '/m' || {key} || '/' END || "
-        f"{_case(key, NAMES)} || {_case(key, EXTS)}"
+        f"{_case(key, DIRS)} || CASE WHEN {key} % 97 = 0 THEN '/m' || {key} || '/' ELSE '/' END || "
+        f"{_case(key, NAMES)} || CASE WHEN {key} % 97 = 0 THEN '' ELSE '_' || {key} END || {_case(key, EXTS)}"
     )
     return {"doc_id": key, "path": path, "size": "n_chars", "content": "text"}
 

@@ -389,12 +389,12 @@ def pln4b(spark, d):
 
 
 @query("pln6_candidate_files", f"""
-WITH {FILES}, ms AS (SELECT DISTINCT substr(lower({S.stem('path')}), 1, 4) AS page FROM files),
+WITH {FILES}, ms AS (SELECT DISTINCT lower({S.stem('path')}) AS page FROM files),
 h AS (SELECT page, path, row_number() OVER (PARTITION BY page ORDER BY path) AS pos FROM ms JOIN files ON contains(lower(path), page))
 SELECT page, pos, path FROM h WHERE pos <= 10""")
 def pln6(spark, d):
     fs = files(spark, d)
-    missing = fs.select(F.substring(F.lower(T.stem("path")), 1, 4).alias("page")).distinct()
+    missing = fs.select(F.lower(T.stem("path")).alias("page")).distinct()
     return PP.candidate_files(missing, fs)
 
 
