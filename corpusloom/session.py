@@ -13,10 +13,12 @@ _local_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors reach: ``spark.checkpoint.dir``, a local one only where unset."""
+    """Folder all executors reach: ``spark.checkpoint.dir``; a local master may go without it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local_dir:
         _local_dir.append(tempfile.mkdtemp(prefix="corpusloom-"))
     return _local_dir[0]

@@ -184,3 +184,13 @@ def test_symbols(spark):
     got = {(r["line_no"], r["kind"], r["name"], r["signature"]) for r in K.symbols(files(spark, "a.ts", src)).collect()}
     assert got == {(1, "import", "mod", "mod"), (2, "function", "f", "f"), (2, "export", "f", "f"),
                    (3, "function", "g", "g(a, b)"), (3, "export", "g", "g"), (4, "class", "C", "C")}
+
+
+def test_declarations_of_many_lines_are_read_to_their_end(spark):
+    head = "export function big(\n" + ",\n".join(f"  p{i}: number" for i in range(30)) + "\n): string {\n"
+    body = "  const inner = { a: 1 };\n" * 5 + "  return 'a';\n}\n"
+    setting = "export const appConfig = build(\n" + "  one,\n" * 30 + "  { a: 1 },\n);\n"
+    files = spark.createDataFrame([("a.ts", head + body + setting)], "path string, content string")
+    found = {r["name"]: r for r in K.segment_typescript(files, merge=False).collect()}
+    assert found["big"]["signature"] == "big(" + ", ".join(f"p{i}: number" for i in range(30)) + "): string"
+    assert found["big"]["is_public"] and found["appConfig"]["chunk_type"] == "constant"
