@@ -111,10 +111,6 @@ TABLES = {
     "files": ("documents", files_exprs),
     "wiki": ("documents", wiki_exprs),
     "queries": ("benchmark", lambda d: {"query_id": "item_id", "query": "text"}),
-    "short_queries": (
-        "benchmark",
-        lambda d: {"query_id": "item_id", "query": d.ex("text", "([a-z]+ [a-z]+ [a-z]+)")},
-    ),
     "fields": (
         "documents",
         lambda d: {

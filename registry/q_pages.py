@@ -332,13 +332,13 @@ def grf8(spark, d):
 
 
 @query("win5_unique_titles", f"""
-WITH {CTX}, wn AS (SELECT query_id, rank, 'Page' AS title, substr(content, 1, 400) AS content FROM ctx JOIN pf USING (doc_id)),
-lb AS (SELECT *, {SECTION_LABEL} AS label FROM (SELECT *, {LABEL_HEAD} AS h, {LABEL_SENTENCE} AS sent, 'Page' AS t FROM wn)),
+WITH {CTX}, wn AS (SELECT query_id, rank, title, content FROM ctx JOIN pf USING (doc_id)),
+lb AS (SELECT *, {SECTION_LABEL} AS label FROM (SELECT *, {LABEL_HEAD} AS h, {LABEL_SENTENCE} AS sent, title AS t FROM wn)),
 c AS (SELECT *, count(*) OVER (PARTITION BY query_id, title) AS cnt, sum(CASE WHEN label IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, title ORDER BY rank) AS nth,
   regexp_extract(content, '\\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\\b', 1) AS camel FROM lb)
 SELECT query_id, rank, CASE WHEN cnt = 1 THEN title WHEN label IS NOT NULL THEN label WHEN camel <> '' THEN camel ELSE title || ' §' || nth END AS label FROM c""")
 def win5(spark, d):
-    pages = page_fields(spark, d).select("doc_id", F.lit("Page").alias("title"), F.substring("content", 1, 400).alias("content"))
+    pages = page_fields(spark, d).select("doc_id", "title", "content")
     ctx = context_rows(spark, d).join(pages, "doc_id").select("query_id", "rank", "title", "content")
     return G.unique_titles(ctx).select("query_id", "rank", "label")
 

@@ -166,20 +166,20 @@ def sch5(spark, d):
 
 
 @query("sch6_occurrence_search", f"""
-WITH {cte('short_queries')},
-qw AS (SELECT query_id, unnest(string_split_regex(lower(query), '\\s+')) AS w FROM short_queries),
+WITH {cte('queries')},
+qw AS (SELECT query_id, unnest(string_split_regex(lower(query), '\\s+')) AS w FROM queries),
 s AS (SELECT query_id, doc_id, sum((length(lower(text)) - length(replace(lower(text), w, ''))) // length(w))::DOUBLE AS score
       FROM qw, documents WHERE w <> '' AND contains(lower(text), w) GROUP BY ALL)
 SELECT query_id, rank, doc_id, score FROM ({S.ranked('s', 10)})""")
 def sch6(spark, d):
-    return S_.occurrence_search(table(spark, d, "documents"), derive(spark, d, "short_queries"))
+    return S_.occurrence_search(table(spark, d, "documents"), derive(spark, d, "queries"))
 
 
 @query("sch6_occurrence_search_by_join", CHECKS["sch6_occurrence_search"])
 def sch6b(spark, d):
     """The way for word lists beyond the constant's bound, on the same input."""
     return S_.occurrence_search(
-        table(spark, d, "documents"), derive(spark, d, "short_queries"), constant=False
+        table(spark, d, "documents"), derive(spark, d, "queries"), constant=False
     )
 
 
@@ -259,9 +259,9 @@ def page_fields(spark, d):
     return derive(spark, d, "fields").withColumn("headings", F.split("content", "\n"))
 
 
-PF = f"""{cte('short_queries', 'fields')},
+PF = f"""{cte('queries', 'fields')},
 pf AS (SELECT *, string_split(content, chr(10)) AS headings FROM fields),
-w AS (SELECT query_id, unnest({S.words('query')}) AS w FROM short_queries)"""
+w AS (SELECT query_id, unnest({S.words('query')}) AS w FROM queries)"""
 
 
 def _any_heading() -> str:
@@ -277,7 +277,7 @@ s AS (SELECT query_id, doc_id, sum(CASE WHEN contains(lower(title), w) THEN 10 E
 SELECT query_id, rank, doc_id, score FROM ({S.ranked('s', 10)})""")
 def sch11(spark, d):
     weights = {"title": 10, "description": 5, "headings": 3, "content": 1}
-    return S_.field_search(page_fields(spark, d), derive(spark, d, "short_queries"), weights)
+    return S_.field_search(page_fields(spark, d), derive(spark, d, "queries"), weights)
 
 
 @query("sch12_title_body_search", f"""
@@ -285,13 +285,13 @@ WITH {PF},
 s AS (SELECT query_id, doc_id, sum(CASE WHEN contains(lower(title), w) THEN 10 ELSE 0 END
    + CASE WHEN contains(lower(content), w) THEN 1 ELSE 0 END)::DOUBLE AS score FROM w, pf GROUP BY ALL HAVING score > 0),
 r AS ({S.ranked('s', 10)}),
-ws AS (SELECT query_id, {S.words('query')} AS ws FROM short_queries)
+ws AS (SELECT query_id, {S.words('query')} AS ws FROM queries)
 SELECT query_id, rank, doc_id, score,
   coalesce(nullif(substr({S.strip("(list_filter(headings, lambda l: len(list_filter(ws, lambda x: contains(lower(l), x))) > 0))[1]")}, 1, 200), ''),
            substr({S.strip('headings[1]')}, 1, 200)) AS preview
 FROM r JOIN pf USING (doc_id) JOIN ws USING (query_id)""")
 def sch12(spark, d):
-    pages, q = page_fields(spark, d), derive(spark, d, "short_queries")
+    pages, q = page_fields(spark, d), derive(spark, d, "queries")
     found = S_.field_search(pages, q, {"title": 10, "content": 1})
     return (
         found.join(pages.select("doc_id", "content"), "doc_id")
@@ -302,23 +302,20 @@ def sch12(spark, d):
 
 
 @query("sch13_substring_search", f"""
-WITH {PF}, q2 AS (SELECT query_id, regexp_extract(lower(query), '([a-z]+ [a-z]+)', 1) AS q FROM short_queries),
+WITH {PF}, q2 AS (SELECT query_id, lower(query) AS q FROM queries),
 hit AS (SELECT query_id, doc_id, doc_id AS ord FROM q2, pf WHERE length(q) >= 2 AND (contains(lower(title), q)
   OR contains(lower(content), q) OR len(list_filter(headings, lambda h: contains(lower(h), q))) > 0))
 SELECT query_id, rank, doc_id FROM ({S.ranked('hit', 10, 'ord')})""")
 def sch13(spark, d):
     pages = page_fields(spark, d).withColumn("ord", F.col("doc_id"))
-    q = derive(spark, d, "short_queries").select(
-        "query_id", F.regexp_extract(F.lower("query"), "([a-z]+ [a-z]+)", 1).alias("query")
-    )
-    return S_.substring_search(pages, q)
+    return S_.substring_search(pages, derive(spark, d, "queries"))
 
 
 CTX = f"""{PF}, {VEC},
 near AS (SELECT a.doc_id AS query_id, b.doc_id, list_dot_product(a.u, b.u) AS score
-         FROM unit a, unit b WHERE a.doc_id IN (SELECT query_id FROM short_queries)),
+         FROM unit a, unit b WHERE a.doc_id IN (SELECT query_id FROM queries)),
 nk AS (SELECT query_id, doc_id, score FROM ({S.ranked('near', 5)}) WHERE score > 0.45),
-poor AS (SELECT query_id FROM short_queries WHERE query_id NOT IN
+poor AS (SELECT query_id FROM queries WHERE query_id NOT IN
          (SELECT query_id FROM nk GROUP BY query_id HAVING count(*) >= 3)),
 ws AS (SELECT query_id, doc_id, sum(CASE WHEN contains(lower(title), w) THEN 3 ELSE 0 END
    + CASE WHEN contains(lower(content), w) THEN 1 ELSE 0 END + 2 * {_any_heading()})::DOUBLE AS score
@@ -329,7 +326,7 @@ ctx AS ({S.ranked('allc', 5)})"""
 
 
 def context_rows(spark, d):
-    q = derive(spark, d, "short_queries").join(
+    q = derive(spark, d, "queries").join(
         doc_vectors(spark, d).withColumnRenamed("doc_id", "query_id"), "query_id"
     )
     return S_.context_search(doc_vectors(spark, d), page_fields(spark, d), q, threshold=0.45)
@@ -378,7 +375,7 @@ _QW = (
 @query("sch18_extractive_answer", f"""
 WITH {CTX},
 top AS (SELECT c.query_id, p.title, {_SENT} AS s, {_QW} AS q FROM ctx c JOIN pf p USING (doc_id)
-        JOIN short_queries USING (query_id) WHERE c.rank = 1),
+        JOIN queries USING (query_id) WHERE c.rank = 1),
 sc AS (SELECT query_id, i, s[i] AS txt, len(list_filter(q, lambda w: contains(lower(s[i]), w))) AS hits
        FROM (SELECT query_id, s, q, unnest(range(1, len(s) + 1)) AS i FROM top)),
 bestx AS (SELECT query_id, string_agg(txt, ' ' ORDER BY hits DESC, i) AS answer FROM
@@ -390,7 +387,7 @@ SELECT query_id, CASE WHEN answer <> '' AND NOT regexp_matches(answer, '[.!?]$')
 def sch18(spark, d):
     pages = page_fields(spark, d).select("doc_id", "title", "content")
     ctx = context_rows(spark, d).join(pages, "doc_id")
-    return S_.extractive_answer(ctx, derive(spark, d, "short_queries"))
+    return S_.extractive_answer(ctx, derive(spark, d, "queries"))
 
 
 @query("flt9_relevance_threshold", f"""
