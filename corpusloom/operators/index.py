@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import urlparse
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,62 +78,104 @@ def build_index(docs: DataFrame, doc_id: str, text: Column | str,
 
 
 # --- persistence ------------------------------------------------------------------------
+STATE = "version int, buckets int"
+
+
 def _table(path: str, name: str) -> str:
     return f"{path.rstrip('/')}/{name}"
 
 
-def save_index(index: CorpusIndex, path: str, name: str, buckets: int = 8) -> None:
-    """Write the tables below ``path``; postings are bucketed by ``doc_id``.
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, None if there is none; any other fault is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _last_version(spark: SparkSession, path: str) -> tuple[int, int | None]:
+    """Number and buckets of the last complete version, (0, None) before the first."""
+    state = _stored(spark, _table(path, "state"))
+    if state is None:
+        return 0, None
+    last = state.agg(F.max(F.struct("version", "buckets")).alias("x")).first()["x"]
+    return (last["version"], last["buckets"]) if last else (0, None)
+
+
+def _open_postings(spark: SparkSession, table: str, location: str, buckets: int) -> DataFrame:
+    """The bucketed table over ``location``; a catalog entry of that name must lie there."""
+    if spark.catalog.tableExists(table):
+        rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'")
+        known = rows.first()["data_type"]
+        if urlparse(known).path.rstrip("/") != urlparse(location).path.rstrip("/"):
+            raise ValueError(f"table {table} lies at {known}, not at {location}")
+    else:
+        columns = spark.read.parquet(location).schema
+        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns)
+        spark.sql(
+            f"CREATE TABLE {table} ({ddl}) USING parquet CLUSTERED BY (doc_id) "
+            f"SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{location}'"
+        )
+    return spark.table(table)
+
+
+def save_index(index: CorpusIndex, path: str, name: str, buckets: int | None = None) -> int:
+    """Write the index as the next version below ``path``; returns its number.
 
-    An index built with the same ``buckets`` is already laid out by the bucket hash and
-    is written without a further exchange, one file per bucket. The term statistics are
-    derived from the written postings.
+    Postings are bucketed by ``doc_id`` and sorted by term in a bucket, so scores sum without an
+    exchange and a filter on terms skips row groups. The number of buckets is the one given, else
+    that of the index, of the version before, or the session's shuffle partitions; it is kept with
+    the version. An index built with it is written without a further exchange. A version counts once
+    its row of ``state`` is written, which is last: readers of the version before are not disturbed,
+    so an index may be loaded, updated and saved under one name.
     """
     spark = index.postings.sparkSession
+    last, before = _last_version(spark, path)
+    buckets = buckets or index.buckets or before or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    root, table = _table(path, f"v={last + 1}"), f"{name}_v{last + 1}_postings"
     postings = index.postings
     if index.buckets != buckets:
         postings = postings.repartition(buckets, "doc_id")
     (
         postings.write.mode("overwrite")
         .bucketBy(buckets, "doc_id")
-        .sortBy("doc_id")
-        .option("path", _table(path, "postings"))
-        .saveAsTable(f"{name}_postings")
+        .sortBy("term")
+        .option("path", _table(root, "postings"))
+        .saveAsTable(table)
     )
-    written = spark.table(f"{name}_postings")
-    index.doc_stats.write.mode("overwrite").parquet(_table(path, "doc_stats"))
-    document_frequencies(written).write.mode("overwrite").parquet(_table(path, "term_stats"))
-    lengths = spark.read.parquet(_table(path, "doc_stats"))
-    corpus_statistics(lengths).write.mode("overwrite").parquet(_table(path, "corpus_stats"))
-
-
-def load_index(spark: SparkSession, path: str, name: str, buckets: int = 8) -> CorpusIndex:
-    """Read a persisted index; missing statistics are rebuilt from the postings."""
-    table = f"{name}_postings"
-    if not spark.catalog.tableExists(table):
-        location = _table(path, "postings")
-        columns = spark.read.parquet(location).schema
-        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns)
-        spark.sql(
-            f"CREATE TABLE {table} ({ddl}) USING parquet CLUSTERED BY (doc_id) "
-            f"SORTED BY (doc_id) INTO {buckets} BUCKETS LOCATION '{location}'"
-        )
-    postings = spark.table(table)
+    written = spark.table(table)
+    index.doc_stats.write.mode("overwrite").parquet(_table(root, "doc_stats"))
+    document_frequencies(written).write.mode("overwrite").parquet(_table(root, "term_stats"))
+    lengths = spark.read.parquet(_table(root, "doc_stats"))
+    corpus_statistics(lengths).write.mode("overwrite").parquet(_table(root, "corpus_stats"))
+    state = spark.createDataFrame([(last + 1, buckets)], STATE)
+    state.coalesce(1).write.mode("append").parquet(_table(path, "state"))
+    return last + 1
 
-    def stored(part: str, rebuild: Callable[[], DataFrame]) -> DataFrame:
-        try:
-            return spark.read.parquet(_table(path, part))
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return rebuild()
 
-    lengths = stored("doc_stats", lambda: postings.select("doc_id", "dl").distinct())
+def load_index(spark: SparkSession, path: str, name: str, lengths: DataFrame | None = None) -> CorpusIndex:
+    """Read the last complete version below ``path``.
+
+    Missing term and corpus statistics are rebuilt. Document lengths are rebuilt from ``lengths``
+    (``document_lengths`` of the documents) only, as postings do not know documents without a term.
+    """
+    version, buckets = _last_version(spark, path)
+    if not version:
+        raise ValueError(f"no complete index version at {path}")
+    root = _table(path, f"v={version}")
+    postings = _open_postings(spark, f"{name}_v{version}_postings", _table(root, "postings"), buckets)
+    held = {part: _stored(spark, _table(root, part)) for part in ("doc_stats", "term_stats", "corpus_stats")}
+    of_docs = lengths if held["doc_stats"] is None else held["doc_stats"]
+    if of_docs is None:
+        raise ValueError(f"no document lengths at {root}: pass lengths to rebuild them")
+    terms, corpus = held["term_stats"], held["corpus_stats"]
     return CorpusIndex(
         postings,
-        stored("term_stats", lambda: document_frequencies(postings)),
-        lengths,
-        stored("corpus_stats", lambda: corpus_statistics(lengths)),
+        document_frequencies(postings) if terms is None else terms,
+        of_docs,
+        corpus_statistics(of_docs) if corpus is None else corpus,
         buckets,
     )
 

@@ -20,7 +20,7 @@ from corpusloom.functions import fixed
 from corpusloom.functions import text as T
 from corpusloom.functions.arrays import bind
 from corpusloom.operators.index import CorpusIndex
-from corpusloom.operators.matching import phrase_hits, word_hits
+from corpusloom.operators.matching import few_words, phrase_hits, word_hits
 from corpusloom.session import BROADCAST_ROWS, is_small
 
 # task functions travel with the job, so executors need not have this package installed
@@ -75,6 +75,8 @@ def bm25_scores(index: CorpusIndex, queries: DataFrame, allowed: DataFrame | Non
     if allowed is not None:
         postings = postings.join(allowed.select("doc_id"), "doc_id", "left_semi")
     if is_small(terms, BROADCAST_ROWS):
+        if (few := few_words(terms.select(F.col("term").alias("word")))) is not None:
+            postings = postings.where(F.col("term").isin(few))  # reaches the scan of stored postings
         matched = postings.join(F.broadcast(weighted), "term")
     else:
         salted = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

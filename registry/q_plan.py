@@ -580,14 +580,34 @@ def snk4(spark, d):
     return sinks.latest_state(spark.read.parquet(path)).select("corpus_id", "version", "file_count", "chunk_count")
 
 
-@query("snk5_loaded_index", f"WITH {S.index_ctes()} SELECT term, df FROM dfs")
+@query("snk5_loaded_index", f"""
+WITH {S.index_ctes()} SELECT term, df, (SELECT n FROM cs)::BIGINT AS n_docs, (SELECT round(avgdl, 6) FROM cs) AS avgdl FROM dfs""")
 def snk5(spark, d):
-    """Only the postings are persisted; the missing statistics are rebuilt on loading."""
+    """Only postings and state are stored; all statistics are rebuilt on loading."""
     path = scratch_path(spark, "postings")
     name = "t" + path[-12:]
-    built = I.build_index(table(spark, d, "documents"), "doc_id", "text", 8)
-    built.postings.write.bucketBy(8, "doc_id").sortBy("doc_id").option("path", f"{path}/postings").saveAsTable(f"{name}_postings")
-    return I.load_index(spark, path, name).term_stats
+    docs = table(spark, d, "documents")
+    built = I.build_index(docs, "doc_id", "text", 8)
+    built.postings.write.bucketBy(8, "doc_id").sortBy("term").option("path", f"{path}/v=1/postings").saveAsTable(f"{name}_v1_postings")
+    spark.createDataFrame([(1, 8)], I.STATE).write.parquet(f"{path}/state")
+    index = I.load_index(spark, path, name, I.document_lengths(docs, "doc_id", "text"))
+    corpus = index.corpus_stats
+    return index.term_stats.select(
+        "term", "df", corpus.select("n_docs").scalar().alias("n_docs"),
+        F.round(corpus.select("avgdl").scalar(), 6).alias("avgdl"),
+    )
+
+
+@query("inc2_saved_and_reloaded", f"WITH {S.index_ctes()} SELECT doc_id, dl, term, tf FROM tf")
+def inc2_saved(spark, d):
+    """English documents saved first, all others added by an update saved under the same name."""
+    path = scratch_path(spark, "index")
+    name = "t" + path[-12:]
+    docs = table(spark, d, "documents")
+    I.save_index(I.build_index(docs.where("lang = 'en'"), "doc_id", "text", 8), path, name)
+    rest = docs.where("lang <> 'en' or lang is null")
+    I.save_index(I.update_index(I.load_index(spark, path, name), rest, "doc_id", "text"), path, name)
+    return I.load_index(spark, path, name).postings
 
 
 def the_bundle(spark, d):

@@ -22,13 +22,13 @@ _saved: dict[tuple[str, str], str] = {}
 def saved_index(spark, d):
     """The documents' index, written once to shared storage and then read by every search."""
     key = (spark.sparkContext.applicationId, d)
-    name = "idx_" + "".join(c if c.isalnum() else "_" for c in d)
+    name = "idx_" + "".join(c if c.isalnum() else "_" for c in "_".join(key))
     if key not in _saved:
         path = scratch_path(spark, "index")
         built = I.build_index(table(spark, d, "documents"), "doc_id", "text", BUCKETS)
         I.save_index(built, path, name, BUCKETS)
         _saved[key] = path
-    return I.load_index(spark, _saved[key], name, BUCKETS)
+    return I.load_index(spark, _saved[key], name)
 
 
 def built_index(spark, d):

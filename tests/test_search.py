@@ -46,11 +46,12 @@ def test_keyword_search_matches_formula(spark, docs):
 def test_saved_index_scores_without_exchange_of_postings(spark, docs):
     path = scratch_path(spark, "idx")
     I.save_index(I.build_index(docs, "doc_id", "text", 4), path, "t_saved", 4)
-    index = I.load_index(spark, path, "t_saved", 4)
+    index = I.load_index(spark, path, "t_saved")
     scores = S.bm25_scores(index, queries(spark, "beta alpha"))
     plan = scores._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan
     assert "hashpartitioning(doc_id" not in plan
+    assert "In(term, [" in plan or "EqualTo(term" in plan
     assert scores.count() == 3
 
 
@@ -58,14 +59,30 @@ def test_index_opens_without_its_catalog_entry_and_rebuilds_statistics(spark, do
     path = scratch_path(spark, "idx")
     built = I.build_index(docs, "doc_id", "text", 4)
     I.save_index(built, path, "t_reopened", 4)
-    want = sorted(map(tuple, S.keyword_search(I.load_index(spark, path, "t_reopened", 4), queries(spark, "beta alpha")).collect()))
-    spark.sql("DROP TABLE t_reopened_postings")
-    index = I.load_index(spark, path, "t_reopened", 4)
+    want = sorted(map(tuple, S.keyword_search(I.load_index(spark, path, "t_reopened"), queries(spark, "beta alpha")).collect()))
+    spark.sql("DROP TABLE t_reopened_v1_postings")
+    index = I.load_index(spark, path, "t_reopened")
     assert sorted(map(tuple, S.keyword_search(index, queries(spark, "beta alpha")).collect())) == want
     bare = scratch_path(spark, "bare")
-    built.postings.repartition(4, "doc_id").write.bucketBy(4, "doc_id").sortBy("doc_id").option("path", f"{bare}/postings").saveAsTable("t_bare_postings")
-    rebuilt = I.load_index(spark, bare, "t_bare", 4)
+    built.postings.repartition(4, "doc_id").write.bucketBy(4, "doc_id").sortBy("term").option("path", f"{bare}/v=1/postings").saveAsTable("t_bare_v1_postings")
+    spark.createDataFrame([(1, 4)], I.STATE).write.parquet(f"{bare}/state")
+    with pytest.raises(ValueError):
+        I.load_index(spark, bare, "t_bare")
+    rebuilt = I.load_index(spark, bare, "t_bare", I.document_lengths(docs, "doc_id", "text"))
     assert {r["term"]: r["df"] for r in rebuilt.term_stats.collect()}["beta"] == 2
+    assert rebuilt.corpus_stats.first().n_docs == 5
+    with pytest.raises(ValueError):
+        I.load_index(spark, path, "t_bare")
+
+
+def test_updated_index_is_saved_under_its_own_name(spark, docs):
+    path = scratch_path(spark, "idx")
+    assert I.save_index(I.build_index(docs, "doc_id", "text", 4), path, "t_twice") == 1
+    changed = spark.createDataFrame([(0, "omega"), (9, "omega beta")], "doc_id long, text string")
+    assert I.save_index(I.update_index(I.load_index(spark, path, "t_twice"), changed, "doc_id", "text"), path, "t_twice") == 2
+    got = I.load_index(spark, path, "t_twice")
+    assert got.buckets == 4 and got.corpus_stats.first().n_docs == 6
+    assert {r["term"]: r["df"] for r in got.term_stats.collect()}["omega"] == 2
 
 
 def test_embed_default_and_plugged_function(spark, docs):
