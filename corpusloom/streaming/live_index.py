@@ -2,8 +2,9 @@
 
 State is a set of append-only tables, not operator state: every micro-batch appends its
 documents' postings under the batch's version, and readers keep the newest version of each
-document. Deletions arrive as rows without text (tombstones). A replayed batch overwrites
-its own folder, so the result is the same after a failure.
+document. Deletions arrive as rows without text (tombstones). A batch's versions are written
+last: until then readers see none of it. A replayed batch overwrites its own folders, so the
+result is the same after a failure.
 """
 
 from __future__ import annotations
@@ -12,23 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import index as I
+from corpusloom.session import settle
 
 
 def stream_update(changes: DataFrame, path: str, checkpoint: str, available_now: bool = True):
     """Start the update from a streaming ``changes(doc_id, version, text)``; returns the query.
 
-    ``version`` orders the changes of a document; a null ``text`` deletes it.
+    ``version`` orders the changes of a document; a null ``text`` deletes it. Of equal versions the
+    later batch decides, and in a batch a deletion, then the greatest text.
     """
     base = path.rstrip("/")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("doc_id").agg(F.max(F.struct("version", "text")).alias("c")).select(
-            "doc_id", "c.version", "c.text"
+        change = F.struct("version", F.col("text").isNull().alias("deleted"), "text")
+        newest = batch.groupBy("doc_id").agg(F.max(change).alias("c")).select(
+            "doc_id", "c.version", "c.deleted", "c.text"
         )
         newest = newest.persist()
-        newest.select("doc_id", "version", F.col("text").isNull().alias("deleted")).write.mode(
-            "overwrite"
-        ).parquet(f"{base}/versions/batch={batch_id}")
         live = newest.where("text IS NOT NULL")
         postings = I.term_frequencies(live, "doc_id", "text").join(
             live.select("doc_id", "version"), "doc_id"
@@ -37,6 +38,9 @@ def stream_update(changes: DataFrame, path: str, checkpoint: str, available_now:
         I.document_lengths(live, "doc_id", "text").join(
             live.select("doc_id", "version"), "doc_id"
         ).write.mode("overwrite").parquet(f"{base}/lengths/batch={batch_id}")
+        newest.select("doc_id", "version", "deleted").write.mode("overwrite").parquet(
+            f"{base}/versions/batch={batch_id}"
+        )
         newest.unpersist()
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
@@ -45,22 +49,29 @@ def stream_update(changes: DataFrame, path: str, checkpoint: str, available_now:
     return writer.start()
 
 
-def current_index(spark: SparkSession, path: str) -> I.CorpusIndex:
-    """Index of the newest version of every live document."""
-    base = path.rstrip("/")
-    newest = (
+def _newest(spark: SparkSession, base: str) -> DataFrame:
+    """``doc_id, version, batch`` in force of every live document."""
+    return (
         spark.read.parquet(f"{base}/versions")
         .groupBy("doc_id")
-        .agg(F.max(F.struct("version", "deleted")).alias("c"))
+        .agg(F.max(F.struct("version", "batch", "deleted")).alias("c"))
         .where("NOT c.deleted")
-        .select("doc_id", "c.version")
+        .select("doc_id", "c.version", "c.batch")
     )
 
-    def live(name: str) -> DataFrame:
-        rows = spark.read.parquet(f"{base}/{name}").drop("batch")
-        return rows.join(newest, ["doc_id", "version"], "left_semi").drop("version").distinct()
 
-    postings, lengths = live("postings"), live("lengths")
+def _in_force(spark: SparkSession, base: str, name: str, newest: DataFrame) -> DataFrame:
+    rows = spark.read.parquet(f"{base}/{name}")
+    return rows.join(newest, ["doc_id", "version", "batch"], "left_semi").drop("batch")
+
+
+def current_index(spark: SparkSession, path: str) -> I.CorpusIndex:
+    """Index of the newest version of every live document."""
+    base = path.rstrip("/")
+    newest = _newest(spark, base)
+    postings, lengths = (
+        _in_force(spark, base, name, newest).drop("version") for name in ("postings", "lengths")
+    )
     return I.CorpusIndex(
         postings.select("doc_id", "dl", "term", "tf"), I.document_frequencies(postings), lengths,
         I.corpus_statistics(lengths),
@@ -70,17 +81,9 @@ def current_index(spark: SparkSession, path: str) -> I.CorpusIndex:
 def compact(spark: SparkSession, path: str, target: str) -> None:
     """Write the current version of all documents as a fresh first batch below ``target``."""
     base, out = path.rstrip("/"), target.rstrip("/")
-    newest = (
-        spark.read.parquet(f"{base}/versions")
-        .groupBy("doc_id")
-        .agg(F.max(F.struct("version", "deleted")).alias("c"))
-        .where("NOT c.deleted")
-        .select("doc_id", "c.version", F.lit(False).alias("deleted"))
-    )
-    newest.write.mode("overwrite").parquet(f"{out}/versions/batch=0")
-    kept = spark.read.parquet(f"{out}/versions").select("doc_id", "version")
+    newest = settle(_newest(spark, base))
     for name in ("postings", "lengths"):
-        rows = spark.read.parquet(f"{base}/{name}").drop("batch").distinct()
-        rows.join(kept, ["doc_id", "version"], "left_semi").write.mode("overwrite").parquet(
-            f"{out}/{name}/batch=0"
-        )
+        _in_force(spark, base, name, newest).write.mode("overwrite").parquet(f"{out}/{name}/batch=0")
+    newest.select("doc_id", "version", F.lit(False).alias("deleted")).write.mode("overwrite").parquet(
+        f"{out}/versions/batch=0"
+    )
