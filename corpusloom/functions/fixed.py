@@ -236,6 +236,15 @@ PAGE_BUCKETS = [
      r"config|\.json$|\.yaml$|\.yml$|\.toml$", 2, 2, 10,
      "Project configuration, environment setup, and build settings"),
 ]
+# context of the overview (its project type in place of the braces), of the getting started page and, after the path,
+# of key files; most files listed for a directory's page and for a page added for coverage
+OVERVIEW_CONTEXT = (
+    "High-level architecture of this {} project. Main entry points and how components interact."
+)
+GETTING_STARTED_CONTEXT = "Installation, setup, development workflow, and quick start guide"
+CORE_FILE_CONTEXT = ". Entry point or main configuration."
+DIRECTORY_PAGE_FILES = 20
+PLANNED_PAGE_FILES = 10
 SETUP_FILE_PATTERN = r"package\.json|README|CONTRIBUTING|setup|install"
 MANIFEST_FRAMEWORKS = [
     ("next", "web app", "Next.js"), ("react", "web app", "React"),

@@ -139,6 +139,22 @@ def _scan_block(qids: np.ndarray, qvecs: np.ndarray, k: int):
     return scan
 
 
+def _scan_above(qids: np.ndarray, qvecs: np.ndarray, least: float):
+    """Scan function: every pair of a partition and one block of queries that scores above ``least``."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), SLICE_ROWS):
+                part = pdf.iloc[at : at + SLICE_ROWS]
+                grid = np.round(_unit(part["vec"]) @ qvecs.T, SCORE_DIGITS)
+                row, column = np.nonzero(grid > least)
+                if len(row):
+                    doc = part["doc_id"].to_numpy(dtype="int64")
+                    yield pd.DataFrame({"query_id": qids[column], "doc_id": doc[row], "score": grid[row, column]})
+
+    return scan
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10,
                   allowed: DataFrame | None = None) -> DataFrame:
     """Exact inner product on unit vectors, best ``k`` per query.
@@ -147,25 +163,39 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10,
     the ranking. The document side is never shuffled: each task multiplies its Arrow
     batches with the query matrix and keeps ``k`` rows per query. The matrix is limited
     to ``BLOCK_ROWS`` queries; a larger query table goes through ``blocked_vector_search``.
+    A query or document without a vector meets nothing.
     """
+    docs, asked = _vectors(vectors, queries, allowed)
+    partial = _scanned(docs, asked, lambda qids, qvecs: _scan_block(qids, qvecs, k))
+    return top_k(partial, k).select("query_id", "rank", "doc_id", "score")
+
+
+def vectors_above(vectors: DataFrame, queries: DataFrame, least: float,
+                  allowed: DataFrame | None = None) -> DataFrame:
+    """All ``query_id, doc_id, score`` with a score above ``least``; as ``vector_search``, without a top-k."""
+    docs, asked = _vectors(vectors, queries, allowed)
+    return _scanned(docs, asked, lambda qids, qvecs: _scan_above(qids, qvecs, least))
+
+
+def _vectors(vectors: DataFrame, queries: DataFrame, allowed: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     docs = vectors
     if allowed is not None:
         docs = docs.join(allowed.select("doc_id"), "doc_id", "left_semi")
-    docs = docs.select("doc_id", F.col("embedding").alias("vec"))
-    asked = queries.select("query_id", F.col("embedding").alias("vec"))
+    return (
+        docs.where("embedding IS NOT NULL").select("doc_id", F.col("embedding").alias("vec")),
+        queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").alias("vec")),
+    )
+
+
+def _scanned(docs: DataFrame, asked: DataFrame, scan_of: Callable) -> DataFrame:
+    """Rows of ``scan_of(query ids, unit vectors)`` over all documents; one scan while the queries are one block."""
     block = asked.limit(BLOCK_ROWS + 1).toPandas()
     if len(block) > BLOCK_ROWS:
-        return blocked_vector_search(docs, asked, k)
+        return _block_pairs(docs, asked, scan_of, BLOCK_ROWS)
     if len(block) == 0:
-        partial = docs.where("false").selectExpr(
-            "cast(null as bigint) query_id", "doc_id", "0.0D score"
-        )
-    else:
-        scan = _scan_block(
-            block["query_id"].to_numpy(dtype="int64"), _unit(block["vec"]), k
-        )
-        partial = docs.mapInPandas(scan, "query_id bigint, doc_id bigint, score double")
-    return top_k(partial, k).select("query_id", "rank", "doc_id", "score")
+        return docs.where("false").selectExpr("cast(null as bigint) query_id", "doc_id", "0.0D score")
+    scan = scan_of(block["query_id"].to_numpy(dtype="int64"), _unit(block["vec"]))
+    return docs.mapInPandas(scan, "query_id bigint, doc_id bigint, score double")
 
 
 def blocked_vector_search(docs: DataFrame, asked: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -175,6 +205,11 @@ def blocked_vector_search(docs: DataFrame, asked: DataFrame, k: int, rows: int =
     per query block and queries once per document block, and each pair of blocks is one
     bounded group that emits at most ``k`` rows per query.
     """
+    partial = _block_pairs(docs, asked, lambda qids, qvecs: _scan_block(qids, qvecs, k), rows)
+    return top_k(partial, k).select("query_id", "rank", "doc_id", "score")
+
+
+def _block_pairs(docs: DataFrame, asked: DataFrame, scan_of: Callable, rows: int) -> DataFrame:
     n_docs = max(1, -(-docs.count() // rows))
     n_asked = max(1, -(-asked.count() // rows))
     left = docs.select(
@@ -194,16 +229,15 @@ def blocked_vector_search(docs: DataFrame, asked: DataFrame, k: int, rows: int =
         empty = pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
         if len(d) == 0 or len(q) == 0:
             return empty
-        scan = _scan_block(q["query_id"].to_numpy(dtype="int64"), _unit(q["vec"]), k)
+        scan = scan_of(q["query_id"].to_numpy(dtype="int64"), _unit(q["vec"]))
         out = list(scan(iter([d])))
         return pd.concat(out) if out else empty
 
-    partial = (
+    return (
         left.groupBy("db", "qb")
         .cogroup(right.groupBy("db", "qb"))
         .applyInPandas(pair, "query_id bigint, doc_id bigint, score double")
     )
-    return top_k(partial, k).select("query_id", "rank", "doc_id", "score")
 
 
 # --- fusion and hybrid ---------------------------------------------------------------------

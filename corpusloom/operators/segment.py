@@ -225,14 +225,11 @@ def brace_chunks(lines: Column, minimum: int = MIN_CHARS) -> Column:
             lambda st: F.struct(
                 after.alias("depth"),
                 F.filter(st, lambda c: ~closes(c)).alias("stack"),
-                F.concat(
-                    s["done"],
-                    F.transform(
-                        F.filter(st, closes),
-                        lambda c: F.struct(
-                            c["line"].alias("line"), i.alias("end"), c["name"].alias("name"),
-                            c["type"].alias("type"),
-                        ),
+                F.transform(
+                    F.filter(st, closes),
+                    lambda c: F.struct(
+                        c["line"].alias("line"), i.alias("end"), c["name"].alias("name"),
+                        c["type"].alias("type"),
                     ),
                 ).alias("done"),
             ),
@@ -245,7 +242,7 @@ def brace_chunks(lines: Column, minimum: int = MIN_CHARS) -> Column:
         F.lit(0).alias("depth"), F.array().cast(_OPEN).alias("stack"),
         F.array().cast(_CLOSED).alias("done"),
     )
-    done = F.aggregate(numbered, zero, step, lambda s: s["done"])
+    done = F.flatten(F.transform(scan(numbered, zero, step), lambda s: s["done"]))
     cut = F.transform(
         done,
         lambda c: F.struct(

@@ -84,6 +84,19 @@ def coverage_plan(files: DataFrame, pages: DataFrame, covered: DataFrame, min_pa
     )
 
 
+def coverage_plan_files(files: DataFrame, covered: DataFrame, plan: DataFrame) -> DataFrame:
+    """``filename, pos, path``: the first ten uncovered files of each page of ``coverage_plan``."""
+    open_ = uncovered_files(files.select("path"), covered)
+    folder = T.dir_name("path")
+    keys = F.array(
+        F.struct(F.lit(1).alias("place"), F.when(folder == ".", "root").otherwise(folder).alias("key")),
+        F.struct(F.lit(2).alias("place"), T.extension("path").alias("key")),
+    )
+    rows = open_.select("path", F.explode(keys).alias("page"))
+    pages = plan.select(F.struct("place", "key").alias("page"), "filename")
+    return P.first_files(rows, "page", fixed.PLANNED_PAGE_FILES).join(pages, "page").select("filename", "pos", "path")
+
+
 # --- comprehensive plan ----------------------------------------------------------------------
 def comprehensive_plan(files: DataFrame, min_pages: int, project_type: Column) -> DataFrame:
     """Overview, top directories, extensions and getting started, about ``min_pages`` in all."""
@@ -206,7 +219,7 @@ def pattern_plan(files: DataFrame, project_type: str = "software project") -> Da
         F.lit(3).alias("place"), F.col("path").alias("ord"),
         F.concat(T.name_title(T.stem("path")), F.lit(" (Core)")).alias("title"),
         F.concat(F.lower(T.stem("path")), F.lit(".md")).alias("filename"), F.lit("module").alias("type"),
-        F.concat(F.lit("Core application file: "), "path").alias("context"),
+        F.concat(F.lit("Core application file: "), "path", F.lit(fixed.CORE_FILE_CONTEXT)).alias("context"),
     )
     ends = files.agg(F.count("*").alias("_n")).select(
         F.inline(
@@ -218,9 +231,8 @@ def pattern_plan(files: DataFrame, project_type: str = "software project") -> Da
                     )
                     for p, t, f, k, c in [
                         (0, "Architecture Overview", "architecture.md", "overview",
-                         f"High-level architecture of this {project_type} project."),
-                        (5, "Getting Started", "getting-started.md", "guide",
-                         "Installation, setup and development workflow"),
+                         fixed.OVERVIEW_CONTEXT.format(project_type)),
+                        (5, "Getting Started", "getting-started.md", "guide", fixed.GETTING_STARTED_CONTEXT),
                     ]
                 ]
             )
@@ -231,20 +243,38 @@ def pattern_plan(files: DataFrame, project_type: str = "software project") -> Da
     )
 
 
-def pattern_plan_files(files: DataFrame) -> DataFrame:
-    """``filename, path`` of the bucket pages: capped where the page lists a first few only."""
-    rows = bucket_files(files)
-    out = None
-    for i, (_, filename, _, _, _, _, cap, _) in enumerate(fixed.PAGE_BUCKETS):
-        part = rows.where(F.col("bucket") == i)
-        part = part.select("path").orderBy("path").limit(cap) if cap else part.select("path")
-        part = part.select(F.lit(filename).alias("filename"), "path")
-        out = part if out is None else out.unionByName(part)
+def pattern_plan_files(files: DataFrame, plan: DataFrame) -> DataFrame:
+    """``filename, path`` of the pages of ``pattern_plan(files)``: the first files where a page lists only some."""
+
+    def planned(*places: int) -> DataFrame:
+        return plan.where(F.col("place").isin(*places)).select("filename", "ord")
+
+    dir_of = files.select("path", P.meaningful_dir().alias("dir")).where("dir IS NOT NULL")
+    first = P.directory_structure(files).select("dir", F.col("first_path").alias("ord"))
+    dirs = P.first_files(dir_of, "dir", fixed.DIRECTORY_PAGE_FILES).join(
+        planned(1).join(first, "ord").select("dir", "filename"), "dir"
+    )
+    names = F.array(*[F.lit(b[1]) for b in fixed.PAGE_BUCKETS])
+    caps = F.array(*[F.lit(b[6]).cast("int") for b in fixed.PAGE_BUCKETS])
+    rows = bucket_files(files).select(
+        "bucket", "path", F.get(names, F.col("bucket")).alias("filename"), F.get(caps, F.col("bucket")).alias("cap")
+    )
+    rows = rows.join(planned(2, 4).select("filename"), "filename", "left_semi")
+    few = rows.where("cap IS NOT NULL").withColumn(
+        "pos", F.row_number().over(Window.partitionBy("bucket").orderBy("path"))
+    )
+    few = few.where((F.col("pos") <= max(b[6] or 0 for b in fixed.PAGE_BUCKETS)) & (F.col("pos") <= F.col("cap")))
     setup = files.where(F.col("path").rlike(fixed.SETUP_FILE_PATTERN)).select("path")
-    entries = P.entry_points(files, 5).select("path")
-    start = setup.union(entries).select(F.lit("getting-started.md").alias("filename"), "path")
-    overview = P.entry_points(files).select(F.lit("architecture.md").alias("filename"), "path")
-    return out.unionByName(start).unionByName(overview)
+    start = setup.union(P.entry_points(files, 5).select("path")).withColumn("filename", F.lit("getting-started.md"))
+    overview = P.entry_points(files).select("path").withColumn("filename", F.lit("architecture.md"))
+    parts = [
+        dirs, rows.where("cap IS NULL"), few, planned(3).withColumnRenamed("ord", "path"),
+        start.join(planned(5), "filename", "left_semi"), overview,
+    ]
+    out = parts[0].select("filename", "path")
+    for part in parts[1:]:
+        out = out.unionByName(part.select("filename", "path"))
+    return out
 
 
 def candidate_files(missing: DataFrame, files: DataFrame, most: int = 10) -> DataFrame:

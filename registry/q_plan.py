@@ -288,8 +288,7 @@ _DT = "array_to_string(list_transform(string_split_regex(key, '[-_/]'), lambda w
 _SLUG = S.rx(S.rx("lower(title)", "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-@query("pln2_coverage_plan", f"""
-WITH {FILES}, {_EXIST},
+_COVER = f"""{_EXIST},
 op AS (SELECT path, {DIR} AS dir, {EXT} AS ext FROM files WHERE path NOT IN (SELECT path FROM cov)),
 d AS (SELECT 1 AS place, CASE WHEN dir = '.' THEN 'root' ELSE dir END AS key, count(*) AS n, min(path) AS first FROM op GROUP BY dir HAVING count(*) >= 2),
 dt AS (SELECT *, CASE WHEN key = 'root' THEN 'Core Modules' ELSE {_DT} END AS title, 'Source files in ' || key || ' - part of Mixed' AS context FROM d),
@@ -297,13 +296,28 @@ e AS (SELECT 2 AS place, ext AS key, count(*) AS n, min(path) AS first FROM op G
 et AS (SELECT *, {S.mapping('key', fixed.COVERAGE_EXTENSION_TITLES, "upper(replace(key, '.', '')) || ' Files'")} AS title, n || ' ' || key || ' files in the project' AS context FROM e),
 al AS (SELECT *, row_number() OVER (PARTITION BY lower(title) ORDER BY place, CASE WHEN place = 1 THEN -n ELSE 0 END, CASE WHEN place = 1 THEN key ELSE first END) AS r
   FROM (SELECT * FROM dt UNION ALL SELECT * FROM et) WHERE lower(title) NOT IN (SELECT lower(title) FROM ex)),
-rk AS (SELECT *, row_number() OVER (ORDER BY place, CASE WHEN place = 1 THEN -n ELSE 0 END, CASE WHEN place = 1 THEN key ELSE first END) AS ord FROM al WHERE r = 1)
-SELECT ord, title, {_SLUG} || '.md' AS filename, context FROM rk WHERE ord <= 25 - (SELECT count(*) FROM ex)""")
-def pln2(spark, d):
+rk AS (SELECT *, row_number() OVER (ORDER BY place, CASE WHEN place = 1 THEN -n ELSE 0 END, CASE WHEN place = 1 THEN key ELSE first END) AS ord FROM al WHERE r = 1),
+plan AS (SELECT place, key, ord, title, {_SLUG} || '.md' AS filename, context FROM rk WHERE ord <= 25 - (SELECT count(*) FROM ex))"""
+
+
+def coverage(spark, d):
     pages = table(spark, d, "documents").where("n_chars > 20000").select(F.concat(F.lit("Page "), "source").alias("title")).distinct()
     fs = files(spark, d)
-    plan = PP.coverage_plan(fs, pages, fs.where("size > 1500"), 25, "Mixed")
-    return plan.select("ord", "title", "filename", "context")
+    return fs, fs.where("size > 1500"), PP.coverage_plan(fs, pages, fs.where("size > 1500"), 25, "Mixed")
+
+
+@query("pln2_coverage_plan", f"WITH {FILES}, {_COVER} SELECT ord, title, filename, context FROM plan")
+def pln2(spark, d):
+    return coverage(spark, d)[2].select("ord", "title", "filename", "context")
+
+
+@query("pln2_coverage_plan_files", f"""
+WITH {FILES}, {_COVER},
+l AS (SELECT path, place, key, row_number() OVER (PARTITION BY place, key ORDER BY path)::INT AS pos FROM (
+  SELECT path, 1 AS place, CASE WHEN dir = '.' THEN 'root' ELSE dir END AS key FROM op UNION ALL SELECT path, 2, ext FROM op))
+SELECT filename, pos, path FROM plan JOIN l USING (place, key) WHERE pos <= 10""")
+def pln2b(spark, d):
+    return PP.coverage_plan_files(*coverage(spark, d))
 
 
 _COMP = f"""rw AS (SELECT path, string_split(path, '/')[1] AS top, {EXT} AS ext FROM files),
@@ -357,16 +371,18 @@ def pln4a(spark, d):
     return PP.bucket_files(files(spark, d))
 
 
-@query("pln4_pattern_plan", f"""
-WITH {FILES}, {DST}, {PTY}, bk AS ({_BK}),
+_PATTERN = f"""bk AS ({_BK}),
 sp AS (SELECT * FROM (VALUES {_BSPEC}) t(bucket, title, filename, type, least_n, context)),
-pg0 AS (SELECT 0 AS place, '' AS ord, 'Architecture Overview' AS title, 'architecture.md' AS filename, 'overview' AS type, 'High-level architecture of this software project project.' AS context
+pg0 AS (SELECT 0 AS place, '' AS ord, 'Architecture Overview' AS title, 'architecture.md' AS filename, 'overview' AS type, '{fixed.OVERVIEW_CONTEXT.format('software project')}' AS context
  UNION ALL SELECT 1, first_path, title, filename, type, context FROM pty WHERE files >= 2
  UNION ALL SELECT CASE WHEN filename = 'configuration.md' THEN 4 ELSE 2 END, lpad(bucket::VARCHAR, 2, '0'), title, filename, type, context FROM sp
    JOIN (SELECT bucket, count(*) AS n FROM bk GROUP BY bucket) c USING (bucket) WHERE n >= least_n
    AND (bucket <> 0 OR (SELECT count(*) FROM pty WHERE files >= 2 AND contains(title, 'Component')) = 0)
- UNION ALL SELECT 5, '', 'Getting Started', 'getting-started.md', 'guide', 'Installation, setup and development workflow')
-SELECT place, ord, title, filename, type, context FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY place, ord) AS r FROM pg0) WHERE r = 1""")
+ UNION ALL SELECT 5, '', 'Getting Started', 'getting-started.md', 'guide', '{fixed.GETTING_STARTED_CONTEXT}'),
+plan AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY place, ord) AS r FROM pg0) WHERE r = 1)"""
+
+
+@query("pln4_pattern_plan", f"WITH {FILES}, {DST}, {PTY}, {_PATTERN} SELECT place, ord, title, filename, type, context FROM plan")
 def pln4(spark, d):
     return PP.pattern_plan(files(spark, d))
 
@@ -378,14 +394,17 @@ _CAPPED = " UNION ALL ".join(
 
 
 @query("pln4_pattern_plan_files", f"""
-WITH {FILES}, bk AS ({_BK}), en AS ({ENTRIES})
-{_CAPPED}
-UNION ALL SELECT 'getting-started.md', path FROM files WHERE regexp_matches(path, '{fixed.SETUP_FILE_PATTERN}')
-UNION ALL SELECT 'getting-started.md', path FROM (SELECT path FROM (SELECT DISTINCT path, CASE WHEN regexp_matches(path, '{_ANCH}') THEN 0 ELSE 1 END AS kind FROM files
-  WHERE regexp_matches(path, '{_ANCH}') OR {S.suffix_any('path', fixed.INDEX_FILE_SUFFIXES)} ORDER BY kind, path LIMIT 5))
+WITH {FILES}, {DST}, {PTY}, {_PATTERN}, en AS ({ENTRIES}), cp AS ({_CAPPED}),
+dl AS (SELECT path, dir, row_number() OVER (PARTITION BY dir ORDER BY path) AS n FROM (SELECT path, {_PARTS}[1] AS dir FROM files WHERE {DIR} <> '.' AND len({_PARTS}) > 0))
+SELECT plan.filename, dl.path FROM plan JOIN dst ON place = 1 AND ord = first_path JOIN dl USING (dir) WHERE n <= 20
+UNION ALL SELECT filename, path FROM cp WHERE filename IN (SELECT filename FROM plan WHERE place IN (2, 4))
+UNION ALL SELECT filename, path FROM plan, files WHERE place = 5 AND regexp_matches(path, '{fixed.SETUP_FILE_PATTERN}')
+UNION ALL SELECT filename, path FROM plan, (SELECT path FROM (SELECT DISTINCT path, CASE WHEN regexp_matches(path, '{_ANCH}') THEN 0 ELSE 1 END AS kind FROM files
+  WHERE regexp_matches(path, '{_ANCH}') OR {S.suffix_any('path', fixed.INDEX_FILE_SUFFIXES)} ORDER BY kind, path LIMIT 5)) WHERE place = 5
 UNION ALL SELECT 'architecture.md', path FROM en""")
 def pln4b(spark, d):
-    return PP.pattern_plan_files(files(spark, d))
+    fs = files(spark, d)
+    return PP.pattern_plan_files(fs, PP.pattern_plan(fs))
 
 
 @query("pln6_candidate_files", f"""

@@ -196,7 +196,7 @@ ROUND3 = "query_id, rank, doc_id, round(score, 6) AS score, round(vector_score,
 
 def hybrid_inputs(spark, d):
     q = derive(spark, d, "queries").join(
-        doc_vectors(spark, d).withColumnRenamed("doc_id", "query_id"), "query_id"
+        doc_vectors(spark, d).withColumnRenamed("doc_id", "query_id"), "query_id", "left"
     )
     return saved_index(spark, d), doc_vectors(spark, d), q
 
@@ -327,7 +327,7 @@ ctx AS ({S.ranked('allc', 5)})"""
 
 def context_rows(spark, d):
     q = derive(spark, d, "queries").join(
-        doc_vectors(spark, d).withColumnRenamed("doc_id", "query_id"), "query_id"
+        doc_vectors(spark, d).withColumnRenamed("doc_id", "query_id"), "query_id", "left"
     )
     return S_.context_search(doc_vectors(spark, d), page_fields(spark, d), q, threshold=0.45)
 
@@ -393,11 +393,10 @@ def sch18(spark, d):
 @query("flt9_relevance_threshold", f"""
 WITH {VEC}, {CENTROIDS},
 near AS (SELECT query_id, doc_id, list_dot_product(u, v) / sqrt(list_dot_product(v, v)) AS score FROM cq, unit)
-SELECT query_id, doc_id, round(score, 6) AS score FROM ({S.ranked('near', 100)}) WHERE score > 0.3""")
+SELECT query_id, doc_id, round(score, 6) AS score FROM near WHERE round(score, 9) > 0.3""")
 def flt9(spark, d):
-    near = S_.vector_search(doc_vectors(spark, d), label_centroids(spark, d), 100)
-    near = near.where(F.col("score") > fixed.RELEVANCE_THRESHOLD)
-    return rounded(near.select("query_id", "doc_id", "score"), "score")
+    near = S_.vectors_above(doc_vectors(spark, d), label_centroids(spark, d), fixed.RELEVANCE_THRESHOLD)
+    return rounded(near, "score")
 
 
 @query("win1_fusion_rank", f"""

@@ -112,9 +112,21 @@ def test_plans(spark):
     files = spark.createDataFrame([(p,) for p in paths], "path string")
     plan = {r["filename"]: r for r in PP.pattern_plan(files).collect()}
     assert plan["components.md"]["title"] == "Components" and plan["state-management.md"]["type"] == "module"
+    listed = {}
+    for r in PP.pattern_plan_files(files, PP.pattern_plan(files)).collect():
+        listed.setdefault(r["filename"], []).append(r["path"])
+    assert set(listed) <= set(plan)  # no file of a page that is not planned
+    assert sorted(listed["components.md"]) == paths[:6]
+    assert "package.json" in listed["getting-started.md"]
     assert plan["architecture.md"]["place"] == 0 and plan["getting-started.md"]["place"] == 5
     cover = PP.coverage_plan(files, spark.createDataFrame([("Src Store",)], "title string"),
                              spark.createDataFrame([("src/index.ts",)], "path string"), 5, "X").orderBy("ord").collect()
     assert [r["title"] for r in cover] == ["Src Components", "React Components"]
+    covered = spark.createDataFrame([("src/index.ts",)], "path string")
+    planned = PP.coverage_plan(files, spark.createDataFrame([("Src Store",)], "title string"), covered, 5, "X")
+    got = PP.coverage_plan_files(files, covered, planned).collect()
+    assert sorted((r["filename"], r["pos"], r["path"]) for r in got) == sorted(
+        (name, i + 1, f"src/components/C{i}.tsx") for name in ("src-components.md", "react-components.md") for i in range(6)
+    )
     assert P.batch_plan(spark.range(7), 3).orderBy("batch").collect()[-1]["chunks_in_batch"] == 1
     assert P.minimum_pages(files).first()["min_pages"] == 5

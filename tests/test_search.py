@@ -114,6 +114,20 @@ def test_vector_search_blocked_equals_scan(spark):
     assert [g[:3] for g in got] == [w[:3] for w in want] and len(got) == 45
 
 
+def test_vectors_above_a_threshold_are_all_kept(spark, monkeypatch):
+    vecs = spark.createDataFrame(
+        [(i, [1.0, i / 100]) for i in range(300)] + [(300, None)], "doc_id bigint, embedding array<double>"
+    )
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "query_id bigint, embedding array<double>")
+    want = sorted((1, i) for i in range(300) if 1 / (1 + (i / 100) ** 2) ** 0.5 > 0.5) + sorted(
+        (3, i) for i in range(300) if (i / 100) / (1 + (i / 100) ** 2) ** 0.5 > 0.5
+    )
+    found = lambda: sorted((r["query_id"], r["doc_id"]) for r in S.vectors_above(vecs, q, 0.5).collect())
+    assert found() == want
+    monkeypatch.setattr(S, "BLOCK_ROWS", 1)  # the way of many queries gives the same rows
+    assert found() == want
+
+
 def test_vector_search_filters_before_ranking_and_keeps_zero_vectors(spark):
     vecs = spark.createDataFrame([(0, [1.0, 0.0]), (1, [5.0, 5.0]), (2, [0.0, 0.0])], "doc_id long, embedding array<double>")
     q = spark.createDataFrame([(7, [2.0, 0.0])], "query_id long, embedding array<double>")
