@@ -19,8 +19,12 @@ def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column])
     """State after each item of an ordered array, as an array of the same length.
 
     States are collected in blocks of ``BLOCK``, so appending costs a bounded copy per item
-    even where a file has very many lines.
+    even where a file has very many lines; ``items`` is computed once, not once a block.
     """
+    return bind(items, lambda known: _scan(known, zero, step))
+
+
+def _scan(items: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
     count = F.size(items)
     blocks = F.when(
         count > 0,

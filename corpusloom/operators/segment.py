@@ -551,7 +551,7 @@ def merge_small(chunks: Column, minimum: int = 2 * MIN_CHARS) -> Column:
     """Merge runs of chunks shorter than ``minimum`` until a run reaches it.
 
     A run of several becomes one ``file`` chunk with the names joined; a single one stays.
-    Fold over the file's own chunk array: a closed run is appended, the open run is kept aside.
+    Scan over the file's own chunk array: each state holds what its chunk closed and the open run.
     """
 
     def join(run: Column) -> Column:
@@ -578,23 +578,26 @@ def merge_small(chunks: Column, minimum: int = 2 * MIN_CHARS) -> Column:
             F.when(
                 large,
                 F.struct(
-                    F.concat(s["out"], join(s["run"]), F.array(c)).alias("out"),
+                    F.concat(join(s["run"]), F.array(c)).alias("out"),
                     F.slice(s["run"], F.lit(1), F.lit(0)).alias("run"), F.lit(0).alias("chars"),
                 ),
             )
             .when(
                 total >= minimum,
                 F.struct(
-                    F.concat(s["out"], bind(run, join)).alias("out"),
+                    bind(run, join).alias("out"),
                     F.slice(s["run"], F.lit(1), F.lit(0)).alias("run"), F.lit(0).alias("chars"),
                 ),
             )
-            .otherwise(F.struct(s["out"].alias("out"), run.alias("run"), total.alias("chars")))
+            .otherwise(F.struct(F.slice(s["out"], F.lit(1), F.lit(0)).alias("out"), run.alias("run"), total.alias("chars")))
         )
 
     zero = F.struct(none.alias("out"), none.alias("run"), F.lit(0).alias("chars"))
-    folded = F.aggregate(chunks, zero, step, lambda s: F.concat(s["out"], join(s["run"])))
-    return F.when(F.size(chunks) <= 1, chunks).otherwise(folded)
+    merged = bind(
+        scan(chunks, zero, step),
+        lambda st: F.concat(F.flatten(F.transform(st, lambda s: s["out"])), join(F.element_at(st, -1)["run"])),
+    )
+    return F.when(F.size(chunks) <= 1, chunks).otherwise(merged)
 
 
 # --- line windows ------------------------------------------------------------------------------------------------
@@ -604,7 +607,7 @@ def line_windows(files: DataFrame, size: int = fixed.WINDOW_CHARS,
     """Windows of about ``size`` characters that prefer to end at a logical line.
 
     The end of a window is found by binary search in the running line sizes, so a window costs
-    a logarithm of the file's lines; the windows themselves are a fold. Stops at the end of
+    a logarithm of the file's lines; the windows themselves are a scan. Stops at the end of
     the file.
     """
 
@@ -662,18 +665,16 @@ def _windows(lines: Column, ends: Column, size: int, overlap: int, look: int, le
             nxt = F.when(back > s["start"], back).otherwise(end + 1)
             return F.struct(
                 F.when(end >= total, total + 1).otherwise(nxt).cast("int").alias("start"),
-                F.concat(
-                    s["out"], F.array(F.struct(s["start"].alias("start_line"), end.alias("end_line")))
-                ).alias("out"),
+                s["start"].alias("start_line"), end.alias("end_line"),
             )
 
-        return F.when(s["start"] > total, s).otherwise(bind(end_of(s["start"]), advance))
+        return F.when(s["start"] > total, F.struct(s["start"].alias("start"), none.alias("start_line"), none.alias("end_line"))).otherwise(
+            bind(end_of(s["start"]), advance)
+        )
 
-    zero = F.struct(
-        F.lit(1).alias("start"),
-        F.array().cast("array<struct<start_line:int,end_line:int>>").alias("out"),
-    )
-    cuts = F.aggregate(F.sequence(F.lit(1), total), zero, step, lambda s: s["out"])
+    none = F.lit(None).cast("int")
+    zero = F.struct(F.lit(1).alias("start"), none.alias("start_line"), none.alias("end_line"))
+    cuts = F.filter(scan(F.sequence(F.lit(1), total), zero, step), lambda s: s["end_line"].isNotNull())
     chunks = F.transform(
         cuts,
         lambda c: F.struct(
@@ -686,26 +687,43 @@ def _windows(lines: Column, ends: Column, size: int, overlap: int, look: int, le
 
 # --- markdown passages ----------------------------------------------------------------------------------------------
 def _pack(parts: Column, prefix: Column, size: int) -> Column:
-    """Greedy packing of ordered parts into passages of about ``size`` characters."""
-
-    def step(s: Column, p: Column) -> Column:
-        full = (F.length(s["cur"]) + F.length(p) > size) & (F.length(s["cur"]) > 50)
-        return F.when(
-            full,
-            F.struct(
-                F.concat(s["out"], F.array(T.strip_ends(s["cur"]))).alias("out"),
-                F.concat(prefix, p, F.lit(" ")).alias("cur"),
-            ),
-        ).otherwise(
-            F.struct(s["out"].alias("out"), F.concat(s["cur"], p, F.lit(" ")).alias("cur"))
+    """Greedy packing of ordered parts into passages of about ``size`` characters.
+
+    The lengths alone tell where passages begin; each is then joined from its slice of the parts.
+    """
+    own = F.length(prefix)
+
+    def step(s: Column, n: Column) -> Column:
+        full = (s["chars"] + n > size) & (s["chars"] > 50)
+        return F.struct(
+            (F.when(full, own).otherwise(s["chars"]) + n + 1).alias("chars"),
+            full.alias("begins"),
+        )
+
+    def packed(ps: Column) -> Column:
+        states = scan(F.transform(ps, F.length), F.struct(own.alias("chars"), F.lit(False).alias("begins")), step)
+        begins = F.filter(
+            F.transform(states, lambda s, i: F.when(s["begins"], i + 1)), lambda i: i.isNotNull()
         )
+        bounds = F.concat(F.array(F.lit(1)), begins, F.array(F.size(ps) + 1))
 
-    def finish(s: Column) -> Column:
-        rest = T.strip_ends(s["cur"])
-        return F.when(F.length(rest) > 50, F.concat(s["out"], F.array(rest))).otherwise(s["out"])
+        return bind(
+            bounds,
+            lambda bs: F.filter(
+                F.transform(
+                    F.slice(bs, F.lit(2), F.size(bs)),
+                    lambda at, i: F.struct(
+                        T.strip_ends(
+                            F.concat(prefix, F.array_join(F.slice(ps, F.get(bs, i), at - F.get(bs, i)), " "))
+                        ).alias("passage"),
+                        (i == F.size(bs) - 2).alias("last"),
+                    ),
+                ),
+                lambda x: ~x["last"] | (F.length(x["passage"]) > 50),
+            )["passage"],
+        )
 
-    zero = F.struct(F.array().cast("array<string>").alias("out"), prefix.alias("cur"))
-    return F.aggregate(parts, zero, step, finish)
+    return bind(parts, packed)
 
 
 def _section_passages(content: Column, size: int) -> Column:

@@ -194,3 +194,25 @@ def test_declarations_of_many_lines_are_read_to_their_end(spark):
     found = {r["name"]: r for r in K.segment_typescript(files, merge=False).collect()}
     assert found["big"]["signature"] == "big(" + ", ".join(f"p{i}: number" for i in range(30)) + "): string"
     assert found["big"]["is_public"] and found["appConfig"]["chunk_type"] == "constant"
+
+
+def test_files_of_very_many_lines_stay_linear(spark):
+    """Twice the lines cost about twice the time: no fold copies what it has closed."""
+    import time
+
+    def seconds(lines: int) -> float:
+        n = lines // 4
+        cs = "\n".join(f"public class C{i}\n{{\n  // {'x' * 100}\n}}" for i in range(n))
+        ts = "\n".join(f"export function f{i}() {{\n  // {'x' * 100}\n}}\n" for i in range(n))
+        page = "# Head\n\n" + "\n\n".join(f"Paragraph number {i} has more than thirty characters." for i in range(n))
+        table = spark.createDataFrame([(f"a.{i}", t) for i, t in enumerate((cs, ts, page))], "path string, content string")
+        began = time.time()
+        assert G.segment_braces(table.where("path = 'a.0'")).count() == n
+        assert K.segment_typescript(table.where("path = 'a.1'"), merge=False).count() >= n
+        assert G.line_windows(table.where("path = 'a.0'")).count() > n / 40
+        assert G.passages(table.where("path = 'a.2'")).count() > n / 40
+        return time.time() - began
+
+    seconds(400)
+    small, large = seconds(10_000), seconds(40_000)
+    assert large < 8 * small + 10, (small, large)
