@@ -31,10 +31,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_CHARS = 12
 
-#: Runs that can hold an encoded key: base64 in lines as well, hex in either case.
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+#: First characters of whatever ``confirmed`` accepts: a sequence, a key name after its length, ``openssh-key-v1``.
+#: They stand at the start of a run, after a slash, or after a line break that is written as a backslash and a letter.
+KEY_START = re.compile(
+    r"(?:(?<![A-Za-z0-9+])|(?<=\\[nrt]))(?:M[A-I]|A[A-Za-z0-9+/]{5}(?:N[rz]|Vj)|b3BlbnNzaC1rZXktdjEA)"
+)
+KEY_LINE = re.compile(r"[A-Za-z0-9+/]+")
+PADDING = re.compile(r"={0,2}")
+LINE_BREAK = re.compile(r"[\x20\t]*(?:\\+r)?(?:\r?\n|\\+n)[\x20\t]*")
+#: No key is shorter, in bytes.
+LEAST_KEY = 30
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{64,}")
-TOKEN_RUN = re.compile(r"[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*")
+#: Words joined by dots, three or more; and the places in a word where a header can start besides its first character.
+TOKEN_CHAIN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}")
+TOKEN_START = re.compile(r"\A|e(?:y[A-DI-L]|w[k-r0-3])")
+TOKEN_HEADER = 12
 
 
 def der_element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -88,6 +99,9 @@ def is_der_key(data: bytes) -> bool:
     return bool(inner) and inner[0][0] == 6
 
 
+SSH_NAME = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+")
+
+
 def is_ssh_key(data: bytes) -> bool:
     """``openssh-key-v1`` with its three names, or a public blob of length-prefixed fields."""
 
@@ -105,7 +119,7 @@ def is_ssh_key(data: bytes) -> bool:
         got = fields(15, 3)
         return bool(got) and len(got) == 3 and got[0].isascii() and got[0] != b""
     got = fields(0, 16)
-    return bool(got) and len(got) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", got[0]) is not None
+    return bool(got) and len(got) >= 2 and SSH_NAME.fullmatch(got[0]) is not None
 
 
 def is_token(run: str) -> bool:
@@ -122,6 +136,104 @@ def confirmed(data: bytes) -> str | None:
     return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
 
 
+class Lines:
+    """Base64 characters of a text from one place on, read line by line as they are asked for."""
+
+    def __init__(self, text: str, at: int):
+        self.text, self.at, self.chars = text, at, bytearray()
+        self.ends: dict[int, int] = {}  # after so many characters a line ends at this place of the text
+
+    def bytes(self, n: int) -> bytes:
+        """The first ``n`` bytes, or fewer if the lines hold no more."""
+        while 3 * len(self.chars) < 4 * n and (m := KEY_LINE.match(self.text, self.at)):
+            self.chars += m[0].encode()
+            end = self.ends[len(self.chars)] = PADDING.match(self.text, m.end()).end()
+            gap = LINE_BREAK.match(self.text, m.end()) if end == m.end() else None
+            self.at = gap.end() if gap else len(self.text)
+        held = self.chars[: (4 * n + 2) // 3]
+        if len(held) % 4 == 1:
+            del held[-1]
+        return base64.b64decode(bytes(held) + b"=" * (-len(held) % 4))[:n]
+
+    def end(self, n: int) -> int | None:
+        """Where the line ends that closes with byte ``n``; None if it goes on."""
+        return self.ends.get((4 * n + 2) // 3)
+
+    def fields(self, at: int, most: int) -> list[int]:
+        """Ends of the length-prefixed fields from byte ``at`` on; a second key name starts the next key."""
+        out: list[int] = []
+        while len(out) < most:
+            head = self.bytes(at + 4)
+            size = int.from_bytes(head[at:], "big")
+            if len(head) < at + 4 or len(data := self.bytes(at + 4 + size)) < at + 4 + size:
+                break
+            if len(out) > 1 and SSH_NAME.fullmatch(data, at + 4):
+                break
+            at += 4 + size
+            out.append(at)
+        return out
+
+
+def sizes(lines: Lines) -> Iterator[int]:
+    """How many bytes the key that starts here may have, most likely first."""
+    head = lines.bytes(6)
+    if len(head) < 6:
+        return
+    if head[0] == 0x30:
+        long = head[1] & 0x7F if head[1] >= 0x80 else 0
+        if long <= 4:
+            yield 2 + long + int.from_bytes(head[2 : 2 + long], "big") if long else 2 + head[1]
+        return
+    if head.startswith(b"openss"):
+        names = lines.fields(15, 3) if lines.bytes(15) == b"openssh-key-v1\0" else []
+        if len(names) < 3:
+            return
+        parts = lines.fields(names[2] + 4, 2)  # one public and one private part; no tool writes more
+        if len(parts) == 2:
+            yield parts[1]
+    else:
+        parts = lines.fields(0, 16)
+        if not parts or not SSH_NAME.fullmatch(lines.bytes(parts[0]), 4):
+            return
+        yield from reversed(parts[1:])
+        if len(parts) < 16:
+            return
+    lines.bytes(len(lines.text))
+    yield len(lines.chars) * 3 // 4
+
+
+def find_keys(text: str) -> Iterator[tuple[int, str, int]]:
+    """Encoded keys of the text. What a key says of its own size decides at which line it ends."""
+    at = 0
+    while m := KEY_START.search(text, at):
+        lines = Lines(text, m.start())
+        for n in sizes(lines):
+            data = lines.bytes(n) if n >= LEAST_KEY else b""
+            end = lines.end(n)
+            if end is not None and len(data) == n and (kind := confirmed(data)):
+                yield m.start(), kind, end
+                at = end
+                break
+        else:
+            at = m.start() + 1
+
+
+def find_tokens(text: str) -> Iterator[tuple[int, str, int]]:
+    """Signed tokens: each word of a chain may be the header, from any place where an object can start."""
+    for m in TOKEN_CHAIN.finditer(text):
+        words = m[0].split(".")
+        at, k = m.start(), 0
+        while k + 2 < len(words):
+            rest = f".{words[k + 1]}.{words[k + 2]}"
+            for s in TOKEN_START.finditer(words[k]):
+                if len(words[k]) - s.start() >= TOKEN_HEADER and is_token(words[k][s.start() :] + rest):
+                    yield at + s.start(), "token", at + len(words[k]) + len(rest)
+                    at, k = at + len(words[k]) + len(rest) + 1, k + 3
+                    break
+            else:
+                at, k = at + len(words[k]) + 1, k + 1
+
+
 def find_secrets(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of all spans of one text, in order."""
     out = []
@@ -132,19 +244,12 @@ def find_secrets(text: str) -> list[tuple[int, str, int]]:
     if "AKIA" in text:
         out += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text)]
     out += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
-    for m in BASE64_RUN.finditer(text):
-        run = re.sub(r"[\r\n=]", "", m[0])
-        try:
-            kind = confirmed(base64.b64decode(run + "=" * (-len(run) % 4)))
-        except (ValueError, binascii.Error):
-            continue
-        if kind:
-            out.append((m.start(), kind, m.end()))
+    out += find_keys(text)
     for m in HEX_RUN.finditer(text):
         if kind := confirmed(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
             out.append((m.start(), kind, m.end()))
-    if "eyJ" in text or "." in text:
-        out += [(m.start(), "token", m.end()) for m in TOKEN_RUN.finditer(text) if is_token(m[0])]
+    if "." in text:
+        out += find_tokens(text)
     return sorted(set(out), key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 

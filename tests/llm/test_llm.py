@@ -247,6 +247,38 @@ def test_secret_scan(spark):
     assert len(clean) == len(texts) + 2 and not any(secrets.find_secrets(r["text"] or "") for r in clean)
 
 
+def test_secret_keys_among_lines(spark):
+    b64 = lambda x: base64.b64encode(x).decode()
+    url = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    ed = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, bytes(range(32)))))
+    p256 = der(0x30, der(2, b"\0") + der(0x30, der(6, bytes(7)) + der(6, bytes(8))) + der(4, bytes(range(107))))
+    blob = lambda *xs: b"".join(len(x).to_bytes(4, "big") + x for x in xs)
+    ssh = blob(b"ssh-ed25519", b"k" * 32)
+    private = b"openssh-key-v1\0" + blob(b"none", b"none", b"") + (1).to_bytes(4, "big") + blob(ssh, b"p" * 136)
+    wrap = lambda x, n, gap: gap.join(x[i : i + n] for i in range(0, len(x), n))
+    assert [len(x) % 3 for x in (ed, ssh)] == [0, 0]
+    token = url({"alg": "HS256"}) + "." + url({"sub": "me"}) + ".c2ln"
+    texts, wants = [], []
+    for kind, key in (("der", ed), ("der", p256), ("ssh", ssh), ("ssh", private)):
+        for gap in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n"):
+            for n in (64, 70, 1000):
+                for before, after in (("", ""), ("key:" + gap, gap + "next: value"), ("f" * 42 + gap, gap + "word" + gap + "more")):
+                    body = wrap(b64(key), n, gap)
+                    texts.append(before + body + after)
+                    wants.append((len(before), kind, len(before) + len(body)))
+    for before, after in (("authorization.bearer.", ""), ("x.y.", ".z"), ('{"a": "\\n', '\\n"}'), ("auth_", " x")):
+        texts.append(before + token + after)
+        wants.append((len(before), "token", len(before) + len(token)))
+    for text, want in zip(texts, wants):
+        assert [s for s in secrets.find_secrets(text) if s[1] not in ("hex", "assign")] == [want], text
+    two = b64(ssh) + "\n" + b64(ssh)
+    assert [s[1:] for s in secrets.find_secrets(two)] == [("ssh", 68), ("ssh", 137)]
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs_of(spark, texts)).collect()}
+    assert all(clean[i].count("[SECRET]") >= 1 and texts[i][a:b] not in clean[i] for i, (a, _, b) in enumerate(wants))
+    assert not any(secrets.find_secrets(f" {t[:n]} ") for t in ("MCAAAAAA", "AAAAC3NzAAAA", "b3BlbnNzaC1rZXktdjEAAAAA") for n in range(25))
+    assert secrets.find_secrets("M" * 300 + "\n" + "AAAA" * 50 + "\n" + "eyJ" * 50 + ".a.b") == []
+
+
 def test_secret_base_spans_of_the_table(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in QUERIES["op6_secret_scans"](spark, SF).collect():
