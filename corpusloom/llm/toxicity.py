@@ -24,7 +24,7 @@ from corpusloom.session import settle
 ship(__name__)
 
 #: The bounds of what is learned from: labelled rows of each class, and features of the model.
-TOXIC_ROWS, CLEAN_ROWS, FEATURES = 3000, 4000, 1024
+TOXIC_ROWS, CLEAN_ROWS, FEATURES = 4000, 6000, 4096
 #: A feature must stand in so many different sentences; so copies of a text count once.
 LEAST_SENTENCES = 4
 SENTENCE = re.compile(r"[^.!?\n|]+")
@@ -131,7 +131,7 @@ def _hash(text: str) -> int:
 
 
 def _choose(cut: DataFrame, most: int) -> DataFrame:
-    """The features that speak most for label 1, by their counts over distinct sentences."""
+    """The features that tell the classes apart best, by their counts over distinct sentences."""
     once = cut.groupBy("_sentence").agg(F.max("_label").alias("y"), F.first("_features").alias("fs"))
     counts = (
         once.select("y", F.explode("fs").alias("f"))
@@ -141,7 +141,7 @@ def _choose(cut: DataFrame, most: int) -> DataFrame:
     )
     share = once.agg(F.avg("y").alias("q")).first()["q"] or 0.0
     apart = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share) + 1e-9))
-    return counts.select("f", F.round(apart, 9).alias("z")).where("z > 1").orderBy(F.desc("z"), "f").limit(most)
+    return counts.select("f", F.round(F.abs(apart), 9).alias("z")).orderBy(F.desc("z"), "f").limit(most)
 
 
 def _number(number: dict[str, int]):

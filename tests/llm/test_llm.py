@@ -389,6 +389,23 @@ def test_toxicity_held_out_and_location(spark):
     assert all(0 <= s <= 1 for r in rows.values() for s, _ in r) and rows[0] == [(0.0, [])] * 2
 
 
+def test_toxicity_keeps_features_of_clean_text(spark):
+    rows = [(f"d{i}", f"stupid {'fool' if i % 2 else 'idiot'} n{i}a", 1) for i in range(60)]
+    rows += [(f"c{i}", f"gentle {'stupid' if i % 3 == 0 else 'calm'} garden n{i}b", 0) for i in range(120)]
+    table = spark.createDataFrame(rows, "doc_id string, text string, toxic int")
+    cut = table.selectExpr("doc_id", "toxic", "text").mapInArrow(
+        toxicity._sentences, "_doc string, _label int, _sentence bigint, _features array<string>"
+    )
+    chosen = {r["f"] for r in toxicity._choose(cut, toxicity.FEATURES).collect()}
+    assert {"stupid", "gentle", "garden"} <= chosen
+    assert (toxicity.TOXIC_ROWS, toxicity.CLEAN_ROWS, toxicity.FEATURES) == (4000, 6000, 4096)
+    model = toxicity.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert model.weights["gentle"] < 0 < model.weights["idiot"]
+    docs = spark.createDataFrame([("a", "stupid idiot"), ("b", "stupid gentle garden")], "doc_id string, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert got["b"] < 0.5 < got["a"]
+
+
 def test_toxicity_learns_nothing_from_nothing(spark):
     docs = docs_of(spark, ["a b", None])
     for rows in ([], [(0, None), (1, 1), (None, 0), (5, 1)]):
