@@ -102,7 +102,8 @@ def phrase_matches(
 
     A hit is an occurrence of ``window`` consecutive words of an item; an item with fewer words is one
     window, one without words none. With ``slack`` above 0, ``near`` also lists the (item, start) of
-    shifts at which half or more of the words of a window stand within ``slack`` places of theirs.
+    shifts, negative ones too, at which half or more of the words of a window stand within ``slack`` places of
+    theirs. One of the rarest words of a window, more than half of all, is then enough for a comparison.
     Null ids and texts are kept: a null document id gives its own rows, a null item id is the empty
     text, a null text has no words. Repeated rows give their row each; empty tables give no hits or no
     rows; other columns take no part, but those of ``keep`` come along in a struct ``row``. Texts are compared only where anchors agree, so a word or a
@@ -112,7 +113,8 @@ def phrase_matches(
     known = settle(item_table(items, item_col, item_text_col, window))
     terms = settle(known.select(F.explode("words").alias("term")).distinct())
     df = document_frequency(docs, terms, text_col)
-    asked = settle(anchored(known, df, anchors))
+    # without one of more than half of its words, less than half of a window is left
+    asked = settle(anchored(known, df, max(anchors, window // 2 + 1) if slack > 0 else anchors))
     places = settle(
         asked.select("item_key", "words", F.explode(F.array_distinct(F.flatten("windows.need"))).alias("at"))
         .select("item_key", "at", F.get("words", F.col("at")).alias("term"))
@@ -120,13 +122,17 @@ def phrase_matches(
     postings = store_postings(
         docs, settle(places.select("term").distinct()), text_col, id_col, scratch_path(spark, "postings")
     )
-    shifted = by_term(postings, places).select("doc", "key", "item_key", (F.col("pos") - F.col("at")).alias("shift"), "at")
+    shift = F.col("pos") - F.col("at")
+    if slack > 0:
+        shift = F.explode(F.sequence(shift - slack, shift + slack))
+    shifted = by_term(postings, places).select("doc", "key", "item_key", shift.alias("shift"), "at")
     lines = shifted.groupBy("doc", "key", "item_key", "shift").agg(F.collect_set("at").alias("found"))
     items_side = asked.select("item_key", "item", "words", "len", "windows")
     met = lines.join(F.broadcast(items_side) if is_small(items_side) else items_side, "item_key")
     open_windows = F.filter(
         "windows",
-        lambda w: (w["start"] + F.col("shift") >= 0) & (F.size(F.array_except(w["need"], F.col("found"))) == 0),
+        lambda w: F.arrays_overlap(w["need"], F.col("found")) if slack > 0
+        else (w["start"] + F.col("shift") >= 0) & (F.size(F.array_except(w["need"], F.col("found"))) == 0),
     )
     candidates = (
         met.withColumn("starts", F.transform(open_windows, lambda w: w["start"]))
@@ -144,8 +150,9 @@ def phrase_matches(
     held = F.col("_words")
 
     def same(line: Column) -> Column:
+        starts = F.filter(line["starts"], lambda s: line["shift"] + s >= 0) if slack > 0 else line["starts"]
         real = F.filter(
-            line["starts"],
+            starts,
             lambda s: F.slice(held, line["shift"] + s + 1, line["len"]) == F.slice(line["words"], s + 1, line["len"]),
         )
         return F.transform(
@@ -174,9 +181,15 @@ def _close(held: Column, line: Column, slack: int) -> Column:
 
     def near(start: Column) -> Column:
         of = F.slice(line["words"], start + 1, line["len"])
-        n = F.size(F.filter(F.transform(of, lambda w, i: F.array_contains(
-            F.slice(held, F.greatest(line["shift"] + start + i - slack + 1, F.lit(1)), F.lit(2 * slack + 1)), w
-        )), lambda ok: ok))
+        first = line["shift"] + start - slack + 1  # may lie before the text, then fewer places are looked at
+
+        def around(i: Column) -> Column:
+            return F.slice(
+                held, F.greatest(first + i, F.lit(1)),
+                F.greatest(F.least(first + i, F.lit(1)) + 2 * slack, F.lit(0)),
+            )
+
+        n = F.size(F.filter(F.transform(of, lambda w, i: F.array_contains(around(i), w)), lambda ok: ok))
         return 2 * n >= line["len"]
 
     return F.exists(line["starts"], near)

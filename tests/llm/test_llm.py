@@ -369,6 +369,40 @@ def test_contamination(spark, monkeypatch, small):
     assert all({h["item"] for h in r["hits"]} <= {x["item"] for x in r["near"]} for r in near)
 
 
+def brute_near(text, items, slack):
+    held, out = text.split(), set()
+    for item, of in items:
+        words = of.split()
+        n = min(10, len(words))
+        for shift in range(-len(words) - slack, len(held) + slack + 1):
+            there = [w in held[max(0, shift + i - slack) : max(0, shift + i + slack + 1)] for i, w in enumerate(words)]
+            if any(2 * sum(there[s : s + n]) >= n for s in range(len(words) - n + 1)):
+                out.add((str(item), shift))
+    return out
+
+
+def test_near_windows_of_displaced_and_replaced_words(spark):
+    rnd = random.Random(6)
+    word = lambda: rnd.choice(["the", "of", *[f"w{i}" for i in range(60)]])
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((1, 4, 9, 10, 12, 25))]
+    texts = ["", "the"]
+    for k in range(60):
+        w = rnd.choice(items)[1].split()
+        for _ in range(rnd.randint(1, 4)):
+            at = rnd.randrange(len(w) + 1)
+            w[at : at + rnd.randint(0, 1)] = [f"x{k}"] * rnd.randint(0, 1)
+        lead = [f"y{i}" for i in range(rnd.randint(0, 4))]
+        texts.append(" ".join(lead + w[rnd.choice([0, 0, 3]) :]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for slack in (1, 2):
+        got = {r["doc_id"]: r for r in decontam.phrase_matches(docs, bench, slack=slack).collect()}
+        for i, t in enumerate(texts):
+            assert {tuple(x) for x in got[i]["near"]} == brute_near(t, items, slack), t
+    exact = {r["doc_id"]: sorted(r["hits"]) for r in decontam.phrase_matches(docs, bench).collect()}
+    assert {i: sorted(r["hits"]) for i, r in got.items()} == exact
+
+
 # 9 toxicity
 
 
