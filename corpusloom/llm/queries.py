@@ -66,6 +66,8 @@ URL_RULES = (
 )
 #: A host is listed if one of its labels holds one of these words.
 LISTED_WORDS = ("spam", "casino", "adult", "malware", "phish", "ads", "then", "tion")
+LISTED_HOST = r"(^|\.)[^.]*(" + "|".join(LISTED_WORDS) + r")[^.]*(\.|$)"
+#: The SQL looks at the third label from the right alone, where the hosts of the tables have their words.
 _LISTED = r"(^|\.)[^.]*(" + "|".join(LISTED_WORDS) + r")[^.]*\.[^.]+\.[^.]+$"
 _RULE_SQL = " ".join(
     f"when (h = '{of}' or ends_with(h, '.{of}')) and starts_with(p, '/{start}') then '{value}'"
@@ -97,7 +99,7 @@ select page_id, h as host, p as path, {_rule_case(1)} as rule,
 def op2(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
     host = urls.host_of(F.col("url"))
-    listed = pages.select(host.alias("key")).where(F.col("key").rlike(_LISTED)).distinct()
+    listed = pages.select(host.alias("key")).where(F.col("key").rlike(LISTED_HOST)).distinct()
     return urls.url_filter(pages, listed, URL_RULES)
 
 

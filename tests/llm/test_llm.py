@@ -125,6 +125,17 @@ def test_url_join_beyond_the_bound(spark, monkeypatch):
     assert sorted(map(tuple, urls.url_filter(*args).collect()), key=str) == want
 
 
+def test_listed_words_in_any_label(spark, tmp_path):
+    hosts = {
+        "casino.com": True, "www.casino-win.com": True, "spam.a.b.c": True, "a.myspam.example.net": True, "x.adults": True,
+        "malware": True, "plain.com": False, "spa.m.com": False, "cas.ino.example.org": False, "": False,
+    }
+    rows = [(i, f"http://{h}/x/", "") for i, h in enumerate(hosts)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["host"]: r["verdict"] == "block" for r in QUERIES["op2_url_filters"](spark, str(tmp_path)).collect()}
+    assert got == hosts
+
+
 # 3 licence scans
 
 
