@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, decontam, licenses, minhash, quality, secrets, toxicity, urls, warc
+from corpusloom.llm import bpe, chat, decontam, licenses, minhash, ngram_join, quality, secrets, toxicity, urls, warc
 from corpusloom.llm.common import read
 from corpusloom.session import scratch_path
 
@@ -264,6 +264,25 @@ def op10(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+NGRAM_SQL = r"""
+with recursive d as (select row_number() over () rid, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as (select distinct rid, array_to_string(w[i:i + 3], ' ') g
+    from (select rid, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) i from d where len(w) > 0)),
+n as (select rid, count(*) n from s group by rid),
+i as (select a.rid a, b.rid b, count(*) i from s a join s b on a.g = b.g and a.rid <> b.rid group by all),
+l as (select a, b from i join n na on na.rid = a join n nb on nb.rid = b where 100 * i >= 85 * (na.n + nb.n - i)),
+r as (select rid, rid x from d union select r.rid, l.b from r join l on l.a = r.x),
+c as (select r.rid, min(d.doc_id) c from r join d on d.rid = r.x group by r.rid)
+select doc_id, coalesce(n.n, 0) as n_shingles, c.c as component_id from d join c using (rid) left join n using (rid)"""
+
+
+@query("op13_ngram_join", NGRAM_SQL)
+def op13(spark, sf_dir):
+    return ngram_join.ngram_links(read(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
