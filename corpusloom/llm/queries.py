@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, decontam, licenses, minhash, ngram_join, quality, secrets, toxicity, urls, warc
+from corpusloom.llm import (
+    bpe, chat, decontam, lexical, licenses, minhash, negatives, ngram_join, quality, secrets, toxicity, urls, warc,
+)
 from corpusloom.llm.common import read
 from corpusloom.session import scratch_path
 
@@ -264,6 +266,49 @@ def op10(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+NEGATIVES_SQL = """
+with v as (select row_number() over () rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l,
+    list_transform(embedding, lambda x: floor(256 * x::double)) q from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x)))),
+s as (select a.rid, a.vec_id anchor_id, c.vec_id, c.l = a.l same, list_inner_product(a.q, c.q)::bigint score
+  from v a join v c on a.vec_id % 100 = 0 and a.rid <> c.rid),
+p as (select * from (select *, row_number() over (partition by rid order by score desc, vec_id) k from s where same) where k <= 5),
+n as (select p.anchor_id, p.vec_id positive_id, p.score positive_score, s.vec_id negative_id, s.score negative_score,
+    row_number() over (partition by p.rid, p.k order by s.score desc, s.vec_id) rank
+  from p join s on p.rid = s.rid and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score from n where rank <= 10"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+LEXICAL_SQL = r"""
+with d as (select row_number() over () rid, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
+b as (select row_number() over () qid, item_id, list_distinct(list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) w from benchmark),
+al as (select count(*) filter (len(w) > 0) nn, coalesce(sum(len(w)), 0)::bigint ll from d),
+m as (select rid, doc_id, 10 + ((90 * len(w) * nn) // ll) m from d, al where len(w) > 0),
+q as (select qid, item_id, unnest(w) t from b),
+tf as (select rid, t, count(*) tf from (select rid, unnest(w) t from d) where t in (select t from q) group by all),
+df as (select t, floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1)))::bigint w from tf, al group by t),
+s as (select qid, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score
+  from q join tf using (t) join df using (t) join m using (rid) group by all)
+select item_id, rank::integer as rank, doc_id, score from (
+  select *, row_number() over (partition by qid order by score desc, doc_id) rank from s where score > 0) where rank <= 10"""
+
+
+@query("op12_lexical_search", LEXICAL_SQL)
+def op12(spark, sf_dir):
+    return lexical.lexical_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 NGRAM_SQL = r"""
 with recursive d as (select row_number() over () rid, doc_id, list_filter(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
