@@ -7,7 +7,9 @@ places bound the overlap too low are dropped, and only then members are expanded
 
 Equal sets are one node from the start. A cheaper prefix filter comes first, so that frequencies are counted only where
 partners are possible: in the order of the n-gram hashes, a set that has a partner shares
-at least ``k`` of its first n - ceil(threshold * n) + k n-grams with other sets.
+at least ``k`` of its first n - ceil(threshold * n) + k n-grams with other sets. All filters ask by the last
+bits of a hash, few enough to keep the exchanges small and, as they follow the number of n-grams, enough to
+tell nearly all apart; n-grams taken for one only let more pairs through to the comparison of whole hashes.
 
 Members of a group, and groups of one list, are first compared with one head; who stands in one
 component already needs no further comparison, so a large family of near copies costs a comparison
@@ -33,8 +35,10 @@ ship(__name__)
 #: Words of an n-gram, least overlap of a link in percent of the union, and by how many percent of its
 #: n-grams the first filter looks beyond the prefix.
 GRAM, PERCENT, BEYOND = 4, 85, 10
-#: Hashed ids (8 bytes each) that the scan for sets with possible partners takes along; more are joined.
+#: Numbers (16 bytes a row) that a scan takes along to find its rows; more are joined.
 IDS_SENT = 500_000
+#: Of so many n-grams that differ one is taken for another by the filters.
+APART = 128
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -80,61 +84,68 @@ def _as_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``doc``, ``key`` (of the whole set), ``n``, ``need``, ``first`` of ``doc``, ``text``."""
+    """``doc``, ``row`` (a number for id and text), ``key`` (of the whole set), ``n``, ``need``, ``first`` of ``doc``, ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in batches_of(whole, 500):
                 keys, n, need, first = [], [], [], []
-                for text in _as_bytes(batch.column(1)):
+                for text in _as_bytes(batch.column(2)):
                     s = grams(text or b"", size)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                     n.append(len(s))
                     need.append(needed(len(s), percent) if len(s) else 0)
                     first.append(first_grams(s, percent).view(np.int64) if len(s) else [])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int64()),
+                    [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(n, pa.int64()),
                      pa.array(need, pa.int64()), pa.array(first, pa.list_(pa.int64()))],
-                    ["doc", "key", "n", "need", "first"],
+                    ["doc", "row", "key", "n", "need", "first"],
                 )
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.select("doc", "text").mapInArrow(
-        run, f"doc {kind}, key binary, n bigint, need bigint, first array<bigint>"
+    return docs.select("doc", F.xxhash64("doc", "text").alias("row"), "text").mapInArrow(
+        run, f"doc {kind}, row bigint, key binary, n bigint, need bigint, first array<bigint>"
     )
 
 
 def whole_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``key``, ``grams`` of ``text``."""
+    """``node``, ``n``, ``grams`` of ``node``, ``n``, ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in batches_of(whole, 500):
-                sets = [grams(t or b"", size) for t in _as_bytes(batch.column(0))]
+                sets = [grams(t or b"", size).view(np.int64) for t in _as_bytes(batch.column(2))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    ["key", "grams"],
+                    [batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "grams"]
                 )
 
-    return docs.select("text").mapInArrow(run, "key binary, grams array<bigint>")
+    return docs.select("node", "n", "text").mapInArrow(run, "node bigint, n bigint, grams array<bigint>")
 
 
-def with_partners(nodes: DataFrame) -> DataFrame:
-    """The ``nodes`` that share enough of ``first`` with others to have a partner."""
-    each = nodes.select("node", F.explode("first").alias("e"))
-    met = each.groupBy("e").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("e")
+def sent(few: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has no more than ``IDS_SENT`` rows."""
+    return F.broadcast(few) if is_small(few, IDS_SENT) else few
+
+
+def short(hashes: str, mask: int) -> Column:
+    return F.transform(hashes, lambda e: e.bitwiseAND(F.lit(mask)))
+
+
+def with_partners(firsts: DataFrame, mask: int) -> DataFrame:
+    """``node``, ``n``, ``row`` of the ``firsts`` that share enough of ``first`` with others to have a partner."""
+    each = firsts.select("node", F.explode(short("first", mask)).alias("e"))
+    met = each.groupBy("e").agg(F.count("*").alias("c")).where("c > 1").select("e")
     shared = each.join(met, "e").groupBy("node").agg(F.count("*").alias("shares"))
-    return nodes.drop("first").join(shared, "node").where("shares >= need").drop("shares", "need")
+    return shared.join(firsts.select("node", "n", "need", "row"), "node").where("shares >= need").select("node", "n", "row")
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+def prefixes(sets: DataFrame, percent: int, mask: int) -> DataFrame:
     """``sets`` (``node``, ``n``, ``grams``) with ``alone`` and ``prefix``, for those that can have a partner.
 
     The order is by frequency, then hash. N-grams of one set alone come first in it; they take up
     ``alone`` places of the prefix and are not listed.
     """
-    each = sets.select("node", F.explode("grams").alias("e"))
+    each = sets.select("node", F.explode(short("grams", mask)).alias("e"))
     df = each.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
     ranked = (
         each.join(df, "e")
@@ -172,8 +183,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     good.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("one"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("two"))
+    asked = sent(settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    held = sets.join(asked, "node", "left_semi")
+    left = held.select(F.col("node").alias("a"), F.col("grams").alias("one"))
+    right = held.select(F.col("node").alias("b"), F.col("grams").alias("two"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "one", "two")
     return both.mapInArrow(run, "a bigint, b bigint")
 
@@ -261,23 +274,22 @@ def ngram_links(
     signed(rows, size, percent).write.parquet(path)
     all_rows = spark.read.parquet(path)
     some = all_rows.where("n > 0")
+    total = some.agg(F.sum("n")).first()[0] or 0
+    mask = 2 ** min(62, (APART * total).bit_length()) - 1
     nodes = settle(
-        some.groupBy("key").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("first").alias("first"))
+        some.groupBy("key").agg(F.min("doc").alias("doc"), F.min("row").alias("row"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    found = settle(with_partners(nodes))
-    # whole sets are made again for these alone: equal hashes of ids only let more rows through
-    asked = found.select(F.xxhash64("doc").alias("_id"))
-    asked = F.broadcast(asked) if is_small(asked, IDS_SENT) else asked
-    texts = rows.withColumn("_id", F.xxhash64("doc")).join(asked, "_id", "left_semi")
+    # one row stands for all of its set; whole sets are made again only where partners are possible
+    firsts = some.drop("doc", "key").dropDuplicates(["row"]).join(nodes.select("row", "node"), "row")
+    found = settle(with_partners(firsts, mask))
+    texts = rows.withColumn("row", F.xxhash64("doc", "text")).join(sent(found), "row")
     path = scratch_path(spark, "ngram-sets")
-    (
-        whole_sets(texts, size).join(found.select("key", "node", "n"), "key")
-        .groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-        .write.parquet(path)
-    )
+    whole_sets(texts, size).write.parquet(path)
     sets = spark.read.parquet(path)
-    placed = settle(prefixes(sets, percent).withColumn("same", F.sha2(F.to_json(F.struct("n", "alone", "prefix")), 256)))
+    if sets.count() > found.count():  # a row that is repeated
+        sets = settle(sets.dropDuplicates(["node"]))
+    placed = settle(prefixes(sets, percent, mask).withColumn("same", F.sha2(F.to_json(F.struct("n", "alone", "prefix")), 256)))
     groups = placed.groupBy("same").agg(F.min("node").alias("g"))
     members = settle(placed.select("node", "same").join(groups, "same").select("node", "g"))
     lists = settle(
