@@ -11,7 +11,8 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,8 +40,8 @@ KEY_START = re.compile(
 KEY_LINE = re.compile(r"[A-Za-z0-9+/]+")
 PADDING = re.compile(r"={0,2}")
 LINE_BREAK = re.compile(r"[\x20\t]*(?:\\+r)?(?:\r?\n|\\+n)[\x20\t]*")
-#: No key is shorter, in bytes.
-LEAST_KEY = 30
+#: No key is shorter, in bytes, or has more elements at one level.
+LEAST_KEY, MOST_PARTS = 30, 10
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{64,}")
 #: Words joined by dots, three or more; and the places in a word where a header can start besides its first character.
 TOKEN_CHAIN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}")
@@ -48,190 +49,226 @@ TOKEN_START = re.compile(r"\A|e(?:y[A-DI-L]|w[k-r0-3])")
 TOKEN_HEADER = 12
 
 
-def der_element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+Read = Callable[[int, int], bytes]  # bytes from a place on, so many or as many as there are
+
+
+def der_element(read: Read, at: int, end: int) -> tuple[int, int, int] | None:
     """Tag, start and end of the content of the element at ``at``; None unless it fits in ``end``."""
     if at + 2 > end:
         return None
-    tag, size, at = data[at], data[at + 1], at + 2
+    head = read(at, 6)
+    tag, size, at = head[0], head[1], at + 2
     if size >= 0x80:
         n = size & 0x7F
         if not 1 <= n <= 4 or at + n > end:
             return None
-        size, at = int.from_bytes(data[at : at + n], "big"), at + n
+        size, at = int.from_bytes(head[2 : 2 + n], "big"), at + n
         if size < 0x80:
             return None
     return (tag, at, at + size) if at + size <= end else None
 
 
-def der_children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """All elements of a constructed content; None unless they fill it exactly."""
+def der_children(read: Read, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """All elements of a constructed content; None unless they fill it exactly, ``MOST_PARTS`` at most."""
     out = []
     while at < end:
-        e = der_element(data, at, end)
-        if e is None:
+        e = der_element(read, at, end)
+        if e is None or len(out) == MOST_PARTS:
             return None
         out.append(e)
         at = e[2]
     return out
 
 
-def is_der_key(data: bytes) -> bool:
+def is_der_key(read: Read, size: int) -> bool:
     """A sequence over all bytes that is shaped as one of the usual key encodings.
 
     PKCS#1 (nine integers, or two for a public key), SEC 1 (integer 1, octets), PKCS#8 (integer,
-    sequence with an object identifier, octets), subject public key (sequence, bit string).
+    sequence with an object identifier, octets), subject public key (sequence, bit string). Only
+    heads of elements are read, ten at most at one level, however much the key claims to hold.
     """
-    top = der_element(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data):
+    top = der_element(read, 0, size)
+    if top is None or top[0] != 0x30 or top[2] != size:
         return False
-    parts = der_children(data, top[1], top[2])
+    parts = der_children(read, top[1], top[2])
     if not parts:
         return False
     tags = [p[0] for p in parts]
     if tags in ([2] * 9, [2] * 2):
         return all(b > a for _, a, b in parts) and max(b - a for _, a, b in parts) >= 32
-    if tags[:2] == [2, 4] and data[parts[0][1] : parts[0][2]] == b"\x01":
+    if tags[:2] == [2, 4] and parts[0][2] - parts[0][1] == 1 and read(parts[0][1], 1) == b"\x01":
         return parts[1][2] - parts[1][1] >= 16
     algorithm = parts[1] if tags[:3] == [2, 0x30, 4] else parts[0] if tags == [0x30, 3] else None
     if algorithm is None:
         return False
-    inner = der_children(data, algorithm[1], algorithm[2])
+    inner = der_children(read, algorithm[1], algorithm[2])
     return bool(inner) and inner[0][0] == 6
 
 
-SSH_NAME = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+")
-
+#: No name of the protocol has more characters.
+SSH_NAME, MOST_NAME = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+"), 64
 
-def is_ssh_key(data: bytes) -> bool:
-    """``openssh-key-v1`` with its three names, or a public blob of length-prefixed fields."""
 
-    def fields(at: int, most: int) -> list[bytes] | None:
-        out = []
-        while at < len(data) and len(out) < most:
-            n = int.from_bytes(data[at : at + 4], "big")
-            if at + 4 + n > len(data) or len(data) - at < 4:
-                return None
-            out.append(data[at + 4 : at + 4 + n])
-            at += 4 + n
-        return out if at == len(data) or len(out) == most else None
+def ssh_fields(read: Read, size: int, at: int, most: int) -> list[tuple[int, int]]:
+    """Bounds of length-prefixed fields from ``at`` on; a second key name starts the next key."""
+    out: list[tuple[int, int]] = []
+    while len(out) < most and at + 4 <= size:
+        n = int.from_bytes(read(at, 4), "big")
+        if at + 4 + n > size or len(out) > 1 and n <= MOST_NAME and SSH_NAME.fullmatch(read(at + 4, n)):
+            break
+        out.append((at + 4, at + 4 + n))
+        at += 4 + n
+    return out
 
-    if data.startswith(b"openssh-key-v1\0"):
-        got = fields(15, 3)
-        return bool(got) and len(got) == 3 and got[0].isascii() and got[0] != b""
-    got = fields(0, 16)
-    return bool(got) and len(got) >= 2 and SSH_NAME.fullmatch(got[0]) is not None
 
+def ssh_sizes(read: Read, size: int) -> Iterator[int]:
+    """How many bytes a key blob that starts here may have, most likely first.
 
-def is_token(run: str) -> bool:
-    """Header and payload decode to JSON objects and the header names an algorithm."""
-    try:
-        head, body, _ = (base64.urlsafe_b64decode(x + "=" * (-len(x) % 4)) for x in run.split("."))
-        head, body = json.loads(head), json.loads(body)
-    except (ValueError, binascii.Error, RecursionError):
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
+    ``openssh-key-v1`` with three names and then one public and one private part, or a public blob: a name and further fields.
+    """
+    if read(0, 15) == b"openssh-key-v1\0":
+        names = ssh_fields(read, size, 15, 3)
+        if len(names) < 3 or not 0 < names[0][1] - names[0][0] <= MOST_NAME or not read(names[0][0], names[0][1] - names[0][0]).isascii():
+            return
+        parts = ssh_fields(read, size, names[2][1] + 4, 2)
+        if len(parts) == 2:
+            yield parts[1][1]
+        yield size
+        return
+    parts = ssh_fields(read, size, 0, 16)
+    if len(parts) < 2 or parts[0][1] - 4 > MOST_NAME or not SSH_NAME.fullmatch(read(4, parts[0][1] - 4)):
+        return
+    yield from (end for _, end in reversed(parts[1:]))
+    if len(parts) == 16:
+        yield size
 
 
 def confirmed(data: bytes) -> str | None:
-    return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
+    def read(at: int, n: int) -> bytes:
+        return data[at : at + n]
+
+    return "der" if is_der_key(read, len(data)) else "ssh" if len(data) in ssh_sizes(read, len(data)) else None
 
 
-class Lines:
-    """Base64 characters of a text from one place on, read line by line as they are asked for."""
+class Run:
+    """Base64 lines that follow each other from one place of a text on, read once for all keys that may start in them."""
 
     def __init__(self, text: str, at: int):
-        self.text, self.at, self.chars = text, at, bytearray()
+        parts, self.starts, self.places, n = [], [], [], 0
         self.ends: dict[int, int] = {}  # after so many characters a line ends at this place of the text
-
-    def bytes(self, n: int) -> bytes:
-        """The first ``n`` bytes, or fewer if the lines hold no more."""
-        while 3 * len(self.chars) < 4 * n and (m := KEY_LINE.match(self.text, self.at)):
-            self.chars += m[0].encode()
-            end = self.ends[len(self.chars)] = PADDING.match(self.text, m.end()).end()
-            gap = LINE_BREAK.match(self.text, m.end()) if end == m.end() else None
-            self.at = gap.end() if gap else len(self.text)
-        held = self.chars[: (4 * n + 2) // 3]
-        if len(held) % 4 == 1:
-            del held[-1]
-        return base64.b64decode(bytes(held) + b"=" * (-len(held) % 4))[:n]
-
-    def end(self, n: int) -> int | None:
-        """Where the line ends that closes with byte ``n``; None if it goes on."""
-        return self.ends.get((4 * n + 2) // 3)
-
-    def fields(self, at: int, most: int) -> list[int]:
-        """Ends of the length-prefixed fields from byte ``at`` on; a second key name starts the next key."""
-        out: list[int] = []
-        while len(out) < most:
-            head = self.bytes(at + 4)
-            size = int.from_bytes(head[at:], "big")
-            if len(head) < at + 4 or len(data := self.bytes(at + 4 + size)) < at + 4 + size:
-                break
-            if len(out) > 1 and SSH_NAME.fullmatch(data, at + 4):
+        while m := KEY_LINE.match(text, at):
+            self.starts.append(at)
+            self.places.append(n)
+            parts.append(m[0])
+            n += len(m[0])
+            end = self.ends[n] = PADDING.match(text, m.end()).end()
+            gap = LINE_BREAK.match(text, m.end()) if end == m.end() else None
+            self.stop = m.end()
+            if not gap:
                 break
-            at += 4 + size
-            out.append(at)
-        return out
-
-
-def sizes(lines: Lines) -> Iterator[int]:
-    """How many bytes the key that starts here may have, most likely first."""
-    head = lines.bytes(6)
-    if len(head) < 6:
-        return
-    if head[0] == 0x30:
-        long = head[1] & 0x7F if head[1] >= 0x80 else 0
-        if long <= 4:
-            yield 2 + long + int.from_bytes(head[2 : 2 + long], "big") if long else 2 + head[1]
-        return
-    if head.startswith(b"openss"):
-        names = lines.fields(15, 3) if lines.bytes(15) == b"openssh-key-v1\0" else []
-        if len(names) < 3:
-            return
-        parts = lines.fields(names[2] + 4, 2)  # one public and one private part; no tool writes more
-        if len(parts) == 2:
-            yield parts[1]
-    else:
-        parts = lines.fields(0, 16)
-        if not parts or not SSH_NAME.fullmatch(lines.bytes(parts[0]), 4):
-            return
-        yield from reversed(parts[1:])
-        if len(parts) < 16:
-            return
-    lines.bytes(len(lines.text))
-    yield len(lines.chars) * 3 // 4
+            at = gap.end()
+        self.chars = "".join(parts).encode()
+
+    def place(self, at: int) -> int:
+        """Which of the characters stands at a place of the text."""
+        line = bisect_right(self.starts, at) - 1
+        return self.places[line] + at - self.starts[line]
+
+    def reader(self, first: int) -> Read:
+        """Decoded bytes from a character on."""
+
+        def read(at: int, n: int) -> bytes:
+            low = at // 3
+            held = self.chars[first + 4 * low : first + 4 * -(-(at + n) // 3)]
+            if len(held) % 4 == 1:
+                held = held[:-1]
+            return binascii.a2b_base64(held + b"=" * (-len(held) % 4))[at - 3 * low : at - 3 * low + n]
+
+        return read
+
+    def key(self, first: int) -> tuple[str, int] | None:
+        """Kind and end, in the text, of the key that starts at a character; it closes with a line."""
+        size = (len(self.chars) - first) * 3 // 4
+        if size < LEAST_KEY:
+            return None
+        head = binascii.a2b_base64(self.chars[first : first + 8])
+        if head[0] == 0x30:
+            long = head[1] & 0x7F if head[1] >= 0x80 else 0
+            n = 2 + long + int.from_bytes(head[2 : 2 + long], "big") if long else 2 + head[1]
+            end = self.ends.get(first + (4 * n + 2) // 3)
+            if long > 4 or not LEAST_KEY <= n <= size or end is None:
+                return None
+            return ("der", end) if is_der_key(self.reader(first), n) else None
+        for n in ssh_sizes(self.reader(first), size):
+            end = self.ends.get(first + (4 * n + 2) // 3)
+            if n >= LEAST_KEY and end is not None:
+                return "ssh", end
+        return None
 
 
 def find_keys(text: str) -> Iterator[tuple[int, str, int]]:
     """Encoded keys of the text. What a key says of its own size decides at which line it ends."""
-    at = 0
+    at, run = 0, None
     while m := KEY_START.search(text, at):
-        lines = Lines(text, m.start())
-        for n in sizes(lines):
-            data = lines.bytes(n) if n >= LEAST_KEY else b""
-            end = lines.end(n)
-            if end is not None and len(data) == n and (kind := confirmed(data)):
-                yield m.start(), kind, end
-                at = end
-                break
+        if run is None or m.start() >= run.stop:
+            run = Run(text, m.start())
+        if key := run.key(run.place(m.start())):
+            yield m.start(), *key
+            at = key[1]
         else:
             at = m.start() + 1
 
 
+def decoded(word: str) -> bytes | None:
+    try:
+        return base64.urlsafe_b64decode(word + "=" * (-len(word) % 4))
+    except (ValueError, binascii.Error):
+        return None
+
+
+def json_object(data: bytes | None) -> dict | None:
+    try:
+        found = json.loads(data) if data is not None else None
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def header_starts(word: str) -> Iterator[int]:
+    """Places of a word from which it decodes to a JSON object with an algorithm."""
+    plain: dict[int, str] = {}  # by where groups of four characters begin; decoded once, however many starts there are
+    for s in TOKEN_START.finditer(word):
+        at = s.start()
+        if len(word) - at < TOKEN_HEADER or (len(word) - at) % 4 == 1:
+            continue
+        if at:
+            if at % 4 not in plain:
+                plain[at % 4] = (decoded(word[at % 4 :]) or b"").decode("latin-1")
+            text = plain[at % 4]
+            try:
+                if not text.endswith("}") or json.JSONDecoder().raw_decode(text, (at - at % 4) // 4 * 3)[1] != len(text):
+                    continue
+            except (ValueError, RecursionError):
+                continue
+        head = json_object(decoded(word[at:]))
+        if head is not None and isinstance(head.get("alg"), str):
+            yield at
+
+
 def find_tokens(text: str) -> Iterator[tuple[int, str, int]]:
     """Signed tokens: each word of a chain may be the header, from any place where an object can start."""
     for m in TOKEN_CHAIN.finditer(text):
         words = m[0].split(".")
         at, k = m.start(), 0
         while k + 2 < len(words):
-            rest = f".{words[k + 1]}.{words[k + 2]}"
-            for s in TOKEN_START.finditer(words[k]):
-                if len(words[k]) - s.start() >= TOKEN_HEADER and is_token(words[k][s.start() :] + rest):
-                    yield at + s.start(), "token", at + len(words[k]) + len(rest)
-                    at, k = at + len(words[k]) + len(rest) + 1, k + 3
-                    break
-            else:
+            end = at + len(words[k]) + len(words[k + 1]) + len(words[k + 2]) + 2
+            signed = len(words[k]) >= TOKEN_HEADER and len(words[k + 2]) % 4 != 1 and json_object(decoded(words[k + 1])) is not None
+            start = next(header_starts(words[k]), None) if signed else None
+            if start is None:
                 at, k = at + len(words[k]) + 1, k + 1
+            else:
+                yield at + start, "token", end
+                at, k = end + 1, k + 3
 
 
 def find_secrets(text: str) -> list[tuple[int, str, int]]:
