@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.common import batches_of, ship
+from corpusloom.llm.common import batches_of, others, ship
 
 ship(__name__)
 
@@ -122,7 +122,7 @@ def bpe_encode(
     a file that all executors have.
     """
     new = [("ids", "binary"), ("starts", "array<bigint>"), ("ends", "array<bigint>")][: 3 if offsets else 1]
-    keep = [c for c in docs.columns if c not in dict(new)]
+    keep = others(docs, *dict(new))
     place = (rows := docs.select(*keep, text_of_column(docs, text_col))).columns.index("_bpe_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def bpe_decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids") -
     Text is ``decode('utf-8')`` of it: bytes are joined first, so that characters that were split
     between tokens are whole again.
     """
-    keep = [c for c in rows.columns if c != "decoded"]
+    keep = others(rows, "decoded")
     place = keep.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -119,7 +119,7 @@ _TURN = "struct<role:string,text:string,before:bigint,chars:bigint>"
 
 
 def format_turns(rows: DataFrame, role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``rows`` with ``_rendered`` and ``_proved``: the first rendering that parses to its source."""
+    """``rows`` with ``_rendered`` and ``_proved``: the first rendering that parses to its source, ``_plain`` if nothing is escaped."""
     role, text = F.coalesce(role_col, F.lit("")), F.coalesce(text_col, F.lit(""))
     plain, safe = render_turn(role, text), render_turn(role, escape(text))
 
@@ -129,7 +129,11 @@ def format_turns(rows: DataFrame, role_col: str = "role", text_col: str = "text"
 
     return rows.withColumn("_rendered", F.when(proved(plain), plain).otherwise(safe)).withColumn(
         "_proved", proved(F.col("_rendered"))
-    )
+    ).withColumn("_plain", F.col("_rendered") == plain)
+
+
+def _filled(name: str) -> Column:
+    return F.coalesce(name, F.lit("")).alias(name)
 
 
 def format_chats(
@@ -154,12 +158,15 @@ def format_chats(
         "_role", "_text",
     )
     whole = each.groupBy("_conv").agg(
-        F.array_sort(F.collect_list(F.struct("_turn", "_rendered"))).alias("_all"),
+        F.array_sort(F.collect_list(F.struct("_turn", _filled("_role"), _filled("_text"), "_plain"))).alias("_all"),
         F.bool_and("_proved").alias("_proved"),
     )
-    text = whole.select(
-        "_conv", "_proved", F.array_join(F.transform("_all", lambda x: x["_rendered"]), "").alias("formatted")
-    )
+
+    def rendered(turn: Column) -> Column:
+        safe = F.when(turn["_plain"], turn["_text"]).otherwise(escape(turn["_text"]))
+        return render_turn(turn["_role"], safe)
+
+    text = whole.select("_conv", "_proved", F.array_join(F.transform("_all", rendered), "").alias("formatted"))
     return text.select(
         F.col("_conv").alias(conv_col), "formatted", parse(F.col("formatted")).alias("turns"),
         F.col("_proved").alias("proved"),

@@ -18,6 +18,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns of ``df`` that have none of the names, in letter case as Spark compares them."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive", "false") == "true"
+    taken = {n if exact else n.lower() for n in names}
+    return [c for c in df.columns if (c if exact else c.lower()) not in taken]
+
+
 def text_of(name: str = "text") -> Column:
     """The text with null read as empty."""
     return F.coalesce(F.col(name), F.lit(""))
@@ -36,6 +43,11 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def is_light(df: DataFrame, size: Column, most: int = 32 << 20) -> bool:
+    """Size check before a broadcast: whether all rows together take up at most so many bytes."""
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most
+
+
 def batches_of(batch: pa.RecordBatch, rows: int = 2000):
     """A batch in slices, so that what a task holds at once stays small."""
     for start in range(0, batch.num_rows, rows):

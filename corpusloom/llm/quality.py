@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import bind
-from corpusloom.llm.common import text_of
+from corpusloom.llm.common import others, text_of
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -111,7 +111,7 @@ def quality(
     A text fails the base test with fewer than ``min_words`` words or more than
     ``max_repeat_percent`` of its words in repeated 3-word windows. Null and empty texts have no
     words, so they fail it. Repeated rows are judged one by one; an empty table gives no rows;
-    other columns pass through, and one named ``quality`` is replaced.
+    other columns pass through, and one named ``quality``, in any letter case, is replaced.
     """
     inner = with_metrics(docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text")), "_text")
     m = F.col("_m")
@@ -134,6 +134,6 @@ def quality(
     q = F.col("_q")
     kept = ~q["base_failed"] & (F.size(q["failed_rules"]) == 0)
     return judged.select(
-        *[F.col("_row")[c].alias(c) for c in docs.columns if c != "quality"],
+        *[F.col("_row")[c].alias(c) for c in others(docs, "quality")],
         q.withField("kept", kept).alias("quality"),
     )

@@ -67,10 +67,8 @@ URL_RULES = (
     ("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"),
 )
 #: A host is listed if one of its labels holds one of these words.
-LISTED_WORDS = ("spam", "casino", "adult", "malware", "phish", "ads", "then", "tion")
+LISTED_WORDS = ("spam", "casino", "adult", "malware", "phish", "ads")
 LISTED_HOST = r"(^|\.)[^.]*(" + "|".join(LISTED_WORDS) + r")[^.]*(\.|$)"
-#: The SQL looks at the third label from the right alone, where the hosts of the tables have their words.
-_LISTED = r"(^|\.)[^.]*(" + "|".join(LISTED_WORDS) + r")[^.]*\.[^.]+\.[^.]+$"
 _RULE_SQL = " ".join(
     f"when (h = '{of}' or ends_with(h, '.{of}')) and starts_with(p, '/{start}') then '{value}'"
     for verdict, text in sorted(URL_RULES, key=lambda r: -len(r[1]))
@@ -91,7 +89,7 @@ with u as (select page_id, case when position('://' in url) > 0
     then substr(url, position('://' in url) + 3) else '' end r from pages),
 k as (select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz') h, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) p from u),
-listed as (select distinct h from k where regexp_matches(h, '{_LISTED}'))
+listed as (select distinct h from k where regexp_matches(h, '{LISTED_HOST}'))
 select page_id, h as host, p as path, {_rule_case(1)} as rule,
   coalesce({_rule_case(0)}, case when exists (select 1 from listed l where k.h = l.h or ends_with(k.h, '.' || l.h))
     then 'block' else 'allow' end) as verdict from k"""

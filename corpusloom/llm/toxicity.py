@@ -199,7 +199,7 @@ def score_text(text: str, weights: Weights, bias: float) -> tuple[float, list[tu
         clean -= math.log1p(e)
         if z >= 0:
             found.append((m.start(), m.end(), e / (1 + e)))
-    return -math.expm1(clean), found
+    return 0.0 - math.expm1(clean), found
 
 
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
@@ -233,9 +233,10 @@ def score_column(model: Model):
     """The score as a function of a text column, for filters; null and empty texts score 0."""
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        weights = Weights(model)
-        return pd.Series([score_text(t or "", weights, model.bias)[0] for t in texts], dtype="float64")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weights = Weights(model)  # one a task: words that were met before are known
+        for texts in batches:
+            yield pd.Series([score_text(t or "", weights, model.bias)[0] for t in texts], dtype="float64")
 
     def of(text: Column) -> Column:
         return scored(text)

@@ -132,6 +132,13 @@ def first_copies(rows: DataFrame, least: int) -> DataFrame:
 SALTS = 16
 
 
+def archive_index(root: str) -> bool:
+    """Whether an archive was completed in the folder; its index is written last."""
+    fs, plain = storage(root)
+    found = fs.get_file_info(pafs.FileSelector(plain, allow_not_found=True))
+    return any(f.base_name.startswith("index-") and fs.get_file_info(f"{f.path}/_SUCCESS").type == pafs.FileType.File for f in found)
+
+
 def write_warc(
     pages: DataFrame,
     path: str,
@@ -149,8 +156,15 @@ def write_warc(
     with different payloads are records of their own. Null html is an
     empty payload, a null url an empty one, null ids are an error (a record needs an id). An empty
     table writes an index without files; other columns take no part.
+
+    Names of files follow from ids and sizes alone, so equal input gives equal files. A folder that
+    has an index is complete and never written to again: that is an error. Files of a run that failed before its
+    index are replaced.
     """
     spark = pages.sparkSession
+    root, run = path.rstrip("/"), uuid.uuid4().hex
+    if archive_index(root):
+        raise ValueError(f"{root} has an archive already; its files have the names that this one's would get")
     rows = pages.select(
         F.coalesce(F.col(id_col), F.raise_error(F.lit("a record needs an id"))).cast("bigint").alias("_id"),
         F.col(url_col).alias("_url"), F.coalesce(html_col, F.lit("")).alias("_html"),
@@ -166,7 +180,6 @@ def write_warc(
     sorted_rows = placed.repartitionById(len(bounds) + 1, "_part").sortWithinPartitions(
         "_id", F.col("_ref").isNull(), "_url", "_html"
     )
-    root, run = path.rstrip("/"), uuid.uuid4().hex
     temp = f"{root}/_temporary-{run}"
     done = sorted_rows.select("_id", "_url", "_html", "_ref", "_part").mapInArrow(_writer(temp, roll_bytes), MANIFEST)
     done.write.mode("overwrite").parquet(f"{root}/_manifest-{run}")
@@ -269,7 +282,7 @@ def members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
 def read_warc(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """The records of all files in ``path`` of the manifest, as rows of ``RECORD``, checked by digest.
 
-    A file is read as a stream, a record at a time, each in a task of its own.
+    A file is read as a stream, a record at a time; a task has one file or a few, dealt by the hash of their paths.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

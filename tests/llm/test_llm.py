@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -185,6 +187,14 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_equal_turns_by_role_and_text(spark):
+    rows = [(1, 0, r, t) for r, t in (("user", "b"), ("tool", "x"), ("user", "a</s>"), ("system", "s"), ("assistant", "y"), ("user", "a<!"))]
+    rows += [(1, None, "user", "first"), (1, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    turns = [(t["role"], t["text"]) for t in chat.format_chats(df).first()["turns"]]
+    assert turns == [("user", "first")] + sorted((r or "", t or "") for _, n, r, t in rows if n == 0)
+
+
 # 5 WARC
 
 
@@ -208,6 +218,15 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_warc_folder_is_written_once(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id bigint, url string, html string")
+    folder = scratch_path(spark, "warc-test")
+    first = warc.write_warc(pages, folder, 2)
+    with pytest.raises(ValueError, match="archive already"):
+        warc.write_warc(pages.limit(1), folder, 2)
+    assert warc.read_warc(spark, first).count() == 2
+
+
 def test_warc_least_bytes_and_same_shards(spark):
     pages = spark.createDataFrame([(i, "u", "ab" if i % 2 else "abcdef") for i in range(10)], "page_id bigint, url string, html string")
     one, two = (warc.write_warc(pages, scratch_path(spark, "warc-test"), 4, least_bytes=3) for _ in range(2))
@@ -290,6 +309,30 @@ def test_secret_keys_among_lines(spark):
     assert secrets.find_secrets("M" * 300 + "\n" + "AAAA" * 50 + "\n" + "eyJ" * 50 + ".a.b") == []
 
 
+@pytest.mark.parametrize("piece", [
+    "MIQA\n", "AAAAC3Nz\n", "MIIB\n", "MA\\n", "eyJ", "AAAAC3NzaC1lZDI1NTE5AAAA\n", "b3BlbnNzaC1rZXktdjEA", "e30.", "Bearer eyJ.",
+])
+def test_secret_scan_is_linear(piece):
+    """Ten times the text takes about ten times as long, whatever sizes its starts claim."""
+    def took(n):
+        began = time.process_time()
+        secrets.find_secrets(piece * (n // len(piece)) + ".e30.b")
+        return time.process_time() - began
+
+    took(1000)
+    assert took(500_000) < 20 * max(took(50_000), 0.02)
+
+
+def test_secret_key_within_many_starts(spark):
+    """A key is found between lines that start like keys and claim to be longer than the text."""
+    body = b"\x02\x01\x00" + der(0x30, b"\x06\x03\x2b\x65\x70") + der(4, der(4, bytes(range(32))))
+    key = base64.b64encode(der(0x30, body)).decode()
+    text = "MIQA\n" * 50 + key + "\n" + "AAAAC3Nz\n" * 50
+    assert [s for s in secrets.find_secrets(text) if s[1] == "der"] == [(250, "der", 250 + len(key))]
+    deep = base64.urlsafe_b64encode(b'{"a":' * 50_000).decode().rstrip("=")
+    assert secrets.find_secrets(f"{deep}.e30.x") == []
+
+
 def test_secret_base_spans_of_the_table(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in QUERIES["op6_secret_scans"](spark, SF).collect():
@@ -451,6 +494,35 @@ def test_toxicity_keeps_features_of_clean_text(spark):
     assert got["b"] < 0.5 < got["a"]
 
 
+def test_score_is_the_noisy_or_of_sentences():
+    """Score and offending sentences against a plain loop."""
+    rnd = random.Random(8)
+    words = [f"w{chr(97 + i)}" for i in range(26)]
+    held = {f: rnd.uniform(-1, 1) for w in words[:20] for f in toxicity.features(w)}
+    model = toxicity.Model(weights=held, bias=-0.7)
+    for _ in range(200):
+        sentences = [" ".join(rnd.choices(words, k=rnd.randint(1, 9))) for _ in range(rnd.randint(0, 5))]
+        clean = 1.0
+        want = []
+        for x in sentences:
+            p = 1 / (1 + math.exp(0.7 - sum(held.get(f, 0) for w in set(x.split()) for f in toxicity.features(w))))
+            clean *= 1 - p
+            want += [x] if p >= 0.5 else []
+        text = ". ".join(sentences)
+        got, spans = toxicity.score_text(text, toxicity.Weights(model), model.bias)
+        assert got == pytest.approx(1 - clean if sentences else 0.0)
+        assert [text[a:b].strip(" .") for a, b, _ in spans] == want
+    assert math.copysign(1, toxicity.score_text("", toxicity.Weights(model), model.bias)[0]) == 1
+
+
+def test_columns_that_differ_in_letter_case(spark):
+    df = spark.createDataFrame([(1, "a b", "q", b"x", b"y")], "doc_id bigint, text string, Quality string, IDS binary, Decoded binary")
+    assert [c.lower() for c in quality.quality(df).columns].count("quality") == 1
+    coded = bpe.bpe_encode(df, *tokenizer())
+    back = bpe.bpe_decode(coded, *tokenizer())
+    assert back.select("decoded").first()[0] == b"a b" and quality.quality(df).select("quality.n_words").first()[0] == 2
+
+
 def test_toxicity_learns_nothing_from_nothing(spark):
     docs = docs_of(spark, ["a b", None])
     for rows in ([], [(0, None), (1, 1), (None, 0), (5, 1)]):
