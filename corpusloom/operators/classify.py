@@ -136,17 +136,18 @@ def _label_by_join(parts: DataFrame, dictionary: DataFrame, key: str, most: int,
     words = dictionary.select("category", "keyword", "ord")
     unique = words.select(F.col("keyword")).distinct()
 
-    def hits(column: str, flag: str) -> DataFrame:
-        return phrase_hits(parts, [key], column, unique, ["keyword"], "keyword").withColumn(flag, F.lit(True))
-
-    everywhere = hits("_all", "in_all")
+    everywhere = phrase_hits(parts, [key], "_all", unique, ["keyword"], "keyword")
     if whole_word:
         whole = _whole_word(F.col("_all"), F.col("keyword"))
         everywhere = everywhere.join(parts.select(key, "_all"), key).where(whole).drop("_all")
+    # the texts are searched once: what the name or the documentation has, the whole has too
     rows = (
-        everywhere
-        .join(hits("_name", "in_name"), [key, "keyword"], "left")
-        .join(hits("_doc", "in_doc"), [key, "keyword"], "left")
+        everywhere.join(parts.select(key, "_name", "_doc"), key)
+        .groupBy(key, "keyword")
+        .agg(
+            F.bool_or(F.contains("_name", "keyword")).alias("in_name"),
+            F.bool_or(F.contains("_doc", "keyword")).alias("in_doc"),
+        )
         .join(words, "keyword")
     )
     place = (

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.arrays import bind
+from corpusloom.session import is_light, settle
 
 GRAM = 3
 CONSTANT_WORDS = 200
+SALTS = 16
 
 
 def token_counts(texts: DataFrame, key: list[str], text: Column | str) -> DataFrame:
@@ -90,15 +92,18 @@ def word_hits(texts: DataFrame, key: list[str], text: Column | str, words: DataF
             ),
         )
         return texts.select(*key, F.inline(found))
-    counts = token_counts(texts, key, text)
-    # the sum keeps this branch equal to the other one, so the counted tokens are shuffled once
-    vocabulary = counts.groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
-    matches = vocabulary_matches(vocabulary, words)
-    return (
-        counts.join(matches, "token")
-        .groupBy(*key, "word")
-        .agg(F.sum(F.col("n") * F.col("hits")).alias("hits"))
-    )
+    distinct = texts.select(F.explode(F.array_distinct(F.split(T._col(text), r"\s+"))).alias("token"))
+    matches = settle(vocabulary_matches(distinct.where("token <> ''").distinct(), words))
+    if is_light(matches, F.octet_length("token") + F.octet_length("word") + 64):
+        # tokens that match no word go on the text's own row; only sums of matches are exchanged
+        each = texts.select(*key, F.explode(F.split(T._col(text), r"\s+")).alias("token"))
+        found = each.join(F.broadcast(matches), "token").withColumn("n", F.lit(1))
+    else:
+        # a token of most texts is dealt to SALTS tasks
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+        counts = token_counts(texts, key, text).withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
+        found = counts.join(matches.select("*", salts), ["token", "_salt"])
+    return found.groupBy(*key, "word").agg(F.sum(F.col("n") * F.col("hits")).alias("hits"))
 
 
 def phrase_hits(texts: DataFrame, key: list[str], text: Column | str,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 _local_dir: list[str] = []
 
 
@@ -44,6 +45,11 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def is_light(df: DataFrame, size: Column, most: int = BROADCAST_BYTES) -> bool:
+    """Size check before a broadcast of rows that may be long: whether all of them together have at most so many bytes."""
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give an input with fewer splits than cores one partition per core, by key.
 

@@ -90,6 +90,11 @@ def wiki_exprs(d: Dialect) -> dict[str, str]:
         f"or [[Missing ' || (doc_id % 9) || ']] [ext](https://x.org/a.md) [code](src/a.ts:10) "
         f"[esc](../../out.md) [here](#top) [mail](mailto:a@b.c){NL}'"
     )
+    first, last = d.ex("text", "([a-z]{3,})"), d.ex("lower(source || text)", "([a-z]{3})")
+    pictures = (
+        f"'![pic](' || {up} || 'assets/' || {first} || '.png) and [data](./files/' || {last} || '.csv) "
+        f"![far](https://x.org/a.png) [dir](../assets/x)" + f"{NL}'"
+    )
     code = (
         f"CASE WHEN doc_id % 5 = 0 THEN '{NL}```ts{NL}// Source: src/a' || doc_id || '.ts{NL}const x = 1;{NL}```{NL}' "
         f"WHEN doc_id % 5 = 1 THEN '{NL}```{NL}plain{NL}```{NL}' "
@@ -102,7 +107,7 @@ def wiki_exprs(d: Dialect) -> dict[str, str]:
     return {
         "doc_id": "doc_id",
         "path": page_path("doc_id"),
-        "content": f"{front} || {head} || {body} || {links} || {code} || {refs}",
+        "content": f"{front} || {head} || {body} || {links} || {pictures} || {code} || {refs}",
     }
 
 

@@ -147,16 +147,17 @@ def grf3(spark, d):
     return G.broken_links(found, pages, dedupe=False)
 
 
+_ASSET = "'assets/' || regexp_extract(text, '([a-z]{3,})', 1) || '.png'"
+
+
 @query("grf4_link_warnings", f"""
-WITH {PG}, h AS (SELECT path AS source, 0 AS pos, '../assets/img' || (doc_id % 30) || '.png' AS target FROM pg)
-SELECT source, pos, target, CASE WHEN instr(source, '/') > 0 THEN replace(target, '../', '') ELSE target END AS resolved_target
-FROM h WHERE resolved_target NOT IN (SELECT 'assets/img' || doc_id || '.png' FROM pg WHERE doc_id % 2 = 0)""")
+WITH {PG}, {LK}, w AS (SELECT source, pos, target, {_RES} AS resolved_target FROM lk WHERE pos < nmd AND regexp_matches(target, '^\\.\\.?/'))
+SELECT source, pos, target, resolved_target FROM w
+WHERE NOT ends_with(resolved_target, '.md') AND resolved_target NOT IN (SELECT {_ASSET} FROM documents WHERE doc_id % 2 = 0)""")
 def grf4(spark, d):
-    pages = derive(spark, d, "wiki").selectExpr(
-        "path", "concat('![pic](../assets/img', doc_id % 30, '.png)') AS body"
-    )
-    known = derive(spark, d, "wiki").where("doc_id % 2 = 0").selectExpr("concat('assets/img', doc_id, '.png') AS path")
-    return G.link_warnings(pages, known)
+    """Pictures and files that whole pages link to; the first word of every other document names a known picture."""
+    known = table(spark, d, "documents").where("doc_id % 2 = 0").selectExpr(f"{_ASSET} AS path")
+    return G.link_warnings(wiki_pages(spark, d), known)
 
 
 @query("set2_missing_pages", f"WITH {PG}, {LK}, {PL} SELECT DISTINCT resolved_target AS path FROM pin WHERE resolved_target NOT IN (SELECT path FROM pg)")

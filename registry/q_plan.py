@@ -166,8 +166,8 @@ def flt5(spark, d):
 
 
 # --- labels ---------------------------------------------------------------------------------------
-DICT = """dict AS (SELECT 'cat-' || (item_id % 12) AS category, w AS keyword, min(item_id * 10 + i) AS ord FROM
-  (SELECT item_id, unnest(range(1, 4)) AS i, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')[1:3]) AS w FROM benchmark) GROUP BY ALL)"""
+DICT = """dict AS (SELECT 'cat-' || (item_id % 12) AS category, w AS keyword, min(item_id * 100000 + i) AS ord FROM
+  (SELECT item_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{5,}') AS ws FROM benchmark)) GROUP BY ALL)"""
 LAB = f"""lb AS (SELECT doc_id, category, list(keyword ORDER BY category, ord, keyword) AS keywords,
     least(sum(CASE WHEN contains(lower(title), keyword) THEN 3 WHEN contains(lower(description), keyword) THEN 2 ELSE 1 END) / 10::DOUBLE, 1) AS confidence,
     arg_min(CASE WHEN contains(lower(title), keyword) THEN 'name' WHEN contains(lower(description), keyword) THEN 'documentation' ELSE 'content' END, (ord, keyword)) AS source
@@ -176,11 +176,11 @@ lr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC
 
 
 def dictionary(spark, d):
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0), 1, 3)
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0)
     rows = table(spark, d, "benchmark").select("item_id", F.posexplode(words).alias("i", "keyword"))
     return rows.groupBy(
         F.concat(F.lit("cat-"), F.col("item_id") % 12).alias("category"), "keyword"
-    ).agg(F.min(F.col("item_id") * 10 + F.col("i") + 1).alias("ord"))
+    ).agg(F.min(F.col("item_id") * 100000 + F.col("i") + 1).alias("ord"))
 
 
 def label_input(spark, d):
@@ -201,6 +201,19 @@ def cls1(spark, d):
     return exploded_labels(C.label_domains(label_input(spark, d), dictionary(spark, d)))
 
 
+_DEFAULT = ", ".join(
+    f"('{c}', '{w}', {i})" for i, c in enumerate(fixed.LABEL_CATEGORIES) if c != "unknown" for w in c.split("-")
+)
+
+
+@query("cls1_default_labels", f"""
+WITH {cte('fields')}, dict AS (SELECT * FROM (VALUES {_DEFAULT}) t(category, keyword, ord)), {LAB}
+SELECT doc_id, category, round(confidence, 6) AS confidence, source, keywords FROM lr WHERE n <= 3""")
+def cls1_default(spark, d):
+    """The way for dictionaries that become a constant."""
+    return exploded_labels(C.label_domains(label_input(spark, d), C.default_dictionary(spark)))
+
+
 @query("cls1_domain_labels_by_join", f"""
 WITH {cte('fields')}, {DICT}, {LAB} SELECT doc_id, category, round(confidence, 6) AS confidence, source, keywords FROM lr WHERE n <= 3""")
 def cls1b(spark, d):
