@@ -43,11 +43,6 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def is_light(df: DataFrame, size: Column, most: int = 32 << 20) -> bool:
-    """Size check before a broadcast: whether all rows together take up at most so many bytes."""
-    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most
-
-
 def batches_of(batch: pa.RecordBatch, rows: int = 2000):
     """A batch in slices, so that what a task holds at once stays small."""
     for start in range(0, batch.num_rows, rows):

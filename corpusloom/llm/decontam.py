@@ -1,22 +1,21 @@
 """Benchmark decontamination: a positional inverted index over the corpus, asked from the rarest terms.
 
 Document frequencies of the test terms are counted over all documents. Each window of an item is
-anchored at its rarest positions; only postings of anchor terms are stored (term, document,
+anchored at its rarest positions; only postings of anchor terms are stored (document, term,
 position). A posting less the anchor's place in its item is a shift: lists adjusted by their offsets
-are intersected per (document, item, shift), and the windows whose anchors all stand there are
-compared word by word in the text. Everything is DataFrame operations.
+are intersected per (document, item, shift), and the words that stand there are compared with the
+item's. Texts are split twice, for the frequencies and for the postings; after that only the texts
+of candidates are read. Everything is DataFrame operations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import bind
-from corpusloom.llm.common import ascii_lower, text_key
-from corpusloom.session import is_small, scratch_path, settle
+from corpusloom.llm.common import ascii_lower
+from corpusloom.session import is_light, is_small, scratch_path, settle
 
 #: Words of one window, and how many of its rarest positions must agree before texts are compared.
 WINDOW, ANCHORS = 10, 2
@@ -31,6 +30,11 @@ def words_of(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def identity(id_col: str, text_col: str) -> list[Column]:
+    """``k1``, ``k2``: 128 bits that stand for an id with its whole text; rows that agree have equal results."""
+    return [F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(text_col, F.lit("k2"), id_col).alias("k2")]
+
+
 def by_term(many: DataFrame, few: DataFrame, kind: str = "inner") -> DataFrame:
     """Join on ``term``; ``few`` is broadcast only if it is small, else frequent terms are salted."""
     if is_small(few):
@@ -57,8 +61,8 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text"
     return by_term(each, terms, "left_semi").groupBy("term").agg(F.count("*").alias("df"))
 
 
-def anchored(items: DataFrame, df: DataFrame, anchors: int) -> DataFrame:
-    """``items`` with ``windows``: start of each and the places of its rarest terms (0-based)."""
+def anchor_places(items: DataFrame, df: DataFrame, anchors: int) -> DataFrame:
+    """``item_key``, ``at`` (0-based), ``term``: the rarest places of all windows; ``need`` of them make a window."""
     placed = items.select("item_key", F.posexplode("words").alias("pos", "term"))
     rank = placed.join(df, "term", "left").select(
         "item_key", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "pos").alias("r")
@@ -70,22 +74,114 @@ def anchored(items: DataFrame, df: DataFrame, anchors: int) -> DataFrame:
         return F.transform(F.slice(here, 1, anchors), lambda r: r["pos"])
 
     starts = F.sequence(F.lit(0), F.size("words") - F.col("len"))
-    return items.join(ranks, "item_key").withColumn(
-        "windows", F.transform(starts, lambda s: F.struct(s.alias("start"), rarest(s).alias("need")))
+    return (
+        items.join(ranks, "item_key")
+        .select("item_key", "words", F.least("len", F.lit(anchors)).alias("need"), F.explode(F.array_distinct(F.flatten(F.transform(starts, rarest)))).alias("at"))
+        .select("item_key", "need", "at", F.get("words", F.col("at")).alias("term"))
     )
 
 
 def store_postings(docs: DataFrame, terms: DataFrame, text_col: str, id_col: str, path: str) -> DataFrame:
-    """Write the positions of ``terms``: ``doc``, ``key`` (of the whole text), ``term``, ``pos``."""
-    # the key stands below the explode, so that it is made once a text and not once a word
+    """Write ``doc``, ``k1``, ``k2``, ``n`` (words of the text), ``term``, ``pos``.
+
+    Besides the places of ``terms`` every document has one row with the term null, so the texts need not be split
+    again for those that have none.
+    """
+    # hashes and counts stand below the explode, so that they are made once a text and not once a word
     cut = docs.select(
-        F.col(id_col).alias("doc"), text_key(F.col(text_col)).alias("key"), words_of(F.col(text_col)).alias("words")
+        F.col(id_col).alias("doc"), *identity(id_col, text_col),
+        bind(words_of(F.col(text_col)), lambda w: F.struct(F.size(w).alias("n"), F.concat(F.array(F.lit("")), w).alias("words"))).alias("x"),
     )
-    each = cut.select("doc", "key", F.posexplode("words").alias("pos", "term"))
-    by_term(each, terms, "left_semi").write.mode("overwrite").parquet(path)
+    each = cut.select("doc", "k1", "k2", "x.n", F.posexplode("x.words").alias("pos", "term"))
+    # no term is empty: the first place is the document's own row
+    found = by_term(each, terms.unionAll(terms.sparkSession.sql("select '' as term")), "left_semi")
+    found.select(
+        "doc", "k1", "k2", "n", F.when(F.col("term") != "", F.col("term")).alias("term"), (F.col("pos") - 1).alias("pos")
+    ).write.mode("overwrite").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
+def candidate_lines(postings: DataFrame, places: DataFrame, slack: int) -> DataFrame:
+    """``k1``, ``k2``, ``item_key``, ``shift`` where enough anchors of an item stand at one shift."""
+    shift = F.col("pos") - F.col("at")
+    if slack > 0:
+        shift = F.explode(F.sequence(shift - slack, shift + slack))
+    shifted = by_term(postings.where("term is not null").select("k1", "k2", "term", "pos"), places).select(
+        "k1", "k2", "item_key", "need", "at", shift.alias("shift")
+    )
+    lists = shifted.groupBy("k1", "k2", "item_key", "shift").agg(
+        F.min("at").alias("lo"), F.max("at").alias("hi"), F.min("need").alias("need")
+    )
+    # two places of two lists, whichever they are, are worth a look; one is, if a window has no more or words may be displaced
+    return lists.where(F.lit(slack > 0) | (F.col("lo") < F.col("hi")) | (F.col("need") == 1)).select("k1", "k2", "item_key", "shift")
+
+
+def compared(lines: DataFrame, docs: DataFrame, items: DataFrame, id_col: str, text_col: str, slack: int) -> DataFrame:
+    """``k1``, ``k2``, ``item``, ``len``, ``starts`` (hits, word positions) and ``near`` (shifts) of the lines.
+
+    The words that stand at a line are cut out of the text before the item's come to them, so a row holds
+    one item's length and not a whole text or all items of a document.
+    """
+    sized = lines.join(items.select("item_key", F.size("words").alias("size")), "item_key")
+    per_doc = settle(sized.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_key", "shift", "size")).alias("lines")))
+    texts = docs.select(*identity(id_col, text_col), F.col(text_col).alias("text")).join(
+        F.broadcast(per_doc) if is_light(per_doc, 32 + 20 * F.size("lines")) else per_doc, ["k1", "k2"]
+    )
+    first = F.greatest(F.col("line.shift") - slack, F.lit(0))
+    last = F.col("line.shift") + F.col("line.size") + slack
+    cut = (
+        texts.select("k1", "k2", "lines", words_of(F.col("text")).alias("words"))
+        .select("k1", "k2", "words", F.explode("lines").alias("line"))
+        .select(
+            "k1", "k2", "line.item_key", "line.shift", first.alias("first"),
+            F.slice("words", first + 1, F.greatest(last - first, F.lit(0))).alias("held"),
+        )
+    )
+    words = items.select("item_key", "item", "words", "len")
+    light = is_light(words, 40 + F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + 16 + F.octet_length(w)))
+    both = cut.join(F.broadcast(words) if light else words, "item_key")
+    place = F.col("shift") - F.col("first")  # of the item's first word among the held ones
+    starts = F.sequence(F.lit(0), F.size("words") - F.col("len"))
+    same = F.transform("words", lambda w, i: F.coalesce(F.get("held", F.when(place + i >= 0, place + i)) == w, F.lit(False)))
+    hits = bind(same, lambda ok: F.filter(starts, lambda s: ~F.exists(F.slice(ok, s + 1, F.col("len")), lambda x: ~x)))
+    out = both.select(
+        "k1", "k2", "item", "len", "shift",
+        F.transform(hits, lambda s: s + F.col("shift")).alias("starts"),
+        (_near(starts, place, slack) if slack > 0 else F.lit(False)).alias("near"),
+    )
+    return out.where("near or size(starts) > 0").distinct()
+
+
+def _near(starts: Column, place: Column, slack: int) -> Column:
+    """Whether a window has half or more of its words within ``slack`` places of theirs."""
+
+    def found(w: Column, i: Column) -> Column:
+        low = F.greatest(place + i - slack, F.lit(0))
+        return F.array_contains(F.slice("held", low + 1, F.greatest(place + i + slack + 1 - low, F.lit(0))), w)
+
+    close = F.transform("words", found)
+    return bind(close, lambda ok: F.exists(
+        starts, lambda s: 2 * F.size(F.filter(F.slice(ok, s + 1, F.col("len")), lambda x: x)) >= F.col("len")
+    ))
+
+
+def found_lines(
+    docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str,
+    window: int, anchors: int, slack: int,
+) -> tuple[DataFrame, DataFrame]:
+    """One row per document (``doc``, ``k1``, ``k2``, ``n``), and what ``compared`` found."""
+    known = settle(item_table(items, item_col, item_text_col, window))
+    terms = settle(known.select(F.explode("words").alias("term")).distinct())
+    df = document_frequency(docs, terms, text_col)
+    # without one of more than half of its words, less than half of a window is left
+    places = settle(anchor_places(known, df, max(anchors, window // 2 + 1) if slack > 0 else anchors))
+    postings = store_postings(
+        docs, settle(places.select("term").distinct()), text_col, id_col, scratch_path(docs.sparkSession, "postings")
+    )
+    lines = settle(candidate_lines(postings, places, slack))
+    return postings.where("term is null").drop("term", "pos"), settle(compared(lines, docs, known, id_col, text_col, slack))
+
+
 def phrase_matches(
     docs: DataFrame,
     items: DataFrame,
@@ -96,7 +192,6 @@ def phrase_matches(
     window: int = WINDOW,
     anchors: int = ANCHORS,
     slack: int = 0,
-    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: id, ``n_words``, ``hits`` (array of item, start, len), word positions from 0.
 
@@ -106,95 +201,27 @@ def phrase_matches(
     theirs. One of the rarest words of a window, more than half of all, is then enough for a comparison.
     Null ids and texts are kept: a null document id gives its own rows, a null item id is the empty
     text, a null text has no words. Repeated rows give their row each; empty tables give no hits or no
-    rows; other columns take no part, but those of ``keep`` come along in a struct ``row``. Texts are compared only where anchors agree, so a word or a
+    rows; other columns take no part. Texts are compared only where anchors agree, so a word or a
     passage that most documents share costs one row per document and item.
     """
-    spark = docs.sparkSession
-    known = settle(item_table(items, item_col, item_text_col, window))
-    terms = settle(known.select(F.explode("words").alias("term")).distinct())
-    df = document_frequency(docs, terms, text_col)
-    # without one of more than half of its words, less than half of a window is left
-    asked = settle(anchored(known, df, max(anchors, window // 2 + 1) if slack > 0 else anchors))
-    places = settle(
-        asked.select("item_key", "words", F.explode(F.array_distinct(F.flatten("windows.need"))).alias("at"))
-        .select("item_key", "at", F.get("words", F.col("at")).alias("term"))
+    base, found = found_lines(docs, items, id_col, text_col, item_col, item_text_col, window, anchors, slack)
+    hit = F.transform("starts", lambda s: F.struct(F.col("item").alias("item"), s.alias("start"), F.col("len").alias("len")))
+    of_doc = found.groupBy("k1", "k2").agg(
+        F.flatten(F.collect_list(hit)).alias("hits"),
+        F.collect_list(F.when(F.col("near"), F.struct("item", F.col("shift").alias("start")))).alias("near"),
     )
-    postings = store_postings(
-        docs, settle(places.select("term").distinct()), text_col, id_col, scratch_path(spark, "postings")
-    )
-    shift = F.col("pos") - F.col("at")
+    light = is_light(found, 64 + 24 * F.size("starts"))
+    joined = base.join(F.broadcast(of_doc) if light else of_doc, ["k1", "k2"], "left")
+    none = F.array()
+    out = [
+        F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_words"),
+        F.coalesce("hits", none.cast("array<struct<item:string,start:int,len:int>>")).alias("hits"),
+    ]
     if slack > 0:
-        shift = F.explode(F.sequence(shift - slack, shift + slack))
-    shifted = by_term(postings, places).select("doc", "key", "item_key", shift.alias("shift"), "at")
-    lines = shifted.groupBy("doc", "key", "item_key", "shift").agg(F.collect_set("at").alias("found"))
-    items_side = asked.select("item_key", "item", "words", "len", "windows")
-    met = lines.join(F.broadcast(items_side) if is_small(items_side) else items_side, "item_key")
-    open_windows = F.filter(
-        "windows",
-        lambda w: F.arrays_overlap(w["need"], F.col("found")) if slack > 0
-        else (w["start"] + F.col("shift") >= 0) & (F.size(F.array_except(w["need"], F.col("found"))) == 0),
-    )
-    candidates = (
-        met.withColumn("starts", F.transform(open_windows, lambda w: w["start"]))
-        .where(F.size("starts") > 0)
-        .groupBy("doc", "key")
-        .agg(F.collect_list(F.struct("item", "words", "len", "shift", "starts")).alias("lines"))
-    )
-    kept = [F.struct(*keep).alias("row")] if keep else []
-    texts = docs.select(
-        F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), text_key(F.col(text_col)).alias("_key"), *kept
-    )
-    joined = texts.join(
-        candidates, (F.col("_doc").eqNullSafe(F.col("doc"))) & (F.col("_key") == F.col("key")), "left"
-    ).select("_doc", *(["row"] if keep else []), "lines", words_of(F.col("_text")).alias("_words"))
-    held = F.col("_words")
-
-    def same(line: Column) -> Column:
-        starts = F.filter(line["starts"], lambda s: line["shift"] + s >= 0) if slack > 0 else line["starts"]
-        real = F.filter(
-            starts,
-            lambda s: F.slice(held, line["shift"] + s + 1, line["len"]) == F.slice(line["words"], s + 1, line["len"]),
-        )
-        return F.transform(
-            real,
-            lambda s: F.struct(
-                line["item"].alias("item"), (line["shift"] + s).alias("start"), line["len"].alias("len")
-            ),
-        )
-
-    hits = F.coalesce(F.flatten(F.transform("lines", same)), F.array().cast(_HITS))
-    out = [F.col("_doc").alias(id_col), F.size(held).cast("long").alias("n_words"), hits.alias("hits")]
-    out += ["row"] if keep else []
-    if slack > 0:
-        out.append(F.coalesce(F.transform(
-            F.filter("lines", lambda x: _close(held, x, slack)),
-            lambda x: F.struct(x["item"].alias("item"), x["shift"].alias("start")),
-        ), F.array().cast("array<struct<item:string,start:int>>")).alias("near"))
+        out.append(F.coalesce("near", none.cast("array<struct<item:string,start:int>>")).alias("near"))
     return joined.select(*out)
 
 
-_HITS = "array<struct<item:string,start:int,len:int>>"
-
-
-def _close(held: Column, line: Column, slack: int) -> Column:
-    """Whether a window of the line has half or more of its words within ``slack`` places."""
-
-    def near(start: Column) -> Column:
-        of = F.slice(line["words"], start + 1, line["len"])
-        first = line["shift"] + start - slack + 1  # may lie before the text, then fewer places are looked at
-
-        def around(i: Column) -> Column:
-            return F.slice(
-                held, F.greatest(first + i, F.lit(1)),
-                F.greatest(F.least(first + i, F.lit(1)) + 2 * slack, F.lit(0)),
-            )
-
-        n = F.size(F.filter(F.transform(of, lambda w, i: F.array_contains(around(i), w)), lambda ok: ok))
-        return 2 * n >= line["len"]
-
-    return F.exists(line["starts"], near)
-
-
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """``phrase_matches`` summed up: ``n_hit`` words in any hit, ``items`` (sorted ids), ``contaminated``."""
     found = phrase_matches(docs, items, id_col=id_col, **kw)
@@ -206,5 +233,22 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **k
         bind(covered, F.size).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"]))).alias("items"),
         (F.size("hits") > 0).alias("contaminated"),
-        *(["row"] if kw.get("keep") else []),
     )
+
+
+def without_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    anchors: int = ANCHORS,
+) -> DataFrame:
+    """The rows of ``docs`` without a hit of ``phrase_matches``, with all their columns; nulls and repeated rows as there."""
+    _, found = found_lines(docs, items, id_col, text_col, item_col, item_text_col, window, anchors, 0)
+    bad = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    k1, k2 = identity(id_col, text_col)
+    same = (F.col("_k1") == k1) & (F.col("_k2") == k2)
+    return docs.join(F.broadcast(bad) if is_small(bad) else bad, same, "left_anti")
