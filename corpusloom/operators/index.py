@@ -52,10 +52,9 @@ def term_frequencies(docs: DataFrame, doc_id: str, text: Column | str,
 
 
 def document_lengths(docs: DataFrame, doc_id: str, text: Column | str) -> DataFrame:
-    """``(doc_id, dl)`` for every document, 0 where it has no token; no shuffle."""
-    return docs.select(
-        F.col(doc_id).alias("doc_id"), F.size(T.tokens(text)).cast("bigint").alias("dl")
-    )
+    """``(doc_id, dl)`` for every document, 0 where it has no token or its text is null; no shuffle."""
+    held = F.coalesce(T._col(text), F.lit(""))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.size(T.tokens(held)).cast("bigint").alias("dl"))
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:

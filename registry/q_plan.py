@@ -10,6 +10,7 @@ from corpusloom.operators import changes as X
 from corpusloom.operators import classify as C
 from corpusloom.operators import index as I
 from corpusloom.operators import segment as G
+from corpusloom.operators import segments
 from corpusloom.plans import pages_plan as PP
 from corpusloom.plans import profile as P
 from corpusloom.session import scratch_path, with_global_rank
@@ -527,6 +528,45 @@ def inc2c(spark, d):
     return updated(spark, d).corpus_stats.withColumn("avgdl", F.round("avgdl", 6))
 
 
+def committed(spark, d):
+    """The old files as one segment, all changes as a second one with its deletions."""
+    old, new = snapshots(spark, d)
+    changes = X.diff_snapshots(old, new, renames=False)
+    path = scratch_path(spark, "segments")
+    segments.commit(spark, path, old, "path", "content")
+    fresh = new.join(changes.where("status <> 'D'").select("path"), "path", "left_semi")
+    segments.commit(spark, path, fresh, "path", "content", changes.where("status = 'D'").select("path"))
+    return path
+
+
+@query("inc2_segments_terms", f"WITH {_NEWDOCS}, {S.index_ctes('nd', 'path', 'content')} SELECT term, df FROM dfs")
+def inc2_segments(spark, d):
+    return segments.open_index(spark, committed(spark, d)).term_stats
+
+
+@query("inc2_segments_postings", f"WITH {_NEWDOCS}, {S.index_ctes('nd', 'path', 'content')} SELECT doc_id AS path, dl, term, tf FROM tf")
+def inc2_segments_b(spark, d):
+    return segments.open_index(spark, committed(spark, d)).postings.withColumnRenamed("doc_id", "path")
+
+
+@query("inc2_segments_merged", f"WITH {_NEWDOCS}, {S.index_ctes('nd', 'path', 'content')} SELECT doc_id AS path, dl, term, tf, (SELECT round(avgdl, 6) FROM cs) AS avgdl FROM tf")
+def inc2_segments_c(spark, d):
+    """The old files in as many commits as fill a size class, merged where that is due; then the changes."""
+    old, new = snapshots(spark, d)
+    path = scratch_path(spark, "segments")
+    part = F.pmod(F.xxhash64("path"), F.lit(segments.FAN))
+    for i in range(segments.FAN):
+        segments.commit(spark, path, old.where(part == i), "path", "content")
+        segments.merge(spark, path)
+    changes = X.diff_snapshots(old, new, renames=False)
+    fresh = new.join(changes.where("status <> 'D'").select("path"), "path", "left_semi")
+    segments.commit(spark, path, fresh, "path", "content", changes.where("status = 'D'").select("path"))
+    segments.merge(spark, path)
+    index = segments.open_index(spark, path)
+    avgdl = F.round(index.corpus_stats.select("avgdl").scalar(), 6)
+    return index.postings.select(F.col("doc_id").alias("path"), "dl", "term", "tf", avgdl.alias("avgdl"))
+
+
 @query("inc2_update_counts", f"""
 WITH {SNAP}, t AS (SELECT path FROM c WHERE status IS NOT NULL)
 SELECT (SELECT count(*) FROM o WHERE path NOT IN (SELECT path FROM t)) AS kept, (SELECT count(*) FROM o WHERE path IN (SELECT path FROM t)) AS removed,
@@ -588,7 +628,7 @@ def snk1(spark, d):
 def snk2(spark, d):
     path = scratch_path(spark, "index")
     name = "t" + path[-12:]
-    I.save_index(I.build_index(table(spark, d, "documents"), "doc_id", "text", 8), path, name)
+    I.save_index(I.build_index(table(spark, d, "documents"), "doc_id", "text"), path, name)
     return I.load_index(spark, path, name).postings
 
 
@@ -619,9 +659,10 @@ def snk5(spark, d):
     path = scratch_path(spark, "postings")
     name = "t" + path[-12:]
     docs = table(spark, d, "documents")
-    built = I.build_index(docs, "doc_id", "text", 8)
-    built.postings.write.bucketBy(8, "doc_id").sortBy("term").option("path", f"{path}/v=1/postings").saveAsTable(f"{name}_v1_postings")
-    spark.createDataFrame([(1, 8)], I.STATE).write.parquet(f"{path}/state")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    built = I.build_index(docs, "doc_id", "text", parts)
+    built.postings.write.bucketBy(parts, "doc_id").sortBy("term").option("path", f"{path}/v=1/postings").saveAsTable(f"{name}_v1_postings")
+    spark.createDataFrame([(1, parts)], I.STATE).write.parquet(f"{path}/state")
     index = I.load_index(spark, path, name, I.document_lengths(docs, "doc_id", "text"))
     corpus = index.corpus_stats
     return index.term_stats.select(
@@ -636,7 +677,7 @@ def inc2_saved(spark, d):
     path = scratch_path(spark, "index")
     name = "t" + path[-12:]
     docs = table(spark, d, "documents")
-    I.save_index(I.build_index(docs.where("lang = 'en'"), "doc_id", "text", 8), path, name)
+    I.save_index(I.build_index(docs.where("lang = 'en'"), "doc_id", "text"), path, name)
     rest = docs.where("lang <> 'en' or lang is null")
     I.save_index(I.update_index(I.load_index(spark, path, name), rest, "doc_id", "text"), path, name)
     return I.load_index(spark, path, name).postings

@@ -10,12 +10,12 @@ from corpusloom.functions import text as T
 from corpusloom.operators import context as C
 from corpusloom.operators import index as I
 from corpusloom.operators import search as S_
+from corpusloom.operators import segments
 from corpusloom.session import scratch_path
 from registry import sqlkit as S
 from registry.base import CHECKS, query, table
 from registry.inputs import cte, derive
 
-BUCKETS = 8
 _saved: dict[tuple[str, str], str] = {}
 
 
@@ -25,8 +25,8 @@ def saved_index(spark, d):
     name = "idx_" + "".join(c if c.isalnum() else "_" for c in "_".join(key))
     if key not in _saved:
         path = scratch_path(spark, "index")
-        built = I.build_index(table(spark, d, "documents"), "doc_id", "text", BUCKETS)
-        I.save_index(built, path, name, BUCKETS)
+        built = I.build_index(table(spark, d, "documents"), "doc_id", "text")
+        I.save_index(built, path, name)
         _saved[key] = path
     return I.load_index(spark, _saved[key], name)
 
@@ -101,6 +101,23 @@ def sch2(spark, d):
     return rounded(found, "score")
 
 
+def segmented_index(spark, d):
+    """The documents' index in segments: two commits, so that what is read has deletions."""
+    key = (spark.sparkContext.applicationId, d, "segments")
+    if key not in _saved:
+        path, docs = scratch_path(spark, "segments"), table(spark, d, "documents")
+        segments.commit(spark, path, docs.withColumn("text", F.concat(F.lit("older "), "text")), "doc_id")
+        segments.commit(spark, path, docs, "doc_id")
+        _saved[key] = path
+    return segments.open_index(spark, _saved[key])
+
+
+@query("sch2_block_search",
+       f"WITH {BM25} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ({S.ranked('scored', 10)})")
+def sch2_blocks(spark, d):
+    return rounded(segments.block_search(segmented_index(spark, d), derive(spark, d, "queries")), "score")
+
+
 @query("sch2_keyword_search_filtered", f"""
 WITH {BM25}, f AS (SELECT * FROM scored WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en'))
 SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ({S.ranked('f', 10)})""")
