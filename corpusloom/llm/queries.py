@@ -104,20 +104,31 @@ def op2(spark, sf_dir):
 
 
 def license_sql() -> str:
-    spell = "' ' || trim(regexp_replace(lower(regexp_replace({0}, '(?im)^[^a-z0-9\\n]*(?:copyright|\\(c\\)|©|all rights reserved)[^\\n]*$', '', 'g')), '[^a-z0-9]+', ' ', 'g')) || ' '"
-    for old, new in licenses.SPELLINGS:
-        spell = f"replace({spell}, ' {old} ', ' {new} ')"
-    canon = lambda x: f"trim({spell.format(x)})"
-    known = ", ".join(f"('{a}', '{b}')" for a, b in licenses.KNOWN)
+    pairs = [(old, new) for old, new in licenses.SPELLINGS if " " in old]
+    single = " ".join(f"when '{old}' then '{new}'" for old, new in licenses.SPELLINGS if " " not in old)
+
+    def canon(text: str) -> str:
+        lower = f"translate(regexp_replace({text}, '{licenses.COPYRIGHT_LINE}', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        out = f"trim(regexp_replace({lower}, '[^a-z0-9]+', ' ', 'g'))"
+        for old, new in pairs:
+            out = f"regexp_replace({out}, '\\b{old}\\b', '{new}', 'g')"
+        return f"array_to_string(list_transform(string_split({out}, ' '), lambda w: case w {single} else w end), ' ')"
+
+    known = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.KNOWN)
+    long = ", ".join(f"('{n}', '{f}', {z}, '{d}')" for n, f, z, d in licenses.LONG_TEXTS)
     return f"""
-with known as (select min(licence) licence, {canon('text')} c from (values {known}) t(licence, text) group by 2),
-d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
-u as (select rid, false whole, unnest(string_split(t, chr(10))) x from d union all select rid, true, t from d),
-c as (select rid, whole, {canon('x')} c from u),
-f as (select rid, string_agg(distinct licence, ',' order by licence) licences, count(*) filter (not whole) n,
-  bool_or(whole) w from c join known using (c) where c <> '' group by rid)
+with k as (select min(licence) licence, c from (select licence, {canon('text')} c from (values {known}) t(licence, text)) group by c),
+kd as (select licence, array_to_string(string_split(c, ' ')[1:3], ' ') f, length(c) z, sha256(c) h from k
+  union all select * from (values {long}) t(licence, f, z, h)),
+d as (select row_number() over () rid, doc_id, ' ' || {canon("coalesce(text, '')")} || ' ' c from documents),
+fs as (select distinct f from kd),
+p as (select rid, c, f, unnest(range(1, length(c))) i from d join fs on contains(c, ' ' || f || ' ') or contains(c, ' ' || f)),
+s as (select rid, licence, i, i + z e, z + 2 = length(c) w from p join kd using (f)
+  where substr(c, i, length(f) + 1) = ' ' || f and substr(c, (i + z + 1)::bigint, 1) = ' ' and sha256(substr(c, (i + 1)::bigint, z::bigint)) = h),
+m as (select *, max(e) over (partition by rid order by i, e desc rows between unbounded preceding and 1 preceding) b from s),
+t as (select rid, string_agg(distinct licence, ',' order by licence) licences, count(*) filter (b is null or e > b) n, bool_or(w) w from m group by rid)
 select doc_id, coalesce(licences, '') as licences, coalesce(n, 0) as n_notices, coalesce(w, false) as whole_text
-from d left join f using (rid)"""
+from d left join t using (rid)"""
 
 
 @query("op3_license_scans", license_sql())

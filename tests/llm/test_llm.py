@@ -155,6 +155,37 @@ def test_license_scan(spark):
     assert all(got[i] == [("", 0, False)] * (2 if i == 0 else 1) for i in range(n)) and len(got[None]) == 1
 
 
+def test_entire_licences_and_wrapped_notices(spark):
+    mit = dict(licenses.KNOWN[-3:])["MIT"]
+    wrapped = "\n * ".join(mit[i : i + 50] for i in range(0, len(mit), 50)).replace("i\n * ", "i ")
+    lines, words = [], mit.split()
+    while words:
+        lines.append(" // " + " ".join(words[:7]))
+        words = words[7:]
+    texts = [
+        "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + mit, "code();\n" + "\n".join(lines) + "\nmore();", mit.lower().replace(",", ""),
+        mit[:-20], "Licensed under the\nApache License,\n  Version 2.0.", "x. This work is licensed under CC\nBY-NC 4.0. y",
+        dict(licenses.KNOWN)["BSD-2-Clause"] + " " + dict(licenses.KNOWN)["BSD-3-Clause"], "permission is hereby " * 3000,
+        "(c) 2019 B\nCopyright B\nReleased under the MIT License.", wrapped[:0],
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = by_id(licenses.license_scan(df, licenses.known_digests(spark)), "licences", "n_notices", "whole_text")
+    assert [got[i][0] for i in range(len(texts))] == [
+        ("MIT", 1, False), ("MIT", 1, False), ("MIT", 1, True), ("", 0, False), ("Apache-2.0", 1, True), ("CC-BY-NC-4.0", 1, False),
+        ("BSD-2-Clause,BSD-3-Clause", 2, False), ("", 0, False), ("MIT", 1, False), ("", 0, False),
+    ]
+
+
+def test_long_licences_by_digest(spark):
+    """A made-up long text takes the place of the real ones: its digest, not its text, is known."""
+    body = licenses.canonical(("Terms and Conditions for Tests " + "word " * 4000 + "\nend").encode())
+    long = [("Test-1.0", licenses.beginning(body).decode(), len(body), hashlib.sha256(body).hexdigest())]
+    known = licenses.known_digests(spark, long_texts=long)
+    df = spark.createDataFrame([(1, "x y\nTERMS and conditions\nfor tests " + "word, " * 4000 + "end z"), (2, "terms and conditions for tests")], "doc_id bigint, text string")
+    got = by_id(licenses.license_scan(df, known), "licences", "n_notices", "whole_text")
+    assert got == {1: [("Test-1.0", 1, False)], 2: [("", 0, False)]}
+
+
 # 4 chat formatting
 
 
