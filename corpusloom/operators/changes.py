@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.grams import GramIndex, phrase_texts
 from corpusloom.operators.matching import phrase_hits
 from corpusloom.session import settle, with_global_rank
 
@@ -88,13 +89,15 @@ def update_counts(chunks: DataFrame, changes: DataFrame, fresh: DataFrame) -> Da
     return flags.withColumn("added", fresh.agg(F.count("*").alias("n")).scalar())
 
 
-def affected_pages(pages: DataFrame, changes: DataFrame, content: str = "content") -> DataFrame:
-    """Pages that mention a changed file.
+def affected_pages(pages: DataFrame | GramIndex, changes: DataFrame, content: str = "content") -> DataFrame:
+    """Pages that mention a changed file; ``pages`` may be a gram index of their contents by ``path``.
 
     Full path, directory and file name, file name: each contains the bare name, so a page
     mentions the file in any form exactly if it contains the name without extension.
     """
     names = changes.select(T.stem("path").alias("name")).distinct().where("name <> ''")
+    if isinstance(pages, GramIndex):
+        return phrase_texts(pages, names, ["name"], "name").select("path").distinct()
     return phrase_hits(pages, ["path"], content, names, ["name"], "name").select("path").distinct()
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import fixed
 from corpusloom.functions import text as T
 from corpusloom.functions.arrays import bind
+from corpusloom.operators.grams import GramIndex, phrase_texts
 from corpusloom.operators.index import CorpusIndex
 from corpusloom.operators.matching import few_words, phrase_hits, word_hits
 from corpusloom.session import BROADCAST_ROWS, is_small
@@ -107,6 +108,18 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return grid / np.where(length == 0, 1.0, length)
 
 
+def _ids(rows: pd.Series) -> np.ndarray:
+    """Ids as they are: whole numbers as 64-bit integers, all others as objects."""
+    return rows.to_numpy(dtype="int64") if pd.api.types.is_integer_dtype(rows.dtype) else rows.to_numpy(dtype=object)
+
+
+def _best_first(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Order by falling score, equal ones by id."""
+    if ids.dtype != object:
+        return np.lexsort((ids, -scores))
+    return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])), dtype="int64")
+
+
 def _scan_block(qids: np.ndarray, qvecs: np.ndarray, k: int):
     """Scan function: scores a partition against one block of queries, keeps k per query.
 
@@ -115,25 +128,25 @@ def _scan_block(qids: np.ndarray, qvecs: np.ndarray, k: int):
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = [np.empty(0, dtype="int64") for _ in qids]
+        ids: list[np.ndarray | None] = [None for _ in qids]
         best = [np.empty(0) for _ in qids]
         floor = np.full(len(qids), -np.inf)
         for pdf in batches:
             for at in range(0, len(pdf), SLICE_ROWS):
                 part = pdf.iloc[at : at + SLICE_ROWS]
-                doc = part["doc_id"].to_numpy(dtype="int64")
+                doc = _ids(part["doc_id"])
                 grid = np.round(_unit(part["vec"]) @ qvecs.T, SCORE_DIGITS)
                 reached = grid >= floor
                 for j in np.flatnonzero(reached.any(axis=0)):
                     rows = reached[:, j]
-                    all_ids = np.concatenate([ids[j], doc[rows]])
+                    all_ids = doc[rows] if ids[j] is None else np.concatenate([ids[j], doc[rows]])
                     scores = np.concatenate([best[j], grid[rows, j]])
-                    order = np.lexsort((all_ids, -scores))[:k]
+                    order = _best_first(all_ids, scores)[:k]
                     ids[j], best[j] = all_ids[order], scores[order]
                     if len(order) == k:
                         floor[j] = best[j][-1]
         for j, qid in enumerate(qids):
-            if len(ids[j]):
+            if ids[j] is not None:
                 yield pd.DataFrame({"query_id": qid, "doc_id": ids[j], "score": best[j]})
 
     return scan
@@ -149,7 +162,7 @@ def _scan_above(qids: np.ndarray, qvecs: np.ndarray, least: float):
                 grid = np.round(_unit(part["vec"]) @ qvecs.T, SCORE_DIGITS)
                 row, column = np.nonzero(grid > least)
                 if len(row):
-                    doc = part["doc_id"].to_numpy(dtype="int64")
+                    doc = _ids(part["doc_id"])
                     yield pd.DataFrame({"query_id": qids[column], "doc_id": doc[row], "score": grid[row, column]})
 
     return scan
@@ -193,9 +206,15 @@ def _scanned(docs: DataFrame, asked: DataFrame, scan_of: Callable) -> DataFrame:
     if len(block) > BLOCK_ROWS:
         return _block_pairs(docs, asked, scan_of, BLOCK_ROWS)
     if len(block) == 0:
-        return docs.where("false").selectExpr("cast(null as bigint) query_id", "doc_id", "0.0D score")
-    scan = scan_of(block["query_id"].to_numpy(dtype="int64"), _unit(block["vec"]))
-    return docs.mapInPandas(scan, "query_id bigint, doc_id bigint, score double")
+        none = F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id")
+        return docs.where("false").select(none, "doc_id", F.lit(0.0).alias("score"))
+    scan = scan_of(_ids(block["query_id"]), _unit(block["vec"]))
+    return docs.mapInPandas(scan, _pair_schema(docs, asked))
+
+
+def _pair_schema(docs: DataFrame, asked: DataFrame) -> str:
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (docs, "doc_id"))]
+    return f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
 
 
 def blocked_vector_search(docs: DataFrame, asked: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -229,14 +248,14 @@ def _block_pairs(docs: DataFrame, asked: DataFrame, scan_of: Callable, rows: int
         empty = pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
         if len(d) == 0 or len(q) == 0:
             return empty
-        scan = scan_of(q["query_id"].to_numpy(dtype="int64"), _unit(q["vec"]))
+        scan = scan_of(_ids(q["query_id"]), _unit(q["vec"]))
         out = list(scan(iter([d])))
         return pd.concat(out) if out else empty
 
     return (
         left.groupBy("db", "qb")
         .cogroup(right.groupBy("db", "qb"))
-        .applyInPandas(pair, "query_id bigint, doc_id bigint, score double")
+        .applyInPandas(pair, _pair_schema(docs, asked))
     )
 
 
@@ -406,16 +425,9 @@ def field_search(pages: DataFrame, queries: DataFrame, weights: dict[str, int],
     )
 
 
-def substring_search(pages: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """First ``k`` pages, in page order, with the whole query in title, content or a heading.
-
-    ``pages(doc_id, ord, title, content, headings)``; queries shorter than two characters
-    find nothing.
-    """
-    asked = queries.where(F.length("query") >= 2).select(
-        "query_id", F.lower("query").alias("query")
-    )
-    parts = (
+def page_parts(pages: DataFrame) -> DataFrame:
+    """``doc_id, ord, item, text``: lower-cased title (0), content (1) and headings (2 on) of ``pages``."""
+    return (
         pages.select("doc_id", "ord", F.lit(0).alias("item"), F.lower("title").alias("text"))
         .unionByName(
             pages.select("doc_id", "ord", F.lit(1).alias("item"), F.lower("content").alias("text"))
@@ -426,7 +438,21 @@ def substring_search(pages: DataFrame, queries: DataFrame, k: int = 10) -> DataF
             )
         )
     )
-    hits = phrase_hits(parts, ["doc_id", "ord", "item"], "text", asked, ["query_id"], "query")
+
+
+def substring_search(pages: DataFrame | GramIndex, queries: DataFrame, k: int = 10) -> DataFrame:
+    """First ``k`` pages, in page order, with the whole query in title, content or a heading.
+
+    ``pages(doc_id, ord, title, content, headings)``, or the gram index of their ``page_parts``, which
+    answers without reading a text; queries shorter than two characters find nothing.
+    """
+    asked = queries.where(F.length("query") >= 2).select(
+        "query_id", F.lower("query").alias("query")
+    )
+    if isinstance(pages, GramIndex):
+        hits = phrase_texts(pages, asked, ["query_id"], "query")
+    else:
+        hits = phrase_hits(page_parts(pages), ["doc_id", "ord", "item"], "text", asked, ["query_id"], "query")
     found = hits.select("query_id", "doc_id", "ord").distinct()
     w = Window.partitionBy("query_id").orderBy("ord")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(

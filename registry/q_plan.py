@@ -8,6 +8,7 @@ from corpusloom.functions import fixed
 from corpusloom.functions import text as T
 from corpusloom.operators import changes as X
 from corpusloom.operators import classify as C
+from corpusloom.operators import grams
 from corpusloom.operators import index as I
 from corpusloom.operators import segment as G
 from corpusloom.operators import segments
@@ -589,6 +590,16 @@ def inc3(spark, d):
     return X.affected_pages(wiki_pages(spark, d), changes, "body")
 
 
+@query("inc3_affected_pages_by_grams", f"""
+WITH {PG}, nm AS (SELECT DISTINCT 'a' || (doc_id * 3) AS name FROM documents)
+SELECT DISTINCT path FROM pg JOIN nm ON contains(body, name)""")
+def inc3_grams(spark, d):
+    path = scratch_path(spark, "grams")
+    grams.save_grams(wiki_pages(spark, d), ["path"], "body", path)
+    changes = table(spark, d, "documents").selectExpr("'M' AS status", f"{_CHANGED} AS path")
+    return X.affected_pages(grams.load_grams(spark, path), changes)
+
+
 @query("inc4_pages_to_create", f"""
 WITH {PG}, ad AS (SELECT CASE doc_id % 3 WHEN 0 THEN regexp_replace(path, '\\.md$', '') || '/x.ts' WHEN 1 THEN 'mod' || (doc_id % 20) || '/y.ts' ELSE 'z' || doc_id || '.ts' END AS path FROM wiki),
 m AS (SELECT path, {S.dir_name('path')} AS dir, CASE WHEN instr(path, '/') = 0 THEN {S.stem('path')} ELSE regexp_extract({S.dir_name('path')}, '([^/]*)$', 1) END AS module FROM ad)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import fixed, vectors
 from corpusloom.functions import text as T
 from corpusloom.operators import context as C
+from corpusloom.operators import grams
 from corpusloom.operators import index as I
 from corpusloom.operators import search as S_
 from corpusloom.operators import segments
@@ -318,16 +319,27 @@ def sch12(spark, d):
     )
 
 
-@query("sch13_substring_search", f"""
+SUBSTRING = f"""
 WITH {PF}, q2 AS (SELECT query_id, lower(query) AS q FROM queries),
 hit AS (SELECT query_id, doc_id, doc_id AS ord FROM q2, pf WHERE length(q) >= 2 AND (contains(lower(title), q)
   OR contains(lower(content), q) OR len(list_filter(headings, lambda h: contains(lower(h), q))) > 0))
-SELECT query_id, rank, doc_id FROM ({S.ranked('hit', 10, 'ord')})""")
+SELECT query_id, rank, doc_id FROM ({S.ranked('hit', 10, 'ord')})"""
+
+
+@query("sch13_substring_search", SUBSTRING)
 def sch13(spark, d):
     pages = page_fields(spark, d).withColumn("ord", F.col("doc_id"))
     return S_.substring_search(pages, derive(spark, d, "queries"))
 
 
+@query("sch13_substring_search_by_grams", SUBSTRING)
+def sch13_grams(spark, d):
+    """The same answers from a stored gram index of titles, contents and headings."""
+    pages, path = page_fields(spark, d).withColumn("ord", F.col("doc_id")), scratch_path(spark, "grams")
+    grams.save_grams(S_.page_parts(pages), ["doc_id", "ord", "item"], "text", path)
+    return S_.substring_search(grams.load_grams(spark, path), derive(spark, d, "queries"))
+
+
 CTX = f"""{PF}, {VEC},
 near AS (SELECT a.doc_id AS query_id, b.doc_id, list_dot_product(a.u, b.u) AS score
          FROM unit a, unit b WHERE a.doc_id IN (SELECT query_id FROM queries)),

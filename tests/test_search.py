@@ -211,3 +211,17 @@ def test_trim_history(spark):
 def test_global_rank(spark):
     df = spark.range(500).select((F.col("id") * 7 % 500).alias("v"))
     assert all(r["pos"] == r["v"] + 1 for r in with_global_rank(df, [F.col("v")]).collect())
+
+
+def test_vector_search_keeps_the_type_of_ids(spark):
+    rows = [(f"d{i:02d}", [float(i % 5), 1.0]) for i in range(20)] + [("none", None), ("zero", [0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "doc_id string, embedding array<float>")
+    queries = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", [0.0, 1.0])], "query_id string, embedding array<float>")
+    got = S.vector_search(vectors, queries, 4)
+    assert [(r["query_id"], r["rank"], r["doc_id"]) for r in got.orderBy("query_id", "rank").collect()] == [
+        ("q1", i + 1, f"d{4 + 5 * i:02d}") for i in range(4)
+    ] + [("q2", i + 1, f"d{5 * i:02d}") for i in range(4)]
+    docs, asked = S._vectors(vectors, queries, None)
+    blocked = S.blocked_vector_search(docs, asked, 4, 3)
+    assert sorted(blocked.collect()) == sorted(got.collect())
+    assert S.vector_search(vectors, queries.limit(0), 4).schema["query_id"].dataType.simpleString() == "string"
