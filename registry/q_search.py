@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import fixed, vectors
 from corpusloom.functions import text as T
 from corpusloom.operators import context as C
+from corpusloom.operators import embeddings
 from corpusloom.operators import grams
 from corpusloom.operators import index as I
 from corpusloom.operators import search as S_
@@ -340,6 +341,20 @@ def sch13_grams(spark, d):
     return S_.substring_search(grams.load_grams(spark, path), derive(spark, d, "queries"))
 
 
+def _letter_model():
+    return lambda texts: [[len(t), t.count("e"), t.count(" ")] for t in texts]
+
+
+@query("udf1_embed_by_content", """
+SELECT doc_id, [length(text)::DOUBLE, length(text) - length(replace(text, 'e', '')), length(text) - length(replace(text, ' ', ''))] AS embedding FROM documents""")
+def udf1_content(spark, d):
+    """English documents first, then all: the second call embeds only texts that the first did not see."""
+    docs, path = table(spark, d, "documents"), scratch_path(spark, "vectors")
+    embeddings.embed_by_content(docs.where("lang = 'en'"), "doc_id", "text", path, _letter_model, 3)
+    made = embeddings.embed_by_content(docs, "doc_id", "text", path, _letter_model, 3)
+    return made.select("doc_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+
+
 CTX = f"""{PF}, {VEC},
 near AS (SELECT a.doc_id AS query_id, b.doc_id, list_dot_product(a.u, b.u) AS score
          FROM unit a, unit b WHERE a.doc_id IN (SELECT query_id FROM queries)),
