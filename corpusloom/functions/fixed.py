@@ -259,6 +259,7 @@ BM25_B = 0.75
 RRF_K = 60
 RELEVANCE_THRESHOLD = 0.3
 CHARS_PER_CHUNK = 1500
+DOCUMENTATION_CHARS = 200
 CHARS_PER_TOKEN = 4
 MIN_CHUNK_CHARS = 100
 MAX_CHUNK_CHARS = 1500

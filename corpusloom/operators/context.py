@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed
+from corpusloom.session import dealt_join, settle
 
 BLOCK = 65_536
 
@@ -74,10 +75,13 @@ def trim_history(messages: DataFrame, max_tokens: int = fixed.HISTORY_TOKEN_LIMI
     limits = stats.join(last, "conv_id").withColumn(
         "pruned", (F.col("_tokens") >= max_tokens) & (F.col("_n") > keep + 1)
     )
+    pruned = settle(limits.where("pruned").select("conv_id", "_first", "_tail", "pruned"))
+    # only pruned conversations meet their messages; all other messages stay as they are
     return (
-        messages.join(limits, "conv_id")
+        dealt_join(messages, pruned, "conv_id", "left")
+        .withColumn("pruned", F.coalesce("pruned", F.lit(False)))
         .where(~F.col("pruned") | (F.col("turn") == F.col("_first")) | (F.col("turn") >= F.col("_tail")))
-        .drop("_tokens", "_n", "_first", "_tail")
+        .drop("_first", "_tail")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import fixed
 from corpusloom.functions import text as T
 from corpusloom.functions.arrays import bind
-from corpusloom.session import settle
+from corpusloom.session import dealt_join, settle
 
 # Links that are out of scope.
 OUT_OF_SCOPE = (
@@ -269,7 +269,7 @@ def title_mentions(texts: DataFrame, text_id: str, text: str, pages: DataFrame)
         text_id,
         F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(WORD_RUN), 0))).alias("word"),
     )
-    candidates = spoken.join(keys, "word").join(body, text_id)
+    candidates = dealt_join(spoken, keys, "word").join(body, text_id)
     word_first = F.col("mention").rlike("^[a-z0-9_]")
     word_last = F.col("mention").rlike("[a-z0-9_]$")
     pattern = F.concat(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import fixed
 from corpusloom.functions import text as T
 from corpusloom.functions.arrays import bind
-from corpusloom.session import with_global_rank
+from corpusloom.session import dealt_join, with_global_rank
 
 FRONT_MATTER = r"(?s)^---\n(.*?)\n---(?:\n|$)"
 
@@ -299,7 +299,7 @@ def siblings(pages: DataFrame, most: int = 3) -> DataFrame:
         .agg(F.array_sort(F.collect_list("path")).alias("firsts"))
     )
     shown = F.slice(F.filter("firsts", lambda p: p != F.col("path")), 1, most)
-    return rows.join(first, "dir").select("path", F.posexplode(shown).alias("pos", "sibling"))
+    return dealt_join(rows, first, "dir").select("path", F.posexplode(shown).alias("pos", "sibling"))
 
 
 def related_pages(pages: DataFrame, most: int = 5) -> DataFrame:

@@ -326,11 +326,22 @@ def rerank(results: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 10,
 def search(index: CorpusIndex, vectors: DataFrame | None, queries: DataFrame, mode: str = "hybrid",
            k: int = 10, allowed: DataFrame | None = None, rrf_k: int = fixed.RRF_K,
            rerank_docs: DataFrame | None = None,
-           scorer: Callable[[Column, Column], Column] = overlap_scorer) -> DataFrame:
-    """Search in one mode: ``keyword``, ``vector`` or ``hybrid``; reranked if docs are given."""
+           scorer: Callable[[Column, Column], Column] = overlap_scorer,
+           texts: DataFrame | None = None) -> DataFrame:
+    """Search in one mode: ``keyword``, ``vector`` or ``hybrid``; reranked if docs are given.
+
+    Without a vector table, hybrid search is keyword search, and vector search counts the words of
+    the query in ``texts(doc_id, text)`` instead; without those it is an error.
+    """
     width = 2 * k if rerank_docs is not None else k
     none = F.lit(None).cast("double")
-    if mode == "keyword" or vectors is None:
+    if mode == "vector" and vectors is None:
+        if texts is None:
+            raise ValueError("vector search needs vectors, or texts to count words in")
+        held = texts if allowed is None else texts.join(allowed.select("doc_id"), "doc_id", "left_semi")
+        found = occurrence_search(held, queries, width)
+        found = found.withColumn("vector_score", F.col("score")).withColumn("bm25_score", none)
+    elif mode == "keyword" or vectors is None:
         found = keyword_search(index, queries, width, allowed)
         found = found.withColumn("vector_score", none).withColumn("bm25_score", F.col("score"))
     elif mode == "vector":
@@ -481,17 +492,36 @@ def context_search(vectors: DataFrame, pages: DataFrame, queries: DataFrame, k:
     )
 
 
+def context_block(columns: list[str]) -> Column:
+    """Text of a chunk in a context: header, start of the documentation, signature, fenced content."""
+
+    def held(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in columns else F.lit("")
+
+    place = F.concat(held("path"), F.lit(":"), held("start_line"))
+    kind = F.when(held("chunk_type") != "", held("chunk_type")).otherwise("Code")
+    named = F.concat(F.lit("### "), kind, F.lit(": "), held("name"), F.lit(" ("), place, F.lit(")"))
+    bare = F.concat(F.lit("### "), place, F.lit("-"), held("end_line"))
+    said = F.concat(F.lit("\n**Documentation:** "), F.substring(held("documentation"), 1, fixed.DOCUMENTATION_CHARS), F.lit("...\n"))
+    signed = F.concat(F.lit("\n**Signature:** `"), held("signature"), F.lit("`\n"))
+    return F.concat(
+        F.lit("\n"), F.when(held("name") != "", named).otherwise(bare),
+        F.when(held("documentation") != "", said).otherwise(""), F.when(held("signature") != "", signed).otherwise(""),
+        F.lit("\n```"), held("language"), F.lit("\n"), F.substring(held("content"), 1, fixed.CHARS_PER_CHUNK), F.lit("\n```\n"),
+    )
+
+
 def topic_retrieval(results: DataFrame, chunks: DataFrame, topics: DataFrame,
                     budget: int = fixed.CONTEXT_BUDGET_CHARS) -> DataFrame:
     """Gather several queries' results for one topic, without repeats, up to a text budget.
 
-    ``topics(topic_id, query_id, query_ord)``, ``chunks(doc_id, path, start_line, content)``.
-    A chunk counts at its first appearance; items are taken while the text before them
-    stays within the budget.
+    ``topics(topic_id, query_id, query_ord)``, ``chunks(doc_id, path, start_line, content)`` and, if there,
+    ``end_line, name, chunk_type, documentation, signature, language``. A chunk counts at its first
+    appearance; items are taken while the text before them stays within the budget. All that a chunk
+    puts into the context counts, its header and fences too (``context_block``).
     """
-    rows = results.join(topics, "query_id").join(
-        chunks.select("doc_id", "path", "start_line", F.least(F.length("content"), F.lit(fixed.CHARS_PER_CHUNK)).alias("chars")), "doc_id"
-    )
+    sized = chunks.select("doc_id", "path", "start_line", F.length(context_block(chunks.columns)).alias("chars"))
+    rows = results.join(topics, "query_id").join(sized, "doc_id")
     first = Window.partitionBy("topic_id", "path", "start_line").orderBy("query_ord", "rank")
     seen = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     return within_budget(seen, "topic_id", ["query_ord", "rank"], "chars", budget)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed, vectors
 from corpusloom.functions import text as T
+from corpusloom.operators import ball_index
 from corpusloom.operators import context as C
 from corpusloom.operators import embeddings
 from corpusloom.operators import grams
@@ -162,6 +163,16 @@ def sch3(spark, d):
     return rounded(S_.vector_search(doc_vectors(spark, d), label_centroids(spark, d)), "score")
 
 
+@query("sch3_vector_search_by_blocks", f"""
+WITH {VEC}, {CENTROIDS},
+near AS (SELECT query_id, doc_id, list_dot_product(u, v) / sqrt(list_dot_product(v, v)) AS score FROM cq, unit)
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ({S.ranked('near', 10)})""")
+def sch3_blocks(spark, d):
+    path = scratch_path(spark, "balls")
+    ball_index.save_balls(doc_vectors(spark, d), path)
+    return rounded(ball_index.ball_search(ball_index.load_balls(spark, path), label_centroids(spark, d)), "score")
+
+
 @query("sch4_normalize", f"""
 WITH {VEC} SELECT doc_id, list_transform(u, lambda x: round(x, 6)) AS unit FROM unit""")
 def sch4(spark, d):
@@ -287,6 +298,12 @@ def _any_heading() -> str:
     return "len(list_filter(headings, lambda h: contains(lower(h), w))) "
 
 
+@query("sch9_occurrences_without_vectors", CHECKS["sch6_occurrence_search"])
+def sch9_occurrences(spark, d):
+    found = S_.search(built_index(spark, d), None, derive(spark, d, "queries"), "vector", texts=table(spark, d, "documents").select("doc_id", "text"))
+    return found.select("query_id", "rank", "doc_id", "score")
+
+
 @query("sch11_field_search", f"""
 WITH {PF},
 s AS (SELECT query_id, doc_id, sum(CASE WHEN contains(lower(title), w) THEN 10 ELSE 0 END
@@ -382,11 +399,17 @@ def sch14(spark, d):
 
 
 # --- topic retrieval and answers ---------------------------------------------------------------------------
+_BLOCK = """(chr(10) || CASE WHEN doc_id % 3 <> 0 AND title <> '' THEN '### ' || CASE WHEN doc_id % 2 = 0 THEN 'Section' ELSE 'Code' END || ': ' || title || ' (' || path || ':1)'
+  ELSE '### ' || path || ':1-9' END || CASE WHEN description <> '' THEN chr(10) || '**Documentation:** ' || description[1:200] || '...' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 4 = 0 AND lang <> '' THEN chr(10) || '**Signature:** `' || lang || '`' || chr(10) ELSE '' END
+  || chr(10) || '```' || coalesce(lang, '') || chr(10) || content[1:1500] || chr(10) || '```' || chr(10))"""
+
+
 @query("sch15_topic_retrieval", f"""
-WITH {BM25}, r AS ({S.ranked('scored', 5)}),
+WITH {BM25}, {cte('fields')}, r AS ({S.ranked('scored', 5)}),
 seen AS (SELECT *, row_number() OVER (PARTITION BY topic_id, doc_id ORDER BY query_id, rank) AS n
-  FROM (SELECT r.query_id, r.rank, r.doc_id, r.query_id % 5 AS topic_id, least(length(text), 1500) AS chars
-        FROM r JOIN documents USING (doc_id))),
+  FROM (SELECT r.query_id, r.rank, r.doc_id, r.query_id % 5 AS topic_id, length({_BLOCK}) AS chars
+        FROM r JOIN (SELECT *, 'f' || doc_id || '.ts' AS path FROM fields JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)) USING (doc_id))),
 b AS (SELECT *, coalesce(sum(chars) OVER (PARTITION BY topic_id ORDER BY query_id, rank
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM seen WHERE n = 1)
 SELECT topic_id, query_id, rank, doc_id, before::BIGINT AS before FROM b WHERE before <= 12000""")
@@ -395,9 +418,10 @@ def sch15(spark, d):
     topics = q.select(
         (F.col("query_id") % 5).alias("topic_id"), "query_id", F.col("query_id").alias("query_ord")
     )
-    chunks = table(spark, d, "documents").select(
-        "doc_id", F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("start_line"),
-        F.col("text").alias("content"),
+    chunks = derive(spark, d, "fields").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").selectExpr(
+        "doc_id", "concat('f', doc_id, '.ts') AS path", "1 AS start_line", "9 AS end_line", "CASE WHEN doc_id % 3 <> 0 THEN title END AS name",
+        "CASE WHEN doc_id % 2 = 0 THEN 'Section' END AS chunk_type", "description AS documentation",
+        "CASE WHEN doc_id % 4 = 0 THEN lang END AS signature", "lang AS language", "content",
     )
     found = S_.keyword_search(saved_index(spark, d), q, 5)
     return S_.topic_retrieval(found, chunks, topics).select(

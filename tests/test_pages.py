@@ -102,3 +102,24 @@ def test_unique_titles(spark):
                                 "query_id long, rank int, title string, content string")
     got = {(r["query_id"], r["rank"]): r["label"] for r in G.unique_titles(ctx).collect()}
     assert got == {(1, 1): "T §1", (1, 2): "T §2", (1, 3): "U", (2, 1): "T"}
+
+
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_one_key_on_most_rows(spark, monkeypatch, rows):
+    """Joins where one directory or conversation holds most rows, broadcast and dealt, against plain results."""
+    from corpusloom import session
+    from corpusloom.operators import context as C
+
+    monkeypatch.setattr(session.is_small, "__defaults__", (rows,))
+    pages = spark.createDataFrame([(f"hot/{i:04d}.md",) for i in range(600)] + [(f"d{i}/a.md",) for i in range(50)], "path string")
+    got = P.siblings(pages).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "sibling"))).alias("s")).collect()
+    firsts = [f"hot/{i:04d}.md" for i in range(4)]
+    assert {r["path"]: [x["sibling"] for x in r["s"]] for r in got} == {
+        p: [x for x in firsts if x != p][:3] for p in (f"hot/{i:04d}.md" for i in range(600))
+    }
+    turns = [(1, i, "word " * 20) for i in range(500)] + [(2, 0, "a"), (2, 1, None), (None, 0, "b")]
+    messages = spark.createDataFrame(turns, "conv_id bigint, turn bigint, text string")
+    kept = C.trim_history(messages, max_tokens=250, keep=4).select("conv_id", "turn", "pruned").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted(
+        [(1, t, True) for t in (0, 496, 497, 498, 499)] + [(2, 0, False), (2, 1, False), (None, 0, False)], key=str
+    )
