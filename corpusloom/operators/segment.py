@@ -183,34 +183,35 @@ CS_RULES = [
     ),
 ]
 _OPEN = "array<struct<line:int,name:string,type:string,level:int,open:boolean>>"
+_STARTS = "array<struct<name:string,type:string>>"
 _CLOSED = "array<struct<line:int,end:int,name:string,type:string>>"
 
 
 def brace_chunks(lines: Column, minimum: int = MIN_CHARS) -> Column:
     """Chunks of a file by brace nesting; see ``segment_braces``."""
 
-    def started(line: Column, i: Column, depth: Column) -> Column:
+    def starts(line: Column) -> Column:
         found = []
         for pattern, kind in CS_RULES:
             ok = line.rlike(pattern)
             if kind == "method":
                 ok = ok & ~F.contains(line, F.lit(";"))
-            one = F.array(
-                F.struct(
-                    i.alias("line"), F.regexp_extract(line, pattern, 1).alias("name"),
-                    F.lit(kind).alias("type"), depth.alias("level"), F.lit(False).alias("open"),
-                )
-            )
-            found.append(F.when(ok, one).otherwise(F.array().cast(_OPEN)))
+            one = F.array(F.struct(F.regexp_extract(line, pattern, 1).alias("name"), F.lit(kind).alias("type")))
+            found.append(F.when(ok, one).otherwise(F.array().cast(_STARTS)))
         return F.concat(*found)
 
     def step(s: Column, x: Column) -> Column:
-        line, i = x["line"], x["i"]
-        opens = count_of(line, "{")
-        after = s["depth"] + opens - count_of(line, "}")
-        current = F.concat(s["stack"], started(line, i, s["depth"]))
+        i, opens = x["i"], x["opens"]
+        after = s["depth"] + opens - x["closes"]
+        begun = F.transform(
+            x["starts"],
+            lambda b: F.struct(
+                i.alias("line"), b["name"].alias("name"), b["type"].alias("type"),
+                s["depth"].alias("level"), F.lit(False).alias("open"),
+            ),
+        )
         seen = F.transform(
-            current,
+            F.concat(s["stack"], begun),
             lambda c: F.struct(
                 c["line"].alias("line"), c["name"].alias("name"), c["type"].alias("type"),
                 c["level"].alias("level"), (c["open"] | (opens > 0)).alias("open"),
@@ -236,13 +237,19 @@ def brace_chunks(lines: Column, minimum: int = MIN_CHARS) -> Column:
         )
 
     numbered = F.transform(
-        lines, lambda x, i: F.struct(x.alias("line"), (i + 1).cast("int").alias("i"))
+        lines,
+        lambda x, i: F.struct(
+            (i + 1).cast("int").alias("i"), count_of(x, "{").alias("opens"), count_of(x, "}").alias("closes"),
+            starts(x).alias("starts"),
+        ),
     )
+    # a line without a brace and a start changes nothing, so the scan passes over it
+    marked = F.filter(numbered, lambda m: (m["opens"] > 0) | (m["closes"] > 0) | (F.size(m["starts"]) > 0))
     zero = F.struct(
         F.lit(0).alias("depth"), F.array().cast(_OPEN).alias("stack"),
         F.array().cast(_CLOSED).alias("done"),
     )
-    done = F.flatten(F.transform(scan(numbered, zero, step), lambda s: s["done"]))
+    done = F.flatten(F.transform(scan(marked, zero, step), lambda s: s["done"]))
     cut = F.transform(
         done,
         lambda c: F.struct(
