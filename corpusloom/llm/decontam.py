@@ -125,7 +125,7 @@ def compared(lines: DataFrame, docs: DataFrame, items: DataFrame, id_col: str, t
     sized = lines.join(items.select("item_key", F.size("words").alias("size")), "item_key")
     per_doc = settle(sized.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_key", "shift", "size")).alias("lines")))
     texts = docs.select(*identity(id_col, text_col), F.col(text_col).alias("text")).join(
-        F.broadcast(per_doc) if is_light(per_doc, 32 + 20 * F.size("lines")) else per_doc, ["k1", "k2"]
+        F.broadcast(per_doc) if is_light(per_doc, 48 + 48 * F.size("lines")) else per_doc, ["k1", "k2"]
     )
     first = F.greatest(F.col("line.shift") - slack, F.lit(0))
     last = F.col("line.shift") + F.col("line.size") + slack
@@ -210,7 +210,7 @@ def phrase_matches(
         F.flatten(F.collect_list(hit)).alias("hits"),
         F.collect_list(F.when(F.col("near"), F.struct("item", F.col("shift").alias("start")))).alias("near"),
     )
-    light = is_light(found, 64 + 24 * F.size("starts"))
+    light = is_light(found, 64 + 72 * F.size("starts"))
     joined = base.join(F.broadcast(of_doc) if light else of_doc, ["k1", "k2"], "left")
     none = F.array()
     out = [
