@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.index import _stored, _table
-from corpusloom.session import is_small, settle
+from corpusloom.session import BROADCAST_BYTES, dealt_join, is_small, settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -74,19 +74,23 @@ def known_vectors(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(*[f"{_table(path, 'vectors')}/{n}" for n in names]).select("digest", "embedding") if names else None
 
 
-def embed_by_content(
-    docs: DataFrame, doc_id: str, text: Column | str, path: str, load: Callable[[], Encode], dim: int, batch: int = BATCH
-) -> DataFrame:
-    """``(doc_id, embedding)`` of every row of ``docs``; ``load`` returns the model, a function from texts to vectors.
+def save_run(vectors: DataFrame, path: str, alone: bool = False) -> None:
+    """Add ``digest, embedding`` rows as a run; ``alone``: the only one that counts from now on."""
+    spark = vectors.sparkSession
+    run = f"r{uuid.uuid4().hex}"
+    vectors.write.parquet(f"{_table(path, 'vectors')}/{run}")
+    version, runs = _runs(spark, path)
+    _put_runs(spark, path, version + 1, [run] if alone else [*runs, run])
 
-    Texts whose digest is known are not embedded again; of equal new texts one is. Null, empty and failed texts have zeros;
-    failed ones are asked again by the next call. ``path`` is shared storage and has one writer at a time.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(T._col(text), F.lit("")).alias("text")).withColumn(
-        "digest", F.sha2("text", 256)
-    )
-    known = known_vectors(spark, path)
+
+def with_digest(docs: DataFrame, text: Column | str) -> DataFrame:
+    """``docs`` with its text, a null one empty, as ``text`` and the ``digest`` of it."""
+    return docs.withColumn("text", F.coalesce(T._col(text), F.lit(""))).withColumn("digest", F.sha2("text", 256))
+
+
+def remember(rows: DataFrame, path: str, load: Callable[[], Encode], dim: int, batch: int = BATCH) -> None:
+    """Embed the texts of ``rows(text, digest)`` whose digest is not known at ``path``, each once; empty ones are passed over."""
+    known = known_vectors(rows.sparkSession, path)
     new = rows.where("text <> ''").select("digest").distinct()
     if known is not None:
         new = new.join(known.select("digest"), "digest", "left_anti")
@@ -94,26 +98,37 @@ def embed_by_content(
     if new.limit(1).count():
         # few new texts are picked where they stand; only they are exchanged
         texts = rows.join(F.broadcast(new) if is_small(new) else new, "digest", "left_semi").dropDuplicates(["digest"])
-        run = f"r{uuid.uuid4().hex}"
-        run_model(texts, load, dim, batch).write.parquet(f"{_table(path, 'vectors')}/{run}")
-        version, runs = _runs(spark, path)
-        _put_runs(spark, path, version + 1, [*runs, run])
-        known = known_vectors(spark, path)
+        save_run(run_model(texts, load, dim, batch), path)
+
+
+def lookup(rows: DataFrame, known: DataFrame | None, dim: int) -> DataFrame:
+    """``rows(digest, ...)`` with the ``embedding`` of their digest, zeros where none is known; a digest may be that of many rows."""
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
     if known is None:
-        return rows.select("doc_id", zeros.alias("embedding"))
-    return rows.select("doc_id", "digest").join(known, "digest", "left").select(
-        "doc_id", F.coalesce("embedding", zeros).alias("embedding")
+        return rows.drop("digest").withColumn("embedding", zeros)
+    most = max(BROADCAST_BYTES // (4 * dim + 100), 1)  # a vector and its digest
+    return dealt_join(rows, known, "digest", "left", rows=most).drop("digest").withColumn(
+        "embedding", F.coalesce("embedding", zeros)
     )
 
 
+def embed_by_content(
+    docs: DataFrame, doc_id: str, text: Column | str, path: str, load: Callable[[], Encode], dim: int, batch: int = BATCH
+) -> DataFrame:
+    """``(doc_id, embedding)`` of every row of ``docs``; ``load`` returns the model, a function from texts to vectors.
+
+    Texts whose digest is known are not embedded again; of equal new texts one is. Null, empty and failed texts have zeros;
+    failed ones are asked again by the next call. ``path`` is shared storage and has one writer at a time.
+    """
+    rows = with_digest(docs.select(F.col(doc_id).alias("doc_id"), T._col(text).alias("text")), "text")
+    remember(rows, path, load, dim, batch)
+    return lookup(rows.select("doc_id", "digest"), known_vectors(docs.sparkSession, path), dim)
+
+
 def forget(docs: DataFrame, text: Column | str, path: str) -> None:
     """Drop the vectors of texts that ``docs`` no longer has: what stays becomes one run, the only one that counts."""
-    spark = docs.sparkSession
-    known = known_vectors(spark, path)
+    known = known_vectors(docs.sparkSession, path)
     if known is None:
         return
     used = docs.select(F.sha2(F.coalesce(T._col(text), F.lit("")), 256).alias("digest")).distinct()
-    run = f"r{uuid.uuid4().hex}"
-    known.join(used, "digest", "left_semi").write.parquet(f"{_table(path, 'vectors')}/{run}")
-    _put_runs(spark, path, _runs(spark, path)[0] + 1, [run])
+    save_run(known.join(used, "digest", "left_semi"), path, alone=True)

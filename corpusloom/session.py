@@ -50,13 +50,14 @@ def is_light(df: DataFrame, size: Column, most: int = BROADCAST_BYTES) -> bool:
     return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most
 
 
-def dealt_join(many: DataFrame, few: DataFrame, on: str, how: str = "inner", salts: int = 16) -> DataFrame:
+def dealt_join(many: DataFrame, few: DataFrame, on: str, how: str = "inner", salts: int = 16,
+               rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join where one key may hold a large part of ``many`` and ``few`` has few rows a key (inner and left joins).
 
-    A checked, small ``few`` is broadcast, so ``many`` stays where it is; else each of its rows goes to
+    A ``few`` of at most ``rows`` rows is broadcast, so ``many`` stays where it is; else each of its rows goes to
     ``salts`` tasks and the rows of ``many`` are dealt to them in turn.
     """
-    if is_small(few):
+    if is_small(few, rows):
         return many.join(F.broadcast(few), on, how)
     turn = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

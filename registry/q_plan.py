@@ -626,6 +626,55 @@ def inc6(spark, d):
     return live_index.current_index(spark, base).term_stats
 
 
+def _letter_model():
+    return lambda texts: [[len(t), t.count("e"), t.count(" ")] for t in texts]
+
+
+def streamed_history(spark, d) -> str:
+    """Folder of a live index after three micro-batches: all documents, then new English texts and German deletions, then late ones."""
+    base = scratch_path(spark, "live")
+    docs = table(spark, d, "documents")
+    lang = F.coalesce("lang", F.lit(""))
+    changed = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("source", F.lit("")))
+    steps = [
+        docs.select("doc_id", F.lit(2).alias("version"), "text"),
+        docs.where(lang.isin("en", "de")).select(
+            "doc_id", F.lit(3).alias("version"), F.when(lang == "en", changed).alias("text")
+        ),
+        docs.select("doc_id", F.lit(1).alias("version"), F.col("source").alias("text")),
+    ]
+    for rows in steps:
+        rows.write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        live_index.stream_update(source, f"{base}/out", f"{base}/checkpoint", load=_letter_model, dim=3).awaitTermination()
+    return f"{base}/out"
+
+
+_HISTORY = """now AS (
+SELECT doc_id, CASE WHEN lang = 'en' THEN coalesce(text, '') || ' ' || coalesce(source, '') ELSE text END AS text
+FROM documents WHERE lang = 'en' OR (lang IS DISTINCT FROM 'de' AND text IS NOT NULL))"""
+
+
+@query("inc6_streamed_statistics", f"""
+WITH {_HISTORY}, {S.index_ctes('now')} SELECT term, df, (SELECT n FROM cs)::BIGINT AS n_docs, (SELECT round(avgdl, 6) FROM cs) AS avgdl FROM dfs""")
+def inc6_statistics(spark, d):
+    """Sums of the batches' deltas after replaced, deleted and late documents."""
+    index = live_index.current_index(spark, streamed_history(spark, d))
+    corpus = index.corpus_stats
+    return index.term_stats.select(
+        "term", "df", corpus.select("n_docs").scalar().alias("n_docs"),
+        F.round(corpus.select("avgdl").scalar(), 6).alias("avgdl"),
+    )
+
+
+@query("inc6_streamed_vectors", f"""
+WITH {_HISTORY} SELECT doc_id, [length(text)::DOUBLE, length(text) - length(replace(text, 'e', '')), length(text) - length(replace(text, ' ', ''))] AS embedding FROM now""")
+def inc6_vectors(spark, d):
+    """Vectors of the live documents: a text that a batch before brought is not embedded again."""
+    made = live_index.current_vectors(spark, streamed_history(spark, d), 3)
+    return made.select("doc_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+
+
 # --- sinks: written to shared storage and read back ------------------------------------------------------------------
 @query("snk1_chunk_table", "SELECT source AS corpus_id, doc_id, lang FROM documents")
 def snk1(spark, d):

@@ -107,6 +107,57 @@ def test_stream_replaces_and_deletes(spark):
         assert index.corpus_stats.first()["n_docs"] == 2
 
 
+def letters():
+    """A model made here, so that it travels to the tasks by value."""
+    return lambda: lambda texts: [[len(t), t.count("a")] for t in texts]
+
+
+def test_any_order_of_batches_equals_a_batch_build(spark):
+    """Random changes, late ones, deletions, a lost and two replayed batches, a compaction half way."""
+    import random
+
+    from corpusloom.operators import index as I
+
+    rng = random.Random(7)
+    kinds = "doc_id long, version long, text string"
+    changes = [
+        (d, v, rng.choice([None, "", " ".join(rng.choices(["ab", "ba", "cc", "da", "same"], k=rng.randint(1, 6)))]))
+        for d in range(12) for v in range(1, 5)
+    ]
+    rng.shuffle(changes)
+    base, small = scratch_path(spark, "live"), scratch_path(spark, "live")
+    for n, start in enumerate(range(0, 48, 12)):
+        if n == 2:
+            live_index.compact(spark, base, small)
+            base = small
+        batch = spark.createDataFrame(changes[start : start + 12], kinds)
+        live_index.apply_batch(batch, n, base, letters(), 2)
+        if n % 2:
+            live_index.apply_batch(batch, n, base, letters(), 2)
+    # a batch that was lost before its versions were written
+    spark.createDataFrame([("lost", 5)], "term string, df long").write.parquet(f"{base}/term_deltas/batch=9")
+    spark.createDataFrame([(5, 50)], "n_docs long, tokens long").write.parquet(f"{base}/corpus_deltas/batch=9")
+    last = {d: t for d, v, t in sorted(changes, key=lambda c: c[:2])}
+    docs = {d: t for d, t in last.items() if t is not None}
+    want = I.build_index(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), "doc_id", "text")
+    got = live_index.current_index(spark, base)
+    for name in ("postings", "term_stats", "doc_stats", "corpus_stats"):
+        a, b = getattr(got, name), getattr(want, name)
+        assert sorted(map(tuple, a.select(*b.columns).collect())) == sorted(map(tuple, b.collect())), name
+    vectors = {r["doc_id"]: r["embedding"] for r in live_index.current_vectors(spark, base, 2).collect()}
+    assert vectors == {d: [float(len(t)), float(t.count("a"))] for d, t in docs.items()}
+
+
+def test_stream_without_effective_rows(spark):
+    base, kinds = scratch_path(spark, "live"), "doc_id long, version long, text string"
+    live_index.apply_batch(spark.createDataFrame([], kinds), 0, base, letters(), 2)
+    assert live_index.current_index(spark, base).corpus_stats.collect() == [(0, 0.0)]
+    assert live_index.current_vectors(spark, base, 2).count() == 0
+    live_index.apply_batch(spark.createDataFrame([(1, 3, None)], kinds), 1, base, letters(), 2)
+    live_index.apply_batch(spark.createDataFrame([(1, 2, "late")], kinds), 2, base, letters(), 2)
+    assert live_index.current_index(spark, base).term_stats.count() == 0
+
+
 def test_plans(spark):
     paths = [f"src/components/C{i}.tsx" for i in range(6)] + ["src/index.ts", "src/store/a.ts", "src/store/b.ts", "package.json"]
     files = spark.createDataFrame([(p,) for p in paths], "path string")
