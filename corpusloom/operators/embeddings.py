@@ -88,17 +88,23 @@ def with_digest(docs: DataFrame, text: Column | str) -> DataFrame:
     return docs.withColumn("text", F.coalesce(T._col(text), F.lit(""))).withColumn("digest", F.sha2("text", 256))
 
 
-def remember(rows: DataFrame, path: str, load: Callable[[], Encode], dim: int, batch: int = BATCH) -> None:
-    """Embed the texts of ``rows(text, digest)`` whose digest is not known at ``path``, each once; empty ones are passed over."""
+def remember(
+    rows: DataFrame, path: str, load: Callable[[], Encode], dim: int, batch: int = BATCH, key: str | None = None
+) -> None:
+    """Embed the texts of ``rows(text, digest)`` whose digest is not known at ``path``, each once; empty ones are passed over.
+
+    ``key`` names a column of unique values, if there is one: where ``rows`` lie by it, texts are not exchanged.
+    """
     known = known_vectors(rows.sparkSession, path)
-    new = rows.where("text <> ''").select("digest").distinct()
+    new = rows.where("text <> ''")
+    new = new.groupBy("digest").agg(F.min(key).alias(key)) if key else new.select("digest").distinct()
     if known is not None:
         new = new.join(known.select("digest"), "digest", "left_anti")
     new = settle(new)
     if new.limit(1).count():
         # few new texts are picked where they stand; only they are exchanged
-        texts = rows.join(F.broadcast(new) if is_small(new) else new, "digest", "left_semi").dropDuplicates(["digest"])
-        save_run(run_model(texts, load, dim, batch), path)
+        picked = rows.join(F.broadcast(new) if is_small(new) else new, key or "digest", "left_semi")
+        save_run(run_model(picked if key else picked.dropDuplicates(["digest"]), load, dim, batch), path)
 
 
 def lookup(rows: DataFrame, known: DataFrame | None, dim: int) -> DataFrame:

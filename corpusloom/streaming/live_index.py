@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import embeddings as E
 from corpusloom.operators import index as I
 from corpusloom.session import is_small, settle
@@ -30,7 +31,7 @@ def stream_update(changes: DataFrame, path: str, checkpoint: str, available_now:
 
     ``version`` orders the changes of a document; a null ``text`` deletes it. Of equal versions the
     later batch decides, and in a batch a deletion, then the greatest text. A change that comes after a
-    newer one has no effect. With ``load``, a function that returns the model (see
+    newer one has no effect, nor has one without an id or a version. With ``load``, a function that returns the model (see
     ``embeddings.embed_by_content``), vectors of ``dim`` numbers are kept as well.
     """
     base = path.rstrip("/")
@@ -47,7 +48,7 @@ def apply_batch(batch: DataFrame, batch_id: int, base: str,
     """Append the changes of one batch; the same batch may be applied again after a failure."""
     spark = batch.sparkSession
     change = F.struct("version", F.col("text").isNull().alias("deleted"), "text")
-    newest = batch.groupBy("doc_id").agg(F.max(change).alias("c")).select(
+    newest = batch.where("doc_id IS NOT NULL AND version IS NOT NULL").groupBy("doc_id").agg(F.max(change).alias("c")).select(
         "doc_id", "c.version", "c.deleted", "c.text"
     )
     newest = _effective(newest, _standing(spark, base, batch_id)).persist()
@@ -56,17 +57,23 @@ def apply_batch(batch: DataFrame, batch_id: int, base: str,
     def put(df: DataFrame, name: str) -> None:
         df.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
 
-    def versioned(df: DataFrame) -> DataFrame:
-        return df.join(live.select("doc_id", "version"), "doc_id")
-
-    put(versioned(I.term_frequencies(live, "doc_id", "text")), "postings")
-    put(versioned(I.document_lengths(live, "doc_id", "text")), "lengths")
+    # one pass over the texts, which already lie by doc_id; lengths come from the postings just written
+    counted = live.select("doc_id", "version", T.tokens("text").alias("tokens")).select(
+        "doc_id", "version", F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("term")
+    )
+    put(counted.groupBy("doc_id", "version", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+    held = spark.read.parquet(f"{base}/postings/batch={batch_id}").select("doc_id", "version", "dl").distinct()
+    put(
+        live.select("doc_id", "version").join(held, ["doc_id", "version"], "left")
+        .withColumn("dl", F.coalesce("dl", F.lit(0).cast("bigint"))),
+        "lengths",
+    )
     terms, corpus = _deltas(spark, base, batch_id, newest)
     put(terms, "term_deltas")
     put(corpus, "corpus_deltas")
     if load is not None:
         texts = E.with_digest(live.select("doc_id", "version", "text"), "text")
-        E.remember(texts, f"{base}/content", load, dim)
+        E.remember(texts, f"{base}/content", load, dim, key="doc_id")
         put(texts.select("doc_id", "version", "digest"), "digests")
     put(newest.select("doc_id", "version", "deleted"), "versions")
     newest.unpersist()
