@@ -128,7 +128,10 @@ def _deltas(spark: SparkSession, base: str, batch_id: int, newest: DataFrame) ->
 
 def _newest(spark: SparkSession, base: str) -> DataFrame:
     """``doc_id, version, batch`` in force of every live document."""
-    return _standing(spark, base).where("NOT deleted").drop("deleted")
+    standing = _standing(spark, base)
+    if standing is None:
+        raise ValueError(f"no batch was ever written to {base}")
+    return standing.where("NOT deleted").drop("deleted")
 
 
 def _in_force(spark: SparkSession, base: str, name: str, newest: DataFrame, batches: list[int] | None = None) -> DataFrame:

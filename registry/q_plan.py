@@ -619,7 +619,7 @@ def inc6(spark, d):
     base = scratch_path(spark, "live")
     schema = table(spark, d, "documents").schema
     source = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+        spark.readStream.schema(schema).parquet(f"{d}/documents.parquet*")  # a file or a folder of files
         .select("doc_id", F.lit(1).alias("version"), "text")
     )
     live_index.stream_update(source, base, f"{base}/checkpoint").awaitTermination()
