@@ -167,6 +167,35 @@ def test_word_paths_agree_with_brute_force(spark):
         assert sorted(map(tuple, got.collect())) == want
 
 
+def test_word_paths_agree_on_long_words_and_repeated_keys(spark, monkeypatch):
+    long = "x" * 40 + "y"
+    texts = [(1, f"a{long}b\u00a0c {long}{long} aaaa"), (1, "aaa"), (2, None), (3, "\u00e9t\u00e9 \U0001f600aa")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    w = spark.createDataFrame([(x,) for x in ("aa", long, "x" * 40, "\u00e9", "\U0001f600", "b\u00a0c")], "word string")
+    want = [(1, "aa", 3), (1, "b\u00a0c", 1), (1, "x" * 40, 3), (1, long, 3), (3, "aa", 1), (3, "\u00e9", 2), (3, "\U0001f600", 1)]
+    for listed in (20_000, 3):  # looked up on the text's own row, and through the vocabulary
+        monkeypatch.setattr(M, "LISTED_WORDS", listed)
+        got = M.word_hits(df, ["id"], "text", w, constant=False).select("id", "word", "hits")
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_scores_of_listed_words_are_summed_where_the_text_lies(spark, monkeypatch):
+    monkeypatch.setattr(M, "parts_of", lambda *_: 4)
+    df = spark.createDataFrame([(i, f"alpha w{i} beta") for i in range(50)], "doc_id long, text string")
+    q = queries(spark, "alpha beta w1", "w2 beta")
+    plan = S.occurrence_search(df, q, constant=False)._jdf.queryExecution().executedPlan().toString()
+    # found words go by doc_id once; pairs of text and word, or of text and query, are not exchanged
+    by_doc = [x for x in plan.split("\n") if "Exchange hashpartitioning(" in x and "doc_id#" in x]
+    assert len(by_doc) == 1 and "REPARTITION_BY_NUM" in by_doc[0]
+
+
+def test_postings_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "alpha beta gamma delta " * 50) for i in range(64)], "doc_id long, text string")
+    monkeypatch.setattr("corpusloom.session.parts_of.__defaults__", (4096,))
+    built = I.build_index(df, "doc_id", "text")
+    assert built.buckets >= 17 and built.postings.rdd.getNumPartitions() == built.buckets
+
+
 def test_phrases_with_blanks(spark):
     df = spark.createDataFrame([(1, "the quick brown fox"), (2, "quick  brown"), (3, "uick brow")], "id long, text string")
     p = spark.createDataFrame([(9, "uick brow")], "pid long, p string")
