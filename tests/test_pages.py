@@ -123,3 +123,14 @@ def test_one_key_on_most_rows(spark, monkeypatch, rows):
     assert sorted(map(tuple, kept), key=str) == sorted(
         [(1, t, True) for t in (0, 496, 497, 498, 499)] + [(2, 0, False), (2, 1, False), (None, 0, False)], key=str
     )
+
+
+def test_title_of_two_words_is_found_without_its_text(spark):
+    pages = spark.createDataFrame([(1, "a", "The Alpha"), (2, "b", "One Two Three"), (3, "c", "Alpha  Beta")], "ord long, path string, title string")
+    texts = spark.createDataFrame([(1, "see the alpha."), (2, "other alpha beta"), (3, "one two threes"), (4, "one two three"), (5, None)], "id long, t string")
+    found = G.title_mentions(texts, "id", "t", pages)
+    got = sorted((r["id"], r["mention"]) for r in found.collect())
+    assert got == [(1, "alpha"), (1, "the alpha"), (2, "alpha"), (4, "one two three")]
+    # only titles of more than two words go to the texts
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT (word" in plan
