@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed
 from corpusloom.functions import text as T
-from corpusloom.operators.index import CorpusIndex, _stored, _table, term_frequencies
+from corpusloom.operators.index import CorpusIndex, _each_token, _stored, _table, text_parts
 from corpusloom.operators.search import SCORE_DIGITS, query_terms, top_k
 from corpusloom.session import is_light, is_small, settle
 
@@ -97,13 +97,14 @@ def impact(tf: Column, dl: Column, avgdl: Column) -> Column:
 def forward_rows(docs: DataFrame, doc_id: str, text: Column | str) -> DataFrame:
     """``doc_id``, ``dl``, ``terms``: one row per document, without terms too."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(T._col(text), F.lit("")).alias("text"))
-    counted = term_frequencies(rows, "doc_id", "text").groupBy("doc_id", "dl").agg(
-        F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("terms")
+    counted = _each_token(rows.repartition(text_parts(rows), "doc_id")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    held = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+    whole = counted.groupBy("doc_id", "dl").agg(
+        F.array_sort(F.collect_list(held)).alias("terms"), F.max(F.when(F.col("term").isNull(), F.col("tf"))).alias("_bare")
     )
-    bare = rows.where(F.size(T.tokens("text")) == 0).select(
-        "doc_id", F.lit(0).cast("bigint").alias("dl"), F.array().cast(counted.schema["terms"].dataType).alias("terms")
-    )
-    return counted.unionByName(bare)
+    # texts without terms keep a row each
+    rows_of = F.array_repeat(F.lit(0), F.coalesce("_bare", F.lit(1)).cast("int"))
+    return whole.select("doc_id", "dl", "terms", F.explode(rows_of).alias("_row")).drop("_row")
 
 
 def _write_segment(forward: DataFrame, path: str) -> Segment | None:
@@ -149,7 +150,8 @@ def _dead(spark: SparkSession, path: str, version: Version) -> DataFrame | None:
 def _without(rows: DataFrame, dead: DataFrame | None) -> DataFrame:
     if dead is None:
         return rows
-    return rows.join(F.broadcast(dead) if is_small(dead) else dead, ["segment", "doc_id"], "left_anti")
+    # the ids are hashed; rows are not sorted for them
+    return rows.join(F.broadcast(dead) if is_small(dead) else dead.hint("shuffle_hash"), ["segment", "doc_id"], "left_anti")
 
 
 def commit(
@@ -226,7 +228,8 @@ def open_index(spark: SparkSession, path: str) -> SegmentedIndex:
         )
     n, dl = sum(s.docs for s in version.segments), sum(s.dl for s in version.segments)
     return SegmentedIndex(
-        _without(blocks.select("segment", "term", F.inline("entries")), dead).select("doc_id", "dl", "term", "tf"),
+        # from a row per document, so that deletions are looked up once a document and not once a posting
+        docs.select("doc_id", "dl", F.inline("terms")),
         terms.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0"),
         docs.select("doc_id", "dl"),
         spark.createDataFrame([(n, dl / n)], "n_docs bigint, avgdl double"),

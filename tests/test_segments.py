@@ -128,3 +128,15 @@ def test_half_of_the_postings_are_not_read(spark):
     assert sum(scored + blocks) <= 0.5 * postings, (scored, blocks, postings)
     rows = lambda df: sorted((r[0], r[1], r[2], round(r[3], 8)) for r in df.collect())
     assert rows(G.block_search(index, queries)) == rows(S.keyword_search(index, queries))
+
+
+def test_postings_are_read_from_documents(spark):
+    path = scratch_path(spark, "segments")
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, "beta beta"), (4, "...")], "doc_id long, text string")
+    G.commit(spark, path, docs, "doc_id")
+    G.commit(spark, path, spark.createDataFrame([(3, "gamma")], "doc_id long, text string"), "doc_id")
+    index = G.open_index(spark, path)
+    assert sorted(map(tuple, index.postings.collect())) == [(1, 2, "alpha", 1), (1, 2, "beta", 1), (3, 1, "gamma", 1)]
+    assert sorted(map(tuple, index.doc_stats.collect())) == [(1, 2), (2, 0), (3, 1), (4, 0)]
+    plan = index.postings._jdf.queryExecution().optimizedPlan().toString()
+    assert "entries" not in plan
