@@ -1,9 +1,10 @@
 """Positional gram index: substring search that reads postings of a few rare grams and no text.
 
-Every position of a text has the gram of ``GRAM`` characters that starts there, shorter at the end. Stored are,
-by gram, the texts that have it with all its positions, and how many texts those are. A phrase is
-covered by grams that do not overlap, but for the last; its rarest one gives the candidates and
-their shifts, the others have to stand at the same shift. A phrase shorter than a gram is looked up
+Every position of a text has the gram of ``GRAM`` characters that starts there, shorter at the end. Texts
+are indexed in blocks where they lie, without an exchange: stored are, by gram and block, the texts that
+have it with all its positions, as differences in bytes. A phrase is
+covered by grams that do not overlap, but for the last; its two rarest ones have to stand at their
+distance in a text, whatever phrases ask for them, and the others at the same shift. A phrase shorter than a gram is looked up
 as the beginning of grams. White space and repeated words are characters like any others.
 """
 
@@ -15,95 +16,223 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+import pyarrow.compute as pc
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.index import _stored, _table
-from corpusloom.session import is_light, is_small, settle
+from corpusloom.session import is_small, settle, spread
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GRAM = 3
-#: Texts whose postings are made at once, and grams that become a filter of the scan.
-BATCH_TEXTS, FILTER_GRAMS = 200, 200
+#: Texts and characters of a block, and grams that become a filter of the scan.
+BATCH_TEXTS, BATCH_CHARS, FILTER_GRAMS = 4000, 1 << 20, 200
+#: A text's number is that of its block, a multiple of this, plus its place there; bytes of places read at once;
+#: texts whose places the tasks pick while reading.
+BLOCK, PLACES, RANGES = 1 << 16, 1 << 18, 1_000_000
 
 
 @dataclass
 class GramIndex:
-    """``postings(gram, *keys, positions)``, ordered by gram, and ``grams(gram, df)``."""
+    """``postings(gram, block, n, texts, counts, positions)``: the last three as bytes; ``grams(gram, df)``; ``texts(_text, *keys)``."""
 
     postings: DataFrame
     grams: DataFrame
+    texts: DataFrame
     keys: list[str]
 
 
-def grams_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct grams of a text, and their positions one after the other with the bounds between them."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
-    n = len(code)
-    code = np.concatenate([code, np.zeros(GRAM - 1, np.int64)])  # 0 stands behind the end
-    whole = np.zeros(n, np.int64)
+def to_bytes(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Numbers from 0 as binaries of seven bits a byte, low ones first; ``bounds`` cut them into rows."""
+    size = np.ones(len(values), np.int64)
+    for bits in (7, 14, 21, 28):
+        size += values >= 1 << bits
+    ends = np.append(0, np.cumsum(size))
+    out = np.zeros(ends[-1], np.uint8)
+    for k in range(5):
+        some = np.flatnonzero(size > k)
+        out[ends[some] + k] = ((values[some] >> (7 * k)) & 127) | np.where(size[some] > k + 1, 128, 0)
+    offsets = pa.py_buffer(ends[bounds].astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(out)])
+
+
+def from_bytes(rows: pa.Array) -> np.ndarray:
+    """All numbers of ``to_bytes``, row after row."""
+    code = np.frombuffer(b"".join(rows.to_pylist()), np.uint8).astype(np.int64)
+    ends = np.flatnonzero(code < 128)
+    starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+    out, size = np.zeros(len(ends), np.int64), ends - starts + 1
+    for k in range(5):
+        some = np.flatnonzero(size > k)
+        out[some] |= (code[starts[some] + k] & 127) << (7 * k)
+    return out
+
+
+def _steps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences to the number before; whole numbers at ``first``."""
+    out = np.diff(values, prepend=0)
+    out[first] = values[first]
+    return out
+
+
+def _sums(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What ``_steps`` was made of: sums that begin anew after each of ``sizes``."""
+    total = np.cumsum(steps)
+    first = np.cumsum(sizes) - sizes
+    return total - np.repeat(total[first] - steps[first], sizes)
+
+
+def block_grams(texts: list[str]) -> tuple[list[str], np.ndarray, pa.Array, pa.Array, pa.Array]:
+    """Distinct grams of the texts; for each, the number of texts, their places in the list, how often and where."""
+    codes, gap = [], np.zeros(GRAM - 1, np.int64)  # 0 stands behind the end
+    for text in texts:
+        codes += [np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1, gap]
+    ends = np.cumsum([0] + [len(text) + len(gap) for text in texts])
+    code = np.concatenate([*codes, gap])
+    whole = np.zeros(ends[-1], np.int64)
     for i in range(GRAM):
-        whole = (whole << 21) | code[i : i + n]
-    order = np.argsort(whole, kind="stable")
-    first = np.flatnonzero(np.diff(whole[order], prepend=-1))
-    return [text[p : p + GRAM] for p in order[first].tolist()], order, np.append(first, n)
+        whole = (whole << 21) | code[i : i + ends[-1]]
+    at = np.flatnonzero(code[: ends[-1]])
+    at = at[np.argsort(whole[at], kind="stable")]
+    gram, of = whole[at], np.searchsorted(ends, at, "right") - 1
+    pos = at - ends[of]
+    new_gram = np.diff(gram, prepend=-1) != 0
+    new_text = new_gram | (np.diff(of, prepend=-1) != 0)
+    grams, entries = np.flatnonzero(new_gram), np.flatnonzero(new_text)
+    # bounds of the grams among the positions and among the pairs of gram and text
+    bounds = np.append(grams, len(at))
+    pairs = np.searchsorted(entries, bounds)
+    names = [texts[of[g]][pos[g] : pos[g] + GRAM] for g in grams.tolist()]
+    return (
+        names, np.diff(pairs),
+        to_bytes(_steps(of[entries], pairs[:-1]), pairs),
+        to_bytes(np.diff(np.append(entries, len(at))), pairs),
+        to_bytes(_steps(pos, entries), bounds),
+    )
 
 
 def text_grams(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """``gram, *keys, positions`` (from 0, ascending); null and empty texts have none."""
+    """``gram, block, n, texts, counts, positions`` (from 0, ascending); null and empty texts have none.
+
+    The row of a block without a gram has the keys of all its texts.
+    """
     rows = texts.select(*keys, F.coalesce(text_col, F.lit("")).alias("_text"))
 
+    def block_of(number: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        of_texts = pa.StructArray.from_arrays([c.combine_chunks() for c in whole.columns[:-1]], keys)
+        names, n, *lists = block_grams(whole.column(len(keys)).to_pylist())
+        one = [pa.array([None], k) for k in (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())]
+        kept = pa.ListArray.from_arrays(pa.array([0, len(of_texts)], pa.int32()), of_texts)
+        columns = ["gram", "n", "texts", "counts", "positions", "block", "keys"]
+        yield pa.RecordBatch.from_arrays([*one, pa.array([number], pa.int64()), kept], columns)
+        blocks, none = pa.array(np.full(len(names), number)), pa.nulls(len(names), kept.type)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n.astype(np.int32)), *lists, blocks, none], columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, texts, chars = TaskContext.get().partitionId() << 40, [], 0, 0
         for whole in batches:
-            for start in range(0, whole.num_rows, BATCH_TEXTS):
-                batch = whole.slice(start, BATCH_TEXTS)
-                names, row, places, ends = [], [], [], [np.zeros(1, np.int64)]
-                for i, text in enumerate(batch.column(len(keys)).to_pylist()):
-                    if text:
-                        grams, at, bounds = grams_of(text)
-                        names += grams
-                        row.append(np.full(len(grams), i))
-                        places.append(at)
-                        ends.append(ends[-1][-1] + bounds[1:])
-                if not names:
-                    continue
-                of = pa.array(np.concatenate(row))
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32))
-                )
-                kept = [batch.column(i).take(of) for i in range(len(keys))]
-                yield pa.RecordBatch.from_arrays([pa.array(names), *kept, lists], ["gram", *keys, "positions"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"gram string, {kinds}, positions array<int>")
+            sizes = np.array([len(t) for t in whole.column(len(keys)).to_pylist()], np.int64)
+            start = 0
+            while start < whole.num_rows:
+                room = np.searchsorted(np.cumsum(sizes[start:]), BATCH_CHARS - chars, "right") + 1
+                part = whole.slice(start, min(int(room), BATCH_TEXTS - texts))
+                held.append(part)
+                texts, chars = texts + part.num_rows, chars + int(sizes[start : start + part.num_rows].sum())
+                start += part.num_rows
+                if texts >= BATCH_TEXTS or chars > BATCH_CHARS:
+                    yield from block_of(number, held)
+                    number, held, texts, chars = number + BLOCK, [], 0, 0
+        if held:
+            yield from block_of(number, held)
+
+    kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(
+        run, f"gram string, n int, texts binary, counts binary, positions binary, block bigint, keys array<struct<{kinds}>>"
+    )
 
 
 def save_grams(texts: DataFrame, keys: list[str], text_col: str, path: str) -> None:
-    """Write the index of ``texts``; ``keys`` name a text and are not null. The table of grams is last and completes it."""
-    order = ["gram", *keys]
+    """Write the index of ``texts``, each task the blocks of its own; ``keys`` name a text. The table of grams is last and completes it."""
     postings = _table(path, "postings")
-    text_grams(texts, keys, text_col).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(postings)
-    written = texts.sparkSession.read.parquet(postings)
-    written.groupBy("gram").agg(F.count("*").alias("df")).write.parquet(_table(path, "grams"))
+    rows = text_grams(spread(texts, keys[0]), keys, text_col)
+    rows.sortWithinPartitions("gram", "block").write.option("compression", "zstd").parquet(postings)
+    written = texts.sparkSession.read.parquet(postings).where("gram IS NOT NULL")
+    written.groupBy("gram").agg(F.sum("n").alias("df")).write.parquet(_table(path, "grams"))
 
 
 def load_grams(spark: SparkSession, path: str) -> GramIndex:
     grams = _stored(spark, _table(path, "grams"))
     if grams is None:
         raise ValueError(f"no complete gram index at {path}")
-    postings = spark.read.parquet(_table(path, "postings"))
-    return GramIndex(postings, grams, [c for c in postings.columns if c not in ("gram", "positions")])
+    stored = spark.read.parquet(_table(path, "postings"))
+    keys = stored.schema["keys"].dataType.elementType.names
+    each = stored.where("gram IS NULL").select("block", F.posexplode("keys").alias("_at", "_key"))
+    texts = each.select((F.col("block") + F.col("_at")).alias("_text"), "_key.*")
+    return GramIndex(stored.where("gram IS NOT NULL").drop("keys"), grams, texts, keys)
 
 
-def _of_grams(index: GramIndex, asked: DataFrame) -> DataFrame:
-    """Postings of the grams in ``asked``, with its columns; a few grams reach the scan as a filter."""
-    few = asked.select("gram").distinct().limit(FILTER_GRAMS + 1).collect()
-    postings = index.postings
+def _places(ranges: pa.Table | None):
+    """Function from postings to ``gram, _text, _at``, rows of about ``PLACES`` bytes at a time.
+
+    With ``ranges(_text, lo, hi)``, ordered by text, only places from ``lo`` to before ``hi`` of its texts.
+    """
+    known, low, high = (c.to_numpy() for c in ranges.columns) if ranges is not None else [np.zeros(0, np.int64)] * 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            parts = np.cumsum(pc.binary_length(whole.column(5)).to_numpy()) // PLACES
+            starts = np.flatnonzero(np.diff(parts, prepend=-1))
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), whole.num_rows]):
+                batch = whole.slice(start, end - start)
+                n = batch.column(2).to_numpy()
+                row = np.repeat(np.arange(len(n)), n)
+                of = batch.column(1).to_numpy()[row] + _sums(from_bytes(batch.column(3)), n)
+                if ranges is not None:
+                    near = np.searchsorted(known, of)
+                    met = near < len(known)
+                    met[met] = known[near[met]] == of[met]
+                    if not met.any():
+                        continue
+                counts = from_bytes(batch.column(4))
+                at = _sums(from_bytes(batch.column(5)), counts)
+                entry = np.repeat(np.arange(len(of)), counts)
+                if ranges is not None:
+                    kept = met[entry]
+                    entry, at = entry[kept], at[kept]
+                    kept = (at >= low[near[entry]]) & (at < high[near[entry]])
+                    entry, at = entry[kept], at[kept]
+                names = batch.column(0).take(pa.array(row[entry]))
+                yield pa.RecordBatch.from_arrays([names, pa.array(of[entry]), pa.array(at.astype(np.int32))], ["gram", "_text", "_at"])
+
+    return run
+
+
+def _of_grams(index: GramIndex, grams: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """``gram, _text, _at``: places of ``grams``, a few of which reach the scan as a filter.
+
+    At least those in ``ranges(_text, lo, hi)``, if given: up to ``RANGES`` texts are known to the tasks, of more the blocks
+    and grams are read.
+    """
+    few = grams.select("gram").distinct().limit(FILTER_GRAMS + 1).collect()
+    postings, known = index.postings, None
     if len(few) <= FILTER_GRAMS:
         postings = postings.where(F.col("gram").isin([r["gram"] for r in few]))
-    return postings.join(F.broadcast(asked) if is_small(asked) else asked, "gram")
+    else:
+        postings = _met(postings, grams.select("gram").distinct(), ["gram"])
+    if ranges is not None and is_small(ranges, RANGES):
+        known = ranges.orderBy("_text").toArrow()
+    elif ranges is not None:
+        of = (F.col("_text") - F.col("_text").bitwiseAND(BLOCK - 1)).alias("block")
+        postings = _met(postings, ranges.select(of).distinct(), ["block"])
+    rows = postings.select("gram", "block", "n", "texts", "counts", "positions")
+    return rows.mapInArrow(_places(known), "gram string, _text bigint, _at int")
+
+
+def _met(many: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    return many.join(F.broadcast(few) if is_small(few) else few, on)
 
 
 def phrase_places(index: GramIndex, phrases: DataFrame, phrase_key: list[str], phrase: str) -> DataFrame:
@@ -112,24 +241,25 @@ def phrase_places(index: GramIndex, phrases: DataFrame, phrase_key: list[str], p
     Null and empty phrases stand nowhere; a phrase that is repeated has its places again only under
     another key.
     """
-    asked = phrases.select(*phrase_key, F.col(phrase).alias("_phrase")).where("_phrase <> ''").distinct()
+    named = phrases.select(*phrase_key, F.col(phrase).alias("_phrase")).where("_phrase <> ''").distinct()
+    asked = settle(named.select("_phrase").distinct().withColumn("_p", F.monotonically_increasing_id()))
     size = F.length("_phrase")
     short = asked.where(size < GRAM)
     heads = None
     for n in range(1, GRAM):
         part = short.where(size == n).join(index.grams, F.substring("gram", 1, n) == F.col("_phrase"))
         heads = part if heads is None else heads.unionAll(part)
-    found = _of_grams(index, settle(heads.select(*phrase_key, "gram"))).select(
-        *phrase_key, *index.keys, F.explode("positions").alias("pos")
-    )
+    heads = settle(heads.select("_p", "gram"))
+    found = _met(_of_grams(index, heads), heads, ["gram"]).select("_p", "_text", F.col("_at").alias("pos"))
     offsets = F.array_distinct(F.concat(F.sequence(F.lit(0), size - GRAM, F.lit(GRAM)), F.array(size - GRAM)))
     parts = (
         asked.where(size >= GRAM)
-        .select("*", F.size(offsets).alias("_parts"), F.explode(offsets).alias("_offset"))
+        .select("*", size.alias("_size"), F.size(offsets).alias("_parts"), F.explode(offsets).alias("_offset"))
         .withColumn("gram", F.substring(F.col("_phrase"), F.col("_offset") + 1, F.lit(GRAM)))
+        .drop("_phrase")
     )
     # a phrase with a gram that no text has stands nowhere
-    of_phrase = Window.partitionBy(*phrase_key, "_phrase")
+    of_phrase = Window.partitionBy("_p")
     ranked = settle(
         parts.join(index.grams, "gram")
         .withColumn("_known", F.count("*").over(of_phrase))
@@ -137,27 +267,44 @@ def phrase_places(index: GramIndex, phrases: DataFrame, phrase_key: list[str], p
         .withColumn("_rank", F.row_number().over(of_phrase.orderBy("df", "_offset")))
         .drop("df", "_known")
     )
-    rarest = ranked.where("_rank = 1").select(*phrase_key, "_phrase", "gram", "_offset", "_parts")
+    rarest = ranked.where("_rank = 1")
+    whole = rarest.where("_parts = 1").select("gram", "_p")
+    single = _met(_of_grams(index, whole), whole, ["gram"]).select("_p", "_text", F.col("_at").alias("pos"))
+    # two grams at their distance come before any phrase: many phrases may share a gram, few share both
+    second = ranked.where("_rank = 2").select("_p", F.col("gram").alias("_next"), F.col("_offset").alias("_to"))
+    pairs = settle(
+        rarest.where("_parts > 1").join(second, "_p")
+        .select("_p", "_parts", "_size", "gram", "_offset", "_next", (F.col("_to") - F.col("_offset")).alias("_far"))
+    )
+    begins = _met(_of_grams(index, pairs), pairs.select("gram", "_far").distinct(), ["gram"]).select(
+        "_text", (F.col("_at") + F.col("_far")).alias("_to"), "gram", "_far", "_at"
+    )
+    nexts = _of_grams(index, pairs.select(F.col("_next").alias("gram"))).select(
+        "_text", F.col("_at").alias("_to"), F.col("gram").alias("_next")
+    )
+    both = begins.join(nexts, ["_text", "_to"])
     begun = settle(
-        _of_grams(index, rarest)
-        .select(*phrase_key, "_phrase", "_parts", *index.keys, F.explode("positions").alias("_at"), "_offset")
-        .withColumn("pos", F.col("_at") - F.col("_offset"))
-        .where("pos >= 0").drop("_at", "_offset")
+        _met(both, pairs, ["gram", "_far", "_next"])
+        .select("_p", "_parts", "_size", "_text", (F.col("_at") - F.col("_offset")).alias("pos")).where("pos >= 0")
+    )
+    others = ranked.where("_rank > 2").select("_p", "gram", "_offset")
+    wanted = settle(
+        _met(begun.where("_parts > 2"), others, ["_p"])
+        .select("_p", "_parts", "_text", "pos", "gram", (F.col("pos") + F.col("_offset")).alias("_at"))
     )
-    single = begun.where("_parts = 1").select(*phrase_key, *index.keys, "pos")
-    others = ranked.where("_rank > 1").select(*phrase_key, "_phrase", "gram", "_offset")
-    wanted = begun.where("_parts > 1").join(others, [*phrase_key, "_phrase"]).withColumn("_at", F.col("pos") + F.col("_offset"))
-    # places that one text is asked for under one gram travel together
-    per_list = wanted.groupBy("gram", *index.keys).agg(F.collect_list(F.struct(*phrase_key, "_phrase", "_parts", "pos", "_at")).alias("_asked"))
-    lists = _of_grams(index, settle(others.select("gram").distinct()))
-    light = is_light(per_list, F.size("_asked") * 100)
-    met = lists.join(F.broadcast(per_list) if light else per_list, ["gram", *index.keys]).select(
-        *index.keys, F.inline(F.filter("_asked", lambda a: F.array_contains("positions", a["_at"])))
+    ranges = settle(
+        begun.where("_parts > 2").groupBy("_text")
+        .agg(F.min("pos").alias("lo"), F.max(F.col("pos") + F.col("_size")).alias("hi"))
     )
-    whole = met.groupBy(*phrase_key, "_phrase", "_parts", *index.keys, "pos").agg(F.count("*").alias("_met"))
-    return found.unionByName(single).unionByName(
-        whole.where(F.col("_met") + 1 == F.col("_parts")).select(*phrase_key, *index.keys, "pos")
+    lists = _of_grams(index, wanted, ranges)
+    rest = _met(lists, wanted, ["gram", "_text", "_at"]).groupBy("_p", "_parts", "_text", "pos").agg(F.count("*").alias("_met"))
+    places = (
+        found.unionByName(single)
+        .unionByName(begun.where("_parts = 2").select("_p", "_text", "pos"))
+        .unionByName(rest.where(F.col("_met") + 2 == F.col("_parts")).select("_p", "_text", "pos"))
     )
+    under = _met(places, named.join(asked, "_phrase").select("_p", *phrase_key), ["_p"])
+    return under.join(index.texts, "_text").select(*phrase_key, *index.keys, "pos")
 
 
 def phrase_texts(index: GramIndex, phrases: DataFrame, phrase_key: list[str], phrase: str) -> DataFrame:

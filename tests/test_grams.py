@@ -64,3 +64,46 @@ def test_affected_pages_by_grams(spark):
 def test_an_incomplete_index_is_not_opened(spark):
     with pytest.raises(ValueError):
         G.load_grams(spark, scratch_path(spark, "grams"))
+
+
+def test_repeated_and_null_keys_keep_their_places(spark):
+    index = stored(spark, [(1, "one long phrase"), (1, "one long phrase"), (None, "a long phrase")])
+    asked = spark.createDataFrame([(0, "long phrase")], "query_id bigint, phrase string")
+    got = G.phrase_places(index, asked, ["query_id"], "phrase").collect()
+    assert sorted((r.query_id, r.doc_id or 0, r.pos) for r in got) == [(0, 0, 2), (0, 1, 4), (0, 1, 4)]
+
+
+def test_phrases_that_share_grams_are_not_paired_with_all_their_texts(spark, monkeypatch):
+    """400 names of two grams that 20 names and 20 texts each share: both grams meet before a name does."""
+    rows = []
+
+    def counted(df, settle=G.settle):
+        kept = settle(df)
+        rows.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(G, "settle", counted)
+    both = sorted(3 * a + 3 * b for a in "ABCDEFGHIJKLMNOPQRST" for b in "abcdefghijklmnopqrst")
+    index = stored(spark, [(i, f"- {x} -") for i, x in enumerate(both)])
+    got = G.phrase_texts(index, spark.createDataFrame([(x,) for x in both], "name string"), ["name"], "name").collect()
+    assert sorted((r.doc_id, r.name) for r in got) == list(enumerate(both))
+    assert max(rows) <= 3 * len(both)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 1])
+def test_long_phrases_in_many_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(G, "RANGES", most)
+    texts = [(i, "x" * (i % 3) + "a passage of several words" + (" again" if i % 2 else " a passage of several word")) for i in range(30)]
+    phrases = ["a passage of several words again", "passage of several word", "several words  again"]
+    asked = spark.createDataFrame(list(enumerate(phrases)), "query_id bigint, phrase string")
+    got = sorted(map(tuple, G.phrase_places(stored(spark, texts), asked, ["query_id"], "phrase").collect()))
+    assert got == sorted((q, d, p) for q, x in enumerate(phrases) for d, t in texts for p in places(t, x))
+
+
+def test_blocks_of_few_characters(spark, monkeypatch):
+    monkeypatch.setattr(G, "BATCH_CHARS", 20)
+    monkeypatch.setattr(G, "PLACES", 3)
+    texts = [(i, "ab abc" * (i % 7)) for i in range(50)]
+    asked = spark.createDataFrame([(0, "abab a"), (1, "c")], "query_id bigint, phrase string")
+    got = sorted(map(tuple, G.phrase_places(stored(spark, texts), asked, ["query_id"], "phrase").collect()))
+    assert got == sorted((q, d, p) for q, x in enumerate(["abab a", "c"]) for d, t in texts for p in places(t, x))
