@@ -1,8 +1,8 @@
 """Positional gram index: substring search that reads postings of a few rare grams and no text.
 
 Every position of a text has the gram of ``GRAM`` characters that starts there, shorter at the end. Texts
-are indexed in blocks where they lie, without an exchange: stored are, by gram and block, the texts that
-have it with all its positions, as differences in bytes. A phrase is
+are indexed in blocks where they lie, without an exchange: the characters of all texts have places in one
+row of numbers, with gaps between texts. Stored are, by gram and block, all its places as steps in bytes, and for a block where its texts start. A phrase is
 covered by grams that do not overlap, but for the last; its two rarest ones have to stand at their
 distance in a text, whatever phrases ask for them, and the others at the same shift. A phrase shorter than a gram is looked up
 as the beginning of grams. White space and repeated words are characters like any others.
@@ -27,16 +27,17 @@ from corpusloom.session import is_small, settle, spread
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GRAM = 3
-#: Texts and characters of a block, and grams that become a filter of the scan.
-BATCH_TEXTS, BATCH_CHARS, FILTER_GRAMS = 4000, 1 << 20, 200
-#: A text's number is that of its block, a multiple of this, plus its place there; bytes of places read at once;
-#: texts whose places the tasks pick while reading.
-BLOCK, PLACES, RANGES = 1 << 16, 1 << 18, 1_000_000
+#: Texts and characters of a block (a longer text is one of its own), and grams that become a filter of the scan.
+BATCH_TEXTS, BATCH_CHARS, FILTER_GRAMS = 20_000, 1 << 20, 200
+#: Places without a character after a text; a block's number, its first place, is a multiple of BLOCK.
+GAP, BLOCK = GRAM - 1, 1 << 16
+#: Bytes of places read at once, ranges that tasks know while reading, bits of a place in its piece.
+PLACES, RANGES, PIECE = 1 << 18, 1_000_000, 9
 
 
 @dataclass
 class GramIndex:
-    """``postings(gram, block, n, texts, counts, positions)``: the last three as bytes; ``grams(gram, df)``; ``texts(_text, *keys)``."""
+    """``postings(gram, block, n, m, steps)``, the last as bytes; ``grams(gram, df)``; ``texts(*keys, _start, _end)``."""
 
     postings: DataFrame
     grams: DataFrame
@@ -70,66 +71,51 @@ def from_bytes(rows: pa.Array) -> np.ndarray:
     return out
 
 
-def _steps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Differences to the number before; whole numbers at ``first``."""
-    out = np.diff(values, prepend=0)
-    out[first] = values[first]
-    return out
-
-
-def _sums(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """What ``_steps`` was made of: sums that begin anew after each of ``sizes``."""
-    total = np.cumsum(steps)
-    first = np.cumsum(sizes) - sizes
-    return total - np.repeat(total[first] - steps[first], sizes)
-
-
-def block_grams(texts: list[str]) -> tuple[list[str], np.ndarray, pa.Array, pa.Array, pa.Array]:
-    """Distinct grams of the texts; for each, the number of texts, their places in the list, how often and where."""
-    codes, gap = [], np.zeros(GRAM - 1, np.int64)  # 0 stands behind the end
+def block_grams(texts: list[str], starts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, pa.Array]:
+    """Distinct grams of the texts; for each, how many texts and places it has, and the steps from place to place."""
+    codes, gap = [], np.zeros(GAP, np.int64)  # 0 stands behind the end
     for text in texts:
         codes += [np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1, gap]
-    ends = np.cumsum([0] + [len(text) + len(gap) for text in texts])
     code = np.concatenate([*codes, gap])
-    whole = np.zeros(ends[-1], np.int64)
+    size = len(code) - GAP
+    whole = np.zeros(size, np.int64)
     for i in range(GRAM):
-        whole = (whole << 21) | code[i : i + ends[-1]]
-    at = np.flatnonzero(code[: ends[-1]])
+        whole = (whole << 21) | code[i : i + size]
+    at = np.flatnonzero(code[:size])
     at = at[np.argsort(whole[at], kind="stable")]
-    gram, of = whole[at], np.searchsorted(ends, at, "right") - 1
-    pos = at - ends[of]
+    gram, of = whole[at], np.searchsorted(starts, at, "right") - 1
     new_gram = np.diff(gram, prepend=-1) != 0
     new_text = new_gram | (np.diff(of, prepend=-1) != 0)
-    grams, entries = np.flatnonzero(new_gram), np.flatnonzero(new_text)
-    # bounds of the grams among the positions and among the pairs of gram and text
+    grams = np.flatnonzero(new_gram)
+    names = [texts[of[g]][at[g] - starts[of[g]] : at[g] - starts[of[g]] + GRAM] for g in grams.tolist()]
+    steps = np.diff(at, prepend=0)
+    steps[grams] = at[grams]
     bounds = np.append(grams, len(at))
-    pairs = np.searchsorted(entries, bounds)
-    names = [texts[of[g]][pos[g] : pos[g] + GRAM] for g in grams.tolist()]
-    return (
-        names, np.diff(pairs),
-        to_bytes(_steps(of[entries], pairs[:-1]), pairs),
-        to_bytes(np.diff(np.append(entries, len(at))), pairs),
-        to_bytes(_steps(pos, entries), bounds),
-    )
+    return names, np.diff(np.searchsorted(np.flatnonzero(new_text), bounds)), np.diff(bounds), to_bytes(steps, bounds)
 
 
 def text_grams(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """``gram, block, n, texts, counts, positions`` (from 0, ascending); null and empty texts have none.
+    """``gram, block, n, m, steps``: texts and places of a gram in a block; null and empty texts have none.
 
-    The row of a block without a gram has the keys of all its texts.
+    The row of a block without a gram has the keys of all its texts and where they start and end.
     """
     rows = texts.select(*keys, F.coalesce(text_col, F.lit("")).alias("_text"))
 
     def block_of(number: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(held).combine_chunks()
-        of_texts = pa.StructArray.from_arrays([c.combine_chunks() for c in whole.columns[:-1]], keys)
-        names, n, *lists = block_grams(whole.column(len(keys)).to_pylist())
-        one = [pa.array([None], k) for k in (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())]
+        texts = whole.column(len(keys)).to_pylist()
+        ends = np.cumsum([len(t) + GAP for t in texts])
+        starts = np.append(0, ends[:-1])
+        names, n, m, steps = block_grams(texts, starts)
+        limits = [pa.array(number + starts), pa.array(number + ends - GAP)]
+        of_texts = pa.StructArray.from_arrays([*[c.combine_chunks() for c in whole.columns[:-1]], *limits], [*keys, "_start", "_end"])
         kept = pa.ListArray.from_arrays(pa.array([0, len(of_texts)], pa.int32()), of_texts)
-        columns = ["gram", "n", "texts", "counts", "positions", "block", "keys"]
+        one = [pa.array([None], k) for k in (pa.string(), pa.int32(), pa.int32(), pa.binary())]
+        columns = ["gram", "n", "m", "steps", "block", "keys"]
         yield pa.RecordBatch.from_arrays([*one, pa.array([number], pa.int64()), kept], columns)
-        blocks, none = pa.array(np.full(len(names), number)), pa.nulls(len(names), kept.type)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n.astype(np.int32)), *lists, blocks, none], columns)
+        of_grams = [pa.array(names, pa.string()), pa.array(n.astype(np.int32)), pa.array(m.astype(np.int32)), steps]
+        rest = [pa.array(np.full(len(names), number)), pa.nulls(len(names), kept.type)]
+        yield pa.RecordBatch.from_arrays([*of_grams, *rest], columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, texts, chars = TaskContext.get().partitionId() << 40, [], 0, 0
@@ -144,14 +130,12 @@ def text_grams(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
                 start += part.num_rows
                 if texts >= BATCH_TEXTS or chars > BATCH_CHARS:
                     yield from block_of(number, held)
-                    number, held, texts, chars = number + BLOCK, [], 0, 0
+                    number, held, texts, chars = number + (chars + GAP * texts) // BLOCK * BLOCK + BLOCK, [], 0, 0
         if held:
             yield from block_of(number, held)
 
-    kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(
-        run, f"gram string, n int, texts binary, counts binary, positions binary, block bigint, keys array<struct<{kinds}>>"
-    )
+    kinds = "".join(f"`{f.name}`: {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1]) + "_start: bigint, _end: bigint"
+    return rows.mapInArrow(run, f"gram string, n int, m int, steps binary, block bigint, keys array<struct<{kinds}>>")
 
 
 def save_grams(texts: DataFrame, keys: list[str], text_col: str, path: str) -> None:
@@ -168,53 +152,42 @@ def load_grams(spark: SparkSession, path: str) -> GramIndex:
     if grams is None:
         raise ValueError(f"no complete gram index at {path}")
     stored = spark.read.parquet(_table(path, "postings"))
-    keys = stored.schema["keys"].dataType.elementType.names
-    each = stored.where("gram IS NULL").select("block", F.posexplode("keys").alias("_at", "_key"))
-    texts = each.select((F.col("block") + F.col("_at")).alias("_text"), "_key.*")
+    texts = stored.where("gram IS NULL").select(F.inline("keys"))
+    keys = [c for c in texts.columns if c not in ("_start", "_end")]
     return GramIndex(stored.where("gram IS NOT NULL").drop("keys"), grams, texts, keys)
 
 
 def _places(ranges: pa.Table | None):
-    """Function from postings to ``gram, _text, _at``, rows of about ``PLACES`` bytes at a time.
+    """Function from postings to ``gram, _at``, rows of about ``PLACES`` bytes at a time.
 
-    With ``ranges(_text, lo, hi)``, ordered by text, only places from ``lo`` to before ``hi`` of its texts.
+    With ``ranges(lo, hi)``, ordered by ``lo``, only places from a ``lo`` to before its ``hi``.
     """
-    known, low, high = (c.to_numpy() for c in ranges.columns) if ranges is not None else [np.zeros(0, np.int64)] * 3
+    low, high = (c.to_numpy() for c in ranges.columns) if ranges is not None else [np.zeros(0, np.int64)] * 2
+    high = np.append(-1, np.maximum.accumulate(high))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            parts = np.cumsum(pc.binary_length(whole.column(5)).to_numpy()) // PLACES
+            parts = np.cumsum(pc.binary_length(whole.column(3)).to_numpy()) // PLACES
             starts = np.flatnonzero(np.diff(parts, prepend=-1))
             for start, end in zip(starts.tolist(), [*starts[1:].tolist(), whole.num_rows]):
                 batch = whole.slice(start, end - start)
-                n = batch.column(2).to_numpy()
-                row = np.repeat(np.arange(len(n)), n)
-                of = batch.column(1).to_numpy()[row] + _sums(from_bytes(batch.column(3)), n)
+                m = batch.column(2).to_numpy()
+                row = np.repeat(np.arange(len(m)), m)
+                total = np.cumsum(from_bytes(batch.column(3)))
+                before = np.append(0, total[np.cumsum(m) - 1])[:-1]  # steps begin anew with each row
+                at = total - before[row] + batch.column(1).to_numpy()[row]
                 if ranges is not None:
-                    near = np.searchsorted(known, of)
-                    met = near < len(known)
-                    met[met] = known[near[met]] == of[met]
-                    if not met.any():
-                        continue
-                counts = from_bytes(batch.column(4))
-                at = _sums(from_bytes(batch.column(5)), counts)
-                entry = np.repeat(np.arange(len(of)), counts)
-                if ranges is not None:
-                    kept = met[entry]
-                    entry, at = entry[kept], at[kept]
-                    kept = (at >= low[near[entry]]) & (at < high[near[entry]])
-                    entry, at = entry[kept], at[kept]
-                names = batch.column(0).take(pa.array(row[entry]))
-                yield pa.RecordBatch.from_arrays([names, pa.array(of[entry]), pa.array(at.astype(np.int32))], ["gram", "_text", "_at"])
+                    kept = high[np.searchsorted(low, at, "right")] > at
+                    row, at = row[kept], at[kept]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at)], ["gram", "_at"])
 
     return run
 
 
 def _of_grams(index: GramIndex, grams: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
-    """``gram, _text, _at``: places of ``grams``, a few of which reach the scan as a filter.
+    """``gram, _at``: places of ``grams``, a few of which reach the scan as a filter.
 
-    At least those in ``ranges(_text, lo, hi)``, if given: up to ``RANGES`` texts are known to the tasks, of more the blocks
-    and grams are read.
+    With ``ranges(lo, hi)`` at least those in them: up to ``RANGES`` are known to the tasks, with more all are read.
     """
     few = grams.select("gram").distinct().limit(FILTER_GRAMS + 1).collect()
     postings, known = index.postings, None
@@ -223,12 +196,9 @@ def _of_grams(index: GramIndex, grams: DataFrame, ranges: DataFrame | None = Non
     else:
         postings = _met(postings, grams.select("gram").distinct(), ["gram"])
     if ranges is not None and is_small(ranges, RANGES):
-        known = ranges.orderBy("_text").toArrow()
-    elif ranges is not None:
-        of = (F.col("_text") - F.col("_text").bitwiseAND(BLOCK - 1)).alias("block")
-        postings = _met(postings, ranges.select(of).distinct(), ["block"])
-    rows = postings.select("gram", "block", "n", "texts", "counts", "positions")
-    return rows.mapInArrow(_places(known), "gram string, _text bigint, _at int")
+        known = ranges.select("lo", "hi").orderBy("lo").toArrow()
+    rows = postings.select("gram", "block", "m", "steps")
+    return rows.mapInArrow(_places(known), "gram string, _at bigint")
 
 
 def _met(many: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
@@ -250,7 +220,7 @@ def phrase_places(index: GramIndex, phrases: DataFrame, phrase_key: list[str], p
         part = short.where(size == n).join(index.grams, F.substring("gram", 1, n) == F.col("_phrase"))
         heads = part if heads is None else heads.unionAll(part)
     heads = settle(heads.select("_p", "gram"))
-    found = _met(_of_grams(index, heads), heads, ["gram"]).select("_p", "_text", F.col("_at").alias("pos"))
+    found = _met(_of_grams(index, heads), heads, ["gram"]).select("_p", F.col("_at").alias("_pos"))
     offsets = F.array_distinct(F.concat(F.sequence(F.lit(0), size - GRAM, F.lit(GRAM)), F.array(size - GRAM)))
     parts = (
         asked.where(size >= GRAM)
@@ -269,7 +239,7 @@ def phrase_places(index: GramIndex, phrases: DataFrame, phrase_key: list[str], p
     )
     rarest = ranked.where("_rank = 1")
     whole = rarest.where("_parts = 1").select("gram", "_p")
-    single = _met(_of_grams(index, whole), whole, ["gram"]).select("_p", "_text", F.col("_at").alias("pos"))
+    single = _met(_of_grams(index, whole), whole, ["gram"]).select("_p", F.col("_at").alias("_pos"))
     # two grams at their distance come before any phrase: many phrases may share a gram, few share both
     second = ranked.where("_rank = 2").select("_p", F.col("gram").alias("_next"), F.col("_offset").alias("_to"))
     pairs = settle(
@@ -277,34 +247,39 @@ def phrase_places(index: GramIndex, phrases: DataFrame, phrase_key: list[str], p
         .select("_p", "_parts", "_size", "gram", "_offset", "_next", (F.col("_to") - F.col("_offset")).alias("_far"))
     )
     begins = _met(_of_grams(index, pairs), pairs.select("gram", "_far").distinct(), ["gram"]).select(
-        "_text", (F.col("_at") + F.col("_far")).alias("_to"), "gram", "_far", "_at"
+        (F.col("_at") + F.col("_far")).alias("_to"), "gram", "_far", "_at"
     )
     nexts = _of_grams(index, pairs.select(F.col("_next").alias("gram"))).select(
-        "_text", F.col("_at").alias("_to"), F.col("gram").alias("_next")
+        F.col("_at").alias("_to"), F.col("gram").alias("_next")
     )
-    both = begins.join(nexts, ["_text", "_to"])
+    both = begins.join(nexts, "_to")
     begun = settle(
         _met(both, pairs, ["gram", "_far", "_next"])
-        .select("_p", "_parts", "_size", "_text", (F.col("_at") - F.col("_offset")).alias("pos")).where("pos >= 0")
+        .select("_p", "_parts", "_size", (F.col("_at") - F.col("_offset")).alias("_pos"))
     )
     others = ranked.where("_rank > 2").select("_p", "gram", "_offset")
     wanted = settle(
         _met(begun.where("_parts > 2"), others, ["_p"])
-        .select("_p", "_parts", "_text", "pos", "gram", (F.col("pos") + F.col("_offset")).alias("_at"))
+        .select("_p", "_parts", "_pos", "gram", (F.col("_pos") + F.col("_offset")).alias("_at"))
     )
     ranges = settle(
-        begun.where("_parts > 2").groupBy("_text")
-        .agg(F.min("pos").alias("lo"), F.max(F.col("pos") + F.col("_size")).alias("hi"))
+        begun.where("_parts > 2").groupBy(F.col("_pos").alias("lo")).agg(F.max(F.col("_pos") + F.col("_size")).alias("hi"))
     )
     lists = _of_grams(index, wanted, ranges)
-    rest = _met(lists, wanted, ["gram", "_text", "_at"]).groupBy("_p", "_parts", "_text", "pos").agg(F.count("*").alias("_met"))
+    rest = _met(lists, wanted, ["gram", "_at"]).groupBy("_p", "_parts", "_pos").agg(F.count("*").alias("_met"))
     places = (
         found.unionByName(single)
-        .unionByName(begun.where("_parts = 2").select("_p", "_text", "pos"))
-        .unionByName(rest.where(F.col("_met") + 2 == F.col("_parts")).select("_p", "_text", "pos"))
+        .unionByName(begun.where("_parts = 2").select("_p", "_pos"))
+        .unionByName(rest.where(F.col("_met") + 2 == F.col("_parts")).select("_p", "_pos"))
     )
     under = _met(places, named.join(asked, "_phrase").select("_p", *phrase_key), ["_p"])
-    return under.join(index.texts, "_text").select(*phrase_key, *index.keys, "pos")
+    # a place finds its text among those that reach into the same piece of its block
+    piece = F.sequence(F.shiftright("_start", PIECE), F.shiftright(F.col("_end"), PIECE))
+    pieces = index.texts.where("_start < _end").withColumn("_piece", F.explode(piece))
+    met = under.withColumn("_piece", F.shiftright("_pos", PIECE)).join(pieces, "_piece")
+    return met.where("_start <= _pos AND _pos < _end").select(
+        *phrase_key, *index.keys, (F.col("_pos") - F.col("_start")).cast("int").alias("pos")
+    )
 
 
 def phrase_texts(index: GramIndex, phrases: DataFrame, phrase_key: list[str], phrase: str) -> DataFrame:
