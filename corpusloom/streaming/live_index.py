@@ -166,7 +166,8 @@ def current_index(spark: SparkSession, path: str) -> I.CorpusIndex:
     terms, corpus = _sums(spark, base)
     average = F.when(F.col("n_docs") > 0, F.col("tokens") / F.col("n_docs")).otherwise(F.lit(0.0))
     return I.CorpusIndex(
-        postings.select("doc_id", "dl", "term", "tf"), terms, lengths, corpus.select("n_docs", average.alias("avgdl"))
+        postings.select("doc_id", "dl", "term", "tf"), terms, lengths, corpus.select("n_docs", average.alias("avgdl")),
+        counted=True,
     )
 
 

@@ -14,7 +14,7 @@ from corpusloom.operators import segment as G
 from corpusloom.operators import segments
 from corpusloom.plans import pages_plan as PP
 from corpusloom.plans import profile as P
-from corpusloom.session import scratch_path, with_global_rank
+from corpusloom.session import scratch_path, settle, with_global_rank
 from corpusloom.sources import scan, sinks
 from corpusloom.streaming import live_index
 from registry import sqlkit as S
@@ -504,7 +504,7 @@ def inc1b(spark, d):
 
 def updated(spark, d):
     old, new = snapshots(spark, d)
-    changes = X.diff_snapshots(old, new, renames=False)
+    changes = settle(X.diff_snapshots(old, new, renames=False))  # read by every table of the new version
     index = I.build_index(old, "path", "content")
     fresh = new.join(changes.where("status <> 'D'").select("path"), "path", "left_semi")
     gone = changes.where("status = 'D'").select("path")

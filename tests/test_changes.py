@@ -48,6 +48,18 @@ def test_incremental_index_equals_rebuild(spark):
     assert got.corpus_stats.first() == want.corpus_stats.first()
 
 
+def test_updated_terms_read_uncounted_postings_once(spark):
+    index = I.build_index(table(spark, [("a", "aa bb"), ("b", "bb cc"), ("c", "cc")]), "path", "content")
+    changed, gone = table(spark, [("b", "dd bb")]), table(spark, [("c", "")])
+    plans = []
+    for counted in (False, True):
+        index.counted = counted
+        terms = I.update_index(index, changed, "path", "content", gone).term_stats
+        assert sorted(map(tuple, terms.collect())) == [("aa", 1), ("bb", 2), ("dd", 1)]
+        plans.append(terms._jdf.queryExecution().analyzed().toString())
+    assert "LeftSemi" not in plans[0] and "LeftSemi" in plans[1]
+
+
 def test_affected_pages_and_new_pages(spark):
     pages = table(spark, [("a.md", "uses src/util/Auth.ts here"), ("b.md", "nothing"), ("util.md", "")])
     changes = spark.createDataFrame([("A", "src/util/Auth.ts"), ("A", "src/pay/x.ts"), ("A", "src/pay/y.ts")], "status string, path string")
