@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,22 @@ def test_word_paths_agree_on_long_words_and_repeated_keys(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_listed_words_are_found_in_any_cut_of_the_bytes(monkeypatch):
+    rnd = random.Random(5)
+    for cut in (1, 7, 64, 1 << 17):
+        monkeypatch.setattr(M, "BLOCK_BYTES", cut)
+        for letters in ("ab", "a\u00e9\U0001f600 ", "abc \n"):
+            made = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+            texts = [None, ""] + [made(rnd.randint(0, 150)) for _ in range(8)]
+            words = sorted({made(rnd.choice([1, 2, 3, 9, 32, 40])) for _ in range(20)} | {t[2:44] for t in texts if t and len(t) > 60})
+            want = [
+                [(i << 32) | t.count(w) for i, w in enumerate(words) if w in t and not set(w) & set(" \n")] if t else []
+                for t in texts
+            ]
+            held = pa.array(["ab", *texts]).slice(1)
+            assert [sorted(x) for x in M._listed_hits(words)(held).to_pylist()] == want
+
+
 def test_scores_of_listed_words_are_summed_where_the_text_lies(spark, monkeypatch):
     monkeypatch.setattr(M, "parts_of", lambda *_: 4)
     df = spark.createDataFrame([(i, f"alpha w{i} beta") for i in range(50)], "doc_id long, text string")
