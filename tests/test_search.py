@@ -196,6 +196,21 @@ def test_listed_words_are_found_in_any_cut_of_the_bytes(monkeypatch):
             assert [sorted(x) for x in M._listed_hits(words)(held).to_pylist()] == want
 
 
+def test_only_frequent_tokens_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(M, "LISTED_WORDS", 2)
+    monkeypatch.setattr(M, "is_light", lambda *_: False)
+    df = spark.createDataFrame([(i, f"alpha w{i} beta beta") for i in range(30)], "id long, text string")
+    w = spark.createDataFrame([(x,) for x in ("alpha", "w1", "eta", "zz")], "word string")
+    want = sorted((i, x, t.count(x)) for i, t in df.collect() for x in ("alpha", "w1", "eta") if x in t)
+    for most, salts in ((20, 16), (1000, 1)):
+        monkeypatch.setattr(M, "DEALT_PLACES", most)
+        found = M.word_hits(df, ["id"], "text", w, constant=False).select("id", "word", "hits")
+        assert sorted(map(tuple, found.collect())) == want
+        rows = df.select("id", F.explode(F.split("text", " ")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        dealt = M.dealt_tokens(rows).collect()
+        assert {r["token"]: r["_salts"] for r in dealt} == ({"alpha": 16, "beta": 16} if salts > 1 else {})
+
+
 def test_scores_of_listed_words_are_summed_where_the_text_lies(spark, monkeypatch):
     monkeypatch.setattr(M, "parts_of", lambda *_: 4)
     df = spark.createDataFrame([(i, f"alpha w{i} beta") for i in range(50)], "doc_id long, text string")
