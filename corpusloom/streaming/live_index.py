@@ -61,8 +61,10 @@ def apply_batch(batch: DataFrame, batch_id: int, base: str,
     counted = live.select("doc_id", "version", T.tokens("text").alias("tokens")).select(
         "doc_id", "version", F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("term")
     )
-    put(counted.groupBy("doc_id", "version", "dl", "term").agg(F.count("*").alias("tf")), "postings")
-    held = spark.read.parquet(f"{base}/postings/batch={batch_id}").select("doc_id", "version", "dl").distinct()
+    each = counted.groupBy("doc_id", "version", "dl", "term").agg(F.count("*").alias("tf"))
+    # a row per document, so that those replaced later are found by joining documents and not postings
+    put(each.groupBy("doc_id", "version", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("terms")), "postings")
+    held = spark.read.parquet(f"{base}/postings/batch={batch_id}").select("doc_id", "version", "dl")
     put(
         live.select("doc_id", "version").join(held, ["doc_id", "version"], "left")
         .withColumn("dl", F.coalesce("dl", F.lit(0).cast("bigint"))),
@@ -118,7 +120,7 @@ def _deltas(spark: SparkSession, base: str, batch_id: int, newest: DataFrame) ->
         replaced = _in_force(spark, base, name, old, batches)
         return new.unionByName(replaced.select(*new.columns[:-1], F.lit(-1).alias("sign")))
 
-    terms = both("postings").groupBy("term").agg(F.sum("sign").alias("df")).where("df <> 0")
+    terms = both("postings").select("sign", F.explode("terms.term").alias("term")).groupBy("term").agg(F.sum("sign").alias("df")).where("df <> 0")
     corpus = both("lengths").agg(
         F.coalesce(F.sum("sign"), F.lit(0)).alias("n_docs"),
         F.coalesce(F.sum(F.col("sign") * F.col("dl")), F.lit(0)).alias("tokens"),
@@ -166,7 +168,7 @@ def current_index(spark: SparkSession, path: str) -> I.CorpusIndex:
     terms, corpus = _sums(spark, base)
     average = F.when(F.col("n_docs") > 0, F.col("tokens") / F.col("n_docs")).otherwise(F.lit(0.0))
     return I.CorpusIndex(
-        postings.select("doc_id", "dl", "term", "tf"), terms, lengths, corpus.select("n_docs", average.alias("avgdl")),
+        postings.select("doc_id", "dl", F.inline("terms")), terms, lengths, corpus.select("n_docs", average.alias("avgdl")),
         counted=True,
     )
 

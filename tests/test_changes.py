@@ -160,6 +160,17 @@ def test_any_order_of_batches_equals_a_batch_build(spark):
     assert vectors == {d: [float(len(t)), float(t.count("a"))] for d, t in docs.items()}
 
 
+def test_stream_keeps_postings_in_a_row_per_document(spark):
+    base, kinds = scratch_path(spark, "live"), "doc_id long, version long, text string"
+    live_index.apply_batch(spark.createDataFrame([(1, 1, "ab ba ab"), (2, 1, "ba cc"), (3, 1, "")], kinds), 0, base)
+    live_index.apply_batch(spark.createDataFrame([(2, 2, "dd"), (1, 2, None)], kinds), 1, base)
+    rows = spark.read.parquet(f"{base}/postings").select("batch", "doc_id", F.size("terms").alias("n")).collect()
+    assert sorted(map(tuple, rows)) == [(0, 1, 2), (0, 2, 2), (1, 2, 1)]
+    got = live_index.current_index(spark, base)
+    assert got.postings.collect() == [(2, 1, "dd", 1)] and got.term_stats.collect() == [("dd", 1)]
+    assert got.corpus_stats.collect() == [(2, 0.5)]
+
+
 def test_stream_without_effective_rows(spark):
     base, kinds = scratch_path(spark, "live"), "doc_id long, version long, text string"
     live_index.apply_batch(spark.createDataFrame([], kinds), 0, base, letters(), 2)
