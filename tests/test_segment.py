@@ -216,3 +216,62 @@ def test_files_of_very_many_lines_stay_linear(spark):
     seconds(400)
     small, large = seconds(10_000), seconds(40_000)
     assert large < 8 * small + 10, (small, large)
+
+
+def braces_by_fold(text, minimum):
+    """Constructs of a file, each open one looked at on every line."""
+    import re
+
+    depth, held, out, lines = 0, [], [], text.split("\n")
+    for i, line in enumerate(lines, 1):
+        opens, after = line.count("{"), depth + line.count("{") - line.count("}")
+        for pattern, kind in G.CS_RULES:
+            if (m := re.search(pattern, line, re.A)) and not (kind == "method" and ";" in line):
+                held.append([i, m[1], kind, depth, False])
+        for c in held:
+            c[4] = c[4] or opens > 0
+        out += [(c[0], i, c[1], c[2]) for c in held if c[4] and after <= c[3]]
+        held = [c for c in held if not (c[4] and after <= c[3])]
+        depth = after
+    out = [c for c in out if len("\n".join(lines[c[0] - 1 : c[1]])) >= minimum]
+    return sorted(out) or [(1, len(lines), "a", "file")]
+
+
+def test_braces_as_by_a_fold_over_all_that_is_open(spark):
+    import random
+
+    rng = random.Random(5)
+    parts = ["public class A{}", "  void Run(int a)", "{{", "}}", "}} }}", "{{ {{", "x;", "interface I{} {{", "", "int f(int b) {{ return }}", "namespace N.M"]
+    texts = ["\n".join(rng.choice(parts).format(i) for i in range(rng.choice((1, 3, 17, 40, 300)))) for _ in range(40)]
+    table = spark.createDataFrame([(f"{k}/a.cs", t) for k, t in enumerate(texts)], "path string, content string")
+    got = {}
+    for r in G.segment_braces(table, 20).collect():
+        got.setdefault(int(r["path"].split("/")[0]), []).append((r["start_line"], r["end_line"], r["name"], r["chunk_type"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: braces_by_fold(t, 20) for k, t in enumerate(texts)}
+
+
+def test_constructs_that_stay_open_stay_linear(spark):
+    """Eight times the constructs that never close cost about eight times the time."""
+    import time
+
+    def seconds(n: int) -> float:
+        text = "\n".join(f"public class C{i}\n{{" for i in range(n)) + "\n  // " + "x" * 100 + "\n}"
+        table = spark.createDataFrame([("a.cs", text)], "path string, content string")
+        began = time.time()
+        assert spans(G.segment_braces(table)) == [(2 * n - 1, 2 * n + 2, f"C{n - 1}", "class")]
+        return time.time() - began
+
+    seconds(20)
+    small, large = seconds(375), seconds(3000)
+    assert large < 8 * small + 10, (small, large)
+
+
+def test_scan_of_any_length(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions.arrays import scan
+
+    sizes = [0, 1, 15, 16, 17, 255, 256, 257, 4096, 4097, 9000]
+    table = spark.createDataFrame([(n, list(range(n))) for n in sizes], "n int, items array<int>")
+    sums = table.select("n", scan(F.col("items"), F.lit(0), lambda s, x: s + x).alias("s"))
+    assert {r["n"]: r["s"] for r in sums.collect()} == {n: [i * (i + 1) // 2 for i in range(n)] for n in sizes}
