@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +29,8 @@ LEAST_SENTENCES = 4
 SENTENCE = re.compile(r"[^.!?\n|]+")
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6)
-KEPT_WORDS = 500_000
+#: Words whose weight a task keeps; most words of a large corpus are rare and not worth the memory.
+KEPT_WORDS = 50_000
 ROUNDS, STEP, DECAY, START_BIAS = 250, 0.1, 1e-3, -5.0
 
 
@@ -232,11 +232,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def score_column(model: Model):
     """The score as a function of a text column, for filters; null and empty texts score 0."""
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights = Weights(model)  # one a task: words that were met before are known
         for texts in batches:
-            yield pd.Series([score_text(t or "", weights, model.bias)[0] for t in texts], dtype="float64")
+            out: list[float] = []
+            for start in range(0, len(texts), 200):  # a slice of the texts at a time becomes Python strings
+                some = texts.slice(start, 200).to_pylist()
+                out += [score_text(t or "", weights, model.bias)[0] for t in some]
+            yield pa.array(out, pa.float64())
 
     def of(text: Column) -> Column:
         return scored(text)

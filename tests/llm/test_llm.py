@@ -658,3 +658,15 @@ def test_pipeline_stages(spark):
     assert seen[3] == {d: secrets.redact(t) for d, t in seen[2].items()}
     done = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in done.collect()} == set(seen[3])
+
+
+def test_toxicity_keeps_few_words_and_scores_null_and_repeated_texts(spark, monkeypatch):
+    """More words than a task keeps change no score."""
+    assert toxicity.KEPT_WORDS <= 100_000
+    model = toxicity.Model({"bad": 9.0, "awf*": 8.0}, -5.0)
+    texts = [f"Fine w{chr(97 + i % 26) * (1 + i % 7)} day. Bad one." if i % 3 else "Awful! good." for i in range(450)] + [None, "", "plain"]
+    wide = [toxicity.score_text(t or "", toxicity.Weights(model), model.bias)[0] for t in texts]
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 2)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    got = rows.select("doc_id", toxicity.score_column(model)(F.col("text")).alias("s")).collect()
+    assert [r["s"] for r in sorted(got)] == wide
