@@ -242,6 +242,21 @@ def test_rerank_keeps_score_and_reorders(spark, docs):
     assert [(r["doc_id"], r["score"], r["rerank_score"]) for r in out] == [(1, 0.1, 1.0)]
 
 
+def test_rerank_queries_read_whole_texts(spark, tmp_path):
+    from registry import all_queries
+
+    texts = {0: "alpha beta", 1: "alpha " + "filler " * 200 + "beta", 2: "alpha " * 300, 3: "gamma"}
+    put = lambda rows, cols, name: spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/{name}.parquet")
+    put([(i, t, "en", "web", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long", "documents")
+    put([(0, "alpha beta")], "item_id long, text string", "benchmark")
+    put([(i, [1.0, float(i)], 0) for i in texts], "vec_id long, embedding array<float>, label int", "embeddings")
+    want = {0: 1.0, 1: 1.0, 2: 0.5, 3: 0.0}
+    for name in ("sch10_rerank", "udf2_pair_scorer"):
+        rows = all_queries()[name](spark, str(tmp_path)).collect()
+        got = {r["doc_id"]: r["rerank_score"] for r in rows}
+        assert len(rows) == 4 and got == want, (name, got)
+
+
 def test_label_paths_agree(spark):
     chunks = spark.createDataFrame(
         [(1, "LoginUser", "checks a token", ["Auth"], "db query"), (2, "x", None, [], "nothing")],
