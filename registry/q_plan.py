@@ -532,10 +532,11 @@ def inc2c(spark, d):
 def committed(spark, d):
     """The old files as one segment, all changes as a second one with its deletions."""
     old, new = snapshots(spark, d)
-    changes = X.diff_snapshots(old, new, renames=False)
+    changes = settle(X.diff_snapshots(old, new, renames=False))
     path = scratch_path(spark, "segments")
     segments.commit(spark, path, old, "path", "content")
-    fresh = new.join(changes.where("status <> 'D'").select("path"), "path", "left_semi")
+    # paths are hashed, so that contents are not sorted
+    fresh = new.join(changes.where("status <> 'D'").select("path").hint("shuffle_hash"), "path", "left_semi")
     segments.commit(spark, path, fresh, "path", "content", changes.where("status = 'D'").select("path"))
     return path
 
@@ -559,8 +560,8 @@ def inc2_segments_c(spark, d):
     for i in range(segments.FAN):
         segments.commit(spark, path, old.where(part == i), "path", "content")
         segments.merge(spark, path)
-    changes = X.diff_snapshots(old, new, renames=False)
-    fresh = new.join(changes.where("status <> 'D'").select("path"), "path", "left_semi")
+    changes = settle(X.diff_snapshots(old, new, renames=False))
+    fresh = new.join(changes.where("status <> 'D'").select("path").hint("shuffle_hash"), "path", "left_semi")
     segments.commit(spark, path, fresh, "path", "content", changes.where("status = 'D'").select("path"))
     segments.merge(spark, path)
     index = segments.open_index(spark, path)

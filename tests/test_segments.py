@@ -140,3 +140,61 @@ def test_postings_are_read_from_documents(spark):
     assert sorted(map(tuple, index.doc_stats.collect())) == [(1, 2), (2, 0), (3, 1), (4, 0)]
     plan = index.postings._jdf.queryExecution().optimizedPlan().toString()
     assert "entries" not in plan
+
+
+def test_postings_are_not_exchanged(spark, monkeypatch):
+    """Neither to write a segment, nor to leave out many deleted documents, of which a broadcast of ids would not be small."""
+    monkeypatch.setattr(G, "is_small", lambda df, rows=0: False)
+    path, texts = scratch_path(spark, "segments"), corpus(random.Random(3), 200)
+    seen = []
+    whole = G._write_segment
+    monkeypatch.setattr(G, "_write_segment", lambda forward, path: seen.append(plan_of(forward)) or whole(forward, path))
+    G.commit(spark, path, frame(spark, texts), "doc_id")
+    changed = {i: "new w1" for i in range(2, 100)}
+    G.commit(spark, path, frame(spark, changed), "doc_id")
+    same(spark, path, texts | changed)
+    seen.append(plan_of(G.open_index(spark, path).postings))
+    assert len(seen) == 3 and not any("Repartition" in p or "Join LeftAnti" in p or "Aggregate" in p for p in seen), seen
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_segment_of_which_nothing_stays_leaves_no_deletions(spark):
+    import os
+
+    path, texts = scratch_path(spark, "segments"), corpus(random.Random(4), 50)
+    G.commit(spark, path, frame(spark, texts), "doc_id")
+    G.commit(spark, path, frame(spark, {i: f"w{i} w1" for i in texts}), "doc_id")
+    same(spark, path, {i: f"w{i} w1" for i in texts})
+    assert not os.path.exists(f"{path}/deleted".removeprefix("file:"))
+
+
+@pytest.mark.parametrize("docs, postings", [(7, 1 << 20), (1000, 40)])
+def test_blocks_hold_every_posting_once(spark, monkeypatch, docs, postings):
+    """Parts end by documents or by postings; the heads of blocks bound what is in them, and the best come first."""
+    monkeypatch.setattr(G, "BLOCK", 3)
+    monkeypatch.setattr(G, "STEP_DOCS", 5)
+    monkeypatch.setattr(G, "PART_DOCS", docs)
+    monkeypatch.setattr(G, "PART_POSTINGS", postings)
+    path, texts = scratch_path(spark, "segments"), corpus(random.Random(6), 90) | {200: "Ünï w1 w1 w10 w2 zz", 201: "w1"}
+    G.commit(spark, path, frame(spark, texts).coalesce(2), "doc_id")
+    index = G.open_index(spark, path)
+    blocks = index.blocks.collect()
+    held = sorted((e["doc_id"], e["dl"], b["term"], e["tf"]) for b in blocks for e in b["entries"])
+    assert held == sorted(map(tuple, index.postings.collect()))
+    assert len({(b["term"], b["part"], b["block"]) for b in blocks}) == len(blocks) and len({b["part"] for b in blocks}) > 2
+    assert all(b["n"] == len(b["entries"]) <= 3 and b["max_tf"] == max(e["tf"] for e in b["entries"]) and b["min_dl"] == min(e["dl"] for e in b["entries"]) for b in blocks)
+    avgdl = index.corpus_stats.first()["avgdl"]
+    gains = {}
+    for b in sorted(blocks, key=lambda b: b["block"]):
+        gains.setdefault((b["term"], b["part"]), []).extend(e["tf"] * 2.2 / (e["tf"] + 1.2 * (0.25 + 0.75 * e["dl"] / avgdl)) for e in b["entries"])
+    assert all(a >= b - 1e-5 for g in gains.values() for a, b in zip(g, g[1:]))
+
+
+def test_texts_of_one_id_and_length_stay_one_document(spark, monkeypatch):
+    rows = [(1, "a1 b2"), (1, "b2 c3"), (1, "x9"), (2, ""), (2, None), (3, "b2")]
+    got = G.forward_rows(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted((r["doc_id"], r["dl"], [tuple(t) for t in r["terms"]]) for r in got) == [
+        (1, 1, [("x9", 1)]), (1, 2, [("a1", 1), ("b2", 2), ("c3", 1)]), (2, 0, []), (2, 0, []), (3, 1, [("b2", 1)])]
