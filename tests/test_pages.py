@@ -134,3 +134,32 @@ def test_title_of_two_words_is_found_without_its_text(spark):
     # only titles of more than two words go to the texts
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "NOT (word" in plan
+
+
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_title_mentions_where_texts_lie(spark, monkeypatch, rows):
+    """Words looked up in the bytes of texts, titles broadcast or exchanged, against the regular expressions, on odd texts."""
+    import random
+
+    from corpusloom import session
+    from corpusloom.operators import matching as M
+
+    monkeypatch.setattr(session.is_small, "__defaults__", (rows,))
+    monkeypatch.setattr(M, "BLOCK_BYTES", 64)
+    rnd = random.Random(7)
+    pieces = ["alpha", "Beta", "gam_ma", "x1", "\u00e9t\u00e9", "na\u00efve", "\u0130x", "a", "_", "9", "\U0001f600", " ", "  ", ". ", "-", "\n", "'"]
+    said = lambda n: "".join(rnd.choices(pieces, [3] * 4 + [1] * 7 + [6] + [2] * 5, k=n))
+    texts = [(i, said(rnd.randint(0, 60))) for i in range(150)] + [(7, "the alpha"), (7, ""), (500, None), (None, "alpha Beta"), (501, "")]
+    titles = ["The Alpha", "Beta", "alpha Beta", "x1 alpha", "gam_ma", "na\u00efve alpha", "Beta. x1", "alpha-Beta x1", "\u00e9t\u00e9!", "alphabet", None, "x1\nBeta"]
+    pages = spark.createDataFrame([(i, f"p{i}", t) for i, t in enumerate(titles)], "ord int, path string, title string")
+    frame = spark.createDataFrame(texts, "id long, t string").repartition(3)
+    out = lambda: sorted(map(tuple, G.title_mentions(frame, "id", "t", pages).collect()))
+    got = out()
+    said_words = G.said_words
+    monkeypatch.setattr(G, "said_words", lambda *a: None)
+    assert got == out() and len(got) > 100
+    # only words that titles have leave the row of their text
+    keys = spark.createDataFrame([("alpha",), ("alpha beta",)], "word string")
+    low = frame.select("id", F.lower("t").alias("t")).where("t IS NOT NULL")
+    assert {r["word"] for r in said_words(low, "id", "t", keys).collect()} == {"alpha", "alpha beta"}
+    assert said_words(low, "id", "t", keys.where("false")).count() == 0
