@@ -146,6 +146,7 @@ def test_title_mentions_where_texts_lie(spark, monkeypatch, rows):
 
     monkeypatch.setattr(session.is_small, "__defaults__", (rows,))
     monkeypatch.setattr(M, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(G, "is_light", lambda *a: rows > 0)
     rnd = random.Random(7)
     pieces = ["alpha", "Beta", "gam_ma", "x1", "\u00e9t\u00e9", "na\u00efve", "\u0130x", "a", "_", "9", "\U0001f600", " ", "  ", ". ", "-", "\n", "'"]
     said = lambda n: "".join(rnd.choices(pieces, [3] * 4 + [1] * 7 + [6] + [2] * 5, k=n))
